@@ -10,7 +10,8 @@ import regex
 
 #: Texts that hold any of these go to the tokenizer whole: white space beyond ASCII, controls, strings of special tokens,
 #: and letters whose lower-casing or composition looks at their neighbours.
-BY_ITSELF = re.compile(r"[^\t-\r -~¡-įĲ-ž]|<\|")
+BY_ITSELF = re.compile(r"[^\t-\r -~¡-įĲ-ž]")
+ODD_ASCII = ("<|", *map(chr, range(0x1C, 0x20)))
 CHUNKS = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 #: The split patterns that the two tokenizer files state.
 PARTS = {
@@ -26,7 +27,7 @@ class Encoder:
     are cut by that pattern into parts, and unknown parts alone are encoded. Both tables are emptied when full.
     """
 
-    CHUNK_LIMIT, PART_LIMIT = 500_000, 900_000
+    CHUNK_LIMIT, PART_LIMIT = 700_000, 900_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,7 +52,7 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif self.parts_of is None or BY_ITSELF.search(text):
+            elif self.parts_of is None or any(c in text for c in ODD_ASCII) or not text.isascii() and BY_ITSELF.search(text):
                 out.append(self.whole(text))
             else:
                 chunks = cut(text)

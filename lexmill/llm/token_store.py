@@ -56,8 +56,11 @@ def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     words = chosen.astype(np.uint64) << np.uint64(60)
     for c in np.unique(chosen):
         rows = np.flatnonzero(chosen == c)
+        first = at[rows]
+        held = words[rows]
         for k in range(int(COUNTS[c])):
-            words[rows] |= values[at[rows] + k] << np.uint64(k * int(WIDTHS[c]))
+            held |= values[first + k] << np.uint64(k * int(WIDTHS[c]))
+        words[rows] = held
     return words.astype("<u8").tobytes(), at[::STRIDE].astype("<u4").tobytes(), escapes
 
 
@@ -70,9 +73,9 @@ def unpack(words: bytes, n: int, escapes: bytes = b"") -> np.ndarray:
     out = np.zeros(int(ends[-1]) if len(w) else 0, dtype=np.uint64)
     for c in np.unique(kind):
         rows = np.flatnonzero(kind == c)
-        first, mask = ends[rows] - counts[rows], np.uint64((1 << int(WIDTHS[c])) - 1)
+        first, held, mask = ends[rows] - counts[rows], w[rows], np.uint64((1 << int(WIDTHS[c])) - 1)
         for k in range(int(COUNTS[c])):
-            out[first + k] = (w[rows] >> np.uint64(k * int(WIDTHS[c]))) & mask
+            out[first + k] = (held >> np.uint64(k * int(WIDTHS[c]))) & mask
     out = out[:n]
     if escapes:
         e = np.frombuffer(escapes, dtype="<u8").reshape(-1, 2)
@@ -135,9 +138,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The blocks of a token file, with the number of ids in all shards before each block's shard."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each output file
+    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each task that wrote, 12 bytes each
     before = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return blocks.join(before, "shard")
+    return blocks.join(F.broadcast(before), "shard")
 
 
 def token_digests(blocks: DataFrame) -> DataFrame:
