@@ -18,11 +18,12 @@ from lexmill.llm.encoding import slices
 from lexmill.llm.labelled import labelled_sample
 
 DIMENSIONS = 1 << 18
-BOUND = 2500
+#: Documents of a class that the field is fitted to.
+BOUND = 4000
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-#: How surely (in units of the log-likelihood ratio) a feature must belong to toxic documents for its tokens to be labelled.
-SURE = 12.0
+#: A feature belongs to toxic documents where its log-likelihood ratio exceeds the logarithm of the number of features looked at by so much.
+SURE = 2.0
 
 
 def features(word: bytes) -> list[int]:
@@ -88,16 +89,30 @@ def figures(toxic: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(words: list[bytes]) -> set[tuple[int, int]]:
+    """Three least hashes of a document's word pairs; near copies share one or more."""
+    pairs = [a + b" " + b for a, b in zip(words, words[1:])] or [b" ".join(words)]
+    return {(seed, min(zlib.crc32(p, seed) for p in pairs)) for seed in (1, 2, 3)}
+
+
 def token_labels(docs: list[list[bytes]], y: np.ndarray) -> list[np.ndarray]:
-    """Labelled tokens from labelled documents: in toxic ones, those with a feature that surely belongs to toxic documents."""
+    """Labelled tokens from labelled documents: in toxic ones, those with a feature that surely belongs to toxic documents.
+
+    Near copies of a document count once, or all that copies have in common would seem to belong to their label.
+    """
     seen: tuple[Counter, Counter] = Counter(), Counter()
     known: dict[bytes, list[int]] = {}
+    told: set[tuple[int, int]] = set()
+    n = np.ones(2)
     for words, label in zip(docs, y.tolist()):
         for w in set(words):
             if w not in known:
                 known[w] = features(w)[:5]
-        seen[label].update({f for w in set(words) for f in known[w]})
-    n = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())], dtype=float)
+        own = sketch(words)
+        if told.isdisjoint(own):
+            seen[label].update({f for w in set(words) for f in known[w]})
+            n[label] += 1
+        told |= own
     sure = set()
     for f, k in seen[1].items():
         a, b = k / n[1], seen[0].get(f, 0) / n[0]
@@ -105,7 +120,7 @@ def token_labels(docs: list[list[bytes]], y: np.ndarray) -> list[np.ndarray]:
             c = seen[0].get(f, 0)
             m = (k + c) / n.sum()
             ratio = k * np.log(a / m) + (c * np.log(b / m) if c else 0)
-            if ratio > SURE:
+            if ratio > SURE + np.log(len(seen[1])):
                 sure.add(f)
     return [np.array([label == 1 and not sure.isdisjoint(known[w]) for w in words], dtype=bool) for words, label in zip(docs, y.tolist())]
 
@@ -122,8 +137,15 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
 
 
 def fit(texts: list[bytes], y: np.ndarray, rounds: int = 30) -> Field:
-    """Fits the field to labelled tokens by AdaGrad on the exact gradient, then a document's score to its label."""
-    docs = [t.split() for t in texts]
+    """Fits the field to labelled tokens by AdaGrad on the exact gradient, then a document's score to its label.
+
+    Every fourth document is kept from the field, and the score is fitted to these alone.
+    """
+    own: dict[bytes, bytes] = {}
+    docs = [[own.setdefault(w, w) for w in t.split()] for t in texts]
+    later = np.arange(len(docs)) % 4 == 3
+    after, docs = [d for d, z in zip(docs, later) if z], [d for d, z in zip(docs, later) if not z]
+    y_after, y = y[later], y[~later]
     tags = token_labels(docs, y)
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
     numbers: dict[bytes, int] = {}
@@ -150,8 +172,9 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 30) -> Field:
         move -= 0.3 * m / np.sqrt(g_m)
         move -= move[0, 0]
     weights = np.append(weights, bias)
-    node = (weights[:-1][table].sum(axis=1) + bias[0])[ids] if len(ids) else np.zeros(0)
-    return Field(weights, move, logistic(figures(marginals(node, move, sizes)[0], sizes), y))
+    nodes, sizes = Nodes(weights), np.array([len(d) for d in after], dtype=np.int64)
+    node = np.array([nodes[w] for d in after for w in d])
+    return Field(weights, move, logistic(figures(marginals(node, move, sizes)[0], sizes), y_after))
 
 
 class Nodes(dict):
