@@ -1,0 +1 @@
+"""Lexicographic XML analytics as Spark jobs: shred, discover, select, map, number, label and assemble dictionaries."""
