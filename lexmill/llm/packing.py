@@ -86,7 +86,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def pack_sequences(pieces: DataFrame, capacity: int = 1024, part_items: int = 50_000, rounds: int = 3) -> DataFrame:
+def pack_sequences(pieces: DataFrame, capacity: int = 1024, part_items: int = 10_000, rounds: int = 3) -> DataFrame:
     """Places pieces of at most `capacity` in as few sequences as it can.
 
     pieces: the columns of PIECES, one row for each piece. They are dealt by hash into parts of about `part_items`, whatever the
