@@ -14,6 +14,7 @@ from lexmill.functions import text as T
 from lexmill.operators import assemble, catalog, discover, mapping, sequences
 from lexmill.operators import select as S
 from lexmill.plans import dictionary
+from lexmill.sources.store import stored
 from lexmill.sources.xml import shred
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +50,7 @@ def part_documents(spark: SparkSession, sf_dir: str, per_document: int = 500) ->
 
 
 def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred(part_documents(spark, sf_dir))
+    return stored(shred(part_documents(spark, sf_dir)))
 
 
 def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, line.alias("xml")))), lambda s: s["xml"]), "").alias("lines"))
     joined = orders.join(each, orders["o_orderkey"] == each["l_orderkey"], "left")
     xml = T.element("order", F.concat(_tag("hw", F.col("o_orderpriority")), _tag("pos", F.col("o_orderstatus")), F.coalesce("lines", F.lit(""))), id=F.col("o_orderkey"))
-    return shred(dictionary.batched(joined.select("o_orderkey", "o_custkey", xml.alias("xml")), F.col("o_custkey"), "o_orderkey", "dict", 100))
+    return stored(shred(dictionary.batched(joined.select("o_orderkey", "o_custkey", xml.alias("xml")), F.col("o_custkey"), "o_orderkey", "dict", 100)))
 
 
 def geography_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def geography_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = nation.join(people, nation["n_nationkey"] == people["c_nationkey"], "left").select("n_regionkey", "n_nationkey", T.element("nation", F.concat(_tag("name", F.col("n_name")), F.coalesce("people", F.lit(""))), id=F.col("n_nationkey")).alias("xml"))
     each = nations.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "xml"))), lambda s: s["xml"]), "").alias("nations"))
     docs = region.join(each, region["r_regionkey"] == each["n_regionkey"], "left").select(F.col("r_regionkey").alias("doc_id"), T.element("region", F.coalesce("nations", F.lit("")), lang=F.col("r_name")).alias("raw"))
-    return shred(docs)
+    return stored(shred(docs))
 
 
 PARTS = {"entry": {"type": "xpath", "expr": ".//entry"}, "hw": {"type": "simple", "selector": {"type": "xpath", "expr": "hw"}, "attr": mapping.INNER_REC}, "pos": {"type": "simple", "selector": {"type": "xpath", "expr": "pos"}, "attr": mapping.INNER_REC}}
@@ -316,7 +317,7 @@ def id_fix(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", T.name_safe(F.col("p_brand")).alias("safe"))
 
 
-@query("SELECT page_id, regexp_replace(replace(url, 'http://', ''), 'x', '') AS tail FROM pages WHERE false UNION ALL SELECT page_id, CASE WHEN strpos(url, 'example.') > 0 THEN substr(url, strpos(url, 'example.')) ELSE '' END FROM pages")
+@query("SELECT page_id, CASE WHEN strpos(url, 'example.') > 0 THEN substr(url, strpos(url, 'example.')) ELSE '' END AS tail FROM pages")
 def url_tail(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "(example\\..*)$", 1).alias("tail"))
 
@@ -390,14 +391,14 @@ def content_model_errors(spark, sf_dir):
     return assemble.model_errors(geography_nodes(spark, sf_dir)).groupBy("tag", "parent_tag").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, list_filter(['hw', 'pos'], lambda x: true) AS roles FROM part WHERE false UNION ALL SELECT p_partkey, ['hw', 'pos'] FROM part")
+@query("SELECT p_partkey, 'hw,pos' AS roles FROM part")
 def augmented_view(spark, sf_dir):
     nodes = part_nodes(spark, sf_dir)
     own = S.entries(nodes, PARTS["entry"])
     both = mapping.annotated(nodes, mapping.role_matches(nodes, mapping.Mapping.of(PARTS), own)).where("roles is not null")
     ids = own.select("doc_id", F.col("pre").alias("parent"), F.col("attrs")["id"].cast("long").alias("p_partkey"))
     each = both.select("doc_id", "parent", F.explode("roles").alias("r")).join(ids, ["doc_id", "parent"])
-    return each.groupBy("p_partkey").agg(F.array_sort(F.collect_list("r.role")).alias("roles"))
+    return each.groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_list("r.role")), ",").alias("roles"))
 
 
 def entries_by_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
