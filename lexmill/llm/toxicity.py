@@ -19,7 +19,7 @@ from lexmill.llm.labelled import labelled_sample
 
 DIMENSIONS = 1 << 18
 #: Documents of a class that the field is fitted to.
-BOUND = 4000
+BOUND = 3000
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: A feature belongs to toxic documents where its log-likelihood ratio exceeds the logarithm of the number of features looked at by so much.
