@@ -39,6 +39,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Lists of up to so many ids (8 bytes each) are sent to every executor; documents are shuffled to longer ones.
+BROADCAST_IDS = 1_000_000
+
+
+def join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs joined ('left_semi' or 'left_anti') with distinct doc_ids; the documents aren't shuffled if there are few."""
+    ids = stored(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how).select(docs.columns)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import record_batch, stored, text_bytes
+from lexmill.llm.common import join_ids, record_batch, stored, text_bytes
 from lexmill.llm.components import components
 from lexmill.llm.encoding import slices
 from lexmill.llm.shingles import shingle_sets
@@ -98,12 +98,30 @@ def boundary(reps: DataFrame) -> int:
 
 
 def _keys(small: int) -> Column:
-    pairs = F.flatten(F.transform("prefix", lambda a, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda b: F.xxhash64(F.lit(2), a, b))))
-    single = F.slice("prefix", 1, (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1).cast("int"))
-    nothing = F.array().cast("array<long>")
+    """key, reach of a set's prefix: reach is the most that a set can share with another if this key is the first they share."""
+    pairs = F.flatten(F.transform("prefix", lambda a, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda b, k: F.struct(F.xxhash64(F.lit(2), a, b).alias("key"), (F.col("n") - i - k).alias("reach")))))
+    single = F.transform(F.slice("prefix", 1, (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1).cast("int")), lambda a, i: F.struct(a.alias("key"), (F.col("n") - i).alias("reach")))
+    nothing = F.array().cast("array<struct<key:long,reach:long>>")
     return F.concat(F.when(F.col("n") <= small, pairs).otherwise(nothing), F.when(F.col("n") * 4 > 3 * small, single).otherwise(nothing))
 
 
+def _enough(n: Column, m: Column, reach: Column) -> Column:
+    """Whether sets of n and m shingles that share at most `reach` can link."""
+    return 7 * reach >= 3 * (n + m)
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs whose prefixes leave room for a link.
+
+    What two sets have in common, up to where the shorter-reaching prefix ends, lies in both prefixes; beyond, no more than that set's
+    other shingles can follow. The larger of both remainders bounds it.
+    """
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+    return both.where(175 * most >= 75 * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those pairs (a > b) whose sets link, by comparing the sets of the documents that pairs name."""
 
@@ -113,7 +131,7 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 yield record_batch(SET_SCHEMA, [doc_ids, [s.view(np.int64) for s in found]])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, codes array<long>"))
+    own = stored(join_ids(docs, ids, "left_semi").mapInArrow(sets, "id long, codes array<long>"))
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("codes").alias("ca")), "a").join(own.select(F.col("id").alias("b"), F.col("codes").alias("cb")), "b")
     same = F.size(F.array_intersect("ca", "cb")).cast("long")
     return both.where(100 * same >= 75 * (F.size("ca") + F.size("cb") - same)).select("a", "b").distinct()
@@ -124,35 +142,40 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored. Null, empty and blank texts have no shingles and link with nothing. A null doc_id
     names no document: such rows come back with a null component_id. Repeated rows are one document. Documents
-    with equal sets are one representative. Each key (a shingle or pair of shingles of a prefix) then links each of its sets with the one before
-    it and with the first, by size, so a group of m copies yields 2m candidates, not m^2; candidates are verified and joined
-    into components. Only where a key still holds more than one component, sets of different components are compared with
-    each other, which makes the result exact. Codes are 64-bit hashes of shingles.
+    with equal sets are one representative. Each key (a shingle or pair of shingles of a prefix) pairs each of its sets with the one before
+    it and with the first, so a group of m copies yields 2m candidates, not m^2. The first is the set whose prefix is the most
+    frequent: of a text and its edited copies, the text itself, which all of them resemble. Candidates are verified and joined
+    into components. Only where a key still holds more than one component, among the sets it can be the first shared key of, sets of
+    different components are compared with each other, which makes the result exact. Codes are 64-bit hashes of shingles.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = stored(signed_sets(docs, shingle_frequencies(docs)))
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("scan").alias("scan"))
+    classes = stored(signed.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("scan").alias("scan")))
     small = boundary(classes)
-    entries = classes.where("n > 1").select("rep", "n", F.explode(_keys(small)).alias("key"))
-    by_key = Window.partitionBy("key").orderBy("n", "rep")
-    me = F.struct("rep", "n")
-    near = entries.select("key", "rep", "n", F.lag(me).over(by_key).alias("before"), F.lead("rep").over(by_key).alias("after"), F.first(me).over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("hub"))
+    entries = classes.where("n > 1").select("rep", "n", (F.col("scan") / F.col("n")).alias("central"), F.explode(_keys(small)).alias("k")).select("rep", "n", "central", "k.key", "k.reach")
+    by_key = Window.partitionBy("key").orderBy(F.desc("central"), "rep")
+    me = F.struct("rep", "n", "reach")
+    near = entries.select("key", "rep", "n", "reach", F.lag(me).over(by_key).alias("before"), F.lead("rep").over(by_key).alias("after"), F.first(me).over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("hub"))
     near = stored(near.where("before is not null or after is not null"))
-    likely = lambda other: (F.col(f"{other}.rep") != F.col("rep")) & (4 * F.col(f"{other}.n") >= 3 * F.col("n"))
+    likely = lambda other: (F.col(f"{other}.rep") != F.col("rep")) & _enough(F.col("n"), F.col(f"{other}.n"), F.least("reach", f"{other}.reach"))
     ordered = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     first = near.where(likely("before")).select(*ordered("rep", "before.rep")).unionByName(near.where(likely("hub")).select(*ordered("rep", "hub.rep"))).distinct()
     first = stored(first)
-    links = stored(_links(first, docs))
+    links = stored(_links(stored(_possible(first, classes)), docs))
     found = components(links)
 
-    labelled = near.select("key", "rep", "n").join(found.select(F.col("a").alias("rep"), F.col("b").alias("of")), "rep", "left").select("key", "rep", "n", F.coalesce("of", "rep").alias("of"))
-    mixed = labelled.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("m")).where("x < y and m > 2").select("key")
-    left = stored(labelled.join(mixed, "key", "left_semi"))
+    labelled = near.select("key", "rep", "n", "reach").join(found.select(F.col("a").alias("rep"), F.col("b").alias("of")), "rep", "left").select("key", "rep", "n", "reach", F.coalesce("of", "rep").alias("of"))
+
+    def several(rows: DataFrame, sets: int) -> DataFrame:
+        return rows.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("m"), F.min("n").alias("least")).where((F.col("x") < F.col("y")) & (F.col("m") >= sets)).select("key", "least")
+
+    left = stored(labelled.join(several(labelled, 3), "key").where(_enough(F.col("n"), F.greatest("least", F.ceil(F.col("n") * 3 / 4)), F.col("reach"))).drop("least"))
+    left = stored(left.join(several(left, 2).select("key"), "key", "left_semi"))
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.of") != F.col("y.of")) & (F.col("x.rep") > F.col("y.rep")) & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n")))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.of") != F.col("y.of")) & (F.col("x.rep") > F.col("y.rep")) & _enough(F.col("x.n"), F.col("y.n"), F.least("x.reach", "y.reach")))
     rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     rest = stored(rest.join(first, ["a", "b"], "left_anti"))
-    more = stored(_links(rest, docs))
+    more = stored(_links(stored(_possible(rest, classes)), docs))
     if more.limit(1).count():
         found = components(links.unionByName(more))
 
@@ -160,3 +183,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     out = signed.select("doc_id", "n", "f1", "f2").join(of, ["f1", "f2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without those whose component has a lesser doc_id; all columns stay, and so do rows with a null doc_id."""
+    found = jaccard_components(docs)
+    return join_ids(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), "left_anti")
