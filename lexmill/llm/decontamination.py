@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ascii_lower, stored, words_of
+from lexmill.llm.common import ascii_lower, join_ids, stored, words_of
 
 WIDTH = 5
 #: Sketches of up to so many rows (16 bytes each) are sent to every executor; larger ones are joined by a shuffle.
@@ -66,4 +66,4 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75) ->
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The documents that hold no item, with all their columns; rows with a null doc_id stay."""
-    return docs.join(contaminated(docs, items, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return join_ids(docs, contaminated(docs, items, threshold).select("doc_id").distinct(), "left_anti")

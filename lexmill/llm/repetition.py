@@ -129,12 +129,32 @@ def _scored(doc_ids: list, texts: list[bytes], min_repeat: int) -> list:
     return [doc_ids, sizes, chars, symbols, dups, words3, own(np.flatnonzero(inside)) if n else sizes, top, spans]
 
 
+def _passes(n, repeat, inside, longest, max_covered: float, max_repeat: int, min_words: int):
+    """(base_failed, kept) from counts; for columns and arrays alike."""
+    failed = (n < min_words) | (100 * repeat > 50 * n)
+    return failed, ~failed & (inside <= max_covered * n) & (longest <= max_repeat)
+
+
 def repetition_rules(docs: DataFrame, min_repeat: int = 8, max_covered: float = 0.4, max_repeat: int = 200, min_words: int = 50) -> DataFrame:
     """repetition() with base_failed (fewer than `min_words` words, or over half of them in repeated 3-word windows) and kept.
 
     Kept: the base hasn't failed, repeats of `min_repeat` words or more cover at most `max_covered` of the words, and the longest repeat has
     at most `max_repeat` words. The limits are in words, whatever the corpus.
     """
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    kept = ~failed & (F.col("covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_repeat)
+    failed, kept = _passes(F.col("n_words"), F.col("n_repeat_words"), F.col("covered_words"), F.col("longest_repeat"), max_covered, max_repeat, min_words)
     return repetition(docs, min_repeat).withColumn("base_failed", failed).withColumn("kept", kept)
+
+
+def without_repetitive(docs: DataFrame, min_repeat: int = 8, max_covered: float = 0.4, max_repeat: int = 200, min_words: int = 50) -> DataFrame:
+    """The documents that repetition_rules() keeps, with all their columns; nothing is shuffled."""
+    place = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column(place))
+            for a, b in slices(texts):
+                _, n, _, _, _, repeat, inside, longest, _ = _scored([None] * (b - a), texts[a:b], min_repeat)
+                _, kept = _passes(n, repeat, inside, longest, max_covered, max_repeat, min_words)
+                yield batch.slice(a, b - a).filter(pa.array(kept))
+
+    return docs.mapInArrow(keep, docs.schema)
