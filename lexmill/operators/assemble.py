@@ -89,31 +89,29 @@ def tei_entries(matches: DataFrame, entry_nodes: DataFrame, senses: DataFrame, a
     any; definitions outside get a sense of their own. Order is document order throughout. scrap: doc_id, entry, at, piece of text that
     no match took, which `keep_scrap` appends as dictScrap.
     """
-    keys = matches.select("doc_id", "entry", "pre").distinct()
-    inner = keys.join(entry_nodes.select("doc_id", F.col("pre").alias("entry")), ["doc_id", "entry"])
-    sense_of = matches.select("doc_id", "entry", "pre", "above").join(inner.select("doc_id", "entry", "pre"), ["doc_id", "entry", "pre"], "left_semi").dropDuplicates(["doc_id", "entry", "pre"])
-    sense_of = sense_of.select("doc_id", "entry", "pre", F.explode(F.concat("above", F.array("pre"))).alias("sense")).join(senses.select("doc_id", "entry", F.col("pre").alias("sense")), ["doc_id", "entry", "sense"]).groupBy("doc_id", "entry", "pre").agg(F.max("sense").alias("sense"))
-    own = matches.join(sense_of, ["doc_id", "entry", "pre"], "left")
+    own = matches.select("doc_id", "entry", "pre", "rank", "role", "final", "above", role_markup(F.col("role"), F.col("final"), F.col("matched"), F.col("lang")).alias("markup"))
+    in_sense = own.select("doc_id", "entry", "pre", F.explode(F.concat("above", F.array("pre"))).alias("sense")).join(senses.select("doc_id", "entry", F.col("pre").alias("sense")), ["doc_id", "entry", "sense"]).groupBy("doc_id", "entry", "pre").agg(F.max("sense").alias("sense"))
+    own = own.drop("above").join(in_sense, ["doc_id", "entry", "pre"], "left")
     own = own.withColumn("sense", F.when((F.col("role") == "def") & F.col("sense").isNull(), F.col("pre")).otherwise(F.col("sense")))
-    own = own.withColumn("markup", role_markup(F.col("role"), F.col("final"), F.col("matched"), F.col("lang")))
-    heads = own.groupBy("doc_id", "entry").agg(F.min_by("final", F.when(F.col("role") == "hw", F.col("pre"))).alias("headword"), F.min_by("final", F.when(F.col("role") == "pos", F.col("pre"))).alias("pos"))
-    joined = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "rank", "markup"))), lambda s: s["markup"]), "").alias(name)
-    in_sense = own.where("sense is not null").groupBy("doc_id", "entry", "sense").agg(joined("inside"))
-    k = F.row_number().over(Window.partitionBy("doc_id", "entry").orderBy("sense"))
-    every = in_sense.join(senses.select("doc_id", "entry", F.col("pre").alias("sense")), ["doc_id", "entry", "sense"], "full").withColumn("k", k)
-    outside = own.where("sense is null").groupBy("doc_id", "entry").agg(joined("outside"))
-    base = entry_nodes.select("doc_id", F.col("pre").alias("entry"), "lang").join(heads, ["doc_id", "entry"], "left")
-    base = numbered(base.withColumn("hw", F.when(is_blank(F.col("headword")), "headword").otherwise(name_safe("headword"))).withColumn("key", F.struct("doc_id", "entry")).withColumnRenamed("entry", "at").withColumnRenamed("key", "entry"), ["doc_id", "at"])
-    base = base.select(F.col("entry.doc_id").alias("doc_id"), F.col("entry.entry").alias("entry"), "headword", "pos", "lang", entry_identifier(acronym, F.col("headword"), F.col("n"), F.col("pos")).alias("xml_id"))
-    bodies = every.join(base.select("doc_id", "entry", "xml_id"), ["doc_id", "entry"]).select("doc_id", "entry", "k", element("sense", F.col("inside"), xml__id=sense_identifier(F.col("xml_id"), F.col("k"))).alias("markup"))
-    bodies = bodies.groupBy("doc_id", "entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "markup"))), lambda s: s["markup"]), "").alias("senses"), F.count("*").alias("n_senses"))
-    out = base.join(outside, ["doc_id", "entry"], "left").join(bodies, ["doc_id", "entry"], "left")
-    content = F.concat(F.coalesce("outside", F.lit("")), F.coalesce("senses", F.lit("")))
+    nothing = lambda *names: [F.lit(None).cast("int" if n == "rank" else "string").alias(n) for n in names]
+    empty = senses.select("doc_id", "entry", F.col("pre").alias("sense"), "pre", *nothing("rank", "role", "final", "markup"))
+    bare = entry_nodes.select("doc_id", F.col("pre").alias("entry"), F.lit(None).cast("long").alias("sense"), "pre", *nothing("rank", "role", "final", "markup"))
+    rows = own.unionByName(empty).unionByName(bare)
+    joined = lambda of, order: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(of).isNotNull(), F.struct(*order, of)))), lambda s: s[of]), "")
+    first = lambda role: F.min(F.when(F.col("role") == role, F.struct("pre", "final"))).alias(role)
+    parts = rows.groupBy("doc_id", "entry", "sense").agg(joined("markup", ["pre", "rank"]).alias("inside"), first("hw"), first("pos"))
+    each = parts.groupBy("doc_id", "entry").agg(F.max(F.when(F.col("sense").isNull(), F.col("inside"))).alias("outside"), F.array_sort(F.collect_list(F.when(F.col("sense").isNotNull(), F.struct("sense", "inside")))).alias("senses"), F.min("hw")["final"].alias("headword"), F.min("pos")["final"].alias("pos"))
+    safe = F.when(is_blank(F.col("headword")), F.lit("headword")).otherwise(name_safe(F.col("headword")))
+    each = each.withColumn("n", F.row_number().over(Window.partitionBy(safe).orderBy("doc_id", "entry")))
+    each = each.withColumn("xml_id", entry_identifier(acronym, F.col("headword"), F.col("n"), F.col("pos")))
+    each = each.join(entry_nodes.select("doc_id", F.col("pre").alias("entry"), "lang"), ["doc_id", "entry"])
+    bodies = F.array_join(F.transform("senses", lambda s, i: element("sense", s["inside"], xml__id=sense_identifier(F.col("xml_id"), i + 1))), "")
+    content = F.concat(F.coalesce("outside", F.lit("")), bodies)
     if keep_scrap and scrap is not None:
         rest = scrap.where(~is_blank(F.col("piece"))).groupBy("doc_id", "entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda s: s["piece"]), " ").alias("rest"))
-        out = out.join(rest, ["doc_id", "entry"], "left")
-        content = F.concat(content, F.coalesce(element("dictScrap", escaped(F.col("rest"))), F.lit("")))
-    return out.select("doc_id", "entry", "xml_id", "headword", "pos", F.coalesce("n_senses", F.lit(0)).cast("long").alias("n_senses"), element("entry", content, xml__id=F.col("xml_id"), xml__lang=F.col("lang")).alias("tei"))
+        each = each.join(rest, ["doc_id", "entry"], "left")
+        content = F.concat(content, F.when(F.col("rest").isNotNull(), element("dictScrap", escaped(F.col("rest")))).otherwise(""))
+    return each.select("doc_id", "entry", "xml_id", "headword", "pos", F.size("senses").cast("long").alias("n_senses"), element("entry", content, xml__id=F.col("xml_id"), xml__lang=F.col("lang")).alias("tei"))
 
 
 def stripped_attributes(nodes: DataFrame, kept: list[str]) -> DataFrame:

@@ -81,34 +81,54 @@ def java_pattern(pattern: str, group) -> tuple[str, int]:
     return re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern), number if number <= compiled.groups else -1
 
 
-def found(nodes: DataFrame, transformer: dict, context: DataFrame | None = None) -> DataFrame:
-    """doc_id, ctx, pre, attr, value, matched, final of each node that a transformer finds, from each context row.
+def _leaves(transformer: dict) -> list[dict]:
+    if transformer["type"] == "union":
+        return [leaf for t in transformer["transformers"] for leaf in _leaves(t)]
+    return [transformer]
+
+
+def found_all(nodes: DataFrame, transformers: list[dict], context: DataFrame | None = None) -> DataFrame:
+    """doc_id, ctx, pre, attr, value, matched, final and t (the transformer's place in the list) of what each finds from each context row.
 
     value: the text or attribute; nodes without the attribute, or whose value the pattern doesn't occur in, are left out. matched: the pattern's
-    group (a group that doesn't exist: ''). final: matched, translated by xlat where it has it.
+    group (a group that doesn't exist: ''). final: matched, translated by xlat where it has it. Of a union, the first transformer that
+    finds a node counts. Texts of all transformers come by one join.
     """
-    if transformer["type"] == "union":
-        parts = [found(nodes, t, context).withColumn("nth", F.lit(i)) for i, t in enumerate(transformer["transformers"])]
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
-        first = Window.partitionBy("doc_id", "ctx", "pre").orderBy("nth")
-        return both.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "nth")
-    at = selected(nodes, transformer["selector"], context)
-    attr = transformer.get("attr") or INNER_REC
-    if attr == CONSTANT:
-        out = at.select("doc_id", "ctx", "pre", F.lit(transformer.get("const", "")).alias("value"))
-    elif attr in (INNER, INNER_REC):
-        out = at.select("doc_id", "ctx", "pre").join(inner_text(nodes, at, attr == INNER_REC), ["doc_id", "pre"])
-    else:
-        out = at.select("doc_id", "ctx", "pre", F.col("attrs")[attr].alias("value")).where("value is not null")
-    matched = F.col("value")
-    if transformer.get("rex"):
-        pattern, group = java_pattern(transformer["rex"], transformer.get("rexGroup"))
-        out = out.where(F.col("value").rlike(pattern))
-        matched = F.regexp_extract("value", pattern, group) if group >= 0 else F.lit("")
-    out = out.withColumn("matched", matched)
-    return out.select("doc_id", "ctx", "pre", F.lit(attr).alias("attr"), "value", "matched", translated(F.col("matched"), transformer.get("xlat") or {}).alias("final"))
+    leaves = [(t, leaf) for t, transformer in enumerate(transformers) for leaf in _leaves(transformer)]
+    out, texts = None, set()
+    for i, (t, leaf) in enumerate(leaves):
+        attr = leaf.get("attr") or INNER_REC
+        at = selected(nodes, leaf["selector"], context)
+        value = F.lit(leaf.get("const", "")) if attr == CONSTANT else F.lit(None).cast("string") if attr in (INNER, INNER_REC) else F.col("attrs")[attr]
+        one = at.select("doc_id", "ctx", "pre", F.lit(t).alias("t"), F.lit(i).alias("leaf"), F.lit(attr).alias("attr"), value.alias("value"))
+        if attr in (INNER, INNER_REC):
+            texts.add(attr)
+        else:
+            one = one.where("value is not null")
+        out = one if out is None else out.unionByName(one)
+    for attr in sorted(texts):
+        text = inner_text(nodes, out.where(F.col("attr") == attr), attr == INNER_REC).select("doc_id", "pre", F.lit(attr).alias("attr"), F.col("value").alias("inside"))
+        out = out.join(text, ["doc_id", "pre", "attr"], "left").withColumn("value", F.coalesce("value", "inside")).drop("inside")
+    met, matched = F.lit(True), F.col("value")
+    for i, (_, leaf) in enumerate(leaves):
+        if leaf.get("rex"):
+            pattern, group = java_pattern(leaf["rex"], leaf.get("rexGroup"))
+            met = F.when(F.col("leaf") == i, F.col("value").rlike(pattern)).otherwise(met)
+            matched = F.when(F.col("leaf") == i, F.regexp_extract("value", pattern, group) if group >= 0 else F.lit("")).otherwise(matched)
+    out = out.where(met).withColumn("matched", matched)
+    if len(leaves) > len(transformers):
+        first = Window.partitionBy("doc_id", "ctx", "pre", "t").orderBy("leaf")
+        out = out.withColumn("k", F.row_number().over(first)).where("k = 1")
+    final = F.col("matched")
+    for i, (_, leaf) in enumerate(leaves):
+        if leaf.get("xlat"):
+            final = F.when(F.col("leaf") == i, translated(F.col("matched"), leaf["xlat"])).otherwise(final)
+    return out.select("doc_id", "ctx", "pre", "t", "attr", "value", "matched", final.alias("final"))
+
+
+def found(nodes: DataFrame, transformer: dict, context: DataFrame | None = None) -> DataFrame:
+    """found_all() of one transformer."""
+    return found_all(nodes, [transformer], context).drop("t")
 
 
 def strategy(attr: Column, value: Column, matched: Column) -> Column:
@@ -121,13 +141,12 @@ def role_matches(nodes: DataFrame, mapping: Mapping, entry_nodes: DataFrame) ->
 
     Of the matches that would consume one element, the first role in ROLES does; the others become parts.
     """
-    out = None
-    for rank, role in enumerate(ROLES):
-        if role in mapping.slots:
-            one = found(nodes, mapping.slots[role], entry_nodes).withColumn("role", F.lit(role)).withColumn("rank", F.lit(rank))
-            out = one if out is None else out.unionByName(one)
-    if out is None:
+    own = [r for r in ROLES if r in mapping.slots]
+    if not own:
         raise ValueError("the mapping has no role")
+    names = F.array(*[F.lit(r) for r in own])
+    out = found_all(nodes, [mapping.slots[r] for r in own], entry_nodes).withColumn("role", F.get(names, F.col("t")))
+    out = out.withColumn("rank", F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role"))).drop("t")
     out = out.withColumnRenamed("ctx", "entry").withColumn("strategy", strategy(F.col("attr"), F.col("value"), F.col("matched")))
     order = Window.partitionBy("doc_id", "entry", "pre", "strategy").orderBy("rank")
     return out.withColumn("k", F.row_number().over(order)).withColumn("strategy", F.when((F.col("strategy") == "consume") & (F.col("k") > 1), "part").otherwise(F.col("strategy"))).drop("k")
@@ -144,13 +163,12 @@ def nearest(nodes: DataFrame, at: DataFrame, values: DataFrame, name: str) -> Da
 
 def with_languages(nodes: DataFrame, mapping: Mapping, matches: DataFrame) -> DataFrame:
     """matches with lang: for roles with a language slot, that of the nearest element around."""
-    out = None
-    for role in ROLES:
-        if role in mapping.slots:
-            one = matches.where(F.col("role") == role)
-            slot = LANGUAGES.get(role)
-            one = nearest(nodes, one, found(nodes, mapping.slots[slot]), "lang") if slot in mapping.slots else one.withColumn("lang", F.lit(None).cast("string"))
-            out = one if out is None else out.unionByName(one)
+    out = matches.withColumn("lang", F.lit(None).cast("string"))
+    for role, slot in LANGUAGES.items():
+        if role in mapping.slots and slot in mapping.slots:
+            of = F.col("role") == role
+            with_ = nearest(nodes, out.where(of).drop("lang"), found(nodes, mapping.slots[slot]), "lang")
+            out = out.where(~of).unionByName(with_)
     return out
 
 

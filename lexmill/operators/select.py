@@ -50,6 +50,7 @@ def select(nodes: DataFrame, expression: str, context: DataFrame | None = None)
     context: rows of the node table that the path starts from (ctx is their pre); without it, a root above each document, so ./x and .//x can
     select the document element too (ctx is then -1). A path outside a context row is followed: nodes are never detached.
     """
+    single = True  # at most one row for each ctx, so a step repeats nothing
     if context is None:
         now, top = None, True
     else:
@@ -62,6 +63,7 @@ def select(nodes: DataFrame, expression: str, context: DataFrame | None = None)
                 return nodes.select(*NODE).where("false").withColumn("ctx", F.lit(-1).cast("long"))
             found = nodes if axis == "descendant" else nodes.where("depth = 0")
             now, top = _tested(found.select(*NODE), name, tests).withColumn("ctx", F.lit(-1).cast("long")), False
+            single = False
             continue
         at = now.select("doc_id", "ctx", F.col("pre").alias("from"), F.col("parent").alias("up"), F.col("ancestors").alias("above"))
         to = _tested(nodes.select(*NODE), name, tests)
@@ -77,7 +79,10 @@ def select(nodes: DataFrame, expression: str, context: DataFrame | None = None)
         else:
             above = F.col("above") if axis == "ancestor" else F.concat("above", F.array("from"))
             now = to.join(at.select("doc_id", "ctx", F.explode(above).alias("pre")), ["doc_id", "pre"])
-        now = now.select(*NODE, "ctx").dropDuplicates(["doc_id", "ctx", "pre"])
+        now = now.select(*NODE, "ctx")
+        if not single and axis != "child":
+            now = now.dropDuplicates(["doc_id", "ctx", "pre"])
+        single = single and axis == "parent"
     if now is None:
         now = nodes.where("false").select(*NODE).withColumn("ctx", F.lit(-1).cast("long"))
     return now

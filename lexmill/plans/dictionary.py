@@ -23,11 +23,10 @@ def dictionary_to_tei(nodes: DataFrame, mapping: Mapping, title: str = "dict", k
     own = nearest(nodes, own, found(nodes, mapping.slots["entry_lang"]), "lang") if "entry_lang" in mapping.slots else own.withColumn("lang", F.lit(None).cast("string"))
     own = stored(own)
     matches = with_languages(nodes, mapping, role_matches(nodes, mapping, own))
-    matches = matches.join(nodes.select("doc_id", "pre", F.col("ancestors").alias("above")), ["doc_id", "pre"])
-    matches = stored(matches)
+    matches = stored(matches.join(nodes.select("doc_id", "pre", F.col("ancestors").alias("above")), ["doc_id", "pre"]))
     deeper = own.select("doc_id", F.col("pre").alias("inner")).join(own.select("doc_id", F.col("pre").alias("inner"), F.explode("ancestors").alias("entry")), ["doc_id", "inner"])
     inside = matches.select("doc_id", "entry", "pre", F.explode(F.concat("above", F.array("pre"))).alias("inner")).join(deeper, ["doc_id", "entry", "inner"]).select("doc_id", "entry", "pre").distinct()
-    matches = stored(matches.join(inside, ["doc_id", "entry", "pre"], "left_anti"))
+    matches = matches.join(inside, ["doc_id", "entry", "pre"], "left_anti")
     senses = selected(nodes, mapping.sense, own).select("doc_id", F.col("ctx").alias("entry"), "pre", "ancestors") if mapping.sense else own.where("false").select("doc_id", F.col("pre").alias("entry"), "pre", "ancestors")
     scrap = None
     if keep_scrap:
