@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from all documents but each template's first; documents left without a word go too."""
-    out = without_recurring_lines(docs)
+    """Recurring lines, and lines that agree with a recurring template at most places, go from all documents but each template's first; documents left without a word go too."""
+    out = without_recurring_lines(docs, nearest=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)

@@ -21,13 +21,29 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     return lines.select("doc_id", "tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("code"))
 
 
-def line_templates(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 4, similarity: float = 0.6) -> tuple[DataFrame, DataFrame]:
+def _nearest(loose: DataFrame, known: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """leaf, code, template: for each line of `loose` (leaf, code, tokens) the template of `known` (leaf, template, fields) in its leaf that it agrees with at most places.
+
+    The leading tokens, which a leaf's lines share, count as places that agree; `similarity` of all places must.
+    """
+    need = F.greatest(F.ceil(F.lit(similarity) * F.size("tokens")) - depth, F.lit(0))
+    lines = loose.select("leaf", "code", need.alias("need"), F.slice("tokens", depth + 1, F.size("tokens")).alias("rest"))
+    places = lines.where("need > 0").select("leaf", "code", "need", F.posexplode("rest").alias("at", "token"))
+    constants = known.select("leaf", "template", F.explode("fields").alias("f")).select("leaf", "template", "f.at", "f.token")
+    agreed = places.join(constants, ["leaf", "at", "token"]).groupBy("leaf", "code", "template").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
+    best = agreed.groupBy("leaf", "code").agg(F.min_by("template", F.struct(-F.col("n"), "template")).alias("template"))
+    by_head = lines.where("need = 0").join(known.groupBy("leaf").agg(F.min("template").alias("template")), "leaf").select("leaf", "code", "template")
+    return best.unionByName(by_head)
+
+
+def line_templates(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 4, similarity: float = 0.6, nearest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(templates, lines): template, code, n_docs, first_doc of recurring templates, and the stored (leaf, code, doc_id) of all lines.
 
     The tree has fixed depth: a line goes to a leaf by its token count and its `depth` leading tokens. In a leaf where lines of at
     least `min_docs` documents meet, a token that fewer lines than that have at its place is a variable field. A template
     is a line with its fields generalised; it recurs if constant tokens make up `similarity` of it and `min_docs`
-    documents have it.
+    documents have it. `nearest`: a line without a recurring template of its own gets the recurring one of its leaf that it agrees
+    with best, at `similarity` of the places or more; n_docs and first_doc stay those of the template's own lines.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     lines = _lines(docs, depth, min_tokens)
@@ -48,17 +64,24 @@ def line_templates(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_token
     short = several.where(F.size("tokens") <= depth).select("leaf", "code", F.col("leaf").alias("template"))
     of = stored(general.unionByName(single).unionByName(short))
     counts = seen.join(of, ["leaf", "code"]).select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
-    return of.join(counts, "template"), seen
+    if not nearest:
+        return of.join(counts, "template"), seen
+    counts = stored(counts)
+    own = stored(of.join(counts, "template"))
+    known = shaped.join(own, ["leaf", "code"]).dropDuplicates(["template"]).select("leaf", "template", "fields")
+    loose = several.where(F.size("tokens") > depth).join(own, ["leaf", "code"], "left_anti")
+    return own.unionByName(_nearest(loose, known, depth, similarity).join(counts, "template")), seen
 
 
-def without_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 4, similarity: float = 0.6) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 4, similarity: float = 0.6, nearest: bool = False) -> DataFrame:
     """docs with recurring lines dropped from every document but each template's first (least doc_id), plus n_lines and n_dropped.
 
     docs: doc_id, text and any other columns, which stay (n_lines and n_dropped are replaced). Lines are cut at \\n; those with fewer than `min_tokens` tokens stay, as do
     null texts and rows with a null doc_id. Rows that repeat a doc_id are one document: its lines don't recur by that. A
-    line's place is not used, so a line repeated in one document stays or goes as a whole. No Python runs on the executors.
+    line's place is not used, so a line repeated in one document stays or goes as a whole. `nearest`: lines that are no template's own
+    but agree with one at `similarity` of the places go too. No Python runs on the executors.
     """
-    templates, seen = line_templates(docs, depth, min_docs, min_tokens, similarity)
+    templates, seen = line_templates(docs, depth, min_docs, min_tokens, similarity, nearest)
     dropped = seen.join(templates, ["leaf", "code"]).where(F.col("doc_id") != F.col("first_doc"))
     by_doc = dropped.groupBy("doc_id").agg(F.collect_set("code").alias("dropped__"))  # of one document's lines
     lines = F.split(F.col("text").cast("string"), "\n")

@@ -372,6 +372,19 @@ def test_line_templates(spark, docs, corpus, none, odd):
     assert sum(r["n_dropped"] for r in by_id.values()) >= 29 and by_id[0]["text"] == corpus[0][1]
 
 
+def test_changed_copy_of_a_recurring_line(spark):
+    from lexmill.llm.line_templates import without_recurring_lines
+
+    line = "this page was made for the readers of the evening paper"
+    rows = [(1, line), (2, line), (3, line), (4, line.replace("evening", "morning") + "\nown words here and more"), (5, "this page was never of any use to them all so"), (6, "this page was " + "x y z a b c d e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in without_recurring_lines(frame, nearest=True).collect()}
+    assert got == {1: line, 2: "", 3: "", 4: "own words here and more", 5: rows[4][1], 6: rows[5][1]}
+    rows = [(i, "see also the list") for i in (7, 8, 9)] + [(i, "see also the pages below") for i in (11, 12, 13)] + [(14, "see also the other ones")]
+    got = {r["doc_id"]: r["n_dropped"] for r in without_recurring_lines(spark.createDataFrame(rows, frame.schema), nearest=True).collect()}
+    assert got == {7: 0, 8: 1, 9: 1, 11: 0, 12: 1, 13: 1, 14: 1}
+
+
 # ------------------------------------------------------------------ 10
 
 
