@@ -10,6 +10,7 @@ from lexmill.llm.decontamination import decontaminated
 from lexmill.llm.jaccard_join import one_of_each
 from lexmill.llm.line_templates import without_recurring_lines
 from lexmill.llm.packing import packed_documents
+from lexmill.llm.passages import without_shared_passages
 from lexmill.llm.repetition import without_repetitive
 
 
@@ -37,8 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents' pieces in sequences of at most 1024 tokens."""
-    return packed_documents(docs).drop("certified")
+    """The remaining documents' pieces in sequences of at most 1024 tokens, with one copy of the passages that these documents still share."""
+    return packed_documents(stored(without_shared_passages(docs))).drop("certified")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("best_fit_packing", packing)]

@@ -385,6 +385,24 @@ def test_changed_copy_of_a_recurring_line(spark):
     assert got == {7: 0, 8: 1, 9: 1, 11: 0, 12: 1, 13: 1, 14: 1}
 
 
+def test_shared_passages(spark, docs, corpus, none, odd):
+    from lexmill.llm.passages import without_shared_passages
+
+    words = lambda a, n: " ".join(f"w{a}x{i}" for i in range(n))
+    passage = words(0, 60)
+    rows = [(1, f"{words(1, 9)} {passage} {words(2, 9)}\nend"), (2, f"{words(3, 5)}\n{words(4, 5)} {passage.upper()}\n\n{words(5, 5)}"), (3, f"{passage}\n{words(6, 4)}"), (4, f"{words(0, 49)} other {words(7, 9)}"), (5, passage), (6, None), (None, passage), (7, " \n")]
+    got = {r["doc_id"]: r["text"] for r in without_shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: f"{words(3, 5)}\n{words(4, 5)} \n\n{words(5, 5)}", 3: words(6, 4), 4: rows[3][1], 6: None, None: passage, 7: " \n"}
+    assert without_shared_passages(none).count() == 0 and without_shared_passages(odd).count() == 6
+    before = {d: lower(t or "").split() for d, t, *_ in corpus}
+    left = {r["doc_id"]: lower(r["text"] or "").split() for r in without_shared_passages(docs).collect()}
+    runs = lambda of: {d: {tuple(w[i : i + 50]) for i in range(len(w) - 49)} for d, w in of.items()}
+    had, has = runs(before), runs(left)
+    assert Counter(r for x in had.values() for r in x).most_common(1)[0][1] > 1
+    assert max(Counter(r for x in has.values() for r in x).values()) == 1
+    assert set().union(*(set(w) for w in left.values())) == set().union(*(set(w) for w in before.values()))
+
+
 # ------------------------------------------------------------------ 10
 
 
