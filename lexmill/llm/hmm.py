@@ -226,13 +226,9 @@ def first_model(known: Vocabulary, states: int, seed: int = 7) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-def train_model(train: DataFrame, known: Vocabulary, states: int = STATES, warm_rounds: int = 8, rounds: int = 2, warm_docs: int = 3000) -> Model:
-    """Warm-up rounds on about `warm_docs` training documents, to part the states; then `rounds` rounds over all of them."""
-    n = max(1, int(known.counts[0]))
-    warm = stored(train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) < warm_docs).select("text").limit(2 * warm_docs).repartition(6))
+def train_model(train: DataFrame, known: Vocabulary, states: int = STATES, rounds: int = 10) -> Model:
+    """Baum-Welch rounds, each over all training rows."""
     model = first_model(known, states)
-    for _ in range(warm_rounds):
-        model = baum_welch(warm, known, model)
     for _ in range(rounds):
         model = baum_welch(train, known, model)
     return model
@@ -246,7 +242,7 @@ def score_documents(docs: DataFrame, states: int = STATES, warm_rounds: int = 8,
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts.
 
     docs: doc_id, text; other columns are ignored. Null and empty texts are the end token alone. Rows are scored one by one; those
-    with a null doc_id or crc32(doc_id) mod 10 = 0 aren't learned from. The model: states move and emit symbols; a symbol is a
+    with a null doc_id or crc32(doc_id) mod 10 = 0 aren't learned from; all others are in each of the warm_rounds + rounds rounds. The model: states move and emit symbols; a symbol is a
     hot word or the end, or a class, and then the word has its smoothed share of the class's training tokens. The forward recursion over
     symbols runs where the text is; shares and counts of words that aren't hot come by a join on the word, so no task holds the whole
     vocabulary, which grows with the corpus.
@@ -257,7 +253,7 @@ def score_documents(docs: DataFrame, states: int = STATES, warm_rounds: int = 8,
     train = docs.where(~held)
     counts = word_counts(train)
     known, others = vocabulary(counts)
-    model = train_model(train, known, states, warm_rounds, rounds)
+    model = train_model(train, known, states, warm_rounds + rounds)
     shared = spark.sparkContext.broadcast((known, model))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -208,6 +208,16 @@ def test_hmm_scores(spark, docs, corpus, none, odd):
     assert score_documents(odd, states=2, warm_rounds=1, rounds=1).count() == 6
 
 
+def test_hmm_rounds_see_all_rows(spark, monkeypatch):
+    from lexmill.llm import hmm
+
+    seen, one = [], hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda train, *a: (seen.append(train.count()), one(train, *a))[1])
+    docs = spark.range(9000).selectExpr("id AS doc_id", "'a b' AS text")
+    hmm.score_documents(docs, states=2, warm_rounds=1, rounds=1)
+    assert seen == [sum(zlib.crc32(b"%d" % i) % 10 != 0 for i in range(9000))] * 2
+
+
 # ------------------------------------------------------------------ 5, 9
 
 
