@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import record_batch, remainder, text_bytes
+from lexmill.llm.common import record_batch, remainder, stored, text_bytes
 from lexmill.llm.labelled import labelled_sample
 
 BOUND = 4000
@@ -50,44 +50,101 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 1500, rate: float = 0.02, shrink: float = 1e-4) -> Scorer:
-    """Minimises prior * E+[l(+)] + max(0, Eu[l(-)] - prior * E+[l(-)]) with the logistic loss l, by Adam.
+WIDTH = len(figures(b""))
+FIGURE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
 
-    Where the second part, the estimated risk on negatives, is below 0, its gradient is followed upwards, as the estimator's
-    authors have it.
+
+def figured(docs: DataFrame) -> DataFrame:
+    """doc_id, x: the figures of every whole text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield record_batch(FIGURE_SCHEMA, [batch.column(0), [figures(t) for t in text_bytes(batch.column(1))]])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, x array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+
+
+def totals(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray], n: int) -> np.ndarray:
+    """The sum of of(x), n numbers, over all rows of x."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(_matrix(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(total)], names=["i", "v"])
+
+    out, sums = np.zeros(n), rows.select("x").mapInArrow(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
+    return out
+
+
+def fit(positive: np.ndarray, unlabelled: DataFrame, prior: float, rounds: int = 30, shrink: float = 1e-4) -> Scorer:
+    """Minimises prior * E+[l(+)] + max(0, Eu[l(-)] - prior * E+[l(-)]) with the logistic loss l, by Newton steps over all rows of `unlabelled`.
+
+    As l(+) - l(-) is linear, the sum is convex while its second part, the estimated risk on negatives, is above 0. A step that would
+    take that below 0 is shortened; where no step is left, the fit ends.
     """
-    both = np.concatenate([positive, unlabelled]) if len(positive) + len(unlabelled) else np.zeros((1, len(figures(b""))))
-    mean, spread = both.mean(axis=0), both.std(axis=0) + 0.05
-    p, u = (positive - mean) / spread, (unlabelled - mean) / spread
-    w, m, v = np.zeros(p.shape[1] + 1), 0.0, 0.0
-    for t in range(1, rounds + 1 if len(p) and len(u) else 1):
-        zp, zu = np.clip(p @ w[:-1] + w[-1], -30, 30), np.clip(u @ w[:-1] + w[-1], -30, 30)
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        grad = lambda x, g: np.append(g @ x, g.sum()) / len(x)
-        negative = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
-        part = grad(u, su) - prior * grad(p, sp)
-        g = prior * grad(p, sp - 1) + part if negative >= 0 else -part
-        g[:-1] += shrink * w[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    moments = totals(unlabelled, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]), 2 * WIDTH + 1)
+    n, k = moments[0], len(positive)
+    if not n or not k:
+        return Scorer(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0)
+    mean = (moments[1 : WIDTH + 1] + positive.sum(axis=0)) / (n + k)
+    spread = np.sqrt(np.maximum(0, (moments[WIDTH + 1 :] + (positive * positive).sum(axis=0)) / (n + k) - mean * mean)) + 0.05
+    p = np.column_stack([(positive - mean) / spread, np.ones(k)])
+    ridge = np.append(np.full(WIDTH, shrink), 0.0)
+    size = (WIDTH + 1) * (WIDTH + 2) + 1
+
+    def at(tries: list[np.ndarray]) -> np.ndarray:
+        """Mean l(-), its gradient and second derivatives over the unlabelled rows, for each try."""
+
+        def of(x: np.ndarray) -> np.ndarray:
+            u, out = np.column_stack([(x - mean) / spread, np.ones(len(x))]), []
+            for w in tries:
+                z = np.clip(u @ w, -30, 30)
+                s = 1 / (1 + np.exp(-z))
+                out += [[np.log1p(np.exp(z)).sum()], s @ u, ((u * (s * (1 - s))[:, None]).T @ u).ravel()]
+            return np.concatenate(out)
+
+        return totals(unlabelled, of, size * len(tries)).reshape(len(tries), size) / n
+
+    def risks(w: np.ndarray, row: np.ndarray) -> tuple[float, float]:
+        z = np.clip(p @ w, -30, 30)
+        negative = row[0] - prior * np.log1p(np.exp(z)).mean()
+        return negative, prior * np.log1p(np.exp(-z)).mean() + negative + (ridge * w * w).sum() / 2
+
+    w = np.zeros(WIDTH + 1)
+    now = at([w])[0]
+    for _ in range(rounds):
+        gradient = now[1 : WIDTH + 2] - prior * p.mean(axis=0) + ridge * w
+        step = np.linalg.solve(now[WIDTH + 2 :].reshape(WIDTH + 1, -1) + np.diag(ridge + 1e-9), gradient)
+        tries = [w - share * step for share in (1.0, 0.5, 0.2, 0.04)]
+        rows = at(tries)
+        good = [(r, i) for i, (v, row) in enumerate(zip(tries, rows)) for negative, r in [risks(v, row)] if negative >= 0]
+        if not good or min(good)[0] >= risks(w, now)[1] - 1e-9:
+            break
+        w, now = tries[min(good)[1]], rows[min(good)[1]]
     return Scorer(mean, spread, w[:-1], float(w[-1]))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
-def scored(docs: DataFrame, model: Scorer) -> DataFrame:
-    """doc_id, score of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scored(rows: DataFrame, model: Scorer) -> DataFrame:
+    """doc_id, score of every row of figures."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             if batch.num_rows:
-                x = np.array([figures(t) for t in text_bytes(batch.column(1))])
-                yield record_batch(SCHEMA, [batch.column(0), own.score(x)])
+                yield record_batch(SCHEMA, [batch.column(0), own.score(_matrix(batch.column(1)))])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, score double")
+    return rows.select("doc_id", "x").mapInArrow(score, "doc_id long, score double")
 
 
 def class_prior(labels: DataFrame, learns) -> float:
@@ -99,17 +156,15 @@ def class_prior(labels: DataFrame, learns) -> float:
 def quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
-    docs: doc_id, text; labels: doc_id, quality; other columns are ignored. Trusted positives are labelled rows with quality 1, the
-    unlabelled set is web text whatever its label; both come from rows whose crc32(doc_id) mod 4 isn't 2, about `bound` and
-    2 * `bound` of them, and the model is fitted to these on the driver. Labels 0 count only in the class prior. Null and empty texts
-    score as texts without words; without positives all scores are 0.5.
+    docs: doc_id, text; labels: doc_id, quality; other columns are ignored. Trusted positives are labelled rows with quality 1, about
+    `bound` of them; the unlabelled set is all web text whatever its label; both come from rows whose crc32(doc_id) mod 4 isn't 2.
+    The positives are on the driver, the unlabelled rows' share of the risk is summed where their figures are stored. Labels 0 count
+    only in the class prior. Null and empty texts score as texts without words; without positives all scores are 0.5.
     """
     out = remainder(F.col("doc_id"), 4) == 2
     known = labelled_sample(docs, labels.where("quality = 1"), "quality", ~out, bound).select("text").toArrow()
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = max(1, docs.count())
-    web = own.where(~out & (F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(n)) < 2 * bound)).select("text").limit(6 * bound).toArrow()
-    p, u = (np.array([figures(x) for x in text_bytes(t.column("text").combine_chunks())]).reshape(-1, len(figures(b""))) for t in (known, web))
-    p, u = (x[np.lexsort(x.T)] for x in (p, u))  # the same model however the rows arrive
-    model = fit(p, u, class_prior(labels, ~out))
-    return scored(docs, model).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    p = np.array([figures(x) for x in text_bytes(known.column("text").combine_chunks())]).reshape(-1, WIDTH)
+    p = p[np.lexsort(p.T)]  # the same model however the rows arrive
+    rows = stored(figured(docs))
+    model = fit(p, rows.where(~out), class_prior(labels, ~out))
+    return scored(rows, model).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -291,6 +291,16 @@ def test_quality(spark, none, odd):
     assert [r["score"] for r in quality(odd, labels.limit(0)).collect()] == [0.5] * 6
 
 
+def test_quality_counts_all_web_text(spark, monkeypatch):
+    from lexmill.llm import quality
+
+    seen, one = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda p, u, *a: (seen.append(u.count()), one(p, u, *a))[1])
+    docs, labels = labelled(spark)
+    quality.quality(docs, labels, bound=20)
+    assert seen == [sum(zlib.crc32(b"%d" % i) % 4 != 2 for i in range(300))]
+
+
 # ------------------------------------------------------------------ 6
 
 
