@@ -504,3 +504,13 @@ def test_pipeline(spark, docs, corpus, none, tmp_path):
     assert {r["doc_id"] for r in got.collect()} == left
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_long_line_in_two_documents_is_packed_once(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    line = " ".join(f"both{i}" for i in range(60))
+    rows = [(d, line + "\n" + " ".join(f"own{d}x{i}" for i in range(60)), "en", "s", 0) for d in (1, 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sizes = {r["doc_id"]: r["n"] for r in corpus_pipeline.packing(spark, frame, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    alone = {r["doc_id"]: r["n"] for r in corpus_pipeline.packing(spark, frame.withColumn("text", F.split("text", "\n")[1]), str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert sizes[1] > alone[1] and sizes[2] == alone[2]
