@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions_of(df: DataFrame) -> int:
+    """How many partitions a table of df's size should be dealt to: as many as df is read in, or as the session asks for if that is more."""
+    return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 #: Lists of up to so many ids (8 bytes each) are sent to every executor; documents are shuffled to longer ones.
 BROADCAST_IDS = 1_000_000
 
@@ -63,6 +69,52 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+SPACE_BYTE = np.zeros(256, dtype=bool)
+SPACE_BYTE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
+LOWER_BYTE = np.arange(256, dtype=np.uint8)
+LOWER_BYTE[0x41:0x5B] += 32
+
+
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, one after the other, and where each begins, with the end."""
+    if texts.null_count:
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) else "")
+    _, offsets, data = texts.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int32, count=texts.offset + len(texts) + 1)[texts.offset :].astype(np.int64)
+    bytes_ = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return bytes_[edges[0] : edges[-1]], edges - edges[0]
+
+
+@dataclass
+class Words:
+    """The words of many texts: the distinct ones, the number of each word in order, and how many each text has."""
+
+    distinct: pa.Array
+    at: np.ndarray
+    sizes: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+
+def words_in(texts: pa.Array, lower: bool = True) -> Words:
+    """Words between ASCII white space, with A-Z lower-cased or not; null has none."""
+    data, edges = flat(texts)
+    if lower:
+        data = LOWER_BYTE[data]
+    inside = ~SPACE_BYTE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = edges[:-1][edges[:-1] < len(data)]
+    begins[first] = inside[first]
+    count = np.concatenate([[0], np.cumsum(begins)])
+    starts = np.flatnonzero(begins[inside])
+    offsets = np.append(starts, int(inside.sum())).astype(np.int32)
+    own = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    return Words(own.dictionary, own.indices.to_numpy(), np.diff(count[edges]))
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of a doc_id's decimal text, modulo n."""
     return F.crc32(doc_id.cast("string")).cast("long") % n

@@ -1,80 +1,149 @@
-"""Exact encoding with a tokenizer file, which encodes each distinct word about once in a worker."""
+"""Exact encoding with a tokenizer file: texts are cut at white space, and each distinct chunk of a batch is encoded once."""
 
 from __future__ import annotations
 
+import json
 import os
-import re
+from collections.abc import Iterator
 
 import numpy as np
-import regex
-
-#: Texts that hold any of these go to the tokenizer whole: white space beyond ASCII, controls, strings of special tokens,
-#: and letters whose lower-casing or composition looks at their neighbours.
-BY_ITSELF = re.compile(r"[^\t-\r -~¡-įĲ-ž]")
-ODD_ASCII = ("<|", *map(chr, range(0x1C, 0x20)))
-CHUNKS = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-#: The split patterns that the two tokenizer files state.
-PARTS = {
-    "word_bpe_49k.json": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"),
-    "byte_bpe_50k.json": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
-}
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from lexmill.llm.common import SPACE_BYTE, flat
+
+#: Texts that match go to the tokenizer whole: white space beyond ASCII, controls, strings of special tokens, and letters
+#: whose lower-casing or composition looks at their neighbours.
+BY_ITSELF = r"[^\t-\r -~¡-įĲ-ž]|<\|"
+#: The steps before the model that are known to always cut where a chunk begins, so that a text's ids are its chunks' ids.
+KNOWN_STEPS = [
+    {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    },
+    {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+]
+
+
+def chunk_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where chunks begin in texts that lie one after the other; edges: where the texts begin, and the end.
+
+    A chunk is a word with the blank before it, or the rest of a run of white space.
+    """
+    space = SPACE_BYTE[data]
+    ahead = np.ones(len(data), dtype=bool)
+    ahead[:-1] = space[1:]
+    ahead[edges[1:][edges[1:] > edges[:-1]] - 1] = True
+    behind = np.zeros(len(data), dtype=bool)
+    behind[1:] = space[:-1]
+    begins = space & ~(behind & ahead)
+    own = behind & ~space
+    own[1:] &= data[:-1] != 0x20
+    begins |= own
+    begins[edges[:-1][edges[:-1] < len(data)]] = True
+    return np.flatnonzero(begins)
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes.
+    """Ids of many texts at once.
 
-    A text is cut where the tokenizer's own pattern always cuts (at ASCII white space), chunks are looked up, unknown chunks
-    are cut by that pattern into parts, and unknown parts alone are encoded. Both tables are emptied when full.
+    A batch's distinct chunks are looked up among those of earlier batches; new ones are encoded, some twenty at a time with a
+    special token between them, and remembered until there are too many. A file whose steps aren't among KNOWN_STEPS
+    encodes every text whole.
     """
 
-    CHUNK_LIMIT, PART_LIMIT = 700_000, 900_000
+    LIMIT, TOGETHER = 1_200_000, 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts_of = PARTS.get(os.path.basename(path))
-        self.lower = os.path.basename(path) == "word_bpe_49k.json"
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.chunks) > self.CHUNK_LIMIT:
-            self.chunks = {}
-        if len(self.parts) > self.PART_LIMIT:
-            self.parts = {}
-        cut, out, new = str.split if self.lower else CHUNKS.findall, [], set()
-        get = self.chunks.get
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif self.parts_of is None or any(c in text for c in ODD_ASCII) or not text.isascii() and BY_ITSELF.search(text):
-                out.append(self.whole(text))
-            else:
-                chunks = cut(text)
-                found = list(map(get, chunks))
-                if None in found:
-                    new.update(c for c, f in zip(chunks, found) if f is None)
-                    out.append((chunks, found))
-                else:
-                    out.append(b"".join(found))
-        self.learn(new)
-        get = self.chunks.__getitem__
-        return [x if isinstance(x, bytes) else b"".join([get(c) if f is None else f for c, f in zip(*x)]) for x in out]
-
-    def learn(self, chunks: set[str]) -> None:
-        cut, known = self.parts_of.findall, self.parts
-        split = {c: cut(c.lower() if self.lower else c) for c in chunks}
-        new = list({p for parts in split.values() for p in parts if p not in known})
-        for i in range(0, len(new), 2000):
-            for p, e in zip(new[i : i + 2000], self.tokenizer.encode_batch_fast(new[i : i + 2000], add_special_tokens=False)):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for c, parts in split.items():
-            self.chunks[c] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        special = [t["content"] for t in steps["added_tokens"] if t["special"]]
+        plain = all(t["content"].startswith("<|") for t in steps["added_tokens"]) and not steps["post_processor"]
+        self.between = special[-1] if special and plain and {k: steps[k] for k in ("normalizer", "pre_tokenizer")} in KNOWN_STEPS else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunks = pa.array([], pa.binary())
+        self.ids, self.ends = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks' ids, one after the other, and how many each has; whole: chunks that may hold anything."""
+        texts = chunks.cast(pa.string()).to_pylist()
+        alone = np.flatnonzero(whole).tolist()
+        some = [t for t, w in zip(texts, whole.tolist()) if not w] if alone else texts
+        mark, n = self.tokenizer.token_to_id(self.between), self.TOGETHER
+        groups = [self.between.join(some[i : i + n]) + self.between for i in range(0, len(some), n)]
+        parts = []
+        for i in range(0, len(groups), 500):
+            parts += [np.array(ids, dtype=np.uint32) for ids in self.encoded(groups[i : i + 500])]
+        ids = np.concatenate([np.zeros(0, dtype=np.uint32), *parts])
+        marks = np.flatnonzero(ids == mark)
+        if len(marks) != len(some):
+            raise ValueError("a chunk holds a special token")
+        sizes = np.diff(marks, prepend=-1) - 1
+        ids = ids[ids != mark]
+        if alone:
+            own = self.encoded([texts[i] for i in alone])
+            where = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(np.flatnonzero(~whole), alone)]
+            ids = np.insert(ids, np.repeat(where, [len(x) for x in own]), np.array([t for x in own for t in x], dtype=np.uint32))
+            every = np.empty(len(texts), dtype=np.int64)
+            every[~whole], every[whole] = sizes, [len(x) for x in own]
+            sizes = every
+        return ids, sizes
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, one text after the other, and how many each has. Null is empty."""
+        data, edges = flat(texts)
+        if self.between is None:
+            own = self.encoded([t or "" for t in texts.to_pylist()])
+            return np.array([x for ids in own for x in ids], dtype=np.uint32), np.array([len(x) for x in own], dtype=np.int64)
+        if not len(data):
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
+        odd = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, BY_ITSELF), False).to_numpy(zero_copy_only=False))
+        starts = chunk_starts(data, edges)
+        for i in odd.tolist():  # one chunk each
+            a, b = np.searchsorted(starts, [edges[i], edges[i + 1]])
+            starts[a + 1 : b] = -1
+        starts = starts[starts >= 0] if len(odd) else starts
+        chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        of, distinct = chunks.indices.to_numpy(), chunks.dictionary
+        whole = np.zeros(len(distinct), dtype=bool)
+        whole[of[np.searchsorted(starts, edges[odd])]] = True
+        if len(self.chunks) > self.LIMIT:
+            self.forget()
+        row = pc.fill_null(pc.index_in(distinct, value_set=self.chunks), -1).to_numpy()
+        new = np.flatnonzero(row < 0)
+        ids, sizes = self.learn(distinct.take(pa.array(new)), whole[new])
+        row = row.copy()
+        row[new] = len(self.ends) - 1 + np.arange(len(new))
+        ids, ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        if whole.any():
+            keep = ~whole[new]
+            mine, sizes = ids[len(self.ids) :][np.repeat(keep, sizes)], sizes[keep]
+            self.chunks = pa.concat_arrays([self.chunks, distinct.take(pa.array(new[keep]))])
+            self.ids, self.ends = np.concatenate([self.ids, mine]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        elif len(new):
+            self.chunks = pa.concat_arrays([self.chunks, distinct.take(pa.array(new))])
+            self.ids, self.ends = ids, ends
+        rows = row[of]
+        first, n = ends[rows], (ends[1:] - ends[:-1])[rows]
+        after = np.cumsum(n)
+        at = np.arange(int(after[-1])) + np.repeat(first - (after - n), n)
+        total = np.concatenate([[0], after])
+        return ids[at], np.diff(total[np.searchsorted(starts, edges)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -102,3 +171,13 @@ def slices(texts: list[str | None], chars: int = 1_000_000):
             start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def text_slices(texts: pa.Array, size: int = 12_000_000) -> Iterator[tuple[int, int]]:
+    """Index ranges of about so many bytes, one text at least."""
+    _, edges = flat(texts)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + size, side="right")) - 1)
+        yield a, b
+        a = b
