@@ -7,16 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import record_batch, stored
-from lexmill.llm.encoding import encoder, slices
+from lexmill.llm.encoding import encoder, text_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-PACKED = PIECES + ", part long, bin long, offset long, certified boolean"
-PACKED_SCHEMA = pa.schema([*PIECE_SCHEMA, ("part", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("certified", pa.bool_())])
+PLACED = "item long, length long, part long, bin long, offset long, full boolean"
+PLACED_SCHEMA = pa.schema([("item", pa.int64()), ("length", pa.int64()), ("part", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("full", pa.bool_())])
 
 
 def lower_bound(histogram: np.ndarray, capacity: int) -> int:
@@ -43,13 +43,12 @@ def lower_bound(histogram: np.ndarray, capacity: int) -> int:
     return bound
 
 
-def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bin and offset of each item, and the number of bins; zero-length items aren't expected."""
-    bins, offsets, n = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64), 0
+def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Bin and offset of each item, taken in this order, and the number of bins; zero-length items aren't expected."""
+    bins, offsets, n = [], [], 0
     room: list[list[int]] = [[] for _ in range(capacity + 1)]
     open_ = 0  # bit r: some bin has r left
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        size = int(lengths[i])
+    for size in lengths.tolist():
         fits = open_ >> size
         if fits:
             left = size + (fits & -fits).bit_length() - 1
@@ -59,84 +58,131 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
         else:
             left, b = capacity, n
             n += 1
-        bins[i], offsets[i] = b, capacity - left
+        bins.append(b)
+        offsets.append(capacity - left)
         if left > size:
             room[left - size].append(b)
             open_ |= 1 << (left - size)
+    return np.array(bins, dtype=np.int64), np.array(offsets, dtype=np.int64), n
+
+
+def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """best_fit() of the longest items first."""
+    order = np.argsort(-lengths, kind="stable")
+    bins, offsets = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
+    bins[order], offsets[order], n = best_fit(lengths[order], capacity)
     return bins, offsets, n
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """Each document's ids and end id, cut from the back into pieces of `capacity` where it is longer: the first may be shorter."""
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                out = []
-                for doc_id, got in zip(doc_ids[a:b], enc.batch(texts[a:b])):
-                    got += end
-                    n = len(got) // 4
-                    edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                    out += [(doc_id, k, s, e - s, zlib.crc32(got[4 * s : 4 * e])) for k, (s, e) in enumerate(zip(edges, edges[1:]))]
-                yield record_batch(PIECE_SCHEMA, zip(*out))
+            for a, b in text_slices(batch.column(1)):
+                ids, n = enc.batch(batch.column(1).slice(a, b - a))
+                ids, n = np.insert(ids, np.cumsum(n), end_id).astype("<u4"), n + 1
+                pieces = -(-n // capacity)
+                of = np.repeat(np.arange(len(n)), pieces)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                ends = n[of] - (pieces[of] - 1 - nth) * capacity  # in the document
+                starts = np.maximum(0, ends - capacity)
+                first, held = (np.cumsum(n) - n)[of], ids.tobytes()
+                crcs = [zlib.crc32(held[x:y]) for x, y in zip((4 * (first + starts)).tolist(), (4 * (first + ends)).tolist())]
+                yield record_batch(PIECE_SCHEMA, [batch.column(0).slice(a, b - a).take(pa.array(of)), nth.astype(np.int32), starts, ends - starts, crcs])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def pack_sequences(pieces: DataFrame, capacity: int = 1024, part_items: int = 10_000, rounds: int = 3) -> DataFrame:
+def closer(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, n: int, bound: int, capacity: int, tries: int = 12) -> tuple[np.ndarray, np.ndarray, int]:
+    """A packing of `bound` bins or more, but no more than n: the bins with room and half of the full ones are packed anew, in an order that is a little disturbed."""
+    random = np.random.default_rng(len(lengths))
+    for _ in range(tries):
+        if n <= bound:
+            break
+        fill = np.bincount(bins, weights=lengths, minlength=n)
+        chosen = np.flatnonzero((fill < capacity) | (random.random(n) < 0.5))
+        mine = np.flatnonzero(np.isin(bins, chosen))
+        order = np.argsort(-lengths[mine] * (1 + 0.1 * random.random(len(mine))), kind="stable")
+        new, places, k = best_fit(lengths[mine][order], capacity)
+        if k < len(chosen):
+            bins, offsets = bins.copy(), offsets.copy()
+            bins[mine[order]], offsets[mine[order]] = chosen[new], places
+            _, bins = np.unique(bins, return_inverse=True)
+            bins = bins.reshape(-1)
+            n -= len(chosen) - k
+    return bins, offsets, n
+
+
+def placed(table: pa.Table, group: str, capacity: int, old: int | None = None) -> pa.Table:
+    """The items of one group by best-fit decreasing, and by a search for what a gap leaves where that needs more bins than the bound.
+
+    old: the bins that the items came in; where no fewer are needed, they stay as they were.
+    """
+    lengths = table.column("length").to_numpy()
+    bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+    bins, offsets, n = closer(lengths, *best_fit_decreasing(lengths, capacity), bound, capacity)
+    part = table.column(group).to_numpy()
+    if old is not None:
+        own = np.stack([table.column("part").to_numpy(), table.column("bin").to_numpy()], axis=1)
+        if len(np.unique(own, axis=0)) <= n:
+            part, bins, offsets = own[:, 0], own[:, 1], table.column("offset").to_numpy()
+            full = np.zeros(len(bins), dtype=bool)
+            return pa.table([table.column("item"), table.column("length"), pa.array(part), pa.array(bins), pa.array(offsets), pa.array(full)], schema=PLACED_SCHEMA)
+    full = np.bincount(bins, weights=lengths, minlength=n)[bins] == capacity
+    return pa.table([table.column("item"), table.column("length"), pa.array(part), pa.array(bins), pa.array(offsets), pa.array(full)], schema=PLACED_SCHEMA)
+
+
+def pack_sequences(pieces: DataFrame, capacity: int = 1024, part_items: int = 20_000) -> DataFrame:
     """Places pieces of at most `capacity` in as few sequences as it can.
 
-    pieces: the columns of PIECES, one row for each piece. They are dealt by hash into parts of about `part_items`, whatever the
-    number of partitions; each part packs by best-fit decreasing and compares its bin count with a lower bound. Then, `rounds`
-    times, twice as many neighbouring parts each exchange their pieces: what lies in bins that aren't full is packed
-    together, and that packing is taken where it needs fewer bins. A part that meets its bound has nothing to gain by
-    itself but still takes part, as its last bin has room. A task holds `part_items` * 2^rounds small rows at most, besides
-    what chance adds. Pieces with a null doc_id and repeated rows are packed like others.
+    pieces: the columns of PIECES, one row for each piece. Their rows are dealt by number, so equal rows too, into parts of about
+    `part_items`; each part packs by best-fit decreasing and compares its bin count with its lower bound. Then, as long as all parts
+    together need more sequences than the bound of the whole and the last round gained one, the pieces in sequences with a gap
+    are dealt anew into parts of that size, other ones each time, and packed again; a part keeps what it had if that needs no more
+    sequences. A task holds about `part_items` small rows. Pieces with a null doc_id and repeated rows are packed like others.
+
+    Returns the columns of PIECES with sequence_id, offset, and of the whole packing n_sequences, its lower_bound, and certified: whether
+    they are equal, so that no packing needs fewer.
     """
-    pieces = stored(pieces)
-    parts = max(1, -(-pieces.count() // part_items))
-
-    def first(table: pa.Table) -> pa.Table:
-        lengths = table.column("length").to_numpy()
-        bins, offsets, n = best_fit_decreasing(lengths, capacity)
-        done = n == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        more = [pa.array(bins), pa.array(offsets), pa.array(np.full(len(bins), done))]
-        return pa.table([*(table.column(f.name) for f in PIECE_SCHEMA), table.column("part"), *more], schema=PACKED_SCHEMA)
-
-    def again(table: pa.Table) -> pa.Table:
-        part, bins, lengths, offsets = (table.column(n).to_numpy() for n in ("part", "bin", "length", "offset"))
-        _, own = np.unique(np.stack([part, bins], axis=1), axis=0, return_inverse=True)
-        own = own.reshape(-1)
-        fill = np.bincount(own, weights=lengths)
-        loose = np.flatnonzero(fill[own] < capacity)
-        old = len(np.unique(own[loose]))
-        bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        count = len(fill)
-        if count > bound and len(loose):
-            new, places, n = best_fit_decreasing(lengths[loose], capacity)
-            if n < old:
-                free = np.unique(own[loose])[:n]  # numbers of bins that this packing empties
-                own, offsets = own.copy(), offsets.copy()
-                own[loose], offsets[loose] = free[new], places
-                count += n - old
-        group = table.column("next").to_numpy()
-        more = [pa.array(group), pa.array(own), pa.array(offsets), pa.array(np.full(len(own), count == bound))]
-        return pa.table([*(table.column(f.name) for f in PIECE_SCHEMA), *more], schema=PACKED_SCHEMA)
-
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
-    packed = dealt.groupBy("part").applyInArrow(first, PACKED)
-    while rounds and parts > 1:
-        packed = packed.withColumn("next", F.floor(F.col("part") / 2)).groupBy("next").applyInArrow(again, PACKED)
-        rounds, parts = rounds - 1, -(-parts // 2)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("part") * F.lit(1 << 32) + F.col("bin")).alias("sequence_id"), "offset", "certified")
+    pieces = stored(pieces.withColumn("item", F.monotonically_increasing_id()))
+    histogram = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # `capacity` rows at most
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for r in histogram:
+        counts[r["length"]] = r["n"]
+    bound, n = lower_bound(counts, capacity), int(counts.sum())
+
+    def dealt(items: DataFrame, number: int, key: Column, first: int) -> DataFrame:
+        parts = max(1, -(-number // part_items))
+        return items.withColumn("next", F.lit(first) + F.pmod(F.xxhash64(F.lit(first), key), F.lit(parts)))
+
+    def sequences(rows: DataFrame) -> tuple[int, int, int]:
+        """How many sequences, of those how many with a gap, and how many pieces these hold."""
+        own = rows.groupBy("part", "bin").agg(F.count("*").alias("n"), F.sum("length").alias("fill"))
+        r = own.agg(F.count("*").alias("a"), F.count_if(F.col("fill") < capacity).alias("b"), F.coalesce(F.sum(F.when(F.col("fill") < capacity, F.col("n"))), F.lit(0)).alias("c")).first()
+        return r["a"], r["b"], r["c"]
+
+    now = stored(dealt(pieces.select("item", "length"), n, F.col("item"), 0).groupBy("next").applyInArrow(lambda t: placed(t, "next", capacity), PLACED))
+    total, gaps, left = sequences(now)
+    before, first = total + 1, 1 << 24
+    whole = [now.where("full")]
+    while bound < total < before and gaps > 1:
+        loose = dealt(now.where("not full"), left, F.struct("part", "bin"), first)
+        now = stored(loose.groupBy("next").applyInArrow(lambda t: placed(t, "next", capacity, 0), PLACED))
+        fewer, rest, items = sequences(now)
+        before, total = total, total - gaps + fewer
+        gaps, left, first = rest, items, first + (1 << 24)
+        whole.append(now.where("full"))
+    whole.append(now.where("not full"))
+    places = whole[0]
+    for more in whole[1:]:
+        places = places.unionByName(more)
+    places = places.select("item", (F.col("part") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"), "offset")
+    facts = [F.lit(total).cast("long").alias("n_sequences"), F.lit(bound).cast("long").alias("lower_bound"), F.lit(total == bound).alias("certified")]
+    return pieces.join(places, "item").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *facts)
 
 
 def packed_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    """Tokenizes and packs whole documents (doc_id, text; other columns are ignored; a null text is empty, so its end id alone).
-
-    certified: the row's part needs no fewer sequences, by its lower bound.
-    """
+    """Tokenizes and packs whole documents (doc_id, text; other columns are ignored; a null text is empty, so its end id alone)."""
     return pack_sequences(pieces_of(docs, tokenizer, end_id, capacity), capacity)

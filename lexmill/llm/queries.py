@@ -43,7 +43,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.packing import packed_documents
 
-    return packed_documents(table(spark, sf_dir, "documents")).drop("certified")
+    return packed_documents(table(spark, sf_dir, "documents"))
 
 
 def list_entries(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,7 +43,7 @@ def test_simple8b_round_trip(ids, data):
     from lexmill.llm.token_store import pack, unpack, unpack_from
 
     words, offsets, escapes = pack(np.array(ids, dtype=np.uint64))
-    assert unpack(words, len(ids), escapes).tolist() == ids
+    assert unpack(words, offsets, len(ids), escapes).tolist() == ids
     first = data.draw(st.integers(0, len(ids)))
     count = data.draw(st.integers(0, len(ids) - first))
     assert unpack_from(words, offsets, len(ids), first, count, escapes).tolist() == ids[first : first + count]
@@ -59,7 +60,8 @@ def test_long_runs_have_offsets():
 
 
 def test_token_file(spark, docs, corpus, none, odd):
-    from lexmill.llm.token_store import token_file_digests
+    from lexmill.llm.common import shared_dir
+    from lexmill.llm.token_store import read_tokens, token_file_digests, tokens_of, write_tokens
 
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_file_digests(docs).collect()}
     ids, start, want = encoded("word_bpe_49k.json"), 0, {}
@@ -68,6 +70,10 @@ def test_token_file(spark, docs, corpus, none, odd):
         want[i] = (start, len(own), crc(own))
         start += len(own)
     assert got == want
+    path = shared_dir(spark)
+    write_tokens(docs, path, "word_bpe_49k.json", block_tokens=300)
+    some = tokens_of(read_tokens(spark, path), spark.createDataFrame([(0,), (3,), (3,), (44,), (999,), (None,)], "doc_id long"))
+    assert {r["doc_id"]: r["ids"] for r in some.collect()} == {d: [*ids(corpus[d][1]), 1] for d in (0, 3, 44)}
     assert token_file_digests(none).count() == 0
     rows = token_file_digests(odd).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, None, 5, 5, 5, 6] and rows[-1]["n_tokens"] == 1
@@ -80,7 +86,28 @@ def test_cached_encoding_is_the_tokenizers(name, texts):
     from lexmill.llm.encoding import encoder
 
     ids = encoded(name)
-    assert encoder(name).batch(texts) == [np.array(ids(t), dtype="<u4").tobytes() for t in texts]
+    for column in (pa.array(texts, pa.string()), pa.array(["x", None, *texts], pa.string()).slice(1)):
+        got, sizes = encoder(name).batch(column)
+        want = [ids(t) for t in column.to_pylist()]
+        assert sizes.tolist() == [len(x) for x in want] and got.tolist() == [i for x in want for i in x]
+
+
+def test_other_tokenizers_are_not_cut(tmp_path):
+    import json
+
+    from lexmill.llm.encoding import Encoder
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        steps = json.load(f)
+    steps["pre_tokenizer"]["add_prefix_space"] = True  # under the known file's name
+    path = tmp_path / "byte_bpe_50k.json"
+    path.write_text(json.dumps(steps))
+    from tokenizers import Tokenizer
+
+    texts = ["one two", None, "", "two  one\n"]
+    own = Tokenizer.from_file(str(path))
+    got, sizes = Encoder(str(path)).batch(pa.array(texts))
+    assert got.tolist() == [i for t in texts for i in own.encode(t or "", add_special_tokens=False).ids]
 
 
 # ------------------------------------------------------------------ 2
@@ -334,7 +361,7 @@ def check_packing(pieces, rows, capacity):
 
 
 def test_packing(spark, docs, corpus, none, odd):
-    from lexmill.llm.packing import PIECES, lower_bound, pack_sequences, packed_documents
+    from lexmill.llm.packing import PIECES, best_fit_decreasing, lower_bound, pack_sequences, packed_documents
 
     ids, pieces = encoded("byte_bpe_50k.json"), []
     for d, text, *_ in corpus:
@@ -350,9 +377,15 @@ def test_packing(spark, docs, corpus, none, odd):
     r = random.Random(1)
     many = [(i, 0, 0, r.randint(1, 1024), i) for i in range(3000)]
     frame = spark.createDataFrame(many, PIECES)
-    counts = [check_packing(many, [tuple(x) for x in pack_sequences(frame, part_items=200, rounds=k).select(names).collect()], 1024) for k in (0, 3)]
-    least = lower_bound(np.bincount([m[3] for m in many], minlength=1025), 1024)
-    assert least <= counts[1] <= counts[0] and counts[1] <= 1.02 * least + 1
+    least, apart = lower_bound(np.bincount([m[3] for m in many], minlength=1025), 1024), sum(best_fit_decreasing(np.array([m[3] for m in many[i::15]]), 1024)[2] for i in range(15))
+    for size in (200, 5000):
+        rows = pack_sequences(frame, part_items=size).collect()
+        n = check_packing(many, [tuple(r[c] for c in names) for r in rows], 1024)
+        assert least <= n <= min(apart, 1.02 * least + 1)
+        assert {(r["n_sequences"], r["lower_bound"], r["certified"]) for r in rows} == {(n, least, n == least)}
+    same = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "300L AS length", "7L AS ids_crc32")
+    rows = pack_sequences(same, part_items=200).collect()  # equal rows are dealt apart
+    assert check_packing([(None, 0, 0, 300, 7)] * 3000, [tuple(r[c] for c in names) for r in rows], 1024) == 1000
     assert packed_documents(none).count() == 0 and packed_documents(odd).count() == 6
 
 
