@@ -33,10 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes a table into the shared folder and reads it back: what follows survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,10 +49,14 @@ def partitions_of(df: DataFrame) -> int:
 BROADCAST_IDS = 1_000_000
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """A stored table, marked for sending to every executor if it has few rows of fixed width."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """docs joined ('left_semi' or 'left_anti') with distinct doc_ids; the documents aren't shuffled if there are few."""
-    ids = stored(ids)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how).select(docs.columns)
+    return docs.join(small(stored(ids)), "doc_id", how).select(docs.columns)
 
 
 def words_of(text: Column) -> Column:

@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import SPACES, stored
+from lexmill.llm.common import WORD, join_ids, small, stored
 
 FIELD = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    """A line's tokens with runs of digits generalised."""
-    return F.filter(F.split(F.regexp_replace(line, "[0-9]+", FIELD), SPACES), lambda w: w != "")
+def _normal(rows: DataFrame) -> DataFrame:
+    """rows with column `normal`: `text` with runs of digits generalised and its lines' tokens one blank apart, without blanks at the lines' ends."""
+    rows = rows.withColumn("normal", F.regexp_replace("text", "[0-9]+", FIELD))  # a step of its own, so that it is done once
+    text, odd = F.col("normal"), F.lit(False)
+    for x in ("  ", "\t", "\r", "\x0b", "\x0c", " \n", "\n "):
+        odd = odd | text.contains(x)
+    even = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), r" ?\n ?", "\n")
+    return rows.withColumn("normal", F.trim(F.when(odd, even).otherwise(text)))
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """doc_id, tokens, leaf and code of every line of at least `min_tokens` tokens."""
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= min_tokens)
-    return lines.select("doc_id", "tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("code"))
+    """doc_id, line (normal), leaf and code of every line of at least `min_tokens` tokens."""
+    lines = _normal(docs).select("doc_id", F.explode(F.split("normal", "\n")).alias("line"))
+    some = lines.where(F.substring_index("line", " ", min_tokens - 1) != F.col("line"))  # looks no further than it must
+    blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    return some.select("doc_id", "line", F.xxhash64(blanks, F.substring_index("line", " ", depth)).alias("leaf"), F.xxhash64("line").alias("code"))
 
 
 def _nearest(loose: DataFrame, known: DataFrame, depth: int, similarity: float) -> DataFrame:
@@ -48,11 +55,12 @@ def line_templates(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_token
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     lines = _lines(docs, depth, min_tokens)
     seen = stored(lines.select("leaf", "code", "doc_id").distinct())
-    codes = seen.groupBy("leaf", "code").agg(F.count("*").alias("n"))
+    codes = seen.groupBy("leaf", "code").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     leaves = stored(codes.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where(F.col("n") >= min_docs).select("leaf", "kinds"))
     kinds = codes.join(leaves, "leaf").select("leaf", "code", "n")
-    several = lines.join(leaves.where("kinds > 1").select("leaf"), "leaf", "left_semi").select("leaf", "code", "tokens").dropDuplicates(["leaf", "code"])
-    several = stored(several.join(kinds, ["leaf", "code"]))
+    wanted = stored(codes.join(small(leaves.where("kinds > 1").select("leaf")), "leaf", "left_semi"))
+    again = _lines(join_ids(docs, wanted.select("doc_id").distinct(), "left_semi"), depth, min_tokens).select("leaf", "code", "line")
+    several = stored(again.join(small(wanted.select("leaf", "code", "n")), ["leaf", "code"]).groupBy("leaf", "code", "n").agg(F.split(F.first("line"), " ").alias("tokens")))
 
     placed = several.select("leaf", "code", "n", F.size("tokens").alias("size"), F.posexplode(F.slice("tokens", depth + 1, F.size("tokens"))).alias("at", "token"))
     common = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("m")).where(F.col("m") >= min_docs)
@@ -63,7 +71,7 @@ def line_templates(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_token
     single = kinds.join(leaves.where("kinds = 1").select("leaf"), "leaf", "left_semi").select("leaf", "code", F.col("leaf").alias("template"))
     short = several.where(F.size("tokens") <= depth).select("leaf", "code", F.col("leaf").alias("template"))
     of = stored(general.unionByName(single).unionByName(short))
-    counts = seen.join(of, ["leaf", "code"]).select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
+    counts = seen.join(small(of), ["leaf", "code"]).select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
     if not nearest:
         return of.join(counts, "template"), seen
     counts = stored(counts)
@@ -73,23 +81,46 @@ def line_templates(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_token
     return own.unionByName(_nearest(loose, known, depth, similarity).join(counts, "template")), seen
 
 
+def _cut(docs: DataFrame, **rules) -> DataFrame:
+    """row (a struct of docs' columns), text (of which the recurring lines are gone), n_lines, n_dropped (0: the text is as it was)."""
+    templates, seen = line_templates(docs, **rules)
+    known = small(stored(templates.select("leaf", "code", "first_doc")))
+    dropped = seen.join(known, ["leaf", "code"]).where(F.col("doc_id") != F.col("first_doc"))
+    by_doc = dropped.groupBy("doc_id").agg(F.collect_set("code").alias("codes"))  # of one document's lines
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    id_, text = F.col("row").getField("doc_id").cast("long"), F.col("row").getField("text").cast("string")
+    out = own.join(by_doc, id_ == by_doc["doc_id"], "left")
+    lines = F.split(text, "\n")
+    some = _normal(out.withColumn("text", F.when(F.col("codes").isNotNull(), text)))
+    both = F.arrays_zip(lines.alias("line"), F.split("normal", "\n").alias("normal"))
+    some = some.withColumn("stays", F.filter(both, lambda x: ~F.array_contains("codes", F.xxhash64(x["normal"])))["line"])
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    cut = F.col("codes").isNotNull()
+    return some.select("row", F.when(cut, F.array_join("stays", "\n")).otherwise(text).alias("text"), n_lines.alias("n_lines"), F.when(cut, n_lines - F.size("stays")).otherwise(F.lit(0)).cast("long").alias("n_dropped"))
+
+
 def without_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 4, similarity: float = 0.6, nearest: bool = False) -> DataFrame:
     """docs with recurring lines dropped from every document but each template's first (least doc_id), plus n_lines and n_dropped.
 
-    docs: doc_id, text and any other columns, which stay (n_lines and n_dropped are replaced). Lines are cut at \\n; those with fewer than `min_tokens` tokens stay, as do
-    null texts and rows with a null doc_id. Rows that repeat a doc_id are one document: its lines don't recur by that. A
-    line's place is not used, so a line repeated in one document stays or goes as a whole. `nearest`: lines that are no template's own
-    but agree with one at `similarity` of the places go too. No Python runs on the executors.
+    docs: doc_id, text and any other columns, which stay (but n_lines and n_dropped are replaced). Lines are cut at \\n; those with fewer
+    than `min_tokens` tokens stay, as do null and empty texts and rows with a null doc_id. Rows that repeat a doc_id are one document:
+    its lines don't recur by that. A line's place is not used, so a line repeated in one document stays or goes as a whole.
+    `nearest`: lines that are no template's own but agree with one at `similarity` of the places go too. No Python runs on the
+    executors.
+    """
+    out = _cut(docs, depth=depth, min_docs=min_docs, min_tokens=min_tokens, similarity=similarity, nearest=nearest)
+    own = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*own, "n_lines", "n_dropped")
+
+
+def deduplicated(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 4, similarity: float = 0.6, nearest: bool = True) -> DataFrame:
+    """docs as without_recurring_lines() leaves them, with their own columns alone.
+
+    n_chars, if there, is that of the new text. Documents that lose their last word go; those that had none stay, as nothing was cut.
     """
-    templates, seen = line_templates(docs, depth, min_docs, min_tokens, similarity, nearest)
-    dropped = seen.join(templates, ["leaf", "code"]).where(F.col("doc_id") != F.col("first_doc"))
-    by_doc = dropped.groupBy("doc_id").agg(F.collect_set("code").alias("dropped__"))  # of one document's lines
-    lines = F.split(F.col("text").cast("string"), "\n")
-    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("dropped__", F.xxhash64(_tokens(x))), F.lit(False)))
-    out = docs.join(by_doc.withColumnRenamed("doc_id", "id__"), F.col("doc_id").cast("long") == F.col("id__"), "left")
-    out = out.withColumn("stays__", F.when(F.col("dropped__").isNotNull(), stays))
-    text = F.when(F.col("dropped__").isNull(), F.col("text")).otherwise(F.array_join("stays__", "\n"))
-    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    n_dropped = F.when(F.col("dropped__").isNull(), F.lit(0).cast("long")).otherwise(n_lines - F.size("stays__"))
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    out = _cut(docs, depth=depth, min_docs=min_docs, min_tokens=min_tokens, similarity=similarity, nearest=nearest)
+    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row").getField("n_chars").cast("long"))
+    return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
