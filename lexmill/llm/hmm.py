@@ -4,29 +4,30 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import record_batch, remainder, stored, text_bytes
-from lexmill.llm.encoding import slices
+from lexmill.llm.common import record_batch, remainder, stored, words_in
+from lexmill.llm.encoding import text_slices
 
-#: Words with a share of the training tokens of 1/HOT or more are symbols of their own: by that, HOT words at most.
+#: Counts of words with a share of the training tokens of 1/HOT or more are sent to every task: by that, HOT words at most.
 HOT = 1 << 18
+#: The most frequent words are symbols of their own.
+OWN = 1 << 15
 #: Other words are symbols by class, their last three bytes' hash.
 CLASSES = 2048
-STATES = 12
-#: Training treats a longer text as pieces of so many tokens; scoring doesn't.
-PIECE = 1024
+STATES = 8
 ALPHA = 0.1
 END = b""
-BATCH_CHARS = 2_000_000
+BATCH_TOKENS = 500_000
+#: Tokens that one task of a round reads, where there are that many; each task sends its counts of all symbols.
+TASK_TOKENS = 1 << 25
 
 
 def word_class(word: bytes) -> int:
@@ -35,31 +36,28 @@ def word_class(word: bytes) -> int:
 
 @dataclass
 class Vocabulary:
-    """Hot words' numbers (the end is 0), their counts, each class's tokens and distinct words, and the totals N and V."""
+    """Hot words (the end first, then by count), their counts, each class's tokens and distinct words, and the totals N and V.
 
-    hot: dict[bytes, int]
+    Words of number `own` and more, and all that aren't hot, belong to their class.
+    """
+
+    hot: list[bytes]
     counts: np.ndarray
     class_tokens: np.ndarray
     class_words: np.ndarray
     tokens: int
     distinct: int
+    own: int
 
     @property
     def size(self) -> int:
-        return len(self.hot) + CLASSES
+        return self.own + CLASSES
 
     def unigram(self) -> np.ndarray:
-        seen = np.concatenate([self.counts, self.class_tokens]) + ALPHA
+        seen = np.concatenate([self.counts[: self.own], self.class_tokens]) + ALPHA
         return seen / seen.sum()
 
 
-class Symbols(dict):
-    """Word to symbol; words that aren't hot get their class's."""
-
-    def __missing__(self, word: bytes) -> int:
-        return len(self) + zlib.crc32(word[-3:]) % CLASSES
-
-
 @dataclass
 class Model:
     start: np.ndarray
@@ -71,23 +69,18 @@ def word_counts(train: DataFrame) -> DataFrame:
     """word (binary; empty: the end), n over all training tokens; stored."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            held[END] += len(texts)
-            for a, b in slices(texts):
-                for t in texts[a:b]:
-                    held.update(t.lower().split())
-                if len(held) > 400_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-                    held = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+            texts = batch.column(0)
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([len(texts)], pa.int64())], names=["word", "n"])
+            for a, b in text_slices(texts):
+                words = words_in(texts.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([words.distinct, pa.array(np.bincount(words.at, minlength=len(words.distinct)))], names=["word", "n"])
 
     return stored(train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
 
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
-    """The vocabulary's bounded part, and the counts of all other words."""
+    """The vocabulary's bounded part, and the counts of all words that aren't hot."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     hot = (F.col("n") * HOT >= total["n"]) | (F.length("word") == 0)
     rows = counts.where(hot).toArrow().to_pydict()  # HOT + 1 rows at most
@@ -100,7 +93,59 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in classes:
         tokens[r["c"]], words[r["c"]] = r["n"], r["v"]
-    return Vocabulary({w: i for i, (w, _) in enumerate(known)}, np.array([n for _, n in known], dtype=np.float64), tokens, words, total["n"], total["v"]), others
+    for word, n in known[OWN:]:
+        tokens[word_class(word)] += n
+        words[word_class(word)] += 1
+    return Vocabulary([w for w, _ in known], np.array([n for _, n in known], dtype=np.float64), tokens, words, total["n"], total["v"], min(OWN, len(known))), others
+
+
+ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, symbols binary, n_known long, base double, score double, rare array<struct<word:binary,n:long>>"
+RARE = pa.struct([("word", pa.binary()), ("n", pa.int64())])
+CODED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("symbols", pa.binary()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(RARE))])
+
+
+def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
+    """The symbols of each text and its end, stored, short texts first in each file.
+
+    base, score: the base score, and the model's score given the symbols, without the logarithms of the counts of words that aren't
+    hot; rare: these words and how often the text has them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        hot, own, n_hot = pa.array(vocab.hot, pa.binary()), vocab.own, len(vocab.hot)
+        classes = -np.log10(vocab.class_tokens + ALPHA * (vocab.class_words + 1))
+        logs, total = np.log10(vocab.counts + ALPHA), math.log10(vocab.tokens + ALPHA * (vocab.distinct + 1))
+        for batch in batches:
+            for a, b in text_slices(batch.column(2), 3_000_000):
+                words = words_in(batch.column(2).slice(a, b - a))
+                n, k = b - a, len(words.distinct)
+                number = pc.fill_null(pc.index_in(words.distinct, value_set=hot), n_hot).to_numpy()
+                class_ = np.zeros(k, dtype=np.int64)
+                far = np.flatnonzero(number >= own)
+                class_[far] = [word_class(w) for w in words.distinct.take(pa.array(far)).to_pylist()]
+                symbol = np.where(number < own, number, own + class_).astype("<i4")
+                log = np.append(logs, 0.0)[number]
+                score = np.where(number < own, 0.0, classes[class_] + log)
+                ends = np.cumsum(words.sizes)
+                doc = np.repeat(np.arange(n), words.sizes)
+                sums = lambda x: np.bincount(doc, weights=x[words.at], minlength=n)
+                seen = (np.append(vocab.counts > 0, False)[number]).astype(np.int64)
+                symbols = np.insert(symbol[words.at], ends, np.int32(0))
+                edges = np.append(0, 4 * (ends + np.arange(1, n + 1))).astype(np.int32)
+                rare = np.flatnonzero(number[words.at] >= n_hot)
+                pairs, times = np.unique(doc[rare] * max(1, k) + words.at[rare], return_counts=True)
+                offsets = np.searchsorted(pairs, np.arange(n + 1) * max(1, k)).astype(np.int32)
+                values = pa.StructArray.from_arrays([words.distinct.take(pa.array(pairs % max(1, k))), pa.array(times)], fields=list(RARE))
+                yield record_batch(CODED_SCHEMA, [
+                    batch.column(0).slice(a, n), batch.column(1).slice(a, n), words.sizes + 1,
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(symbols)]),
+                    sums(seen).astype(np.int64) + int(vocab.counts[0] > 0), sums(log - total) + logs[0] - total, sums(score), pa.ListArray.from_arrays(pa.array(offsets), values),
+                ])
+
+    rows = docs.select("doc_id", "held_out", "text").mapInArrow(encode, ENCODED.partition(", ")[2])
+    return stored(rows.sortWithinPartitions("n_tokens").select(F.monotonically_increasing_id().alias("row"), "*"), compression="zstd")
 
 
 def by_time(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,106 +153,121 @@ def by_time(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple
     order = np.argsort(-sizes, kind="stable")
     s, n = starts[order], sizes[order]
     active = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
-    at = np.concatenate([s[:m] + t for t, m in enumerate(active.tolist())]) if len(active) else np.zeros(0, dtype=np.int64)
+    begin = np.cumsum(active) - active
+    at = s[np.arange(int(active.sum())) - np.repeat(begin, active)] + np.repeat(np.arange(len(active)), active)
     return order, active, symbols[at]
 
 
+def forward(model: Model, emit: np.ndarray, active: np.ndarray, every: int) -> np.ndarray:
+    """Overwrites emit with the forward probabilities, scaled to sum to 1 at every `every`-th step; returns each row's scale."""
+    scale, a, last = np.ones(len(emit), dtype=emit.dtype), 0, None
+    move = model.move.astype(emit.dtype)
+    for t, m in enumerate(active.tolist()):
+        own = emit[a : a + m]
+        own *= model.start if last is None else last[:m] @ move
+        if t % every == 0:
+            s = own.sum(axis=1)
+            own /= s[:, None]
+            scale[a : a + m] = s
+        last = own
+        a += m
+    return scale
+
+
 def likelihoods(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Each sequence's natural log probability; the forward probabilities are scaled to sum to 1 at every step."""
     order, active, seen = by_time(symbols, starts, sizes)
-    logs, at, alpha = np.zeros(len(sizes)), 0, None
-    for m in active.tolist():
-        e = model.emit[seen[at : at + m]]
-        alpha = e * model.start if alpha is None else (alpha[:m] @ model.move) * e
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        logs[:m] += np.log(scale)
-        at += m
+    scale = forward(model, model.emit[seen], active, 1)
+    of = np.arange(len(seen)) - np.repeat(np.cumsum(active) - active, active)
     out = np.empty(len(sizes))
-    out[order] = logs
+    out[order] = np.bincount(of, weights=np.log(scale), minlength=len(sizes))
     return out
 
 
-def expected_counts(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions (symbol x state) by scaled forward-backward; first: the sequence begins its text."""
-    states = len(model.start)
+def expected_counts(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions (symbol x state) by scaled forward-backward over whole sequences, and their log likelihood.
+
+    Emissions are first divided by their largest state's, so scaling at every second step keeps single precision in range.
+    """
     order, active, seen = by_time(symbols, starts, sizes)
-    first = first[order]
-    middle = model.start @ np.linalg.matrix_power(model.move, 64)
-    emit = model.emit.astype(np.float32)[seen]
-    move = model.move.astype(np.float32)
-    alpha, scale = np.empty_like(emit), np.empty(len(seen), dtype=np.float32)
-    offsets = np.concatenate([[0], np.cumsum(active)]).tolist()
-    for t, m in enumerate(active.tolist()):
-        a = offsets[t]
-        own = np.where(first[:, None], model.start, middle).astype(np.float32) if t == 0 else last[:m] @ move
-        own = own * emit[a : a + m]
-        s = own.sum(axis=1)
-        last = alpha[a : a + m] = own / s[:, None]
-        scale[a : a + m] = s
-    moves = np.zeros((states, states))
-    beta = np.ones((0, states), dtype=np.float32)
+    largest = model.emit.max(axis=1)
+    emit = (model.emit / largest[:, None]).astype(np.float32)[seen]
+    alpha = emit.copy()
+    scale = forward(model, alpha, active, 2)
+    back = np.ascontiguousarray(model.move.T.astype(np.float32))
+    beta, a, ahead = np.ones_like(emit), len(seen), None
     for t in range(len(active) - 1, -1, -1):
-        a, m = offsets[t], int(active[t])
-        if len(beta) < m:  # sequences that end here
-            beta = np.concatenate([beta, np.ones((m - len(beta), states), dtype=np.float32)])
-        ahead = emit[a : a + m] * beta / scale[a : a + m, None]
-        emit[a : a + m] = alpha[a : a + m] * beta  # from here on: the states' posterior probabilities
-        if t:
-            b = offsets[t - 1]
-            moves += alpha[b : b + m].T @ ahead
-            beta = ahead @ move.T
-    begun = emit[: len(first)][first].sum(axis=0).astype(np.float64) if len(first) else np.zeros(states)
-    out = np.stack([np.bincount(seen, weights=emit[:, s], minlength=len(model.emit)) for s in range(states)], axis=1)
-    return begun, moves * model.move, out
-
-
-def _symbols(texts: list[bytes], table: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """All texts' symbols, each followed by the end; starts; sizes; words."""
-    split = [[*t.lower().split(), END] for t in texts]
-    sizes = np.array([len(w) for w in split], dtype=np.int64)
-    out = np.fromiter((s for words in split for s in map(table.__getitem__, words)), dtype=np.int64, count=int(sizes.sum()))
-    return out, np.cumsum(sizes) - sizes, sizes, split
-
-
-def baum_welch(train: DataFrame, known: Vocabulary, model: Model) -> Model:
-    """One round over all rows of train: each partition's expected counts are summed by symbol, HOT + CLASSES rows at most."""
+        m = int(active[t])
+        a -= m
+        own = beta[a : a + m]
+        if ahead is not None:
+            k = len(ahead)
+            np.matmul(ahead, back, out=own[:k])
+            if t % 2:
+                own[:k] /= own[:k].sum(axis=1)[:, None]
+        ahead = own * emit[a : a + m]
+    held = alpha * beta
+    total = held.sum(axis=1)
+    held /= total[:, None]
+    first = int(active[0]) if len(active) else 0
+    ends = (np.cumsum(active) - active)[sizes[order] - 1] + np.arange(len(sizes))
+    logs = np.log(scale, dtype=np.float64).sum() + np.log(alpha[ends].sum(axis=1), dtype=np.float64).sum() + np.log(largest)[seen].sum()
+    before = np.arange(first, len(seen)) - np.repeat(active[:-1], active[1:])
+    emit *= beta
+    emit /= (total * scale)[:, None]
+    moves = (alpha[before].T @ emit[first:]).astype(np.float64) * model.move
+    out = np.stack([np.bincount(seen, weights=held[:, s], minlength=len(model.emit)) for s in range(len(model.start))], axis=1)
+    return held[:first].sum(axis=0, dtype=np.float64), moves, out, float(logs)
+
+
+def _batches(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Symbols, starts and sizes of about BATCH_TOKENS at a time, one text at least."""
+    if not len(column):
+        return
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    symbols, a = np.frombuffer(data, dtype="<i4"), 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + BATCH_TOKENS, side="right")) - 1)
+        own = edges[a : b + 1].astype(np.int64)
+        yield symbols[own[0] : own[-1]], own[:-1] - own[0], np.diff(own)
+        a = b
+
+
+def baum_welch(train: DataFrame, known: Vocabulary, model: Model) -> tuple[Model, float]:
+    """One round over all rows of train (symbols): each task's expected counts are summed by symbol, OWN + CLASSES rows at most.
+
+    Returns the improved model, and the log likelihood of a token under the old one.
+    """
     states, spark = len(model.start), train.sparkSession
-    shared = spark.sparkContext.broadcast((known.hot, model))
+    shared = spark.sparkContext.broadcast(model)
     names = [f"s{i}" for i in range(states)]
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, now = shared.value
-        table = Symbols(hot)
-        begun, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros(now.emit.shape)
+        now = shared.value
+        begun, moves, emitted, logs = np.zeros(states), np.zeros((states, states)), np.zeros(now.emit.shape), 0.0
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for a, b in slices(texts, BATCH_CHARS):
-                symbols, starts, sizes, _ = _symbols(texts[a:b], table)
-                pieces = -(-sizes // PIECE)
-                nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                begin = np.repeat(starts, pieces) + nth * PIECE
-                size = np.minimum(PIECE, np.repeat(starts + sizes, pieces) - begin)
-                x, y, z = expected_counts(now, symbols, begin, size, nth == 0)
-                begun, moves, emitted = begun + x, moves + y, emitted + z
+            for own in _batches(batch.column(0)):
+                x, y, z, log = expected_counts(now, *own)
+                begun, moves, logs = begun + x, moves + y, logs + log
+                emitted += z
         at = np.flatnonzero(emitted.any(axis=1))
-        rows = np.concatenate([emitted[at], moves, begun[None]]).astype(np.float32)
-        ids = np.concatenate([at, -1 - np.arange(states), [-1 - states]]).astype(np.int32)
+        if not len(at):
+            return
+        rows = np.concatenate([emitted[at], moves, begun[None], np.full((1, states), logs)])
+        ids = np.concatenate([at, -1 - np.arange(states + 2)]).astype(np.int32)
         for i in range(0, len(ids), 1 << 14):
             j = slice(i, i + (1 << 14))
             yield pa.RecordBatch.from_arrays([pa.array(ids[j]), *(pa.array(rows[j, s]) for s in range(states))], names=["symbol", *names])
 
-    sums = train.select("text").mapInArrow(expect, "symbol int, " + ", ".join(f"{n} float" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-known.tokens // TASK_TOKENS))
+    sums = train.select("symbols").coalesce(tasks).mapInArrow(expect, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     ids, values = sums.column("symbol").to_numpy(), np.stack([sums.column(n).to_numpy() for n in names], axis=1) if len(sums) else np.zeros((0, states))
-    begun, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
+    rest, emitted = np.zeros((states + 2, states)), np.zeros(model.emit.shape)
     emitted[ids[ids >= 0]] = values[ids >= 0]
-    for i, v in zip(ids[ids < 0].tolist(), values[ids < 0]):
-        if i == -1 - states:
-            begun = v
-        else:
-            moves[-1 - i] = v
+    rest[-1 - ids[ids < 0]] = values[ids < 0]
     shared.unpersist()
-    return improved(begun, moves, emitted, known)
+    return improved(rest[states], rest[:states], emitted, known), float(rest[states + 1, 0]) / max(1, known.tokens)
 
 
 def improved(begun: np.ndarray, moves: np.ndarray, emitted: np.ndarray, known: Vocabulary) -> Model:
@@ -226,77 +286,49 @@ def first_model(known: Vocabulary, states: int, seed: int = 7) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-def train_model(train: DataFrame, known: Vocabulary, states: int = STATES, rounds: int = 10) -> Model:
-    """Baum-Welch rounds, each over all training rows."""
-    model = first_model(known, states)
+def train_model(train: DataFrame, known: Vocabulary, states: int = STATES, rounds: int = 12, gain: float = 0.01) -> Model:
+    """Baum-Welch rounds, each over all training rows, until a round has gained less than `gain` natural log units a token, but `rounds` at most."""
+    model, before = first_model(known, states), -math.inf
     for _ in range(rounds):
-        model = baum_welch(train, known, model)
+        model, now = baum_welch(train, known, model)
+        if now - before < gain:
+            break
+        before = now
     return model
 
 
-OUT = [("doc_id", pa.int64()), ("row", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
-OUT_SCHEMA = pa.schema(OUT)
+SCORED_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
-def score_documents(docs: DataFrame, states: int = STATES, warm_rounds: int = 8, rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, states: int = STATES, rounds: int = 12, gain: float = 0.01) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts.
 
     docs: doc_id, text; other columns are ignored. Null and empty texts are the end token alone. Rows are scored one by one; those
-    with a null doc_id or crc32(doc_id) mod 10 = 0 aren't learned from; all others are in each of the warm_rounds + rounds rounds. The model: states move and emit symbols; a symbol is a
-    hot word or the end, or a class, and then the word has its smoothed share of the class's training tokens. The forward recursion over
-    symbols runs where the text is; shares and counts of words that aren't hot come by a join on the word, so no task holds the whole
-    vocabulary, which grows with the corpus.
+    with a null doc_id or crc32(doc_id) mod 10 = 0 aren't learned from; all others are in each round of train_model(). The model:
+    states move and emit symbols; a symbol is the end or one of the most frequent words, or a class, and then the word has its smoothed
+    share of the class's training tokens. Texts become symbols once; rounds and the forward recursion read these. Counts of words that
+    aren't hot come by a join on the word, so no task holds the whole vocabulary, which grows with the corpus.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     held = F.coalesce(remainder(F.col("doc_id"), 10) == 0, F.lit(True))
-    train = docs.where(~held)
-    counts = word_counts(train)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held)
+    counts = word_counts(docs.where("not held_out"))
     known, others = vocabulary(counts)
-    model = train_model(train, known, states, warm_rounds + rounds)
-    shared = spark.sparkContext.broadcast((known, model))
+    rows = encoded(docs, known)
+    model = train_model(rows.where("not held_out"), known, states, rounds, gain)
+    shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, own = shared.value
-        table, hot = Symbols(vocab.hot), len(vocab.hot)
-        total = math.log10(vocab.tokens + ALPHA * (vocab.distinct + 1))
-        base = np.concatenate([np.log10(vocab.counts + ALPHA) - total, np.full(CLASSES, -total)])
-        share = np.concatenate([np.zeros(hot), -np.log10(vocab.class_tokens + ALPHA * (vocab.class_words + 1))])
-        counted = np.concatenate([vocab.counts > 0, np.zeros(CLASSES, dtype=bool)])
-        row = TaskContext.get().partitionId() << 33
+        own = shared.value
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for a, b in slices(texts, BATCH_CHARS):
-                symbols, starts, sizes, split = _symbols(texts[a:b], table)
-                scores = likelihoods(own, symbols, starts, sizes) / math.log(10) + np.add.reduceat(share[symbols], starts)
-                bases, seen = np.add.reduceat(base[symbols], starts), np.add.reduceat(counted[symbols].astype(np.int64), starts)
-                rows = np.arange(row, row + len(sizes))
-                row += len(sizes)
-                key = [b" %d" % x for x in rows.tolist()]
-                yield record_batch(OUT_SCHEMA, [doc_ids[a:b], rows, key, np.zeros(len(rows), dtype=np.int64), sizes, seen, bases, scores])
-                ids, at, words, n = [], [], [], []
-                rare = np.flatnonzero(symbols >= hot)
-                of = np.searchsorted(starts, rare, side="right") - 1
-                ends = np.searchsorted(of, np.arange(len(sizes)), side="right").tolist()
-                place, begin = (rare - starts[of]).tolist(), 0
-                for d, end in enumerate(ends):
-                    if end > begin:
-                        own_words = split[d]
-                        c = Counter([own_words[k] for k in place[begin:end]])
-                        words += c.keys()
-                        n += c.values()
-                        ids.append(doc_ids[a + d])
-                        at.append((int(rows[d]), len(c)))
-                        begin = end
-                if words:
-                    lens = [k for _, k in at]
-                    nothing = pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.float64()), pa.nulls(len(words), pa.float64())
-                    ids = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(lens)), lens)))
-                    yield record_batch(OUT_SCHEMA, [ids, np.repeat([r for r, _ in at], lens), words, n, *nothing])
-
-    made = docs.mapInArrow(score, ", ".join(f"{n} {'binary' if n == 'word' else 'double' if n in ('base', 'score') else 'long'}" for n, _ in OUT))
-    joined = made.join(others.withColumnRenamed("n", "c"), "word", "left")
+            logs = [likelihoods(own, *x) for x in _batches(batch.column(4))]
+            scores = np.concatenate([np.zeros(0), *logs]) / math.log(10) + batch.column(7).to_numpy()
+            yield record_batch(SCORED_SCHEMA, [*(batch.column(i) for i in (0, 1, 2, 3, 5, 6)), scores])
+
+    fixed = rows.drop("rare").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(others.withColumnRenamed("n", "c"), "word", "left")
     log = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ALPHA))
-    log = F.when(F.col("n") > 0, log).otherwise(0.0)
-    sums = joined.groupBy("doc_id", "row").agg(F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"), (F.sum("base") + F.sum(log)).alias("base_score"), (F.sum("score") + F.sum(log)).alias("score"))
-    return sums.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    sums = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"), F.sum(log).alias("rare_log"))
+    out = fixed.join(sums, "row", "left")
+    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "rare_known").cast("long").alias("n_known"), F.lit(known.tokens).cast("long").alias("train_tokens"), plus("base", "rare_log").alias("base_score"), plus("score", "rare_log").alias("score"))
