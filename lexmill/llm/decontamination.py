@@ -26,44 +26,52 @@ def item_sets(items: DataFrame) -> DataFrame:
     return words.select("item_id", F.least(F.size("w"), F.lit(WIDTH)).alias("width"), F.array_sort(F.array_distinct(codes)).alias("codes"))
 
 
-def sketches(sets: DataFrame, threshold: float) -> DataFrame:
+def _needed(n: Column, percent: int) -> Column:
+    """The least count that is `percent` of n or more."""
+    return F.floor((n * percent + 99) / 100)
+
+
+def sketches(sets: DataFrame, percent: int) -> DataFrame:
     """Each item's least hash values, as many as its size partition asks for.
 
-    Partitions are powers of two of the set size n. A document that holds at least ceil(threshold * n) of the set lacks at most
-    the rest, so of the n - ceil(threshold * n) + 1 least values it holds one at least: the search misses nothing. A
+    Partitions are powers of two of the set size n. A document that holds at least c, `percent` of n, of the set lacks at most
+    the rest, so of the n - c + 1 least values it holds one at least: the search misses nothing. A
     partition's sketch size is that of its largest member.
     """
     n = F.size("codes")
     sized = sets.withColumn("part", F.floor(F.log2(n)))
-    most = sized.groupBy("part").agg(F.max(n - F.ceil(n * threshold) + 1).alias("k"))
-    return sized.join(F.broadcast(most), "part").select("item_id", F.explode(F.slice("codes", 1, F.col("k").cast("int"))).alias("code"))  # 31 partitions at most
+    most = sized.groupBy("part").agg(F.max(n - _needed(n, percent) + 1).alias("k"))
+    return sized.join(F.broadcast(most), "part").select("set_id", F.explode(F.slice("codes", 1, F.col("k").cast("int"))).alias("code"))  # 31 partitions at most
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """doc_id, item_id, n_shingles, n_found for each document that holds `threshold` or more of an item's distinct word shingles.
+def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, item_id, n_shingles, n_found for each document that holds `percent` or more of an item's distinct word shingles.
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. A-Z are lower-cased, words are cut at ASCII white space.
-    Null, empty and blank texts hold nothing and are held by nothing, rows without an id are not reported, and rows that
-    repeat an id are one document or item whose best row counts. Documents aren't shuffled by the search: their codes under
-    the sketches' largest value are looked up, and only documents with a candidate are read for the exact check.
+    Null, empty and blank texts hold nothing and are held by nothing, rows without an id are not reported. Rows that repeat an id, as
+    documents or items, are each compared; of those that reach `percent`, the pair with the most found counts, of equals the one
+    with the larger item. Documents aren't shuffled by the search: their codes under the sketches' largest value are
+    looked up, and only documents with a candidate are read for the exact check.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    sets = stored(item_sets(items))
+    sets = stored(item_sets(items).withColumn("set_id", F.monotonically_increasing_id()))
     widths = sorted(r["width"] for r in sets.select("width").distinct().collect())  # 1 to 5
-    sketch = stored(sketches(sets, threshold))
+    sketch = stored(sketches(sets, percent))
     about = sketch.agg(F.count("*").alias("n"), F.max("code").alias("top")).first()
     words = docs.select("doc_id", words_of(ascii_lower("text")).alias("w"))
     codes = F.concat(*[_codes("w", k) for k in widths]) if widths else F.array().cast("array<long>")
     low = words.select("doc_id", F.explode(F.filter(codes, lambda c: c <= F.lit(about["top"] or 0))).alias("code"))
-    found = low.join(F.broadcast(sketch) if about["n"] <= BROADCAST_ROWS else sketch, "code").select("doc_id", "item_id").distinct()
-    pairs = stored(found)
+    pairs = stored(low.join(F.broadcast(sketch) if about["n"] <= BROADCAST_ROWS else sketch, "code").select("doc_id", "set_id").distinct())
 
-    own = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words_of(ascii_lower("text")).alias("w")).select("doc_id", F.array_distinct(codes).alias("held"))
-    both = pairs.join(own, "doc_id").join(sets, "item_id")
-    held = both.select("doc_id", "item_id", F.size("codes").cast("long").alias("n_shingles"), F.size(F.array_intersect("codes", "held")).cast("long").alias("n_found"))
-    return held.where(F.col("n_found") >= F.ceil(F.col("n_shingles") * threshold)).groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
+    own = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("row", F.xxhash64("text")).dropDuplicates(["doc_id", "row"])
+    held = own.select("doc_id", "row", words_of(ascii_lower("text")).alias("w")).select("doc_id", "row", F.explode(F.array_distinct(codes)).alias("code"))
+    parts = stored(sets.select("set_id", "item_id", F.size("codes").alias("n"), F.explode("codes").alias("code")))
+    of_items = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
+    found = held.join(of_items, "code").groupBy("doc_id", "row", "item_id", "set_id", "n").agg(F.count("*").alias("m")).where(F.col("m") >= _needed(F.col("n"), percent))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("m").alias("n_found"), F.col("n").cast("long").alias("n_shingles"))).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_shingles", "b.n_found")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The documents that hold no item, with all their columns; rows with a null doc_id stay."""
-    return join_ids(docs, contaminated(docs, items, threshold).select("doc_id").distinct(), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
+    """docs without those that hold `percent` or more of an item, with all their columns; rows with a null doc_id stay."""
+    return join_ids(docs, contaminated(docs, items, percent).select("doc_id").distinct(), "left_anti")
