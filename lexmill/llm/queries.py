@@ -48,7 +48,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_entries(pages: DataFrame) -> DataFrame:
     """A dated list for the pages' own hosts, as the tables hold none: a fixed rule on each host's md5 decides what is added and removed when."""
-    from lexmill.llm.url_lists import host_of
+    from lexmill.llm.url_lists import host_of, path_parts
 
     hosts = pages.select(host_of(F.col("url")).alias("host")).where("host != ''").distinct().withColumn("m", F.md5("host"))
     digits = lambda at, n: F.conv(F.substring("m", at, n), 16, 10).cast("long")
@@ -57,7 +57,9 @@ def list_entries(pages: DataFrame) -> DataFrame:
     adds = hosts.where(digits(5, 2) < 80).select("host", "m", start.alias("dated"), F.when(digits(7, 1) < 2, parent).otherwise(F.col("host")).alias("pattern"))
     removes = adds.where(digits(8, 1) < 8).select("pattern", (F.col("dated") + 86_400 * (1 + digits(9, 2))).alias("dated"), F.lit("remove").alias("action"))
     back = adds.where(digits(8, 1) < 3).select("pattern", (F.col("dated") + 86_400 * (120 + digits(11, 2))).alias("dated"), F.lit("add").alias("action"))
-    return adds.select("pattern", "dated", F.lit("add").alias("action")).unionByName(removes).unionByName(back)
+    first = F.get(path_parts(F.col("url")), 0)
+    paths = pages.select(F.concat_ws("/", host_of(F.col("url")), first).alias("pattern")).where(first.isNotNull()).distinct().withColumn("m", F.md5("pattern")).where(digits(5, 2) < 60)
+    return adds.select("pattern", "dated", F.lit("add").alias("action")).unionByName(removes).unionByName(back).unionByName(paths.select("pattern", start.alias("dated"), F.lit("add").alias("action")))
 
 
 def op7_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,29 +95,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _OP2 = """
-WITH words AS (
+WITH words AS (SELECT *, row_number() OVER () AS r FROM (
   SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents WHERE doc_id IS NOT NULL
   UNION ALL
   SELECT 'i', item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark WHERE item_id IS NOT NULL)),
 items AS (
-  SELECT DISTINCT id AS item_id, least(len(w), 5) AS k, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+  SELECT DISTINCT id AS item_id, r AS set_id, least(len(w), 5) AS k, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
   FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE kind = 'i' AND len(w) > 0)),
 held AS (
-  SELECT DISTINCT id AS doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
-  FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT DISTINCT k FROM items) WHERE kind = 'd' AND len(w) >= k)),
-sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY 1)
-SELECT doc_id, item_id, any_value(n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_found
-FROM held JOIN items USING (k, s) JOIN sizes USING (item_id)
-GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n)
+  SELECT DISTINCT id AS doc_id, r, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT id, r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT DISTINCT k FROM items) WHERE kind = 'd' AND len(w) >= k)),
+sizes AS (SELECT set_id, count(*) AS n FROM items GROUP BY 1),
+found AS (SELECT doc_id, item_id, any_value(n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_found FROM held JOIN items USING (k, s) JOIN sizes USING (set_id) GROUP BY doc_id, r, item_id, set_id HAVING 100 * count(*) >= 75 * any_value(n))
+SELECT doc_id, item_id, n_shingles, n_found FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_found DESC, n_shingles DESC) = 1
 """
 
 _HOST = r"'^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)'"
 _OP7 = rf"""
 WITH p AS (
   SELECT page_id, 1672531200 + (page_id * 7919113) % 63072000 AS fetched, lower(regexp_extract(coalesce(url, ''), {_HOST}, 1)) AS host,
-    regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS part
+    list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]+)', 1), '/'), lambda x: x <> '') AS parts
   FROM pages),
 h AS (SELECT DISTINCT host, md5(host) AS m FROM p WHERE host <> ''),
 a AS (
@@ -125,14 +126,15 @@ a AS (
 e AS (
   SELECT pattern, dated, 'add' AS action FROM a
   UNION ALL SELECT pattern, dated + 86400 * (1 + ('0x' || substr(m, 9, 2))::BIGINT), 'remove' FROM a WHERE ('0x' || substr(m, 8, 1))::BIGINT < 8
-  UNION ALL SELECT pattern, dated + 86400 * (120 + ('0x' || substr(m, 11, 2))::BIGINT), 'add' FROM a WHERE ('0x' || substr(m, 8, 1))::BIGINT < 3),
+  UNION ALL SELECT pattern, dated + 86400 * (120 + ('0x' || substr(m, 11, 2))::BIGINT), 'add' FROM a WHERE ('0x' || substr(m, 8, 1))::BIGINT < 3
+  UNION ALL SELECT pattern, 1672531200 + ('0x' || substr(md5(pattern), 1, 4))::BIGINT * 300, 'add' FROM (SELECT DISTINCT host || '/' || parts[1] AS pattern FROM p WHERE host <> '' AND len(parts) > 0) WHERE ('0x' || substr(md5(pattern), 5, 2))::BIGINT < 60),
 i AS (
   SELECT pattern, dated AS begins, lead(dated) OVER (PARTITION BY pattern ORDER BY dated) AS ends, action
   FROM (SELECT pattern, dated, max(action) AS action FROM e GROUP BY 1, 2)),
-l AS (SELECT page_id, fetched, host, part, string_split(host, '.') AS ls FROM p WHERE host <> ''),
+l AS (SELECT page_id, fetched, host, parts, string_split(host, '.') AS ls FROM p WHERE host <> ''),
 k AS (
   SELECT page_id, fetched, array_to_string(ls[j:], '.') AS pattern FROM (SELECT *, unnest(range(1, greatest(len(ls) - 1, 1) + 1)) AS j FROM l)
-  UNION SELECT page_id, fetched, host || '/' || part FROM l WHERE part <> ''),
+  UNION SELECT page_id, fetched, host || '/' || array_to_string(parts[:j], '/') FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS j FROM l)),
 r AS (
   SELECT k.page_id, count(DISTINCT k.pattern) AS n, min(k.pattern) AS f FROM k JOIN i ON i.pattern = k.pattern AND i.action = 'add' AND i.begins <= k.fetched AND (i.ends IS NULL OR k.fetched < i.ends) GROUP BY 1)
 SELECT p.page_id, coalesce(n, 0) > 0 AS blocked, coalesce(n, 0)::BIGINT AS n_active, f AS first_match FROM (SELECT DISTINCT page_id FROM p) p LEFT JOIN r USING (page_id)

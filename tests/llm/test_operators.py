@@ -131,6 +131,9 @@ def test_decontamination(spark, docs, corpus, none, odd):
     assert {tuple(r) for r in got.collect()} == want and len(want) > 4
     clean = decontaminated(docs, frame)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {c[0] for c in corpus} - {w[0] for w in want}
+    twice = spark.createDataFrame([(1, "a b c d e f g h"), (1, "a b c d e x y"), (2, "a b c d e f g z")], "item_id long, text string")
+    texts = spark.createDataFrame([(7, "a b c d e f g h"), (7, "a b c d e f g h"), (7, "A B C D e x y"), (8, "a b c d e x y")], "doc_id long, text string")
+    assert sorted(map(tuple, contaminated(texts, twice).collect())) == [(7, 1, 4, 4), (7, 2, 4, 3), (8, 1, 3, 3)]  # no mixture of two rows
     assert contaminated(none, frame).count() == 0 and contaminated(docs, frame.limit(0)).count() == 0
     assert {r["doc_id"] for r in contaminated(odd, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).collect()} == {5}
 
@@ -437,11 +440,11 @@ def test_temporal_lists(spark):
     from lexmill.llm.url_lists import temporal_list_join
 
     day = 86_400
-    entries = spark.createDataFrame([("bad.com", day, "add"), ("bad.com", 40 * day, "remove"), ("BAD.com", 90 * day, "add"), ("x.org/p", 5 * day, "add"), ("x.org/p", 5 * day, "remove"), (None, 1, "add"), ("w.net", None, "add"), ("y.org/p", 0, "add")], "pattern string, dated long, action string")
-    captures = [(1, "http://a.bad.com/x", 0), (2, "http://bad.com", day), (3, "https://u@A.b.bad.com:80/", 40 * day - 1), (4, "http://bad.com/", 40 * day), (5, "http://bad.com/", 91 * day), (6, "http://x.org/p/q", 6 * day), (7, "http://y.org/p?z", 3), (8, "http://y.org/q", 3), (9, None, 3), (10, "junk", 3), (11, "http://bad.com/", None), (5, "http://bad.com/", 91 * day), (12, "http://notbad.com/", 2 * day)]
+    entries = spark.createDataFrame([("bad.com", day, "add"), ("bad.com", 40 * day, "remove"), ("BAD.com", 90 * day, "add"), ("x.org/p", 5 * day, "add"), ("x.org/p", 5 * day, "remove"), (None, 1, "add"), ("w.net", None, "add"), ("y.org/p", 0, "add"), ("N.org/News/Big", 0, "add")], "pattern string, dated long, action string")
+    captures = [(1, "http://a.bad.com/x", 0), (2, "http://bad.com", day), (3, "https://u@A.b.bad.com:80/", 40 * day - 1), (4, "http://bad.com/", 40 * day), (5, "http://bad.com/", 91 * day), (6, "http://x.org/p/q", 6 * day), (7, "http://y.org/p?z", 3), (8, "http://y.org/q", 3), (9, None, 3), (10, "junk", 3), (11, "http://bad.com/", None), (5, "http://bad.com/", 91 * day), (12, "http://notbad.com/", 2 * day), (13, "http://n.ORG/News/Big/a?b", 1), (14, "http://n.org/news/big", 1), (15, "http://n.org/News", 1), (None, "http://y.org/p", 3), (None, None, 3)]
     frame = spark.createDataFrame(captures, "page_id long, url string, fetched long").withColumn("pattern", F.lit("clash"))
     got = {r["page_id"]: r["blocked"] for r in temporal_list_join(frame, entries).collect()}
-    assert got == {1: False, 2: True, 3: True, 4: False, 5: True, 6: False, 7: True, 8: False, 9: False, 10: False, 11: False, 12: False}
+    assert got == {1: False, 2: True, 3: True, 4: False, 5: True, 6: False, 7: True, 8: False, 9: False, 10: False, 11: False, 12: False, 13: True, 14: False, 15: False, None: True}
     assert temporal_list_join(frame.limit(0), entries).count() == 0
     assert not any(r["blocked"] for r in temporal_list_join(frame, entries.limit(0)).collect())
 
