@@ -49,8 +49,9 @@ def line_templates(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_token
     The tree has fixed depth: a line goes to a leaf by its token count and its `depth` leading tokens. In a leaf where lines of at
     least `min_docs` documents meet, a token that fewer lines than that have at its place is a variable field. A template
     is a line with its fields generalised; it recurs if constant tokens make up `similarity` of it and `min_docs`
-    documents have it. `nearest`: a line without a recurring template of its own gets the recurring one of its leaf that it agrees
-    with best, at `similarity` of the places or more; n_docs and first_doc stay those of the template's own lines.
+    documents have it. `nearest`: a line without a recurring template of its own gets the one of its leaf that most documents
+    have, if it agrees with that at `similarity` of the places or more, and otherwise the recurring one it agrees with best,
+    if so; n_docs and first_doc stay those of the template's own lines.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     lines = _lines(docs, depth, min_tokens)
@@ -76,9 +77,12 @@ def line_templates(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_token
         return of.join(counts, "template"), seen
     counts = stored(counts)
     own = stored(of.join(counts, "template"))
-    known = shaped.join(own, ["leaf", "code"]).dropDuplicates(["template"]).select("leaf", "template", "fields")
-    loose = several.where(F.size("tokens") > depth).join(own, ["leaf", "code"], "left_anti")
-    return own.unionByName(_nearest(loose, known, depth, similarity).join(counts, "template")), seen
+    known = stored(shaped.join(own, ["leaf", "code"]).groupBy("leaf", "template").agg(F.first("fields").alias("fields"), F.first("n_docs").alias("n_docs")))
+    head = known.groupBy("leaf").agg(F.max_by(F.struct("template", "fields"), F.struct("n_docs", "template")).alias("t")).select("leaf", "t.*")
+    loose = stored(several.where(F.size("tokens") > depth).join(own, ["leaf", "code"], "left_anti"))
+    near = stored(_nearest(loose, head, depth, similarity))  # so copies of a leaf's main line don't meet all its other templates
+    far = _nearest(loose.join(near, ["leaf", "code"], "left_anti"), known, depth, similarity)
+    return own.unionByName(near.unionByName(far).join(counts, "template")), seen
 
 
 def _cut(docs: DataFrame, **rules) -> DataFrame:
