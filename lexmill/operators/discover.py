@@ -43,9 +43,9 @@ def valid_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def value_inventory(nodes: DataFrame, tags: list[str], attribute: str | None = None, limit: int | None = 100) -> DataFrame:
-    """value, n: distinct trimmed text (attribute None) or attribute values of elements, in order; at most `limit` of them."""
-    value = strip(F.col("text")) if attribute is None else F.col("attrs")[attribute]
-    found = nodes.where(F.col("tag").isin(tags)).select(value.alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n")).orderBy("value")
+    """value, n: distinct trimmed text (attribute None) or attribute values of elements, in order; at most `limit` of them; blank ones don't count."""
+    value = strip(F.col("text") if attribute is None else F.col("attrs")[attribute])
+    found = nodes.where(F.col("tag").isin(tags)).select(value.alias("value")).where("value <> ''").groupBy("value").agg(F.count("*").alias("n")).orderBy("value")
     return found if limit is None else found.limit(limit)
 
 

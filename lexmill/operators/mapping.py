@@ -78,7 +78,10 @@ def java_pattern(pattern: str, group) -> tuple[str, int]:
     """A pattern with its named groups as Java writes them, and the number of the group asked for (0 if there is no such)."""
     compiled = re.compile(pattern)
     number = compiled.groupindex.get(group, 0) if isinstance(group, str) and not group.isdigit() else int(group or 0)
-    return re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern), number if number <= compiled.groups else -1
+    named = {name: f"g{i}" for name, i in compiled.groupindex.items()}  # Java's names have no underscore
+    java = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{named[m[1]]}>", pattern)
+    java = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{named[m[1]]}>", java)
+    return java, number if number <= compiled.groups else -1
 
 
 def _leaves(transformer: dict) -> list[dict]:

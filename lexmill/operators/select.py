@@ -23,8 +23,8 @@ def steps_of(expression: str) -> list[tuple[str, str, list[tuple[str, str | None
         if not found:
             raise ValueError(f"path step not supported: {part!r} in {expression!r}")
         axis, name, tests = found.groups()
-        read = [(a, v if v is not None else w) for a, v, w in TEST.findall(tests)]
-        read = [(a.rpartition(":")[2] if not a.startswith("xml:") else a, v or None) for a, v in read]
+        read = [(m[1], m[2] if m[2] is not None else m[3]) for m in TEST.finditer(tests)]
+        read = [(a.rpartition(":")[2] if not a.startswith("xml:") else a, v) for a, v in read]
         if len(re.findall(r"\[", tests)) != len(read):
             raise ValueError(f"predicate not supported: {tests!r} in {expression!r}")
         if name == "..":

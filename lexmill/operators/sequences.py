@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import peeled
+from lexmill.sources.store import stored
 
 
 def token_features(tokens: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def head_tail_split(rows: DataFrame, order: list[str], share: float = 0.75) -> D
     """
     n = rows.count()
     head = round(n * share)
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    spread = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))  # read twice
     counts = spread.groupBy("part").agg(F.count("*").alias("m"))
     before = counts.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))  # a row for each partition
     place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
@@ -124,5 +125,8 @@ def classification_report(matrix: DataFrame) -> DataFrame:
 
 def vocabulary(values: DataFrame, column: str) -> DataFrame:
     """value, id: distinct values numbered alphabetically, so that a run repeats; ids begin at 1, 0 is for the unknown."""
-    found = values.select(F.col(column).alias("value")).where("value is not null").distinct()
-    return found.withColumn("id", F.row_number().over(Window.orderBy("value")).cast("long"))
+    found = stored(values.select(F.col(column).alias("value")).where("value is not null").distinct().repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    counts = found.groupBy("part").agg(F.count("*").alias("m"))
+    before = counts.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))  # a row for each partition
+    place = F.row_number().over(Window.partitionBy("part").orderBy("value"))
+    return found.join(F.broadcast(before), "part").select("value", (place + F.col("before")).cast("long").alias("id"))

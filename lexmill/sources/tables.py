@@ -9,8 +9,11 @@ from lexmill.functions.text import UNIVERSAL_POS
 
 
 def read_dictionary(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """A CSV or (by its name) TSV dictionary with lemma, pos, definition and perhaps entry_id, sense_id."""
-    rows = spark.read.csv(path, header=True, sep=sep or ("\t" if path.endswith(".tsv") else ","), multiLine=False)
+    """A CSV or (by its name) TSV dictionary with lemma, pos, definition and perhaps entry_id, sense_id.
+
+    Quoted fields may hold line ends and doubled quotes, so one file is one task; give large dictionaries as several files.
+    """
+    rows = spark.read.csv(path, header=True, sep=sep or ("\t" if path.endswith(".tsv") else ","), multiLine=True, quote='"', escape='"')
     missing = {"lemma", "pos", "definition"} - set(rows.columns)
     if missing:
         raise ValueError(f"columns missing: {sorted(missing)}")

@@ -99,3 +99,27 @@ def test_content_model(spark):
     good = shred(spark.createDataFrame([(1, "<entry><form><orth/></form><sense><def/></sense></entry>"), (2, "<entry><def/><zzz/></entry>")], "doc_id long, raw string"))
     assert sorted((r["doc_id"], r["tag"], r["parent_tag"]) for r in assemble.model_errors(good).collect()) == [(2, "def", "entry"), (2, "zzz", "entry")]
     assert [tuple(r) for r in assemble.stripped_attributes(good.withColumn("attrs", F.create_map(F.lit("k"), F.lit("v"))), []).collect()] == [("k", 8)]
+
+
+def test_named_groups_are_renamed_for_java():
+    from lexmill.operators.mapping import java_pattern
+
+    assert java_pattern(r"(?P<my_x>a+)-(?P=my_x)", "my_x") == (r"(?<g1>a+)-\k<g1>", 1)
+
+
+def test_empty_attribute_values_are_told_apart(spark):
+    from lexmill.operators.discover import value_inventory
+    from lexmill.operators.select import steps_of
+
+    assert steps_of(".//e[@a='']")[-1][2] == [("a", "")] and steps_of(".//e[@a]")[-1][2] == [("a", None)]
+    rows = [("p", " noun ", {"k": " x"}), ("p", "noun", {"k": "x"}), ("p", " ", {"k": ""}), ("p", None, {})]
+    nodes = spark.createDataFrame(rows, "tag string, text string, attrs map<string,string>")
+    assert [tuple(r) for r in value_inventory(nodes, ["p"]).collect()] == [("noun", 2)]
+    assert [tuple(r) for r in value_inventory(nodes, ["p"], "k").collect()] == [("x", 2)]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    from lexmill.sources.tables import read_dictionary
+
+    (tmp_path / "d.csv").write_text('lemma,pos,definition\na,NOUN,"two\nlines"\nb,VERB,"say ""hi"", now"\n')
+    assert [tuple(r) for r in read_dictionary(spark, str(tmp_path / "d.csv")).orderBy("lemma").collect()] == [("a", "NOUN", "two\nlines"), ("b", "VERB", 'say "hi", now')]
