@@ -22,7 +22,7 @@ HOT = 1 << 18
 OWN = 1 << 15
 #: Other words are symbols by class, their last three bytes' hash.
 CLASSES = 2048
-STATES = 8
+STATES = 12
 ALPHA = 0.1
 END = b""
 BATCH_TOKENS = 500_000
@@ -286,7 +286,7 @@ def first_model(known: Vocabulary, states: int, seed: int = 7) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-def train_model(train: DataFrame, known: Vocabulary, states: int = STATES, rounds: int = 12, gain: float = 0.01) -> Model:
+def train_model(train: DataFrame, known: Vocabulary, states: int = STATES, rounds: int = 12, gain: float = 0.005) -> Model:
     """Baum-Welch rounds, each over all training rows, until a round has gained less than `gain` natural log units a token, but `rounds` at most."""
     model, before = first_model(known, states), -math.inf
     for _ in range(rounds):
@@ -300,7 +300,7 @@ def train_model(train: DataFrame, known: Vocabulary, states: int = STATES, round
 SCORED_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
-def score_documents(docs: DataFrame, states: int = STATES, rounds: int = 12, gain: float = 0.01) -> DataFrame:
+def score_documents(docs: DataFrame, states: int = STATES, rounds: int = 12, gain: float = 0.005) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts.
 
     docs: doc_id, text; other columns are ignored. Null and empty texts are the end token alone. Rows are scored one by one; those
