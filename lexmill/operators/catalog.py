@@ -50,3 +50,13 @@ def headword_or_number(entries: DataFrame, order: list[str], key: str) -> DataFr
     """entries with entry_text: the headword, or 'Entry <n>', n the place among its key's entries from 0."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
     return entries.withColumn("entry_text", F.coalesce("headword", F.concat(F.lit("Entry "), n.cast("string"))))
+
+
+def first_entries(entries: DataFrame, n: int, order: list[str], key: str = "doc_id") -> DataFrame:
+    """The first n entries of each document, exactly n where it has as many; tasks keep n of a key before the shuffle."""
+    return entries.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("k") <= n).drop("k")
+
+
+def errors_with_datasets(errors: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Logged errors with their dataset's columns; errors of no known dataset are left out."""
+    return errors.join(datasets, "dsid")

@@ -3,35 +3,79 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STEP = re.compile(r"(?:(ancestor|descendant|child|parent|self|ancestor-or-self)::)?(\*|[\w.-]+|\.\.|\.)((?:\[[^\]]*\])*)$")
-TEST = re.compile(r"\[@([\w:.-]+)(?:\s*=\s*(?:'([^']*)'|\"([^\"]*)\"))?\]")
+STEP = re.compile(r"(?:(ancestor|descendant|child|parent|self|ancestor-or-self)::)?(\*|[\w.-]+|\.\.|\.)(\[.*)?$", re.DOTALL)
+TEXT = r"""(?:'([^']*)'|"([^"]*)")"""
+#: What a predicate may be: its kind, and a pattern whose groups are an attribute and a text in either quotes.
+PREDICATES = [("equal", rf"@([\w:.-]+)\s*=\s*{TEXT}"), ("has", r"@([\w:.-]+)"), ("lacks", r"not\(\s*@([\w:.-]+)\s*\)"), ("contains", rf"contains\(\s*@([\w:.-]+)\s*,\s*{TEXT}\s*\)"), ("starts", rf"starts-with\(\s*@([\w:.-]+)\s*,\s*{TEXT}\s*\)")]
+INSIDE = re.compile(r"""\[((?:'[^']*'|"[^"]*"|[^\]'"])*)\]""")
 NODE = ["doc_id", "pre", "post", "parent", "depth", "tag", "attrs", "text", "tail", "ancestors"]
 
 
-def steps_of(expression: str) -> list[tuple[str, str, list[tuple[str, str | None]]]]:
-    """(axis, name, attribute tests) of each step of a path; whatever isn't understood is an error."""
+def parted(expression: str, sign: str) -> list[str]:
+    """The expression cut at a sign that stands outside predicates."""
+    out, depth, quote = [""], 0, ""
+    for c in expression:
+        if quote:
+            quote = "" if c == quote else quote
+        elif depth and c in "'\"":
+            quote = c
+        else:
+            depth += (c == "[") - (c == "]")
+            if c == sign and not depth:
+                out.append("")
+                continue
+        out[-1] += c
+    return out
+
+
+def predicate(inside: str) -> tuple:
+    """What stands in brackets: (attribute, text or None) for one that has it, else (kind, attribute or place, text); last() is place 0."""
+    inside = inside.strip()
+    if inside == "last()" or inside.isdigit() and int(inside):
+        return "place", 0 if inside == "last()" else int(inside), None
+    for kind, pattern in PREDICATES:
+        found = re.fullmatch(pattern, inside)
+        if found:
+            name, *texts = found.groups()
+            name = name if name.startswith("xml:") else name.rpartition(":")[2]
+            text = next((t for t in texts if t is not None), None)
+            return (name, text) if kind in ("equal", "has") else (kind, name, text)
+    raise ValueError(f"predicate not supported: [{inside}]")
+
+
+def steps_of(expression: str) -> list[tuple[str, str, list[tuple]]]:
+    """(axis, name, predicates) of each step of a path; whatever isn't understood is an error.
+
+    Places count siblings, so they go with children and '//' alone.
+    """
     out, deep = [], False
-    for i, part in enumerate(expression.strip().split("/")):
+    for i, part in enumerate(parted(expression.strip(), "/")):
         if part == "":
             deep = i > 0
             continue
         found = STEP.match(part)
         if not found:
             raise ValueError(f"path step not supported: {part!r} in {expression!r}")
-        axis, name, tests = found.groups()
-        read = [(m[1], m[2] if m[2] is not None else m[3]) for m in TEST.finditer(tests)]
-        read = [(a.rpartition(":")[2] if not a.startswith("xml:") else a, v) for a, v in read]
-        if len(re.findall(r"\[", tests)) != len(read):
+        axis, name, tests = found.groups("")
+        axis = axis or None
+        read = [predicate(m) for m in INSIDE.findall(tests)]
+        if INSIDE.sub("", tests):
             raise ValueError(f"predicate not supported: {tests!r} in {expression!r}")
+        placed = any(test[0] == "place" and len(test) == 3 for test in read)
+        if placed and (axis not in (None, "child") or name in ("..", ".")) or deep and axis not in (None, "child"):
+            raise ValueError(f"path step not supported: {part!r} in {expression!r}")
         if name == "..":
             axis, name = "parent", "*"
         elif name == ".":
             axis, name = "self", "*"
-        out.append((axis or ("descendant" if deep else "child"), name, read))
+        elif deep:
+            axis = "descendant"
+        out.append((axis or "child", name, read))
         deep = False
     return out
 
@@ -39,8 +83,15 @@ def steps_of(expression: str) -> list[tuple[str, str, list[tuple[str, str | None
 def _tested(nodes: DataFrame, name: str, tests: list) -> DataFrame:
     if name != "*":
         nodes = nodes.where(F.col("tag") == name)
-    for attribute, value in tests:
-        nodes = nodes.where(F.col("attrs")[attribute].isNotNull() if value is None else F.col("attrs")[attribute] == value)
+    for test in tests:
+        kind, of, text = test if len(test) == 3 else ("has" if test[1] is None else "equal", *test)
+        if kind == "place":  # among the siblings that met the predicates before it
+            order = F.col("pre") if of else F.col("pre").desc()
+            nodes = nodes.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy(order))).where(F.col("place") == (of or 1)).drop("place")
+            continue
+        value = F.col("attrs")[of]
+        met = {"has": value.isNotNull(), "lacks": value.isNull(), "equal": value == text, "contains": value.contains(text), "starts": value.startswith(text)}
+        nodes = nodes.where(met[kind])
     return nodes
 
 
@@ -48,8 +99,12 @@ def select(nodes: DataFrame, expression: str, context: DataFrame | None = None)
     """doc_id, ctx and the columns of NODE of what a path selects, distinct.
 
     context: rows of the node table that the path starts from (ctx is their pre); without it, a root above each document, so ./x and .//x can
-    select the document element too (ctx is then -1). A path outside a context row is followed: nodes are never detached.
+    select the document element too (ctx is then -1). A path outside a context row is followed: nodes are never detached. Paths
+    joined by | select what any of them does.
     """
+    paths = parted(expression, "|")
+    if len(paths) > 1:
+        return reduce(DataFrame.unionByName, [select(nodes, p, context) for p in paths]).dropDuplicates(["doc_id", "ctx", "pre"])
     single = True  # at most one row for each ctx, so a step repeats nothing
     if context is None:
         now, top = None, True

@@ -94,18 +94,22 @@ def bodies(rows: DataFrame, n: int, order: list[str], key: str) -> DataFrame:
     return out.withColumn("range", F.concat_ws("-", (F.col("body") * n + 1).cast("string"), last.cast("string"))).drop("k")
 
 
-def head_tail_split(rows: DataFrame, order: list[str], share: float = 0.75) -> DataFrame:
-    """rows with test: whether a row lies in the last part of all, in order; the head has round(n * share) rows, halves to even.
+def places(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with place, from 1, in an order that has no ties.
 
     Places come from a range partitioning and the partitions' counts, so no single task sees all rows.
     """
-    n = rows.count()
-    head = round(n * share)
     spread = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))  # read twice
     counts = spread.groupBy("part").agg(F.count("*").alias("m"))
     before = counts.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))  # a row for each partition
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return spread.join(F.broadcast(before), "part").withColumn("test", (place + F.col("before")) > head).drop("part", "before")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return spread.join(F.broadcast(before), "part").withColumn("place", (own + F.col("before")).cast("long")).drop("part", "before")
+
+
+def head_tail_split(rows: DataFrame, order: list[str], share: float = 0.75) -> DataFrame:
+    """rows with test: whether a row lies in the last part of all, in order; the head has round(n * share) rows, halves to even."""
+    head = round(rows.count() * share)
+    return places(rows, order).withColumn("test", F.col("place") > head).drop("place")
 
 
 def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -125,8 +129,29 @@ def classification_report(matrix: DataFrame) -> DataFrame:
 
 def vocabulary(values: DataFrame, column: str) -> DataFrame:
     """value, id: distinct values numbered alphabetically, so that a run repeats; ids begin at 1, 0 is for the unknown."""
-    found = stored(values.select(F.col(column).alias("value")).where("value is not null").distinct().repartitionByRange("value").withColumn("part", F.spark_partition_id()))
-    counts = found.groupBy("part").agg(F.count("*").alias("m"))
-    before = counts.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))  # a row for each partition
-    place = F.row_number().over(Window.partitionBy("part").orderBy("value"))
-    return found.join(F.broadcast(before), "part").select("value", (place + F.col("before")).cast("long").alias("id"))
+    found = values.select(F.col(column).alias("value")).where("value is not null").distinct()
+    return places(found, ["value"]).select("value", F.col("place").alias("id"))
+
+
+def coded(rows: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """rows with code: the id that a vocabulary (value, id) has for the column, 0 for what it lacks and for null."""
+    ids = known.select(F.col("value").alias(column), F.col("id").alias("code"))
+    return rows.join(ids, column, "left").withColumn("code", F.coalesce("code", F.lit(0).cast("long")))
+
+
+def unseen_labels(test: DataFrame, train: DataFrame, column: str = "label") -> DataFrame:
+    """Labels of the test rows that no training row has; a test set with any can't be evaluated."""
+    return test.select(column).where(F.col(column).isNotNull()).distinct().join(train.select(column).distinct(), column, "left_anti")
+
+
+def max_lengths(tokens: DataFrame, seq: str, text: str) -> DataFrame:
+    """max_tokens, max_chars, one row: the longest sequence and the longest token, each 0 without rows."""
+    each = tokens.groupBy(seq).agg(F.count("*").alias("n"), F.max(F.length(text)).alias("chars"))
+    return each.agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_tokens"), F.coalesce(F.max("chars"), F.lit(0)).cast("long").alias("max_chars"))
+
+
+def renumbered(rows: DataFrame, entry: str, sense: list[str], old_id: str) -> DataFrame:
+    """rows with entry_n (the entry's place among all), sense_n (the row's place in its entry) and orig_id, what old_id held before."""
+    entries = places(rows.select(entry).distinct(), [entry]).withColumnRenamed("place", "entry_n")
+    k = F.row_number().over(Window.partitionBy(entry).orderBy(*sense)).cast("long")
+    return rows.join(entries, entry).withColumn("sense_n", k).withColumnRenamed(old_id, "orig_id")

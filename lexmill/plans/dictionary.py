@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import acronym, element, escaped
 from lexmill.operators.assemble import tei_entries
-from lexmill.operators.mapping import Mapping, found, nearest, role_matches, with_languages
+from lexmill.operators.mapping import Mapping, found, inner_text, nearest, role_matches, with_languages
 from lexmill.operators.select import entries, selected
 from lexmill.sources.store import stored
 
@@ -40,6 +40,26 @@ def dictionary_to_tei(nodes: DataFrame, mapping: Mapping, title: str = "dict", k
     return tei_entries(matches, own, senses, acronym(F.lit(title)), keep_scrap, scrap)
 
 
+def tei_parts(nodes: DataFrame, entries: DataFrame, headers: DataFrame) -> DataFrame:
+    """doc_id, place, tei: whole TEI documents as pieces that follow each other by place.
+
+    entries: doc_id, entry, tei of dictionary_to_tei(); headers: id (the doc_id), tei. A document without entries has all its text in one
+    seg. A document stays many rows, so none is gathered in one task.
+    """
+    roots = nodes.where("parent is null").select("doc_id", "pre")
+    opening = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><TEI xmlns="http://www.tei-c.org/ns/1.0">'), F.coalesce("tei", F.lit("<teiHeader/>")), F.lit("<text><body>"))
+    first = roots.select("doc_id").join(headers.select(F.col("id").alias("doc_id"), "tei"), "doc_id", "left").select("doc_id", F.lit(-1).cast("long").alias("place"), opening.alias("tei"))
+    last = roots.select("doc_id", F.lit(2**63 - 1).alias("place"), F.lit("</body></text></TEI>").alias("tei"))
+    bare = roots.join(entries.select("doc_id").distinct(), "doc_id", "left_anti")
+    whole = inner_text(nodes, bare).select("doc_id", F.lit(0).cast("long").alias("place"), element("seg", escaped(F.col("value"))).alias("tei"))
+    return first.unionByName(entries.select("doc_id", F.col("entry").alias("place"), "tei")).unionByName(whole).unionByName(last)
+
+
+def write_tei(parts: DataFrame, path: str) -> None:
+    """A folder for each document; its files, in the order of their names, are the document, with a line for each piece."""
+    parts.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "tei").write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
 def grouped_senses(rows: DataFrame) -> DataFrame:
     """lemma, pos, senses: rows (lemma, pos, definition) by entry, definitions in order and numbered from 1; null keys make no entry."""
     found_ = rows.where("lemma is not null and pos is not null").groupBy("lemma", "pos").agg(F.array_sort(F.collect_list("definition")).alias("senses"))

@@ -408,3 +408,72 @@ def entries_by_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["entries_by_pos"] = entries_by_pos
 ORACLE["entries_by_pos"] = f"SELECT pos, count(*) AS n, count(DISTINCT headword) AS heads, max(length(tei))::INTEGER AS longest FROM ({ORACLE['tei_transform']}) GROUP BY 1"
+
+
+@query("SELECT min(p_partkey) AS p_partkey FROM part GROUP BY p_partkey // 500 UNION SELECT max(p_partkey) FROM part GROUP BY p_partkey // 500")
+def xpath_position(spark, sf_dir):
+    return S.select(part_nodes(spark, sf_dir), ".//entry[1] | .//entry[last()]").select(F.col("attrs")["id"].cast("long").alias("p_partkey"))
+
+
+@query("SELECT p_partkey FROM part WHERE starts_with(p_size::VARCHAR, '1') AND contains(p_partkey::VARCHAR, '7')")
+def xpath_predicates(spark, sf_dir):
+    return S.select(part_nodes(spark, sf_dir), ".//entry[starts-with(@size, '1')][contains(@id, '7')][not(@lang)]").select(F.col("attrs")["id"].cast("long").alias("p_partkey"))
+
+
+@query("SELECT p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) <= 20")
+def first_entries(spark, sf_dir):
+    own = S.entries(part_nodes(spark, sf_dir), PARTS["entry"])
+    return catalog.first_entries(own, 20, ["pre"]).select(F.col("attrs")["id"].cast("long").alias("p_partkey"))
+
+
+_NUMBERED = ORACLE["tei_transform"].replace("SELECT 'D_'", "SELECT p_partkey // 500 AS doc_id, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) AS k, 'D_'", 1)
+
+
+@query(f"""SELECT doc_id, k, tei FROM ({_NUMBERED}) UNION ALL
+SELECT DISTINCT p_partkey // 500, 0, '<?xml version="1.0" encoding="UTF-8"?><TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>Part ' || p_partkey // 500 || '</title></titleStmt><publicationStmt><p/></publicationStmt><sourceDesc><p>Part ' || p_partkey // 500 || '</p></sourceDesc></fileDesc></teiHeader><text><body>' FROM part UNION ALL
+SELECT p_partkey // 500, count(*) + 1, '</body></text></TEI>' FROM part GROUP BY 1""")
+def tei_document(spark, sf_dir):
+    nodes = part_nodes(spark, sf_dir)
+    text, texts = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    about = nodes.where("parent is null").select(F.col("doc_id").alias("id"), F.concat(F.lit("Part "), F.col("doc_id").cast("string")).alias("title"), texts.alias("creators"), texts.alias("contributors"), *[text.alias(c) for c in ("publisher", "licence", "created", "identifier", "extent", "source")])
+    own = dictionary.dictionary_to_tei(nodes, mapping.Mapping.of(PARTS), "dictionary")
+    parts = dictionary.tei_parts(nodes, own, assemble.header(about))
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1
+    return parts.select("doc_id", k.cast("long").alias("k"), "tei")
+
+
+@query("SELECT s_suppkey AS doc_id, '<seg>' || s_name || '!</seg>' AS tei FROM supplier")
+def no_entry_fallback(spark, sf_dir):
+    docs = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), T.element("d", F.concat(_tag("x", F.col("s_name")), F.lit("!"))).alias("raw"))
+    nodes = stored(shred(docs))
+    none = spark.createDataFrame([], "doc_id long, entry long, tei string")
+    return dictionary.tei_parts(nodes, none, spark.createDataFrame([], "id long, tei string")).where("place = 0").select("doc_id", "tei")
+
+
+@query("SELECT DISTINCT p_name AS label FROM part WHERE p_partkey % 4 = 0 AND p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 4 <> 0)")
+def unseen_labels(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").withColumn("label", F.col("p_name"))
+    return sequences.unseen_labels(rows.where("p_partkey % 4 = 0"), rows.where("p_partkey % 4 <> 0"))
+
+
+@query("SELECT max(n) AS max_tokens, max(c) AS max_chars FROM (SELECT user_id, count(*) AS n, max(length(event_type)) AS c FROM events GROUP BY 1)")
+def max_lengths(spark, sf_dir):
+    return sequences.max_lengths(_table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+@query("WITH v AS (SELECT value, row_number() OVER (ORDER BY value) AS id FROM (SELECT DISTINCT p_brand AS value FROM part WHERE p_size < 10)) SELECT p_partkey, coalesce(id, 0) AS code FROM part LEFT JOIN v ON p_brand = value")
+def token_codes(spark, sf_dir):
+    parts = _table(spark, sf_dir, "part")
+    return sequences.coded(parts, "p_brand", sequences.vocabulary(parts.where("p_size < 10"), "p_brand")).select("p_partkey", "code")
+
+
+@query("SELECT event_id AS orig_id, dense_rank() OVER (ORDER BY user_id) AS entry_n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sense_n FROM events")
+def renumbered(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").withColumn("old", F.col("event_id"))
+    return sequences.renumbered(rows, "user_id", ["ts", "event_id"], "old").select("orig_id", "entry_n", "sense_n")
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def dataset_errors(spark, sf_dir):
+    datasets = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("dsid"), "c_name")
+    return catalog.errors_with_datasets(_table(spark, sf_dir, "orders").withColumn("dsid", F.col("o_custkey")), datasets).select("o_orderkey", "c_name")

@@ -123,3 +123,44 @@ def test_quoted_line_breaks(spark, tmp_path):
 
     (tmp_path / "d.csv").write_text('lemma,pos,definition\na,NOUN,"two\nlines"\nb,VERB,"say ""hi"", now"\n')
     assert [tuple(r) for r in read_dictionary(spark, str(tmp_path / "d.csv")).orderBy("lemma").collect()] == [("a", "NOUN", "two\nlines"), ("b", "VERB", 'say "hi", now')]
+
+
+def test_positions_unions_and_predicates(spark):
+    nodes = shred(spark.createDataFrame([(1, '<d><e k="a/b"/><s><e/><e k="x|y"/><f k="ab"/></s><e/></d>')], "doc_id long, raw string"))
+    got = lambda e: sorted(r["pre"] for r in S.select(nodes, e).collect())
+    ids = {r["pre"]: r["tag"] for r in nodes.collect()}
+    first, inner, second, f, last = sorted(p for p, tag in ids.items() if tag in "ef")
+    assert got(".//e[1]") == [first, inner] and got(".//e[last()]") == [second, last] and got("./d/e[2]") == [last] and got(".//e[9]") == []
+    assert got(".//e[@k][1]") == [first, second] and got(".//e[1][@k]") == [first]
+    assert got(".//e[@k='a/b'] | .//e[@k='x|y'] | .//e[1]") == [first, inner, second]
+    assert got(".//*[contains(@k, 'b')]") == [first, f] and got(".//*[starts-with(@k, 'x')]") == [second] and got(".//e[not(@k)]") == [inner, last]
+    for bad in ("descendant::e[1]", ".//ancestor::e", "e[text()]", "e[1", "e[0]"):
+        with pytest.raises(ValueError):
+            S.steps_of(bad)
+
+
+def test_whole_documents(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    from lexmill.plans.dictionary import tei_parts, write_tei
+
+    docs = spark.createDataFrame([(1, DOC), (2, "<d>no <b>entry</b> &amp; more</d>"), (3, None), (4, "<d/>")], "doc_id long, raw string")
+    nodes = shred(docs).cache()
+    own = dictionary_to_tei(nodes, mapping.Mapping.of(SPEC))
+    parts = tei_parts(nodes, own, spark.createDataFrame([(1, "<teiHeader>h</teiHeader>")], "id long, tei string"))
+    write_tei(parts, str(tmp_path / "tei"))
+    whole = {d: "".join(p.read_text() for p in sorted((tmp_path / "tei" / f"doc_id={d}").glob("*.txt"))) for d in (1, 2, 4)}
+    assert len(list((tmp_path / "tei").glob("doc_id=*"))) == 3  # a null document is none
+    ns = "{http://www.tei-c.org/ns/1.0}"
+    bodies = {d: ElementTree.fromstring(t.encode()).find(f"{ns}text/{ns}body") for d, t in whole.items()}
+    assert [e.tag for e in bodies[1]] == [ns + "entry"] * 2 and "<teiHeader>h</teiHeader>" in whole[1]
+    assert [(e.tag, e.text) for e in bodies[2]] == [(ns + "seg", "no entry & more")] and [e.text for e in bodies[4]] == [None]
+
+
+def test_limits_and_errors(spark):
+    from lexmill.operators import catalog
+
+    rows = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 7)], "doc_id long, pre long")
+    assert sorted(map(tuple, catalog.first_entries(rows, 2, ["pre"]).collect())) == [(1, 0), (1, 1), (2, 7)] and catalog.first_entries(rows, 0, ["pre"]).count() == 0
+    errors = spark.createDataFrame([(1, "a"), (9, "b"), (None, "c")], "dsid long, message string")
+    assert [r["message"] for r in catalog.errors_with_datasets(errors, spark.createDataFrame([(1, "d")], "dsid long, name string")).collect()] == ["a"]

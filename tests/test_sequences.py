@@ -82,3 +82,11 @@ def test_tables(spark, tmp_path):
     assert sorted(tuple(r) for r in read_pos_map(spark, f"{tmp_path}/map.csv").collect()) == [("a,b", "NOUN"), ("x", "VERB")]
     record = spark.createDataFrame([(1, "<r><title>T</title><creator><p><firstName>A</firstName><lastName>B</lastName></p></creator></r>")], "id int, raw string")
     assert [tuple(r) for r in repository_record(record).collect()] == [(1, "T", ["A B"], "", "")]
+
+
+def test_codes_lengths_and_unseen(spark):
+    known = spark.createDataFrame([("a", 1), ("b", 2)], "value string, id long")
+    rows = spark.createDataFrame([(1, "a"), (1, "zzz"), (2, None)], "seq long, label string")
+    assert sorted((r["seq"], r["code"]) for r in sequences.coded(rows, "label", known).collect()) == [(1, 0), (1, 1), (2, 0)]
+    assert tuple(sequences.max_lengths(rows, "seq", "label").first()) == (2, 3) and tuple(sequences.max_lengths(rows.where("false"), "seq", "label").first()) == (0, 0)
+    assert [r["label"] for r in sequences.unseen_labels(rows, rows.where("label = 'a'")).collect()] == ["zzz"]
