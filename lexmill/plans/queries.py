@@ -450,10 +450,10 @@ def no_entry_fallback(spark, sf_dir):
     return dictionary.tei_parts(nodes, none, spark.createDataFrame([], "id long, tei string")).where("place = 0").select("doc_id", "tei")
 
 
-@query("SELECT DISTINCT p_name AS label FROM part WHERE p_partkey % 4 = 0 AND p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 4 <> 0)")
+@query("SELECT DISTINCT o_custkey::VARCHAR AS label FROM orders WHERE o_orderkey % 4 <> 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0)")
 def unseen_labels(spark, sf_dir):
-    rows = _table(spark, sf_dir, "part").withColumn("label", F.col("p_name"))
-    return sequences.unseen_labels(rows.where("p_partkey % 4 = 0"), rows.where("p_partkey % 4 <> 0"))
+    rows = _table(spark, sf_dir, "orders").withColumn("label", F.col("o_custkey").cast("string"))
+    return sequences.unseen_labels(rows.where("o_orderkey % 4 <> 0"), rows.where("o_orderkey % 4 = 0"))
 
 
 @query("SELECT max(n) AS max_tokens, max(c) AS max_chars FROM (SELECT user_id, count(*) AS n, max(length(event_type)) AS c FROM events GROUP BY 1)")
