@@ -161,12 +161,12 @@ def by_time(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple
 def forward(model: Model, emit: np.ndarray, active: np.ndarray, every: int) -> np.ndarray:
     """Overwrites emit with the forward probabilities, scaled to sum to 1 at every `every`-th step; returns each row's scale."""
     scale, a, last = np.ones(len(emit), dtype=emit.dtype), 0, None
-    move = model.move.astype(emit.dtype)
+    move, ones = model.move.astype(emit.dtype), np.ones(len(model.start), dtype=emit.dtype)
     for t, m in enumerate(active.tolist()):
         own = emit[a : a + m]
         own *= model.start if last is None else last[:m] @ move
         if t % every == 0:
-            s = own.sum(axis=1)
+            s = own @ ones
             own /= s[:, None]
             scale[a : a + m] = s
         last = own
@@ -184,40 +184,47 @@ def likelihoods(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes: np
     return out
 
 
-def expected_counts(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def relative_emissions(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol's emissions divided by their largest, in single precision, and the largest's logarithms."""
+    largest = model.emit.max(axis=1)
+    return (model.emit / largest[:, None]).astype(np.float32), np.log(largest)
+
+
+def expected_counts(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, relative: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions (symbol x state) by scaled forward-backward over whole sequences, and their log likelihood.
 
-    Emissions are first divided by their largest state's, so scaling at every second step keeps single precision in range.
+    Emissions are relative to their largest state's, so scaling at every second step keeps single precision in range.
     """
     order, active, seen = by_time(symbols, starts, sizes)
-    largest = model.emit.max(axis=1)
-    emit = (model.emit / largest[:, None]).astype(np.float32)[seen]
+    table, largest = relative or relative_emissions(model)
+    emit = table.take(seen, axis=0)
     alpha = emit.copy()
     scale = forward(model, alpha, active, 2)
-    back = np.ascontiguousarray(model.move.T.astype(np.float32))
-    beta, a, ahead = np.ones_like(emit), len(seen), None
+    back, ones = np.ascontiguousarray(model.move.T.astype(np.float32)), np.ones(len(model.start), dtype=np.float32)
+    beta, a, ahead = np.empty_like(emit), len(seen), emit[:0]
     for t in range(len(active) - 1, -1, -1):
-        m = int(active[t])
+        m, k = int(active[t]), len(ahead)
         a -= m
         own = beta[a : a + m]
-        if ahead is not None:
-            k = len(ahead)
+        own[k:] = 1
+        if k:
             np.matmul(ahead, back, out=own[:k])
             if t % 2:
-                own[:k] /= own[:k].sum(axis=1)[:, None]
-        ahead = own * emit[a : a + m]
-    held = alpha * beta
-    total = held.sum(axis=1)
-    held /= total[:, None]
+                own[:k] /= (own[:k] @ ones)[:, None]
+        ahead = emit[a : a + m]
+        ahead *= own  # from here on, emit holds the products with beta
     first = int(active[0]) if len(active) else 0
     ends = (np.cumsum(active) - active)[sizes[order] - 1] + np.arange(len(sizes))
-    logs = np.log(scale, dtype=np.float64).sum() + np.log(alpha[ends].sum(axis=1), dtype=np.float64).sum() + np.log(largest)[seen].sum()
+    logs = np.log(scale, dtype=np.float64).sum() + np.log(alpha[ends].sum(axis=1), dtype=np.float64).sum() + largest[seen].sum()
     before = np.arange(first, len(seen)) - np.repeat(active[:-1], active[1:])
-    emit *= beta
-    emit /= (total * scale)[:, None]
-    moves = (alpha[before].T @ emit[first:]).astype(np.float64) * model.move
-    out = np.stack([np.bincount(seen, weights=held[:, s], minlength=len(model.emit)) for s in range(len(model.start))], axis=1)
-    return held[:first].sum(axis=0, dtype=np.float64), moves, out, float(logs)
+    beta *= alpha
+    share = 1 / (beta @ ones).astype(np.float64)
+    weight = (share / scale)[first:].astype(np.float32)
+    ahead = emit[first:]
+    ahead *= weight[:, None] @ ones[None]
+    moves = (alpha[before].T @ ahead).astype(np.float64) * model.move
+    out = np.stack([np.bincount(seen, weights=beta[:, s] * share, minlength=len(model.emit)) for s in range(len(model.start))], axis=1)
+    return share[:first] @ beta[:first].astype(np.float64), moves, out, float(logs)
 
 
 def _batches(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -245,10 +252,11 @@ def baum_welch(train: DataFrame, known: Vocabulary, model: Model) -> tuple[Model
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = shared.value
+        relative = relative_emissions(now)
         begun, moves, emitted, logs = np.zeros(states), np.zeros((states, states)), np.zeros(now.emit.shape), 0.0
         for batch in batches:
             for own in _batches(batch.column(0)):
-                x, y, z, log = expected_counts(now, *own)
+                x, y, z, log = expected_counts(now, *own, relative)
                 begun, moves, logs = begun + x, moves + y, logs + log
                 emitted += z
         at = np.flatnonzero(emitted.any(axis=1))
