@@ -60,3 +60,25 @@ def first_entries(entries: DataFrame, n: int, order: list[str], key: str = "doc_
 def errors_with_datasets(errors: DataFrame, datasets: DataFrame) -> DataFrame:
     """Logged errors with their dataset's columns; errors of no known dataset are left out."""
     return errors.join(datasets, "dsid")
+
+
+def entries_of_file(entries: DataFrame, files: DataFrame, key: str, file_key: str) -> DataFrame:
+    """Entries with their file's columns, where one side keeps the file's id as text and the other as a number; what isn't a number meets nothing."""
+    text = lambda c: F.try_to_number(F.trim(F.col(c).cast("string")), F.lit("9" * 19)).cast("long")
+    return entries.withColumn("file__", text(key)).join(files.withColumn("file__", text(file_key)), "file__").drop("file__")
+
+
+def stored_values(known: DataFrame, element: str, attribute: str | None, found: DataFrame) -> DataFrame:
+    """element, attribute, value, n: the list of values kept for an element and attribute, or, where `known` has none for them, the one found now.
+
+    found: value, n of discover.value_inventory(); it is not computed where a list is kept.
+    """
+    own = known.where((F.col("element") == element) & F.col("attribute").eqNullSafe(F.lit(attribute)))
+    if not own.isEmpty():
+        return own.select("element", "attribute", "value", "n")
+    return found.select(F.lit(element).alias("element"), F.lit(attribute).cast("string").alias("attribute"), "value", "n")
+
+
+def graph_of(graphs: DataFrame, dsid: int) -> DataFrame:
+    """tag, parents, children of one dataset's stored tag graph; no rows for an unknown one."""
+    return graphs.where(F.col("dsid") == dsid).select("tag", "parents", "children")

@@ -44,9 +44,11 @@ class Mapping:
 
 
 def check(part: dict | None) -> None:
-    """Raises unless part is a selector or transformer of a known type."""
+    """Raises unless part is a selector or transformer of a known type, and without adoption, which no whole job applies (see adopted())."""
     if not part:
         return
+    if part.get("adoptSelector"):
+        raise ValueError("adoptSelector is not supported")
     kind = part.get("type")
     inner = {"xpath": [], "simple": ["selector"], "exclude": ["left", "right"]}
     if kind == "union":
@@ -188,3 +190,8 @@ def annotated(nodes: DataFrame, matches: DataFrame) -> DataFrame:
     by_node = matches.groupBy("doc_id", "pre").agg(F.array_sort(F.collect_list(F.struct("rank", "role", "attr", "matched", "final"))).alias("x"))
     roles = by_node.select("doc_id", "pre", F.transform("x", lambda s: F.struct(s["role"], s["attr"], s["matched"], s["final"])).alias("roles"))
     return nodes.join(roles, ["doc_id", "pre"], "left")
+
+
+def match_statistics(matches: DataFrame) -> DataFrame:
+    """role, strategy, n, entries: how often each role enters the output in which way, and in how many entries."""
+    return matches.groupBy("role", "strategy").agg(F.count("*").alias("n"), F.count_distinct("doc_id", "entry").alias("entries"))

@@ -174,3 +174,8 @@ def entries(nodes: DataFrame, selector: dict) -> DataFrame:
     keys = own.select("doc_id", F.col("pre").alias("up"))
     around = own.select("doc_id", "pre", F.explode("ancestors").alias("up")).join(keys, ["doc_id", "up"]).groupBy("doc_id", "pre").agg(F.min("up").alias("top"))
     return own.join(around, ["doc_id", "pre"], "left").withColumn("outermost", F.coalesce("top", "pre")).withColumn("is_top", F.col("top").isNull()).drop("top")
+
+
+def in_exit_order(own: DataFrame) -> DataFrame:
+    """Elements with place, their document's order of ends from 1: what is nested comes before what holds it."""
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("post")).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import peeled
+from lexmill.functions.text import peeled, replaced, strip
 from lexmill.sources.store import stored
 
 
@@ -155,3 +155,45 @@ def renumbered(rows: DataFrame, entry: str, sense: list[str], old_id: str) -> Da
     entries = places(rows.select(entry).distinct(), [entry]).withColumnRenamed("place", "entry_n")
     k = F.row_number().over(Window.partitionBy(entry).orderBy(*sense)).cast("long")
     return rows.join(entries, entry).withColumn("sense_n", k).withColumnRenamed(old_id, "orig_id")
+
+
+def container_texts(tokens: DataFrame, base: str) -> DataFrame:
+    """original, mapped: the distinct texts of containers of one base label, as a map of each to itself.
+
+    tokens: seq, ord, label, text; a container's tokens are joined by spaces, leaving out null ones, and one without any has no text.
+    """
+    own = decoded(tokens).where(F.col("base") == base).groupBy("seq", "container").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ord", "text")))).alias("x"))
+    texts = own.where(F.size("x") > 0).select(F.array_join(F.transform("x", lambda s: s["text"]), " ").alias("original")).distinct()
+    return texts.select("original", F.col("original").alias("mapped"))
+
+
+def clean_containers(tokens: DataFrame, replacements: dict[str, str]) -> DataFrame:
+    """seq, container, base, text, rest: each container's trimmed token texts joined by spaces and put through the replacements.
+
+    A comma, colon or semicolon that ends the last token is leftover text, in rest ('' without one). Null tokens count as empty.
+    """
+    own = decoded(tokens).groupBy("seq", "container", "base").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text")))).alias("x"))
+    joined = own.withColumn("joined", F.array_join(F.transform("x", lambda s: strip(s["text"])), " "))
+    text = replaced(F.regexp_replace("joined", "[,:;]$", ""), replacements)
+    return joined.select("seq", "container", "base", text.alias("text"), F.regexp_extract("joined", "([,:;])$", 1).alias("rest"))
+
+
+def with_levels(tokens: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Raw tokens (seq, ord, ...) with level_1, level_2, ...: the running number of the container that holds them at each level, and its base.
+
+    levels: seq, ord, label, outermost first. Labels keep their token's ord, so they join by it and texts needn't be compared; a token that a
+    level has no label for is in no container there. Inner containers are numbered within the one around.
+    """
+    out, around = tokens, ["seq"]
+    for i, labels in enumerate(levels, 1):
+        own = labels.join(out.select("seq", "ord", *around[1:]), ["seq", "ord"])
+        key = F.struct(*around)
+        found = decoded(own.withColumn("seq", key)).select("seq.seq", "ord", F.col("container").alias(f"level_{i}"), F.col("base").alias(f"base_{i}"))
+        out = out.join(found, ["seq", "ord"], "left")
+        around.append(f"level_{i}")
+    return out
+
+
+def in_dictionary_order(rows: DataFrame) -> DataFrame:
+    """rows with place, from 1, by entry_id (if there is one), lemma, pos and sense_id (if there is one); nulls first, equal rows in any order."""
+    return places(rows, [c for c in ("entry_id", "lemma", "pos", "sense_id") if c in rows.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import assemble, catalog, discover, mapping, sequences
+from lexmill.operators import assemble, catalog, discover, mapping, prune, sequences
 from lexmill.operators import select as S
 from lexmill.plans import dictionary
 from lexmill.sources.store import stored
@@ -477,3 +477,84 @@ def renumbered(spark, sf_dir):
 def dataset_errors(spark, sf_dir):
     datasets = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("dsid"), "c_name")
     return catalog.errors_with_datasets(_table(spark, sf_dir, "orders").withColumn("dsid", F.col("o_custkey")), datasets).select("o_orderkey", "c_name")
+
+
+_CONTAINERS = _EVENTS + """, c AS (SELECT *, (sum(CASE WHEN s OR p IS DISTINCT FROM base THEN 1 ELSE 0 END) OVER (PARTITION BY seq ORDER BY ts, event_id))::BIGINT AS container
+FROM (SELECT *, lag(base) OVER (PARTITION BY seq ORDER BY ts, event_id) AS p FROM e)) """
+
+
+@query(_CONTAINERS + "SELECT DISTINCT t AS original, t AS mapped FROM (SELECT string_agg((event_id % 5)::VARCHAR, ' ' ORDER BY ts, event_id) AS t FROM c WHERE base = 'click' GROUP BY seq, container)")
+def container_texts(spark, sf_dir):
+    tokens = event_labels(spark, sf_dir).withColumn("text", (F.col("event_id") % 5).cast("string"))
+    return sequences.container_texts(tokens, "click")
+
+
+@query(_CONTAINERS + """SELECT seq, container, base, replace(rtrim(j, ','), '1', 'one') AS text, CASE WHEN ends_with(j, ',') THEN ',' ELSE '' END AS rest FROM
+(SELECT seq, container, base, string_agg((event_id % 5)::VARCHAR || CASE WHEN event_id % 2 = 0 THEN ',' ELSE '' END, ' ' ORDER BY ts, event_id) AS j FROM c GROUP BY 1, 2, 3)""")
+def clean_containers(spark, sf_dir):
+    text = F.concat(F.lit(" "), (F.col("event_id") % 5).cast("string"), F.when(F.col("event_id") % 2 == 0, ",").otherwise(""))
+    return sequences.clean_containers(event_labels(spark, sf_dir).withColumn("text", text), {"1": "one"})
+
+
+@query(_CONTAINERS + """, f AS (SELECT *, event_id % 2 AS b, lag(event_id % 2) OVER (PARTITION BY seq, container ORDER BY ts, event_id) AS q FROM c)
+SELECT event_id, container AS level_1, (sum(CASE WHEN event_id % 5 = 0 OR q IS DISTINCT FROM b THEN 1 ELSE 0 END) OVER (PARTITION BY seq, container ORDER BY ts, event_id))::BIGINT AS level_2, base AS base_1, 'x' || b AS base_2 FROM f""")
+def nested_levels(spark, sf_dir):
+    outer = event_labels(spark, sf_dir)
+    inner = F.concat(F.lit("x"), (F.col("event_id") % 2).cast("string"), F.when(F.col("event_id") % 5 == 0, "_start").otherwise("_inside"))
+    levels = [outer.select("seq", "ord", "label"), outer.select("seq", "ord", inner.alias("label"))]
+    return sequences.with_levels(outer.select("seq", "ord", "event_id"), levels).select("event_id", "level_1", "level_2", "base_1", "base_2")
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def entries_of_file(spark, sf_dir):
+    own = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("xfid"))
+    return catalog.entries_of_file(own, _table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "xfid", "c_custkey").select("o_orderkey", "c_name")
+
+
+@query("""SELECT n_regionkey AS doc_id, tag, id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, tag = 'nation', id) AS place FROM
+(SELECT n_regionkey, n_nationkey, 'nation' AS tag, n_nationkey AS id FROM nation UNION ALL SELECT n_regionkey, n_nationkey, 'customer', c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
+def exit_order(spark, sf_dir):
+    own = S.in_exit_order(S.select(geography_nodes(spark, sf_dir), ".//nation | .//customer"))
+    return own.select("doc_id", "tag", F.col("attrs")["id"].cast("long").alias("id"), "place")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_type, p_partkey) AS place FROM part")
+def dictionary_order(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("lemma"), F.col("p_type").alias("pos"), F.col("p_partkey").alias("sense_id"))
+    return sequences.in_dictionary_order(rows).select("p_partkey", "place")
+
+
+@query("""SELECT 'hw' AS role, CASE WHEN regexp_extract(p_name, '^[a-z]+') <> p_name THEN 'part' ELSE 'consume' END AS strategy, count(*) AS n, count(*) AS entries FROM part WHERE regexp_matches(p_name, '^[a-z]+') GROUP BY 1, 2
+UNION ALL SELECT 'pos', 'consume', count(*), count(*) FROM part""")
+def match_statistics(spark, sf_dir):
+    nodes = part_nodes(spark, sf_dir)
+    spec = mapping.Mapping.of({**PARTS, "hw": {**PARTS["hw"], "rex": "^[a-z]+"}})
+    return mapping.match_statistics(mapping.role_matches(nodes, spec, S.entries(nodes, spec.entry)))
+
+
+@query("SELECT 'entry' AS element, 'size' AS attribute, p_size::VARCHAR AS value, count(*) AS n FROM part GROUP BY 3")
+def stored_values(spark, sf_dir):
+    known = spark.createDataFrame([("label", None, "old", 1)], "element string, attribute string, value string, n long")
+    return catalog.stored_values(known, "entry", "size", discover.value_inventory(part_nodes(spark, sf_dir), ["entry"], "size", None))
+
+
+@query(ORACLE["tag_graph"])
+def graph_of_dataset(spark, sf_dir):
+    graph = discover.tag_graph(geography_nodes(spark, sf_dir))
+    own = catalog.graph_of(graph.withColumn("dsid", F.explode(F.array(F.lit(1), F.lit(2)))), 2)
+    return own.select("tag", F.array_join("parents", ",").alias("parents"), F.array_join("children", ",").alias("children"))
+
+
+@query("""SELECT s_suppkey AS doc_id, 'entry' AS tag, 'entry' AS path, '' AS text, '' AS tail FROM supplier
+UNION ALL SELECT s_suppkey, 'def', 'entry/def', 'p ' || s_name || ' (', '' FROM supplier
+UNION ALL SELECT s_suppkey, 'gram', 'entry/def/gram', s_nationkey::VARCHAR, ' q' FROM supplier
+UNION ALL SELECT s_suppkey, 'seg', 'entry/seg', s_name, ' ' FROM supplier
+UNION ALL SELECT s_suppkey, 'dictScrap', 'entry/dictScrap', '', '' FROM supplier
+UNION ALL SELECT s_suppkey, 'usg', 'entry/dictScrap/usg', 'u', '' FROM supplier""")
+def stripped_scrap(spark, sf_dir):
+    scrap = lambda *c: T.element("seg", F.concat(*c))
+    name, lit = F.col("s_name"), F.lit
+    note = T.element("def", F.concat(lit("p"), scrap(name, scrap(lit(" ("))), T.element("gram", F.col("s_nationkey").cast("string")), scrap(lit(" q"))))
+    raw = T.element("entry", F.concat(note, scrap(name), scrap(lit(" ")), T.element("dictScrap", T.element("usg", lit("u")))))
+    nodes = stored(shred(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), raw.alias("raw"))))
+    return prune.unwrapped(nodes, prune.strippable(nodes)).select("doc_id", "tag", F.array_join("path", "/").alias("path"), "text", "tail")

@@ -44,3 +44,13 @@ def repository_record(records: DataFrame) -> DataFrame:
     names = [F.xpath("raw", F.lit(f'//*[local-name()="creator"]//*[local-name()="{n}"]/text()')) for n in ("firstName", "lastName")]
     people = F.zip_with(*names, lambda a, b: F.concat_ws(" ", a, b)).alias("creators")
     return records.select("id", first("title"), people, first("publisher"), first("licence"))
+
+
+def write_log(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, its keys in order; null fields are left out."""
+    rows.select(*sorted(rows.columns)).write.mode("overwrite").json(path)
+
+
+def write_dictionary(rows: DataFrame, path: str) -> None:
+    """CSV that read_dictionary() reads back: quoted fields with doubled quotes."""
+    rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=True, nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
