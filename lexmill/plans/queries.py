@@ -92,8 +92,8 @@ def tag_inventory(spark, sf_dir):
 
 @query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY 1")
 def raw_tag_inventory(spark, sf_dir):
-    tags = _table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
-    return tags.groupBy("tag").agg(F.count("*").alias("n"))
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("raw"))
+    return discover.tag_inventory(shred(pages))
 
 
 @query("SELECT 'region' AS parent_tag, 'nation' AS tag, count(*) AS n FROM nation UNION ALL SELECT 'nation', 'name', count(*) FROM nation UNION ALL SELECT 'nation', 'customer', count(*) FROM customer UNION ALL SELECT 'customer', 'name', count(*) FROM customer")
