@@ -50,66 +50,26 @@ def chunk_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-class Encoder:
-    """Ids of many texts at once.
+class ChunkedEncoder:
+    """Ids of many texts at once, of an encoder that may cut texts where chunks begin.
 
-    A batch's distinct chunks are looked up among those of earlier batches; new ones are encoded, some twenty at a time with a
-    special token between them, and remembered until there are too many. A file whose steps aren't among KNOWN_STEPS
-    encodes every text whole.
+    A batch's distinct chunks are looked up among those of earlier batches; new ones are encoded by learn(), and remembered until
+    there are too many.
     """
 
-    LIMIT, TOGETHER = 1_200_000, 20
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            steps = json.load(f)
-        special = [t["content"] for t in steps["added_tokens"] if t["special"]]
-        plain = all(t["content"].startswith("<|") for t in steps["added_tokens"]) and not steps["post_processor"]
-        self.between = special[-1] if special and plain and {k: steps[k] for k in ("normalizer", "pre_tokenizer")} in KNOWN_STEPS else None
-        self.forget()
+    LIMIT = 1_200_000
 
     def forget(self) -> None:
         self.chunks = pa.array([], pa.binary())
         self.ids, self.ends = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
-    def encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def learn(self, chunks: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The chunks' ids, one after the other, and how many each has; whole: chunks that may hold anything."""
-        texts = chunks.cast(pa.string()).to_pylist()
-        alone = np.flatnonzero(whole).tolist()
-        some = [t for t, w in zip(texts, whole.tolist()) if not w] if alone else texts
-        mark, n = self.tokenizer.token_to_id(self.between), self.TOGETHER
-        groups = [self.between.join(some[i : i + n]) + self.between for i in range(0, len(some), n)]
-        parts = []
-        for i in range(0, len(groups), 500):
-            parts += [np.array(ids, dtype=np.uint32) for ids in self.encoded(groups[i : i + 500])]
-        ids = np.concatenate([np.zeros(0, dtype=np.uint32), *parts])
-        marks = np.flatnonzero(ids == mark)
-        if len(marks) != len(some):
-            raise ValueError("a chunk holds a special token")
-        sizes = np.diff(marks, prepend=-1) - 1
-        ids = ids[ids != mark]
-        if alone:
-            own = self.encoded([texts[i] for i in alone])
-            where = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(np.flatnonzero(~whole), alone)]
-            ids = np.insert(ids, np.repeat(where, [len(x) for x in own]), np.array([t for x in own for t in x], dtype=np.uint32))
-            every = np.empty(len(texts), dtype=np.int64)
-            every[~whole], every[whole] = sizes, [len(x) for x in own]
-            sizes = every
-        return ids, sizes
+        raise NotImplementedError
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one text after the other, and how many each has. Null is empty."""
         data, edges = flat(texts)
-        if self.between is None:
-            own = self.encoded([t or "" for t in texts.to_pylist()])
-            return np.array([x for ids in own for x in ids], dtype=np.uint32), np.array([len(x) for x in own], dtype=np.int64)
         if not len(data):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
         odd = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, BY_ITSELF), False).to_numpy(zero_copy_only=False))
@@ -146,6 +106,60 @@ class Encoder:
         return ids[at], np.diff(total[np.searchsorted(starts, edges)])
 
 
+class Encoder(ChunkedEncoder):
+    """Ids by a tokenizer file: new chunks are encoded some twenty at a time with a special token between them.
+
+    A file whose steps aren't among KNOWN_STEPS encodes every text whole.
+    """
+
+    TOGETHER = 20
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        special = [t["content"] for t in steps["added_tokens"] if t["special"]]
+        plain = all(t["content"].startswith("<|") for t in steps["added_tokens"]) and not steps["post_processor"]
+        self.between = special[-1] if special and plain and {k: steps[k] for k in ("normalizer", "pre_tokenizer")} in KNOWN_STEPS else None
+        self.forget()
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = chunks.cast(pa.string()).to_pylist()
+        alone = np.flatnonzero(whole).tolist()
+        some = [t for t, w in zip(texts, whole.tolist()) if not w] if alone else texts
+        mark, n = self.tokenizer.token_to_id(self.between), self.TOGETHER
+        groups = [self.between.join(some[i : i + n]) + self.between for i in range(0, len(some), n)]
+        parts = []
+        for i in range(0, len(groups), 500):
+            parts += [np.array(ids, dtype=np.uint32) for ids in self.encoded(groups[i : i + 500])]
+        ids = np.concatenate([np.zeros(0, dtype=np.uint32), *parts])
+        marks = np.flatnonzero(ids == mark)
+        if len(marks) != len(some):
+            raise ValueError("a chunk holds a special token")
+        sizes = np.diff(marks, prepend=-1) - 1
+        ids = ids[ids != mark]
+        if alone:
+            own = self.encoded([texts[i] for i in alone])
+            where = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(np.flatnonzero(~whole), alone)]
+            ids = np.insert(ids, np.repeat(where, [len(x) for x in own]), np.array([t for x in own for t in x], dtype=np.uint32))
+            every = np.empty(len(texts), dtype=np.int64)
+            every[~whole], every[whole] = sizes, [len(x) for x in own]
+            sizes = every
+        return ids, sizes
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.between is None:
+            own = self.encoded([t or "" for t in texts.to_pylist()])
+            return np.array([x for ids in own for x in ids], dtype=np.uint32), np.array([len(x) for x in own], dtype=np.int64)
+        return super().batch(texts)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

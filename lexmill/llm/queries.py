@@ -89,9 +89,27 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.centroids import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.byte_bpe import round_trip_digests
+
+    return round_trip_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.hard_negatives import hard_negatives, relabelled
+
+    return hard_negatives(relabelled(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_store, op2_decontamination, op3_repetition_rules, op4_hmm_scores, op5_toxicity, op6_best_fit_packing, op7_temporal_url_lists, op8_line_templates, op9_quality, op10_jaccard_join)
+    for f in (op1_token_store, op2_decontamination, op3_repetition_rules, op4_hmm_scores, op5_toxicity, op6_best_fit_packing, op7_temporal_url_lists, op8_line_templates, op9_quality, op10_jaccard_join, op11_centroid_clustering, op12_byte_bpe, op13_hard_negatives)
 }
 
 _OP2 = """
@@ -176,4 +194,34 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM rea
 FROM words w LEFT JOIN n USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op7_temporal_url_lists": _OP7, "op8_line_templates": _OP8, "op10_jaccard_join": _OP10}
+
+
+def _op11(k: int = 40, rounds: int = 5) -> str:
+    """Each round in SQL: the least of (squared distance, number) for each vector, then the floored means."""
+    nearest = "SELECT v.r, min(struct_pack(d := d, c := c)) AS m FROM (SELECT v.r, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d FROM v, {c} c) v GROUP BY v.r"
+    steps = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS c, x FROM v QUALIFY c < {k})",
+    ]
+    for n in range(rounds):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, m.c AS c FROM ({nearest.format(c=f'c{n}')}))")
+        steps.append(f"s{n} AS (SELECT c, i, ((s - ((s % n) + n) % n) / n)::BIGINT AS y FROM (SELECT c, i, sum(v.x[i])::BIGINT AS s, count(*) AS n FROM a{n} JOIN v USING (r), range(1, 65) t(i) GROUP BY c, i))")
+        steps.append(f"c{n + 1} AS MATERIALIZED (SELECT o.c, coalesce(list(y ORDER BY i) FILTER (y IS NOT NULL), any_value(o.x)) AS x FROM c{n} o LEFT JOIN s{n} s ON s.c = o.c GROUP BY o.c)")
+    steps.append(f"f AS MATERIALIZED (SELECT r, m.c AS c, m.d AS d FROM ({nearest.format(c=f'c{rounds}')}))")
+    return f"WITH {', '.join(steps)} SELECT vec_id, f.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY f.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(x.x, ',')) AS centroid_sha256 FROM f JOIN v USING (r) JOIN c{rounds} x ON x.c = f.c"
+
+
+_OP13 = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS a, c.r, c.vec_id AS c, a.label = c.label AS same, coalesce(list_sum(list_transform(range(1, least(len(a.x), len(c.x)) + 1), lambda i: a.x[i] * c.x[i])), 0)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT a, r, c, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, c) <= 5)
+SELECT p.a AS anchor_id, p.c AS positive_id, (row_number() OVER (PARTITION BY p.a, p.r ORDER BY n.score DESC, n.c))::INTEGER AS rank, n.c AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.r ORDER BY n.score DESC, n.c) <= 5
+"""
+
+ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op7_temporal_url_lists": _OP7, "op8_line_templates": _OP8, "op10_jaccard_join": _OP10, "op11_centroid_clustering": _op11(), "op13_hard_negatives": _OP13}
