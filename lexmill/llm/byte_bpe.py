@@ -62,6 +62,16 @@ class Ranks:
         self.size = max(self.ranks.values()) + 1
         self.longest = max(map(len, self.ranks))
         self.queue = RankSet(self.size)
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        pairs = {}
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pairs[left * self.size + right] = rank
+        self.pairs = pairs
+        self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of a pre-token: again and again the leftmost neighbours whose joint bytes have the least rank become one.
@@ -116,6 +126,113 @@ class Ranks:
         return out
 
 
+    def joint(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of neighbours' joint bytes; -1 for none."""
+        keys = left * self.size + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+
+    #: Buckets of up to so many entries are worked off one by one.
+    FEW = 12
+
+    def merged_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """merged() of many pre-tokens at once: they lie one after the other in one list of parts with one rank queue.
+
+        A rank's whole bucket is taken at once: its merges don't touch those of other pre-tokens, and within one a merge makes no
+        neighbours of a lesser rank, as all that could make them has been merged before. A file of ranks for which that doesn't hold shows
+        here, and such pre-tokens go through merged().
+        """
+        whole = [self.ranks.get(p) for p in pieces]
+        todo = [i for i, r in enumerate(whole) if r is None]
+        if not todo:
+            return [[r] for r in whole]
+        data = np.frombuffer(b"".join([pieces[i] for i in todo]), dtype=np.uint8)
+        n, sizes = len(data), np.fromiter((len(pieces[i]) for i in todo), dtype=np.int64, count=len(todo))
+        ends = np.cumsum(sizes)
+        token = self.bytes[data]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[ends - sizes] = -1
+        joint = np.full(n, -1, dtype=np.int64)
+        inner = np.flatnonzero(after >= 0)
+        joint[inner] = self.joint(token[inner], token[inner + 1])
+        queue, get, size, odd = self.queue, self.pairs.get, self.size, []
+        first = inner[joint[inner] >= 0]
+        order = np.argsort(joint[first], kind="stable")
+        ranks, starts = np.unique(joint[first][order], return_index=True)
+        buckets: dict[int, list[int]] = dict(zip(ranks.tolist(), (part.tolist() for part in np.split(first[order], starts[1:]))))
+        for rank in buckets:
+            queue.add(rank)
+        tokens, afters, befores, joints = memoryview(token), memoryview(after), memoryview(before), memoryview(joint)
+
+        def put(rank: int, at: int) -> None:
+            held = buckets.get(rank)
+            if held:
+                held.append(at)
+            else:
+                buckets[rank] = [at]
+                queue.add(rank)
+
+        while (rank := queue.least()) >= 0:
+            queue.remove(rank)
+            held = buckets.pop(rank)
+            if len(held) <= self.FEW:
+                for i in sorted(held) if len(held) > 1 else held:
+                    if joints[i] != rank:
+                        continue
+                    middle = afters[i]
+                    stop = afters[i] = afters[middle]
+                    tokens[i], tokens[middle], joints[middle], joints[i] = rank, -1, -1, -1
+                    if stop >= 0:
+                        befores[stop] = i
+                        new = get(rank * size + tokens[stop], -1)
+                        if new >= 0:
+                            joints[i] = new
+                            put(new, i)
+                            if new < rank:
+                                odd.append(i)
+                    if (j := befores[i]) >= 0:
+                        new = joints[j] = get(tokens[j] * size + rank, -1)
+                        if new >= 0:
+                            put(new, j)
+                            if new < rank:
+                                odd.append(j)
+                continue
+            at = np.unique(held)
+            at = at[joint[at] == rank]
+            if not len(at):
+                continue
+            follows = np.zeros(len(at), dtype=bool)
+            follows[1:] = after[at[:-1]] == at[1:]
+            if follows.any():  # of neighbours that overlap, the first, the third and so on
+                places = np.arange(len(at))
+                at = at[(places - np.maximum.accumulate(np.where(follows, 0, places))) % 2 == 0]
+            middle = after[at]
+            stop = after[middle]
+            token[at], token[middle], joint[middle], joint[at] = rank, -1, -1, -1
+            after[at] = stop
+            more = stop >= 0
+            before[stop[more]] = at[more]
+            left = before[at]
+            left = left[left >= 0]
+            new_at, new_left = self.joint(token[at[more]], token[stop[more]]), self.joint(token[left], token[after[left]])
+            joint[at[more]], joint[left] = new_at, new_left
+            spots, news = np.concatenate([at[more], left]), np.concatenate([new_at, new_left])
+            fine = news >= 0
+            spots, news = spots[fine], news[fine]
+            odd += spots[news < rank].tolist()
+            for new, i in zip(news.tolist(), spots.tolist()):
+                put(new, i)
+        kept = token >= 0
+        ids, edges = token[kept].tolist(), np.concatenate([[0], np.cumsum(kept)[ends - 1]]).tolist()
+        out = [None if r is None else [r] for r in whole]
+        for k, i in enumerate(todo):
+            out[i] = ids[edges[k] : edges[k + 1]]
+        for k in set(np.searchsorted(ends, odd, side="right").tolist()):
+            out[todo[k]] = self.merged(pieces[todo[k]])
+        return out
+
+
 class RankEncoder(ChunkedEncoder):
     """Ids of many texts at once: a batch's distinct chunks are looked up among those of earlier ones, and new ones are cut by the pattern and merged."""
 
@@ -135,20 +252,22 @@ class RankEncoder(ChunkedEncoder):
         self.forget()
 
     def ids_of(self, text: str) -> list[int]:
-        out = []
-        for piece in self.cut.findall(text):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.ranks.merged(piece.encode())
-                if len(piece) <= 64:
-                    if len(self.pieces) >= self.PIECES:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
-            out += ids
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[str]) -> list[list[int]]:
+        """Each text's ids; pre-tokens that aren't remembered are merged together."""
+        cut = [self.cut.findall(t) for t in texts]
+        new = list({piece for own in cut for piece in own if piece not in self.pieces})
+        known = dict(zip(new, self.ranks.merged_all([p.encode() for p in new])))
+        own = lambda p: known[p] if p in known else self.pieces[p]
+        out = [own(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in own(p)] for pieces in cut]
+        if len(self.pieces) + len(known) > self.PIECES:
+            self.pieces.clear()
+        self.pieces.update((p, ids) for p, ids in known.items() if len(p) <= 64)
         return out
 
     def learn(self, chunks: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = [self.ids_of(t) for t in chunks.cast(pa.string()).to_pylist()]
+        own = self.all_ids(chunks.cast(pa.string()).to_pylist())
         sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
         return np.fromiter((x for ids in own for x in ids), dtype=np.uint32, count=int(sizes.sum())), sizes
 
