@@ -15,8 +15,10 @@ from lexmill.llm.encoding import encoder, text_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-PLACED = "item long, length long, part long, bin long, offset long, full boolean"
-PLACED_SCHEMA = pa.schema([("item", pa.int64()), ("length", pa.int64()), ("part", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("full", pa.bool_())])
+PLACED = "item long, length long, part long, bin long, offset long, gap long"
+PLACED_SCHEMA = pa.schema([("item", pa.int64()), ("length", pa.int64()), ("part", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("gap", pa.int64())])
+#: Rounds without a gain after which the exchange ends: by size of gap and by chance in turn.
+FRUITLESS = 3
 
 
 def lower_bound(histogram: np.ndarray, capacity: int) -> int:
@@ -127,11 +129,9 @@ def placed(table: pa.Table, group: str, capacity: int, old: int | None = None) -
     if old is not None:
         own = np.stack([table.column("part").to_numpy(), table.column("bin").to_numpy()], axis=1)
         if len(np.unique(own, axis=0)) <= n:
-            part, bins, offsets = own[:, 0], own[:, 1], table.column("offset").to_numpy()
-            full = np.zeros(len(bins), dtype=bool)
-            return pa.table([table.column("item"), table.column("length"), pa.array(part), pa.array(bins), pa.array(offsets), pa.array(full)], schema=PLACED_SCHEMA)
-    full = np.bincount(bins, weights=lengths, minlength=n)[bins] == capacity
-    return pa.table([table.column("item"), table.column("length"), pa.array(part), pa.array(bins), pa.array(offsets), pa.array(full)], schema=PLACED_SCHEMA)
+            return table.select(PLACED_SCHEMA.names).cast(PLACED_SCHEMA)
+    gap = capacity - np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)[bins]
+    return pa.table([table.column("item"), table.column("length"), pa.array(part), pa.array(bins), pa.array(offsets), pa.array(gap)], schema=PLACED_SCHEMA)
 
 
 def pack_sequences(pieces: DataFrame, capacity: int = 1024, part_items: int = 20_000) -> DataFrame:
@@ -139,44 +139,63 @@ def pack_sequences(pieces: DataFrame, capacity: int = 1024, part_items: int = 20
 
     pieces: the columns of PIECES, one row for each piece. Their rows are dealt by number, so equal rows too, into parts of about
     `part_items`; each part packs by best-fit decreasing and compares its bin count with its lower bound. Then, as long as all parts
-    together need more sequences than the bound of the whole and the last round gained one, the pieces in sequences with a gap
-    are dealt anew into parts of that size, other ones each time, and packed again; a part keeps what it had if that needs no more
-    sequences. A task holds about `part_items` small rows. Pieces with a null doc_id and repeated rows are packed like others.
+    together need more sequences than the bound of the whole, sequences exchange their pieces: one whose gap is smaller than the smallest
+    piece in any sequence with a gap is closed, the others are dealt anew, those of like gaps together and by chance in turn, and
+    packed again; a part keeps what it had if that needs no more sequences. The exchange ends when the open sequences' own bound is their
+    number, when all of them met in one part in vain, or after FRUITLESS rounds without a gain. A task holds about `part_items` small rows.
+    Pieces with a null doc_id and repeated rows are packed like others.
 
     Returns the columns of PIECES with sequence_id, offset, and of the whole packing n_sequences, its lower_bound, and certified: whether
     they are equal, so that no packing needs fewer.
     """
-    pieces = stored(pieces.withColumn("item", F.monotonically_increasing_id()))
-    histogram = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # `capacity` rows at most
-    counts = np.zeros(capacity + 1, dtype=np.int64)
-    for r in histogram:
-        counts[r["length"]] = r["n"]
+    spark, pieces = pieces.sparkSession, stored(pieces.withColumn("item", F.monotonically_increasing_id()))
+
+    def histogram(rows: DataFrame) -> np.ndarray:
+        counts = np.zeros(capacity + 1, dtype=np.int64)
+        for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect():  # `capacity` rows at most
+            counts[r["length"]] = r["n"]
+        return counts
+
+    def packed(items: DataFrame, old: int | None = None) -> DataFrame:
+        return stored(items.groupBy("next").applyInArrow(lambda t: placed(t, "next", capacity, old), PLACED))
+
+    def by_chance(items: DataFrame, number: int, key: Column, first: int) -> DataFrame:
+        return items.withColumn("next", F.lit(first) + F.pmod(F.xxhash64(F.lit(first), key), F.lit(max(1, -(-number // part_items)))))
+
+    def by_gap(items: DataFrame, first: int) -> DataFrame:
+        """Sequences in the order of their gaps, largest first, in parts of `part_items` pieces; equal gaps by chance."""
+        edges, start = [], 0
+        for r in sorted(items.groupBy("gap").agg(F.count("*").alias("n")).collect(), reverse=True):  # `capacity` rows at most
+            edges.append((r["gap"], start, r["n"]))
+            start += r["n"]
+        chance = F.pmod(F.xxhash64(F.lit(first), "part", "bin"), F.lit(1 << 20)) / (1 << 20)
+        at = F.floor((F.col("start_") + chance * F.col("n_")) / part_items)
+        return items.join(F.broadcast(spark.createDataFrame(edges, "gap long, start_ long, n_ long")), "gap").withColumn("next", F.lit(first) + at)
+
+    def sequences(rows: DataFrame) -> int:
+        return rows.where("offset = 0").count()
+
+    counts = histogram(pieces)
     bound, n = lower_bound(counts, capacity), int(counts.sum())
-
-    def dealt(items: DataFrame, number: int, key: Column, first: int) -> DataFrame:
-        parts = max(1, -(-number // part_items))
-        return items.withColumn("next", F.lit(first) + F.pmod(F.xxhash64(F.lit(first), key), F.lit(parts)))
-
-    def sequences(rows: DataFrame) -> tuple[int, int, int]:
-        """How many sequences, of those how many with a gap, and how many pieces these hold."""
-        own = rows.groupBy("part", "bin").agg(F.count("*").alias("n"), F.sum("length").alias("fill"))
-        r = own.agg(F.count("*").alias("a"), F.count_if(F.col("fill") < capacity).alias("b"), F.coalesce(F.sum(F.when(F.col("fill") < capacity, F.col("n"))), F.lit(0)).alias("c")).first()
-        return r["a"], r["b"], r["c"]
-
-    now = stored(dealt(pieces.select("item", "length"), n, F.col("item"), 0).groupBy("next").applyInArrow(lambda t: placed(t, "next", capacity), PLACED))
-    total, gaps, left = sequences(now)
-    before, first = total + 1, 1 << 24
-    whole = [now.where("full")]
-    while bound < total < before and gaps > 1:
-        loose = dealt(now.where("not full"), left, F.struct("part", "bin"), first)
-        now = stored(loose.groupBy("next").applyInArrow(lambda t: placed(t, "next", capacity, 0), PLACED))
-        fewer, rest, items = sequences(now)
-        before, total = total, total - gaps + fewer
-        gaps, left, first = rest, items, first + (1 << 24)
-        whole.append(now.where("full"))
-    whole.append(now.where("not full"))
-    places = whole[0]
-    for more in whole[1:]:
+    now = packed(by_chance(pieces.select("item", "length"), n, F.col("item"), 0))
+    total, fruitless, turn, whole = sequences(now), 0, 1, []
+    while bound < total and fruitless < FRUITLESS:
+        least = now.where("gap > 0").agg(F.min("length")).first()[0]
+        loose = now.where(F.col("gap") >= least)
+        counts = histogram(loose)
+        number, had = int(counts.sum()), sequences(loose)
+        if had <= lower_bound(counts, capacity):
+            break
+        whole.append(now.where(F.col("gap") < least))
+        first = turn << 24
+        now = packed(by_gap(loose, first) if turn % 2 else by_chance(loose, number, F.struct("part", "bin"), first), 0)
+        gained = had - sequences(now)
+        total -= gained
+        fruitless, turn = 0 if gained else fruitless + 1, turn + 1
+        if not gained and number <= part_items:
+            break
+    places = now
+    for more in whole:
         places = places.unionByName(more)
     places = places.select("item", (F.col("part") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"), "offset")
     facts = [F.lit(total).cast("long").alias("n_sequences"), F.lit(bound).cast("long").alias("lower_bound"), F.lit(total == bound).alias("certified")]

@@ -490,6 +490,17 @@ def test_changed_copy_of_a_recurring_line(spark):
     assert got == {7: 0, 8: 1, 9: 1, 11: 0, 12: 1, 13: 1, 14: 1}
 
 
+@pytest.mark.parametrize("partitions", [2, 4, 8])
+def test_packing_exchanges_until_the_bound(spark, partitions):
+    from lexmill.llm.packing import pack_sequences
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    same = spark.range(3000).repartition(partitions).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "300L AS length", "7L AS ids_crc32")
+    rows = pack_sequences(same, part_items=200).collect()
+    assert check_packing([(i, 0, 0, 300, 7) for i in range(3000)], [tuple(r[c] for c in names) for r in rows], 1024) == 1000
+    assert {(r["n_sequences"], r["lower_bound"], r["certified"]) for r in rows} == {(1000, 1000, True)}
+
+
 def test_shared_passages(spark, docs, corpus, none, odd):
     from lexmill.llm.passages import without_shared_passages
 
@@ -508,6 +519,20 @@ def test_shared_passages(spark, docs, corpus, none, odd):
     assert set().union(*(set(w) for w in left.values())) == set().union(*(set(w) for w in before.values()))
 
 
+def test_a_cut_that_joins_a_shared_run_is_followed_by_another(spark):
+    from lexmill.llm.passages import without_shared_passages
+
+    words = lambda a, n: " ".join(f"w{a}x{i}" for i in range(n))
+    a, b, passage = words(1, 30), words(2, 30), words(0, 60)
+    rows = [(0, f"{words(5, 5)} {passage}"), (1, f"{a} {b} {words(3, 9)}"), (2, f"{a} {passage} {b}"), (3, f"{words(4, 9)} {a} {passage} {b} {words(6, 9)}")]
+    frame = spark.createDataFrame([(d, t, 0, "k", 7, "r", "c", 1) for d, t in rows], "doc_id long, text string, n_chars long, keys string, text_code long, row string, key string, first_doc long")
+    got = without_shared_passages(frame)
+    assert got.columns == frame.columns
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {0: rows[0][1], 1: rows[1][1], 3: f"{words(4, 9)} {words(6, 9)}"}
+    assert {tuple(r)[3:] for r in got.collect()} == {("k", 7, "r", "c", 1)}
+    assert {r["doc_id"]: r["n_chars"] for r in got.collect()}[3] == len(f"{words(4, 9)} {words(6, 9)}")
+
+
 # ------------------------------------------------------------------ 10
 
 
