@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,9 +73,29 @@ def entry_head(xml: Column) -> Column:
 
 def peeled(token: Column) -> Column:
     """A token cut into its body (if any) and the punctuation signs that end it, in their order."""
-    body = F.regexp_extract(token, rf"^(.*?)[{PUNCTUATION}]*$", 1)
-    signs = F.split(F.regexp_extract(token, rf"([{PUNCTUATION}]*)$", 1), "")
-    return F.filter(F.concat(F.array(body), signs), lambda x: x != "")
+    body = F.rtrim(token, F.lit(PUNCTUATION))
+    signs = F.split(F.substr(token, F.length(body) + 1), F.lit(""))
+    return F.when(F.length(body) == F.length(token), F.filter(F.array(token), lambda x: x != "")).otherwise(F.filter(F.concat(F.array(body), signs), lambda x: x != ""))
+
+
+def group_start(pattern: str, group: int):
+    """A function of a text column: how many characters precede a group of the pattern's first match; null without one.
+
+    The JVM tells where a match begins, but not where a group does, so this one runs in Arrow batches.
+    """
+    @F.pandas_udf("int")
+    def start(texts: pd.Series) -> pd.Series:
+        compiled = re.compile(pattern)
+        found = [compiled.search(t) if t is not None else None for t in texts]
+        return pd.Series([None if m is None or m.start(group) < 0 else m.start(group) for m in found], dtype="Int32")
+
+    return start
+
+
+def seamed(pieces: Column) -> Column:
+    """Pieces of text in one, with a space wherever two would meet without white space."""
+    close = lambda a, b: (a == "") | (b == "") | a.rlike(r"(?U)\s$") | b.rlike(r"(?U)^\s")
+    return F.aggregate(pieces, F.lit(""), lambda a, b: F.concat(a, F.when(close(a, b), "").otherwise(" "), b))
 
 
 def translated(text: Column, table: dict[str, str]) -> Column:

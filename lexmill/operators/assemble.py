@@ -5,37 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import element, escaped, is_blank, name_safe
+from lexmill.functions.text import element, escaped, is_blank, name_safe, seamed, strip
+from lexmill.operators.runs import in_runs
+from lexmill.sources.store import stored
 
 #: The parents that each output element may have.
 PARENTS = {
-    "seg": "seg entry orth def gram cit dictScrap sense usg gloss note xr",
-    "ref": "seg entry orth def gram cit dictScrap sense usg gloss note xr",
-    "def": "sense dictScrap",
-    "orth": "sense dictScrap entry form",
-    "gram": "sense dictScrap entry gramGrp",
-    "cit": "sense dictScrap entry cit seg usg gloss note xr",
-    "sense": "sense dictScrap entry",
-    "entry": "entry body",
-    "dictScrap": "entry dictScrap",
-    "note": "gloss cit note quote def dictScrap entry form gram gramGrp orth usg seg xr",
-    "gloss": "cit gloss note quote def dictScrap form gram gramGrp orth sense usg seg xr",
-    "usg": "dictScrap entry form gramGrp sense",
-    "xr": "cit gloss note gram gramGrp def dictScrap entry orth sense xr seg",
-    "form": "entry form",
-    "gramGrp": "entry form sense",
-    "quote": "cit",
+    "seg": ("seg", "entry", "orth", "def", "gram", "cit", "dictScrap", "sense", "usg", "gloss", "note", "xr"),
+    "ref": ("seg", "entry", "orth", "def", "gram", "cit", "dictScrap", "sense", "usg", "gloss", "note", "xr"),
+    "def": ("sense", "dictScrap"),
+    "orth": ("sense", "dictScrap", "entry", "form"),
+    "gram": ("sense", "dictScrap", "entry", "gramGrp"),
+    "cit": ("sense", "dictScrap", "entry", "cit", "seg", "usg", "gloss", "note", "xr"),
+    "sense": ("sense", "dictScrap", "entry"),
+    "entry": ("entry", "body"),
+    "dictScrap": ("entry", "dictScrap"),
+    "note": ("gloss", "cit", "note", "quote", "def", "dictScrap", "entry", "form", "gram", "gramGrp", "orth", "usg", "seg", "xr"),
+    "gloss": ("cit", "gloss", "note", "quote", "def", "dictScrap", "form", "gram", "gramGrp", "orth", "sense", "usg", "seg", "xr"),
+    "usg": ("dictScrap", "entry", "form", "gramGrp", "sense"),
+    "xr": ("cit", "gloss", "note", "gram", "gramGrp", "def", "dictScrap", "entry", "orth", "sense", "xr", "seg"),
+    "form": ("entry", "form"),
+    "gramGrp": ("entry", "form", "sense"),
+    "quote": ("cit",),
 }
 
 
+def allowed(tag: Column, parent: Column) -> Column:
+    """Whether an output element may be a child of another; names that PARENTS lacks may not."""
+    table = F.create_map(*[x for child, parents in PARENTS.items() for x in (F.lit(child), F.array(*[F.lit(p) for p in parents]))])
+    return F.coalesce(F.array_contains(F.try_element_at(table, tag), parent), F.lit(False))
+
+
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """n for rows (entry, hw, ...): the running number of the entry among those that show its headword, entries and senses together.
 
-    Each pair of containing entry and headword counts once, where it is first met in document order (`order`).
+    Each pair of containing entry and headword counts once, where it is first met in document order (`order`). A headword that most entries
+    share is numbered by many tasks.
     """
     place = F.struct(*order)
     firsts = rows.groupBy("entry", "hw").agg(F.min(place).alias("first"))
-    n = firsts.withColumn("n", F.row_number().over(Window.partitionBy("hw").orderBy("first", "entry")))
+    n = in_runs(firsts, ["hw"], ["first", "entry"], count="n")
     return rows.join(n.select("entry", "hw", "n"), ["entry", "hw"])
 
 
@@ -49,23 +58,57 @@ def sense_identifier(entry_id: Column, k: Column) -> Column:
     return F.concat_ws("_", entry_id, k.cast("string"))
 
 
-def other_identifiers(nodes: DataFrame) -> DataFrame:
-    """nodes (entry_id, tag, pre, ...) with xml_id: entry_tag_k, k counting the elements of a name in their entry."""
-    k = F.row_number().over(Window.partitionBy("entry_id", "tag").orderBy("pre"))
-    return nodes.withColumn("xml_id", F.concat_ws("_", "entry_id", "tag", k.cast("string")))
+def other_identifiers(nodes: DataFrame, used: DataFrame) -> DataFrame:
+    """nodes (entry_id, tag, doc_id, pre, own_id, ...) with xml_id: own_id where it is free, else entry_tag_k with the next free k.
+
+    used: id, those of entries and senses. An own_id that several elements have is the first one's, in document order; a number is free if
+    no id in `used` or kept here has it. Elements without an own_id (null) get a number too. Numbers are counted along each entry and
+    name; the k-th free one lies as many further on as used ones come before it.
+    """
+    taken = used.select(F.col("id").alias("own_id")).where("own_id is not null").distinct()
+    rows = stored(nodes)
+    firsts = rows.where("own_id is not null").groupBy("own_id").agg(F.min(F.struct("doc_id", "pre")).alias("first")).join(taken, "own_id", "left_anti")
+    keeps = stored(firsts.select("own_id", "first.doc_id", "first.pre").withColumn("keeps", F.lit(True)))
+    marked = rows.join(keeps, ["own_id", "doc_id", "pre"], "left")
+    number = r"^(.*)_([1-9][0-9]{0,17})$"
+    ids = taken.unionByName(keeps.select("own_id"))
+    gaps = ids.where(F.col("own_id").rlike(number)).select(F.regexp_extract("own_id", number, 1).alias("stem"), F.regexp_extract("own_id", number, 2).cast("long").alias("u"))
+    gaps = in_runs(gaps, ["stem"], ["u"], count="j").groupBy("stem").agg(F.array_sort(F.collect_list(F.col("u") - F.col("j"))).alias("gaps"))  # as many as an entry has of a name
+    rest = in_runs(marked.where("keeps is null").withColumn("stem", F.concat_ws("_", "entry_id", "tag")), ["stem"], ["doc_id", "pre"], count="k").join(gaps, "stem", "left")
+    k = F.col("k") + F.coalesce(F.size(F.filter("gaps", lambda g: g < F.col("k"))), F.lit(0))
+    made = rest.select(*nodes.columns, F.concat_ws("_", "stem", k.cast("string")).alias("xml_id"))
+    return marked.where("keeps").select(*nodes.columns, F.col("own_id").alias("xml_id")).unionByName(made)
+
+
+def first_of_senses(matches: DataFrame, senses: DataFrame) -> DataFrame:
+    """doc_id, entry, sense, headword, pos: the first of each in a sense, or, with a null sense, in the whole entry; null where there is none.
+
+    matches: rows of role_matches with above; senses: doc_id, entry, pre. A match counts for every sense around it.
+    """
+    own = matches.where("role in ('hw', 'pos')").select("doc_id", "entry", "pre", "role", "final", F.concat("above", F.array("pre")).alias("chain"))
+    held = own.select("*", F.explode("chain").alias("sense")).drop("chain").join(senses.select("doc_id", "entry", F.col("pre").alias("sense")), ["doc_id", "entry", "sense"])
+    rows = held.unionByName(own.drop("chain").withColumn("sense", F.lit(None).cast("long")))
+    empty = senses.select("doc_id", "entry", F.col("pre").alias("sense"))
+    for name, kind in (("pre", "long"), ("role", "string"), ("final", "string")):
+        empty = empty.withColumn(name, F.lit(None).cast(kind))
+    first = lambda role: F.min_by("final", F.when(F.col("role") == role, F.col("pre")))
+    return rows.unionByName(empty).groupBy("doc_id", "entry", "sense").agg(first("hw").alias("headword"), first("pos").alias("pos"))
 
 
 def leftover_owners(pieces: DataFrame, entries: DataFrame) -> DataFrame:
-    """Which entry keeps text outside all entries: pieces (doc_id, at, piece), entries (doc_id, pre, post), both in document order.
+    """Which entry keeps text outside all entries: pieces (doc_id, at, piece, ...), entries (doc_id, pre, post), both in document order.
 
     Text before the first entry goes to the first; other text to the entry that ended last before it, on its left. Adds owner and side.
+    A document's pieces and ends of entries are dealt by ranges, so none is in one task.
     """
-    marks = entries.select("doc_id", F.col("post").alias("at"), F.col("pre").alias("mark"), F.lit(None).cast("string").alias("piece"))
-    both = pieces.select("doc_id", "at", F.lit(None).cast("long").alias("mark"), "piece").unionByName(marks)
-    first = entries.groupBy("doc_id").agg(F.min("pre").alias("first"))
-    before = F.last("mark", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    owned = both.withColumn("before", before).where("piece is not null").join(first, "doc_id", "left")
-    return owned.select("doc_id", "at", "piece", F.coalesce("before", "first").alias("owner"), F.when(F.col("before").isNull(), "left").otherwise("right").alias("side"))
+    rest = [c for c in pieces.columns if c not in ("doc_id", "at")]
+    own = pieces.withColumn("place__", F.row_number().over(Window.partitionBy("doc_id", "at").orderBy("off")) if "off" in rest else F.lit(1))
+    marks = entries.select("doc_id", F.col("post").alias("at"), F.lit(0).alias("place__"), F.col("pre").alias("mark__"))
+    both = own.withColumn("mark__", F.lit(None).cast("long")).unionByName(marks, allowMissingColumns=True)
+    found = in_runs(both, ["doc_id"], ["at", "place__"], last={"before__": F.col("mark__")}).where("place__ > 0")
+    first = entries.groupBy("doc_id").agg(F.min("pre").alias("first__"))
+    owned = found.join(first, "doc_id", "left")
+    return owned.select("doc_id", "at", *rest, F.coalesce("before__", "first__").alias("owner"), F.when(F.col("before__").isNull(), "left").otherwise("right").alias("side"))
 
 
 def role_markup(role: Column, final: Column, matched: Column, lang: Column) -> Column:
@@ -86,8 +129,8 @@ def tei_entries(matches: DataFrame, entry_nodes: DataFrame, senses: DataFrame, a
     """doc_id, entry, xml_id, headword, pos, n_senses, tei: one row for each entry, nested ones too, each by itself.
 
     matches: rows of role_matches with lang; senses: doc_id, entry, pre, ancestors. A match belongs to its nearest sense in the entry, if
-    any; definitions outside get a sense of their own. Order is document order throughout. scrap: doc_id, entry, at, piece of text that
-    no match took, which `keep_scrap` appends as dictScrap.
+    any; definitions outside get a sense of their own. Order is document order throughout. scrap: doc_id, entry, at, off, piece of text that
+    no match took, which `keep_scrap` appends as dictScrap; blank pieces alone make none.
     """
     own = matches.select("doc_id", "entry", "pre", "rank", "role", "final", "above", role_markup(F.col("role"), F.col("final"), F.col("matched"), F.col("lang")).alias("markup"))
     in_sense = own.select("doc_id", "entry", "pre", F.explode(F.concat("above", F.array("pre"))).alias("sense")).join(senses.select("doc_id", "entry", F.col("pre").alias("sense")), ["doc_id", "entry", "sense"]).groupBy("doc_id", "entry", "pre").agg(F.max("sense").alias("sense"))
@@ -102,13 +145,13 @@ def tei_entries(matches: DataFrame, entry_nodes: DataFrame, senses: DataFrame, a
     parts = rows.groupBy("doc_id", "entry", "sense").agg(joined("markup", ["pre", "rank"]).alias("inside"), first("hw"), first("pos"))
     each = parts.groupBy("doc_id", "entry").agg(F.max(F.when(F.col("sense").isNull(), F.col("inside"))).alias("outside"), F.array_sort(F.collect_list(F.when(F.col("sense").isNotNull(), F.struct("sense", "inside")))).alias("senses"), F.min("hw")["final"].alias("headword"), F.min("pos")["final"].alias("pos"))
     safe = F.when(is_blank(F.col("headword")), F.lit("headword")).otherwise(name_safe(F.col("headword")))
-    each = each.withColumn("n", F.row_number().over(Window.partitionBy(safe).orderBy("doc_id", "entry")))
+    each = in_runs(each.withColumn("safe", safe), ["safe"], ["doc_id", "entry"], count="n").drop("safe")
     each = each.withColumn("xml_id", entry_identifier(acronym, F.col("headword"), F.col("n"), F.col("pos")))
     each = each.join(entry_nodes.select("doc_id", F.col("pre").alias("entry"), "lang"), ["doc_id", "entry"])
     bodies = F.array_join(F.transform("senses", lambda s, i: element("sense", s["inside"], xml__id=sense_identifier(F.col("xml_id"), i + 1))), "")
     content = F.concat(F.coalesce("outside", F.lit("")), bodies)
     if keep_scrap and scrap is not None:
-        rest = scrap.where(~is_blank(F.col("piece"))).groupBy("doc_id", "entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda s: s["piece"]), " ").alias("rest"))
+        rest = scrap.groupBy("doc_id", "entry").agg(strip(seamed(F.transform(F.array_sort(F.collect_list(F.struct("at", "off", "piece"))), lambda s: s["piece"]))).alias("rest")).where("rest <> ''")
         each = each.join(rest, ["doc_id", "entry"], "left")
         content = F.concat(content, F.when(F.col("rest").isNotNull(), element("dictScrap", escaped(F.col("rest")))).otherwise(""))
     return each.select("doc_id", "entry", "xml_id", "headword", "pos", F.size("senses").cast("long").alias("n_senses"), element("entry", content, xml__id=F.col("xml_id"), xml__lang=F.col("lang")).alias("tei"))
@@ -122,10 +165,7 @@ def stripped_attributes(nodes: DataFrame, kept: list[str]) -> DataFrame:
 def model_errors(nodes: DataFrame) -> DataFrame:
     """doc_id, pre, tag, parent_tag: elements where the content model allows them not, and names that it doesn't have (parent_tag null)."""
     up = F.try_element_at("path", F.lit(-2))
-    allowed = F.lit(False)
-    for tag, parents in PARENTS.items():
-        allowed = F.when(F.col("tag") == tag, F.coalesce(up, F.lit("body")).isin(parents.split())).otherwise(allowed)
-    return nodes.where(~allowed).select("doc_id", "pre", "tag", up.alias("parent_tag"))
+    return nodes.where(~allowed(F.col("tag"), F.coalesce(up, F.lit("body")))).select("doc_id", "pre", "tag", up.alias("parent_tag"))
 
 
 def header(metadata: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import translated
-from lexmill.operators.select import parent_normalised, selected
+from lexmill.functions.text import group_start, translated
+from lexmill.operators.pieces import inner_text
+from lexmill.operators.select import attribute, namespaces_of, parent_normalised, selected
 
 INNER, INNER_REC, CONSTANT = "{meta}innerText", "{meta}innerTextRec", "{meta}constant"
 #: The roles, in the order in which they may consume an element.
@@ -44,11 +45,10 @@ class Mapping:
 
 
 def check(part: dict | None) -> None:
-    """Raises unless part is a selector or transformer of a known type, and without adoption, which no whole job applies (see adopted())."""
+    """Raises unless part is a selector or transformer of a known type."""
     if not part:
         return
-    if part.get("adoptSelector"):
-        raise ValueError("adoptSelector is not supported")
+    check(part.get("adoptSelector"))
     kind = part.get("type")
     inner = {"xpath": [], "simple": ["selector"], "exclude": ["left", "right"]}
     if kind == "union":
@@ -61,21 +61,6 @@ def check(part: dict | None) -> None:
         raise ValueError(f"type {kind!r}")
 
 
-def inner_text(nodes: DataFrame, of: DataFrame, recursive: bool = True) -> DataFrame:
-    """doc_id, pre, value: an element's own text and its children's tails, or all text inside it, in document order.
-
-    Pieces of text join the elements around them by (doc_id, pre); a group holds one element's pieces.
-    """
-    wanted = of.select("doc_id", "pre").distinct()
-    head = nodes.where("text <> ''").select("doc_id", F.col("pre").alias("at"), F.col("text").alias("piece"), F.array("pre").alias("own"), "ancestors")
-    tail = nodes.where("tail <> '' and parent is not null").select("doc_id", F.col("post").alias("at"), F.col("tail").alias("piece"), F.array("parent").alias("own"), "ancestors")
-    pieces = head.unionByName(tail)
-    holders = F.array_distinct(F.concat("own", "ancestors")) if recursive else F.col("own")
-    joined = pieces.select("doc_id", "at", "piece", F.explode(holders).alias("pre")).join(wanted, ["doc_id", "pre"])
-    text = joined.groupBy("doc_id", "pre").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("x")).select("doc_id", "pre", F.array_join(F.transform("x", lambda s: s["piece"]), "").alias("value"))
-    return wanted.join(text, ["doc_id", "pre"], "left").select("doc_id", "pre", F.coalesce("value", F.lit("")).alias("value"))
-
-
 def java_pattern(pattern: str, group) -> tuple[str, int]:
     """A pattern with its named groups as Java writes them, and the number of the group asked for (0 if there is no such)."""
     compiled = re.compile(pattern)
@@ -86,25 +71,26 @@ def java_pattern(pattern: str, group) -> tuple[str, int]:
     return java, number if number <= compiled.groups else -1
 
 
-def _leaves(transformer: dict) -> list[dict]:
+def leaves(transformer: dict) -> list[dict]:
+    """The simple transformers of a transformer, in their order."""
     if transformer["type"] == "union":
-        return [leaf for t in transformer["transformers"] for leaf in _leaves(t)]
+        return [leaf for t in transformer["transformers"] for leaf in leaves(t)]
     return [transformer]
 
 
 def found_all(nodes: DataFrame, transformers: list[dict], context: DataFrame | None = None) -> DataFrame:
-    """doc_id, ctx, pre, attr, value, matched, final and t (the transformer's place in the list) of what each finds from each context row.
+    """doc_id, ctx, pre, attr, value, matched, start, final and t (the transformer's place in the list) of what each finds from each context row.
 
     value: the text or attribute; nodes without the attribute, or whose value the pattern doesn't occur in, are left out. matched: the pattern's
-    group (a group that doesn't exist: ''). final: matched, translated by xlat where it has it. Of a union, the first transformer that
+    group (a group that doesn't exist: ''), start: how many characters of the value precede it. final: matched, translated by xlat where it has it. Of a union, the first transformer that
     finds a node counts. Texts of all transformers come by one join.
     """
-    leaves = [(t, leaf) for t, transformer in enumerate(transformers) for leaf in _leaves(transformer)]
+    simple = [(t, leaf) for t, transformer in enumerate(transformers) for leaf in leaves(transformer)]
     out, texts = None, set()
-    for i, (t, leaf) in enumerate(leaves):
+    for i, (t, leaf) in enumerate(simple):
         attr = leaf.get("attr") or INNER_REC
         at = selected(nodes, leaf["selector"], context)
-        value = F.lit(leaf.get("const", "")) if attr == CONSTANT else F.lit(None).cast("string") if attr in (INNER, INNER_REC) else F.col("attrs")[attr]
+        value = F.lit(leaf.get("const", "")) if attr == CONSTANT else F.lit(None).cast("string") if attr in (INNER, INNER_REC) else attribute(attr, namespaces_of(leaf["selector"]))
         one = at.select("doc_id", "ctx", "pre", F.lit(t).alias("t"), F.lit(i).alias("leaf"), F.lit(attr).alias("attr"), value.alias("value"))
         if attr in (INNER, INNER_REC):
             texts.add(attr)
@@ -114,21 +100,23 @@ def found_all(nodes: DataFrame, transformers: list[dict], context: DataFrame | N
     for attr in sorted(texts):
         text = inner_text(nodes, out.where(F.col("attr") == attr), attr == INNER_REC).select("doc_id", "pre", F.lit(attr).alias("attr"), F.col("value").alias("inside"))
         out = out.join(text, ["doc_id", "pre", "attr"], "left").withColumn("value", F.coalesce("value", "inside")).drop("inside")
-    met, matched = F.lit(True), F.col("value")
-    for i, (_, leaf) in enumerate(leaves):
+    met, matched, start = F.lit(True), F.col("value"), F.lit(0)
+    for i, (_, leaf) in enumerate(simple):
         if leaf.get("rex"):
             pattern, group = java_pattern(leaf["rex"], leaf.get("rexGroup"))
             met = F.when(F.col("leaf") == i, F.col("value").rlike(pattern)).otherwise(met)
             matched = F.when(F.col("leaf") == i, F.regexp_extract("value", pattern, group) if group >= 0 else F.lit("")).otherwise(matched)
-    out = out.where(met).withColumn("matched", matched)
-    if len(leaves) > len(transformers):
+            own = F.length(F.split("value", pattern, 2)[0]) if group == 0 else group_start(leaf["rex"], group)(F.when(F.col("leaf") == i, F.col("value"))) if group > 0 else F.lit(0)
+            start = F.when(F.col("leaf") == i, own).otherwise(start)
+    out = out.where(met).withColumn("matched", matched).withColumn("start", F.coalesce(start, F.lit(0)))
+    if len(simple) > len(transformers):
         first = Window.partitionBy("doc_id", "ctx", "pre", "t").orderBy("leaf")
         out = out.withColumn("k", F.row_number().over(first)).where("k = 1")
     final = F.col("matched")
-    for i, (_, leaf) in enumerate(leaves):
+    for i, (_, leaf) in enumerate(simple):
         if leaf.get("xlat"):
             final = F.when(F.col("leaf") == i, translated(F.col("matched"), leaf["xlat"])).otherwise(final)
-    return out.select("doc_id", "ctx", "pre", "t", "attr", "value", "matched", final.alias("final"))
+    return out.select("doc_id", "ctx", "pre", "t", "attr", "value", "matched", "start", final.alias("final"))
 
 
 def found(nodes: DataFrame, transformer: dict, context: DataFrame | None = None) -> DataFrame:
@@ -142,7 +130,7 @@ def strategy(attr: Column, value: Column, matched: Column) -> Column:
 
 
 def role_matches(nodes: DataFrame, mapping: Mapping, entry_nodes: DataFrame) -> DataFrame:
-    """doc_id, entry (pre), pre, role, rank, attr, value, matched, final, strategy of all roles.
+    """doc_id, entry (pre), pre, role, rank, attr, value, matched, start, final, strategy of all roles.
 
     Of the matches that would consume one element, the first role in ROLES does; the others become parts.
     """
@@ -177,6 +165,12 @@ def with_languages(nodes: DataFrame, mapping: Mapping, matches: DataFrame) -> Da
     return out
 
 
+def taken_spans(matches: DataFrame) -> DataFrame:
+    """doc_id, pre, recursive, start, end: the characters of an element's inner text that a match takes; those of attributes and constants take none."""
+    own = matches.where(F.col("attr").isin(INNER, INNER_REC))
+    return own.select("doc_id", "pre", (F.col("attr") == INNER_REC).alias("recursive"), F.col("start").cast("long").alias("start"), (F.col("start") + F.length("matched")).cast("long").alias("end")).distinct()
+
+
 def adopted(nodes: DataFrame, selector: dict, adopters: DataFrame) -> DataFrame:
     """doc_id, adoptee, adopter: what `selector` selects from each adopter (doc_id, pre), each element by the first adopter in document order, and
     none that lies inside its adopter already."""

@@ -127,6 +127,13 @@ def classification_report(matrix: DataFrame) -> DataFrame:
     return both.select("label", F.col("support").cast("long").alias("support"), p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
+def accuracy(matrix: DataFrame) -> DataFrame:
+    """n, right, accuracy, one row, of a confusion matrix; the share is 0 without rows."""
+    right = F.coalesce(F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))), F.lit(0)).cast("long")
+    sums = matrix.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), right.alias("right"))
+    return sums.withColumn("accuracy", F.when(F.col("n") > 0, F.col("right") / F.col("n")).otherwise(0.0))
+
+
 def vocabulary(values: DataFrame, column: str) -> DataFrame:
     """value, id: distinct values numbered alphabetically, so that a run repeats; ids begin at 1, 0 is for the unknown."""
     found = values.select(F.col(column).alias("value")).where("value is not null").distinct()
@@ -139,6 +146,44 @@ def coded(rows: DataFrame, column: str, known: DataFrame) -> DataFrame:
     return rows.join(ids, column, "left").withColumn("code", F.coalesce("code", F.lit(0).cast("long")))
 
 
+#: A vocabulary of up to so many values goes to every task as a map; longer ones are joined.
+MAP_VALUES = 10_000
+
+
+def char_codes(rows: DataFrame, column: str, known: DataFrame, width: int) -> DataFrame:
+    """rows with codes: the ids that a vocabulary (value, id) of characters has for a text's characters, 0 for those it lacks.
+
+    Always `width` long: shorter texts are padded with zeros on the left, of longer ones the last characters count. A null text is empty.
+    """
+    few = known.limit(MAP_VALUES + 1).collect()
+    chars = F.filter(F.split(F.coalesce(F.col(column), F.lit("")), ""), lambda c: c != "")
+    if len(few) <= MAP_VALUES:
+        table = F.create_map(*[F.lit(x) for r in few for x in (r["value"], int(r["id"]))]).cast("map<string,bigint>")
+        codes = F.transform(chars, lambda c: F.coalesce(F.try_element_at(table, c), F.lit(0)))
+        out = rows.withColumn("codes", codes)
+    else:
+        own = rows.withColumn("row__", F.monotonically_increasing_id())
+        each = stored(own).select("*", F.posexplode_outer(chars).alias("at__", "char__"))
+        met = each.join(known.select(F.col("value").alias("char__"), F.col("id").alias("code__")), "char__", "left")
+        found = F.array_sort(F.collect_list(F.when(F.col("at__").isNotNull(), F.struct("at__", F.coalesce("code__", F.lit(0)).cast("long").alias("c")))))
+        out = met.groupBy("row__", *rows.columns).agg(F.transform(found, lambda s: s["c"]).alias("codes")).drop("row__")
+    long_ = F.slice("codes", F.greatest(F.size("codes") - width + 1, F.lit(1)), width)
+    return out.withColumn("codes", F.concat(F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(width) - F.size("codes"), F.lit(0))), long_))
+
+
+def one_hot(rows: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """rows with hot: a sparse vector (size, indices, values) of which features a vocabulary (value, id) has; unknown and null features count not.
+
+    column: an array of features, each of which counts once. A feature's place is its id less 1, so the vector is as long as the vocabulary.
+    Features meet the vocabulary by a join, rows with none of them have no places set.
+    """
+    size, own = known.count(), stored(rows.withColumn("row__", F.monotonically_increasing_id()))
+    each = own.select("row__", F.explode(F.array_distinct(column)).alias("value")).join(known, "value")
+    places = each.groupBy("row__").agg(F.transform(F.array_sort(F.collect_set("id")), lambda i: (i - 1).cast("int")).alias("indices"))
+    joined = own.join(places, "row__", "left").withColumn("indices", F.coalesce("indices", F.array().cast("array<int>")))
+    return joined.withColumn("hot", F.struct(F.lit(size).cast("int").alias("size"), "indices", F.transform("indices", lambda i: F.lit(1.0)).alias("values"))).drop("row__", "indices")
+
+
 def unseen_labels(test: DataFrame, train: DataFrame, column: str = "label") -> DataFrame:
     """Labels of the test rows that no training row has; a test set with any can't be evaluated."""
     return test.select(column).where(F.col(column).isNotNull()).distinct().join(train.select(column).distinct(), column, "left_anti")

@@ -6,20 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import acronym, element, escaped
-from lexmill.operators.assemble import tei_entries
-from lexmill.operators.mapping import Mapping, found, inner_text, nearest, role_matches, with_languages
+from lexmill.operators.assemble import leftover_owners, tei_entries
+from lexmill.operators.catalog import first_entries
+from lexmill.operators.mapping import Mapping, found, nearest, role_matches, taken_spans, with_languages
+from lexmill.operators.moves import adoptions_of, moved
+from lexmill.operators.pieces import inner_text, segments, spans_in_pieces
 from lexmill.operators.select import entries, selected
 from lexmill.sources.store import stored
 
 
-def dictionary_to_tei(nodes: DataFrame, mapping: Mapping, title: str = "dict", keep_scrap: bool = False) -> DataFrame:
+def dictionary_to_tei(nodes: DataFrame, mapping: Mapping, title: str = "dict", keep_scrap: bool = False, max_entries: int | None = None) -> DataFrame:
     """doc_id, entry, xml_id, headword, pos, n_senses, tei of every entry of a node table.
 
     Nested entries come as entries of their own, after the one around them, in document order, and what they hold is theirs alone.
-    Selectors see the whole document, so paths that lead out of an entry are followed.
+    Selectors see the whole document, so paths that lead out of an entry are followed. What a mapping's adoptSelectors select moves with
+    its matches under the adopter, so it comes after the adopter's match and in its sense. max_entries: of each document, only so many
+    entries, the first ones; text of the others is nobody's.
     """
     nodes = stored(nodes)
     own = entries(nodes, mapping.entry)
+    own = own if max_entries is None else first_entries(own, max_entries, ["pre"])
     own = nearest(nodes, own, found(nodes, mapping.slots["entry_lang"]), "lang") if "entry_lang" in mapping.slots else own.withColumn("lang", F.lit(None).cast("string"))
     own = stored(own)
     matches = with_languages(nodes, mapping, role_matches(nodes, mapping, own))
@@ -28,18 +34,34 @@ def dictionary_to_tei(nodes: DataFrame, mapping: Mapping, title: str = "dict", k
     inside = matches.select("doc_id", "entry", "pre", F.explode(F.concat("above", F.array("pre"))).alias("inner")).join(deeper, ["doc_id", "entry", "inner"]).select("doc_id", "entry", "pre").distinct()
     matches = matches.join(inside, ["doc_id", "entry", "pre"], "left_anti")
     senses = selected(nodes, mapping.sense, own).select("doc_id", F.col("ctx").alias("entry"), "pre", "ancestors") if mapping.sense else own.where("false").select("doc_id", F.col("pre").alias("entry"), "pre", "ancestors")
-    scrap = None
-    if keep_scrap:
-        took = matches.select("doc_id", "pre").distinct().withColumn("taken", F.lit(True))
-        head = nodes.where("text <> ''").select("doc_id", "pre", F.col("pre").alias("at"), F.col("text").alias("piece"), F.concat("ancestors", F.array("pre")).alias("around"))
-        tail = nodes.where("tail <> '' and parent is not null").select("doc_id", "pre", F.col("post").alias("at"), F.col("tail").alias("piece"), F.col("ancestors").alias("around"))
-        pieces = head.unionByName(tail).select("doc_id", "at", "piece", F.explode("around").alias("pre"))
-        entry_keys = own.select("doc_id", "pre").withColumn("is_entry", F.lit(True))
-        marked = pieces.join(took, ["doc_id", "pre"], "left").join(entry_keys, ["doc_id", "pre"], "left")
-        scrap = marked.groupBy("doc_id", "at", "piece").agg(F.max(F.when(F.col("is_entry"), F.col("pre"))).alias("entry"), F.max("taken").alias("taken")).where("entry is not null and taken is null")
+    scrap = leftover(nodes, matches, own) if keep_scrap else None
+    moves = adoptions_of(nodes, mapping, own)
+    if moves is not None:
+        now = moved(nodes, moves)
+        at = stored(now.select("doc_id", F.col("was").alias("pre"), F.col("pre").alias("now"), F.col("ancestors").alias("around")))
+        holder = at.select("doc_id", F.col("pre").alias("entry"), F.col("now").alias("now_entry"))
+        there = lambda rows, chain: rows.drop(chain).join(at, ["doc_id", "pre"]).drop("pre").withColumnsRenamed({"now": "pre", "around": chain})
+        within = lambda rows: rows.join(holder, ["doc_id", "entry"]).drop("entry").withColumnRenamed("now_entry", "entry")
+        matches, senses, own = stored(within(there(matches, "above"))), within(there(senses, "ancestors")), there(own, "ancestors")
+        scrap = None if scrap is None else within(scrap)
     return tei_entries(matches, own, senses, acronym(F.lit(title)), keep_scrap, scrap)
 
 
+def leftover(nodes: DataFrame, matches: DataFrame, own: DataFrame) -> DataFrame:
+    """doc_id, entry, at, off, piece: all text that no match takes, with the entry that keeps it.
+
+    A match takes the characters of its element's text that it matched, wherever in the elements below they stand; matches of attributes
+    and constants take none. Text in an entry is the innermost one's, text outside all goes as leftover_owners() says. Together with
+    what the matches take this is all text of the documents that have entries.
+    """
+    rest = stored(segments(nodes, spans_in_pieces(nodes, taken_spans(matches))).where("not taken").select("doc_id", "at", "off", "piece", "around"))
+    keys = own.select("doc_id", F.col("pre").alias("entry"))
+    inside = rest.select("doc_id", "at", "off", F.explode("around").alias("entry")).join(keys, ["doc_id", "entry"]).groupBy("doc_id", "at", "off").agg(F.max("entry").alias("entry"))
+    held = rest.join(inside, ["doc_id", "at", "off"], "left").select("doc_id", "entry", "at", "off", "piece")
+    outside = leftover_owners(held.where("entry is null").drop("entry"), own).where("owner is not null")
+    return held.where("entry is not null").unionByName(outside.select("doc_id", F.col("owner").alias("entry"), "at", "off", "piece"))
+
+
 def tei_parts(nodes: DataFrame, entries: DataFrame, headers: DataFrame) -> DataFrame:
     """doc_id, place, tei: whole TEI documents as pieces that follow each other by place.
 
@@ -73,7 +95,7 @@ def table_to_tei(rows: DataFrame) -> DataFrame:
     return grouped_senses(rows).select("lemma", "pos", element("entry", F.concat(form, senses)).alias("tei"))
 
 
-def batched(docs: DataFrame, key: Column, order: str, root: str, size_hint: int) -> DataFrame:
-    """doc_id, raw: rows (order, xml) put into documents by key; size_hint rows make about one document."""
+def batched(docs: DataFrame, key: Column, order: str, root: str) -> DataFrame:
+    """doc_id, raw: rows (order, xml) put into documents by key."""
     each = docs.groupBy(key.alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "xml"))), lambda s: s["xml"]), "\n").alias("body"))
     return each.select("doc_id", F.concat(F.lit(f"<{root}>"), "body", F.lit(f"</{root}>")).alias("raw"))

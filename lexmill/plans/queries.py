@@ -46,7 +46,7 @@ def part_documents(spark: SparkSession, sf_dir: str, per_document: int = 500) ->
     parts = _table(spark, sf_dir, "part")
     inner = F.concat(_tag("hw", F.col("p_name")), _tag("pos", F.col("p_type")), _tag("label", F.col("p_brand")))
     rows = parts.select("p_partkey", F.floor(F.col("p_partkey") / per_document).alias("d"), T.element("entry", inner, id=F.col("p_partkey"), size=F.col("p_size")).alias("xml"))
-    return dictionary.batched(rows, F.col("d"), "p_partkey", "dict", per_document)
+    return dictionary.batched(rows, F.col("d"), "p_partkey", "dict")
 
 
 def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, line.alias("xml")))), lambda s: s["xml"]), "").alias("lines"))
     joined = orders.join(each, orders["o_orderkey"] == each["l_orderkey"], "left")
     xml = T.element("order", F.concat(_tag("hw", F.col("o_orderpriority")), _tag("pos", F.col("o_orderstatus")), F.coalesce("lines", F.lit(""))), id=F.col("o_orderkey"))
-    return stored(shred(dictionary.batched(joined.select("o_orderkey", "o_custkey", xml.alias("xml")), F.col("o_custkey"), "o_orderkey", "dict", 100)))
+    return stored(shred(dictionary.batched(joined.select("o_orderkey", "o_custkey", xml.alias("xml")), F.col("o_custkey"), "o_orderkey", "dict")))
 
 
 def geography_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +185,7 @@ UNION ALL SELECT DISTINCT o_custkey, o_custkey, true, 1 FROM orders""")
 def nested_promote(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", T.element("entry", F.lit("x"), id=F.col("o_orderkey")).alias("xml"))
     each = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "xml"))), lambda s: s["xml"]), "").alias("inner"))
-    nodes = shred(each.select("doc_id", T.element("dict", T.element("entry", F.col("inner"), id=F.col("doc_id"))).alias("raw")))
+    nodes = stored(shred(each.select("doc_id", T.element("dict", T.element("entry", F.col("inner"), id=F.col("doc_id"))).alias("raw"))))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))
     return S.entries(nodes, {"type": "xpath", "expr": ".//entry"}).select("doc_id", F.col("attrs")["id"].cast("long").alias("id"), "is_top", place.cast("long").alias("place"))
 
@@ -194,7 +194,7 @@ def nested_promote(spark, sf_dir):
 SELECT o_custkey AS doc_id, 'before ' || o_orderkey AS piece, CASE WHEN k = 1 THEN o_orderkey ELSE lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY k) END AS owner, CASE WHEN k = 1 THEN 'left' ELSE 'right' END AS side FROM o""")
 def scrap_owners(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat(F.concat(F.lit("<b>before "), F.col("o_orderkey").cast("string"), F.lit("</b>")), T.element("entry", F.lit("x"), id=F.col("o_orderkey"))).alias("xml"))
-    nodes = shred(dictionary.batched(orders, F.col("o_custkey"), "o_orderkey", "dict", 100))
+    nodes = stored(shred(dictionary.batched(orders, F.col("o_custkey"), "o_orderkey", "dict")))
     own = S.entries(nodes, {"type": "xpath", "expr": ".//entry"})
     pieces = nodes.where("tag = 'b'").select("doc_id", F.col("pre").alias("at"), F.col("text").alias("piece"))
     ids = own.select("doc_id", F.col("pre").alias("owner"), F.col("attrs")["id"].cast("long").alias("id"))
@@ -558,3 +558,6 @@ def stripped_scrap(spark, sf_dir):
     raw = T.element("entry", F.concat(note, scrap(name), scrap(lit(" ")), T.element("dictScrap", T.element("usg", lit("u")))))
     nodes = stored(shred(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), raw.alias("raw"))))
     return prune.unwrapped(nodes, prune.strippable(nodes)).select("doc_id", "tag", F.array_join("path", "/").alias("path"), "text", "tail")
+
+
+from lexmill.plans import structure  # noqa: E402, F401  (registers its queries)

@@ -21,7 +21,7 @@ def read_dictionary(spark: SparkSession, path: str, sep: str | None = None) -> D
 
 
 def dictionary_errors(rows: DataFrame) -> DataFrame:
-    """error, value, n: parts of speech that aren't universal, sense ids that repeat, entry ids of several lemmas."""
+    """error, value, n: parts of speech that aren't universal, sense ids that repeat, entry ids of several lemmas, lemmas of several entry ids."""
     wrong = rows.where(~F.upper("pos").isin(UNIVERSAL_POS)).groupBy(F.col("pos").alias("value")).agg(F.count("*").alias("n")).select(F.lit("pos").alias("error"), "value", "n")
     if "sense_id" in rows.columns:
         again = rows.where("sense_id is not null").groupBy(F.col("sense_id").alias("value")).agg(F.count("*").alias("n")).where("n > 1")
@@ -29,6 +29,8 @@ def dictionary_errors(rows: DataFrame) -> DataFrame:
     if "entry_id" in rows.columns:
         several = rows.where("entry_id is not null").groupBy(F.col("entry_id").alias("value")).agg(F.count_distinct("lemma").alias("n")).where("n > 1")
         wrong = wrong.unionByName(several.select(F.lit("entry_id").alias("error"), "value", "n"))
+        split = rows.where("lemma is not null").groupBy(F.col("lemma").alias("value")).agg(F.count_distinct("entry_id").alias("n")).where("n > 1")
+        wrong = wrong.unionByName(split.select(F.lit("lemma").alias("error"), "value", "n"))
     return wrong
 
 

@@ -12,8 +12,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NODES = "doc_id long, pre long, post long, parent long, depth int, sib int, tag string, attrs map<string,string>, text string, tail string, path array<string>, ancestors array<long>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("pre", pa.int64()), ("post", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("sib", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("tail", pa.string()), ("path", pa.list_(pa.string())), ("ancestors", pa.list_(pa.int64()))])
+from lexmill.functions.text import escaped
+
+NODES = "doc_id long, pre long, post long, parent long, depth int, sib int, tag string, attrs map<string,string>, text string, tail string, path array<string>, ancestors array<long>, prefix string, ns string, scope map<string,string>"
+_MAP = pa.map_(pa.string(), pa.string())
+_ARROW = pa.schema([("doc_id", pa.int64()), ("pre", pa.int64()), ("post", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("sib", pa.int32()), ("tag", pa.string()), ("attrs", _MAP), ("text", pa.string()), ("tail", pa.string()), ("path", pa.list_(pa.string())), ("ancestors", pa.list_(pa.int64())), ("prefix", pa.string()), ("ns", pa.string()), ("scope", _MAP)])
+#: Fixed value: what the prefix xml stands for in every document.
+XML_NAMESPACE = "http://www.w3.org/XML/1998/namespace"
+
+
+def named(raw: str, scope: dict[str, str], attribute: bool = False) -> tuple[str, str, str]:
+    """Prefix, local name and namespace of a name as written; one whose prefix isn't declared is a whole name without a namespace."""
+    prefix, colon, local = raw.partition(":")
+    if not colon:
+        return "", raw, "" if attribute else scope.get("", "")
+    if prefix == "xml":
+        return prefix, local, XML_NAMESPACE
+    return (prefix, local, scope[prefix]) if local and scope.get(prefix) else ("", raw, "")
 
 
 class _Builder:
@@ -27,7 +42,17 @@ class _Builder:
 
     def start(self, tag: str, attrs) -> None:
         up = self.open[-1] if self.open else None
-        node = {"doc_id": self.doc_id, "pre": self.clock, "parent": up and up["pre"], "depth": len(self.open), "sib": up["n"] if up else 0, "tag": tag.rpartition("}")[2], "attrs": list(dict(attrs).items()), "text": "", "tail": "", "n": 0}
+        scope, attrs = up["names"] if up else {}, dict(attrs)
+        declared = {name[6:]: uri for name, uri in attrs.items() if name == "xmlns" or name.startswith("xmlns:")}
+        if declared:
+            scope = {**scope, **declared}
+        prefix, local, uri = named(tag, scope)
+        own = {}
+        for name, value in attrs.items():
+            if name != "xmlns" and not name.startswith("xmlns:"):
+                p, n, u = named(name, scope, True)
+                own[name if p in ("", "xml") else f"{{{u}}}{n}"] = value
+        node = {"doc_id": self.doc_id, "pre": self.clock, "parent": up and up["pre"], "depth": len(self.open), "sib": up["n"] if up else 0, "tag": local, "attrs": list(own.items()), "text": "", "tail": "", "n": 0, "prefix": prefix, "ns": uri, "names": scope, "scope": list(scope.items()), "raw": tag}
         node["path"] = [*(up["path"] if up else ()), node["tag"]]
         node["ancestors"] = [*(up["ancestors"] if up else ()), *([up["pre"]] if up else ())]
         if up:
@@ -45,10 +70,9 @@ class _Builder:
 
     def end(self, tag: str) -> None:
         """Closes the innermost open element of that name, and what it still holds open; a stray end tag is ignored."""
-        name = tag.rpartition("}")[2]
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i]["tag"] == name), None)
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i]["raw"] == tag), None)
         if at is None:
-            at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i]["tag"].lower() == name.lower()), None)
+            at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i]["raw"].lower() == tag.lower()), None)
         while at is not None and len(self.open) > at:
             self.last = self.open.pop()
             self.last["post"] = self.clock
@@ -56,7 +80,7 @@ class _Builder:
 
     def done(self) -> list[dict]:
         while self.open:
-            self.end(self.open[-1]["tag"])
+            self.end(self.open[-1]["raw"])
         if self.blank:
             for r in self.rows:
                 r["text"], r["tail"] = (x if x.strip() else "" for x in (r["text"], r["tail"]))
@@ -115,8 +139,10 @@ def shred(docs: DataFrame, drop_blank_text: bool = False) -> DataFrame:
     """The node table of documents (doc_id, raw): one row for each element.
 
     pre < post are a node's entry and exit times, so a contains d where a.pre < d.pre and d.post < a.post; ancestors holds the
-    ancestors' pre from the root down, which makes ancestor and descendant joins equi-joins. tag is the local name; text comes before the
-    first child, tail after the element. Malformed documents are repaired: stray end tags are ignored, open elements closed. Null
+    ancestors' pre from the root down, which makes ancestor and descendant joins equi-joins. tag is the local name, prefix the one it is
+    written with, ns its namespace ('' for none), scope the prefixes in force ('' for the default namespace); an undeclared prefix stays
+    part of the name. attrs has an attribute with a prefix under {namespace}name, but xml:lang and the like as written, and no
+    declarations. text comes before the first child, tail after the element. Malformed documents are repaired: stray end tags are ignored, open elements closed. Null
     and blank documents have no nodes.
     """
 
@@ -131,6 +157,30 @@ def shred(docs: DataFrame, drop_blank_text: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("raw").cast("string")).mapInArrow(rows, NODES)
 
 
+def document_parts(nodes: DataFrame) -> DataFrame:
+    """doc_id, place, tei: documents as markup again, in rows that follow each other by place.
+
+    The document element's start, each of its children with all inside, and its end are a row each, so a document stays many rows; a task joins
+    the tags and texts of one child. Namespaces are declared where their scope begins.
+    """
+    above = nodes.select("doc_id", F.col("pre").alias("parent"), F.col("scope").alias("outer"))
+    own = nodes.join(above, ["doc_id", "parent"], "left")
+    outer = F.coalesce("outer", F.create_map().cast("map<string,string>"))
+    pair = lambda name, value: F.concat(F.lit(" "), name, F.lit('="'), escaped(value), F.lit('"'))
+    new = F.filter(F.map_entries("scope"), lambda e: ~F.coalesce(F.try_element_at(outer, e["key"]) == e["value"], F.lit(False)))
+    declared = F.array_join(F.transform(new, lambda e: pair(F.when(e["key"] == "", F.lit("xmlns")).otherwise(F.concat(F.lit("xmlns:"), e["key"])), e["value"])), "")
+    prefix = lambda uri: F.get(F.map_keys(F.map_filter("scope", lambda k, v: (v == uri) & (k != ""))), 0)
+    qualified = lambda k: F.when(k.startswith("{"), F.concat_ws(":", prefix(F.regexp_extract(k, r"^\{([^}]*)\}", 1)), F.regexp_replace(k, r"^\{[^}]*\}", ""))).otherwise(k)
+    attributes = F.array_join(F.transform(F.map_entries("attrs"), lambda e: pair(qualified(e["key"]), e["value"])), "")
+    name = F.when(F.col("prefix") == "", F.col("tag")).otherwise(F.concat_ws(":", "prefix", "tag"))
+    text = lambda c: F.coalesce(escaped(F.col(c)), F.lit(""))
+    child = F.when(F.size("ancestors") == 0, F.lit(None)).when(F.size("ancestors") == 1, F.col("pre")).otherwise(F.get("ancestors", F.lit(1)))
+    start = own.select("doc_id", child.alias("child"), F.col("pre").alias("at"), F.concat(F.lit("<"), name, declared, attributes, F.lit(">"), text("text")).alias("x"))
+    end = own.select("doc_id", child.alias("child"), F.col("post").alias("at"), F.concat(F.lit("</"), name, F.lit(">"), F.when(F.col("parent").isNull(), "").otherwise(text("tail"))).alias("x"))
+    events = start.unionByName(end).withColumn("place", F.coalesce("child", "at"))
+    return events.groupBy("doc_id", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]), "").alias("tei"))
+
+
 def kind_of(content: Column, path: Column) -> Column:
     """A file's kind by its first bytes, else by its name."""
     head = F.hex(F.substring(content, 1, 8))

@@ -134,7 +134,7 @@ def test_positions_unions_and_predicates(spark):
     assert got(".//e[@k][1]") == [first, second] and got(".//e[1][@k]") == [first]
     assert got(".//e[@k='a/b'] | .//e[@k='x|y'] | .//e[1]") == [first, inner, second]
     assert got(".//*[contains(@k, 'b')]") == [first, f] and got(".//*[starts-with(@k, 'x')]") == [second] and got(".//e[not(@k)]") == [inner, last]
-    for bad in ("descendant::e[1]", ".//ancestor::e", "e[text()]", "e[1", "e[0]"):
+    for bad in ("descendant::e[1]", ".//ancestor::e", "e[count(x)]", "e[1", "e[0]", "e[/x]", "text()/x", "e/@k[1]"):
         with pytest.raises(ValueError):
             S.steps_of(bad)
 

@@ -84,15 +84,6 @@ def test_order_of_ends(spark):
     assert [r["place"] for r in S.in_exit_order(own).orderBy("pre").collect()] == [2, 1, 3]
 
 
-def test_a_mapping_with_adoption_is_refused():
-    import pytest
-
-    part = {"type": "simple", "selector": {"type": "xpath", "expr": "a"}, "adoptSelector": {"type": "xpath", "expr": "b"}}
-    for spec in ({"entry": {"type": "xpath", "expr": "e"}, "hw": part}, {"entry": {"type": "xpath", "expr": "e"}, "hw": {"type": "union", "transformers": [part]}}):
-        with pytest.raises(ValueError, match="adoptSelector"):
-            mapping.Mapping.of(spec)
-
-
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a\nb", 'say "hi", now', "x"), ("c", "n", " y ")], "lemma string, definition string, pos string")
     write_dictionary(rows, f"{tmp_path}/d.csv")

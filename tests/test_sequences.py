@@ -90,3 +90,40 @@ def test_codes_lengths_and_unseen(spark):
     assert sorted((r["seq"], r["code"]) for r in sequences.coded(rows, "label", known).collect()) == [(1, 0), (1, 1), (2, 0)]
     assert tuple(sequences.max_lengths(rows, "seq", "label").first()) == (2, 3) and tuple(sequences.max_lengths(rows.where("false"), "seq", "label").first()) == (0, 0)
     assert [r["label"] for r in sequences.unseen_labels(rows, rows.where("label = 'a'")).collect()] == ["zzz"]
+
+
+def test_codes_and_vectors(spark):
+    known = spark.createDataFrame([("a", 1), ("b", 2), ("é", 3)], "value string, id long")
+    rows = spark.createDataFrame([(1, "ab"), (2, None), (3, ""), (4, "xaébba")], "k int, t string")
+    want = {1: [0, 0, 1, 2], 2: [0] * 4, 3: [0] * 4, 4: [3, 2, 2, 1]}
+    for limit in (10_000, 2):  # as a map, and by a join
+        sequences.MAP_VALUES, old = limit, sequences.MAP_VALUES
+        assert {r["k"]: r["codes"] for r in sequences.char_codes(rows, "t", known, 4).collect()} == want
+        sequences.MAP_VALUES = old
+    features = spark.createDataFrame([(1, ["b", "a", "b", "z"]), (2, []), (3, None), (1, ["é"])], "k int, f array<string>")
+    got = sorted((r["k"], r["hot"]["size"], r["hot"]["indices"], r["hot"]["values"]) for r in sequences.one_hot(features, "f", known).collect())
+    assert got == [(1, 3, [0, 1], [1.0, 1.0]), (1, 3, [2], [1.0]), (2, 3, [], []), (3, 3, [], [])]
+
+
+def test_accuracy(spark):
+    rows = spark.createDataFrame([("a", "a", 3), ("a", "b", 1)], "actual string, predicted string, n long")
+    assert [tuple(r) for r in sequences.accuracy(rows).collect()] == [(4, 3, 0.75)] and [tuple(r) for r in sequences.accuracy(rows.limit(0)).collect()] == [(0, 0, 0.0)]
+
+
+def test_numbers_skip_used_ones(spark):
+    from lexmill.operators.assemble import first_of_senses, other_identifiers
+
+    rows = [("e1", "cit", 1, i, None) for i in range(5)] + [("e1", "usg", 1, 9, "own"), ("e1", "usg", 1, 10, "own"), ("e2", "cit", 1, 11, "e1_cit_4"), ("e2", "cit", 1, 12, "e2"), ("e2", "note", 2, 1, None)]
+    used = spark.createDataFrame([("e1",), ("e2",), ("e1_cit_1",), ("e1_cit_3",), ("e1_cit_03",), ("e1_cit_x",), (None,)], "id string")
+    got = other_identifiers(spark.createDataFrame(rows, "entry_id string, tag string, doc_id long, pre long, own_id string"), used).orderBy("doc_id", "pre")
+    assert [r["xml_id"] for r in got.collect()] == ["e1_cit_2", "e1_cit_5", "e1_cit_6", "e1_cit_7", "e1_cit_8", "own", "e1_usg_1", "e1_cit_4", "e2_cit_1", "e2_note_1"]
+    matches = spark.createDataFrame([(1, 0, 5, "hw", "a", [0, 2]), (1, 0, 4, "hw", "b", [0]), (1, 0, 6, "pos", "n", [0, 2, 3])], "doc_id long, entry long, pre long, role string, final string, above array<long>")
+    senses = spark.createDataFrame([(1, 0, 2), (1, 0, 3), (1, 0, 9)], "doc_id long, entry long, pre long")
+    assert sorted((str(r["sense"]), r["headword"], r["pos"]) for r in first_of_senses(matches, senses).collect()) == [("2", "a", "n"), ("3", None, "n"), ("9", None, None), ("None", "b", "n")]
+
+
+def test_one_lemma_with_two_entry_ids_is_an_error(spark):
+    from lexmill.sources.tables import dictionary_errors
+
+    rows = spark.createDataFrame([("a", "NOUN", "x", "1"), ("a", "NOUN", "y", "2"), ("b", "NOUN", "z", "3")], "lemma string, pos string, definition string, entry_id string")
+    assert [tuple(r) for r in dictionary_errors(rows).collect()] == [("lemma", "a", 2)]
