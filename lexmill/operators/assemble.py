@@ -125,12 +125,12 @@ def role_markup(role: Column, final: Column, matched: Column, lang: Column) -> C
     return out.when(role == "def", simple("def")).when(role == "note", simple("note")).otherwise(simple("gloss"))
 
 
-def tei_entries(matches: DataFrame, entry_nodes: DataFrame, senses: DataFrame, acronym: Column, keep_scrap: bool = False, scrap: DataFrame | None = None) -> DataFrame:
+def tei_entries(matches: DataFrame, entry_nodes: DataFrame, senses: DataFrame, acronym: Column, keep_scrap: bool = False, scrap: DataFrame | None = None, datasets: DataFrame | None = None) -> DataFrame:
     """doc_id, entry, xml_id, headword, pos, n_senses, tei: one row for each entry, nested ones too, each by itself.
 
     matches: rows of role_matches with lang; senses: doc_id, entry, pre, ancestors. A match belongs to its nearest sense in the entry, if
     any; definitions outside get a sense of their own. Order is document order throughout. scrap: doc_id, entry, at, off, piece of text that
-    no match took, which `keep_scrap` appends as dictScrap; blank pieces alone make none.
+    no match took, which `keep_scrap` appends as dictScrap; blank pieces alone make none. datasets: doc_id, dsid, within which headwords are numbered.
     """
     own = matches.select("doc_id", "entry", "pre", "rank", "role", "final", "above", role_markup(F.col("role"), F.col("final"), F.col("matched"), F.col("lang")).alias("markup"))
     in_sense = own.select("doc_id", "entry", "pre", F.explode(F.concat("above", F.array("pre"))).alias("sense")).join(senses.select("doc_id", "entry", F.col("pre").alias("sense")), ["doc_id", "entry", "sense"]).groupBy("doc_id", "entry", "pre").agg(F.max("sense").alias("sense"))
@@ -145,7 +145,10 @@ def tei_entries(matches: DataFrame, entry_nodes: DataFrame, senses: DataFrame, a
     parts = rows.groupBy("doc_id", "entry", "sense").agg(joined("markup", ["pre", "rank"]).alias("inside"), first("hw"), first("pos"))
     each = parts.groupBy("doc_id", "entry").agg(F.max(F.when(F.col("sense").isNull(), F.col("inside"))).alias("outside"), F.array_sort(F.collect_list(F.when(F.col("sense").isNotNull(), F.struct("sense", "inside")))).alias("senses"), F.min("hw")["final"].alias("headword"), F.min("pos")["final"].alias("pos"))
     safe = F.when(is_blank(F.col("headword")), F.lit("headword")).otherwise(name_safe(F.col("headword")))
-    each = in_runs(each.withColumn("safe", safe), ["safe"], ["doc_id", "entry"], count="n").drop("safe")
+    each, by = each.withColumn("safe", safe), ["safe"]
+    if datasets is not None:
+        each, by = each.join(datasets.select("doc_id", F.col("dsid").alias("within")), "doc_id"), ["within", "safe"]
+    each = in_runs(each, by, ["doc_id", "entry"], count="n").drop(*by)
     each = each.withColumn("xml_id", entry_identifier(acronym, F.col("headword"), F.col("n"), F.col("pos")))
     each = each.join(entry_nodes.select("doc_id", F.col("pre").alias("entry"), "lang"), ["doc_id", "entry"])
     bodies = F.array_join(F.transform("senses", lambda s, i: element("sense", s["inside"], xml__id=sense_identifier(F.col("xml_id"), i + 1))), "")

@@ -15,13 +15,13 @@ from lexmill.operators.select import entries, selected
 from lexmill.sources.store import stored
 
 
-def dictionary_to_tei(nodes: DataFrame, mapping: Mapping, title: str = "dict", keep_scrap: bool = False, max_entries: int | None = None) -> DataFrame:
+def dictionary_to_tei(nodes: DataFrame, mapping: Mapping, title: str = "dict", keep_scrap: bool = False, max_entries: int | None = None, datasets: DataFrame | None = None) -> DataFrame:
     """doc_id, entry, xml_id, headword, pos, n_senses, tei of every entry of a node table.
 
     Nested entries come as entries of their own, after the one around them, in document order, and what they hold is theirs alone.
     Selectors see the whole document, so paths that lead out of an entry are followed. What a mapping's adoptSelectors select moves with
     its matches under the adopter, so it comes after the adopter's match and in its sense. max_entries: of each document, only so many
-    entries, the first ones; text of the others is nobody's.
+    entries, the first ones; text of the others is nobody's. datasets: doc_id, dsid, if headwords are to be numbered in each dataset by itself.
     """
     nodes = stored(nodes)
     own = entries(nodes, mapping.entry)
@@ -44,7 +44,7 @@ def dictionary_to_tei(nodes: DataFrame, mapping: Mapping, title: str = "dict", k
         within = lambda rows: rows.join(holder, ["doc_id", "entry"]).drop("entry").withColumnRenamed("now_entry", "entry")
         matches, senses, own = stored(within(there(matches, "above"))), within(there(senses, "ancestors")), there(own, "ancestors")
         scrap = None if scrap is None else within(scrap)
-    return tei_entries(matches, own, senses, acronym(F.lit(title)), keep_scrap, scrap)
+    return tei_entries(matches, own, senses, acronym(F.lit(title)), keep_scrap, scrap, datasets)
 
 
 def leftover(nodes: DataFrame, matches: DataFrame, own: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.operators import assemble, mapping, models, moves, prune, sequences
 from lexmill.operators import select as S
-from lexmill.plans import dictionary, remap
-from lexmill.plans.queries import PARTS, _table, _tag, part_nodes, query
+from lexmill.plans import dictionary, refresh, remap
+from lexmill.plans.queries import PARTS, _table, _tag, part_documents, part_nodes, query
 from lexmill.sources.schema import compiled
-from lexmill.sources.store import stored
+from lexmill.sources.split import read_nodes
+from lexmill.sources.store import shared_dir, stored
 from lexmill.sources.xml import document_parts, shred
 
 
@@ -206,3 +207,32 @@ def written_documents(spark, sf_dir):
     docs = dictionary.batched(rows, F.col("o_custkey"), "o_orderkey", "dict").withColumn("raw", F.replace("raw", F.lit("\n"), F.lit("")))
     parts = document_parts(stored(shred(docs)))
     return parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "tei"))), lambda s: s["tei"]), "").alias("raw"))
+
+
+@query("""SELECT 'dict' AS tag, p_partkey // 500 AS doc, 1 AS n, (3 + 8 * count(*) - 2)::BIGINT AS last FROM part GROUP BY 2
+UNION ALL SELECT t, p_partkey // 500, count(*), 0 FROM part, (VALUES ('entry'), ('hw'), ('pos'), ('label')) x(t) GROUP BY 1, 2""")
+def split_files(spark, sf_dir):
+    """Documents written as files, and read in splits that end with an entry."""
+    path = shared_dir(spark)
+    docs = part_documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.replace("raw", F.lit("\n"), F.lit("")).alias("value"))
+    docs.write.partitionBy("doc").text(path)
+    nodes = stored(read_nodes(spark, path, "entry"))
+    doc = nodes.where("tag = 'entry'").groupBy("doc_id").agg(F.min(F.floor(F.col("attrs")["id"].cast("long") / 500)).alias("doc"))
+    last = F.max(F.when(F.col("tag") == "dict", F.col("post")).otherwise(0))
+    return nodes.join(doc, "doc_id").groupBy("tag", "doc").agg(F.count("*").alias("n"), last.alias("last"))
+
+
+@query("""SELECT o_custkey % 5 AS dsid, count(*) AS entries, count(*) FILTER (o_orderstatus = 'F') AS numbered FROM orders GROUP BY 1""")
+def refreshed_entries(spark, sf_dir):
+    """Five datasets; a second mapping for two of them, and a refresh that leaves the others alone."""
+    orders = _table(spark, sf_dir, "orders")
+    entry = T.element("e", F.concat(F.when(F.col("o_orderstatus") != "F", _tag("hw", F.col("o_orderpriority"))).otherwise(""), _tag("w", F.col("o_orderstatus"))), id=F.col("o_orderkey"))
+    docs = dictionary.batched(orders.select("o_custkey", "o_orderkey", entry.alias("xml")), F.col("o_custkey"), "o_orderkey", "dict")
+    docs = stored(docs.withColumn("dsid", F.col("doc_id") % 5))
+    spec = lambda hw: mapping.Mapping.of({"entry": {"type": "xpath", "expr": ".//e"}, "hw": {"type": "simple", "selector": {"type": "xpath", "expr": hw}, "attr": mapping.INNER}}).to_json()
+    sets = docs.select("dsid").distinct()
+    path = shared_dir(spark)
+    refresh.refresh(docs, sets.withColumn("spec", F.when(F.col("dsid") < 2, spec("w")).otherwise(spec("hw"))), path)
+    refresh.refresh(docs, sets.withColumn("spec", F.lit(spec("hw"))), path)
+    rows = refresh.stored_entries(spark, path)
+    return rows.groupBy(F.col("dsid").cast("long").alias("dsid")).agg(F.count("*").alias("entries"), F.count_if(F.col("entry_text").startswith("Entry ")).alias("numbered"))

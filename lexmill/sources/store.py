@@ -24,3 +24,20 @@ def stored(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any store that Spark reads."""
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a path and all below; one that isn't there stays so."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
