@@ -189,3 +189,16 @@ def annotated(nodes: DataFrame, matches: DataFrame) -> DataFrame:
 def match_statistics(matches: DataFrame) -> DataFrame:
     """role, strategy, n, entries: how often each role enters the output in which way, and in how many entries."""
     return matches.groupBy("role", "strategy").agg(F.count("*").alias("n"), F.count_distinct("doc_id", "entry").alias("entries"))
+
+
+#: Namespaces of attributes that a source element hands on, and of what is told about it.
+LEGACY, META = "urn:lexmill:legacy", "urn:lexmill:meta"
+
+
+def legacy_attributes(nodes: DataFrame, legacy: str = LEGACY, meta: str = META) -> DataFrame:
+    """The node table with each element's attributes as its output carries them: plain ones in the legacy namespace, xml:id as the id and the
+    element's name as the e of the meta namespace; attributes with a namespace of their own, and xml:lang, stay."""
+    renamed = F.transform_keys("attrs", lambda k, v: F.when(k == "xml:id", F.lit(f"{{{meta}}}id")).when(k.contains(":"), k).otherwise(F.concat(F.lit(f"{{{legacy}}}"), k)))
+    scope = F.map_concat(F.map_filter("scope", lambda k, v: ~k.isin("a", "m")), F.create_map(F.lit("a"), F.lit(legacy), F.lit("m"), F.lit(meta)))
+    own = F.map_filter(renamed, lambda k, v: k != F.lit(f"{{{meta}}}e"))
+    return nodes.withColumn("attrs", F.map_concat(own, F.create_map(F.lit(f"{{{meta}}}e"), F.col("tag")))).withColumn("scope", scope)

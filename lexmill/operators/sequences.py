@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import peeled, replaced, strip
+from lexmill.functions.text import escaped, peeled, replaced, strip
 from lexmill.sources.store import stored
 
 
@@ -239,6 +239,32 @@ def with_levels(tokens: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return out
 
 
+def container_markup(tokens: DataFrame, levels: int, token: Column) -> DataFrame:
+    """seq, place, tei: tokens of with_levels() as nested containers, a row for each token, with the body's start and end.
+
+    token: a token's own markup. A container opens before the first of its tokens and closes after the last; a token that a level has no
+    container for, or scrap as base, stands in the one around. place 0 is the start, others count the tokens of a sequence.
+    """
+    by = Window.partitionBy("seq").orderBy("ord")
+    inside = lambda i: F.col(f"level_{i}").isNotNull() & (F.col(f"base_{i}") != "scrap")
+    out, chain = tokens, []
+    for i in range(1, levels + 1):
+        chain = [*chain, F.when(inside(i), F.col(f"level_{i}"))]
+        known = F.lit(True)
+        for c in chain:
+            known = known & c.isNotNull()
+        out = out.withColumn(f"id__{i}", F.when(known, F.struct(*[c.alias(f"c{k}") for k, c in enumerate(chain)])))
+    starts, ends = [], []
+    for i in range(1, levels + 1):
+        own = F.col(f"id__{i}")
+        starts.append(F.when(own.isNotNull() & ~own.eqNullSafe(F.lag(own).over(by)), F.concat(F.lit('<container name="'), escaped(F.col(f"base_{i}")), F.lit('">'))).otherwise(""))
+        ends.insert(0, F.when(own.isNotNull() & ~own.eqNullSafe(F.lead(own).over(by)), "</container>").otherwise(""))
+    rows = out.select("seq", F.row_number().over(by).cast("long").alias("place"), F.concat(*starts, token, *ends).alias("tei"))
+    bodies = tokens.select("seq").distinct()
+    first, last = bodies.select("seq", F.lit(0).cast("long").alias("place"), F.lit("<body>").alias("tei")), bodies.select("seq", F.lit(2**63 - 1).alias("place"), F.lit("</body>").alias("tei"))
+    return rows.unionByName(first).unionByName(last)
+
+
 def in_dictionary_order(rows: DataFrame) -> DataFrame:
     """rows with place, from 1, by entry_id (if there is one), lemma, pos and sense_id (if there is one); nulls first, equal rows in any order."""
     return places(rows, [c for c in ("entry_id", "lemma", "pos", "sense_id") if c in rows.columns])

@@ -12,6 +12,7 @@ from lexmill.operators.mapping import Mapping, found, nearest, role_matches, tak
 from lexmill.operators.moves import adoptions_of, moved
 from lexmill.operators.pieces import inner_text, segments, spans_in_pieces
 from lexmill.operators.select import entries, selected
+from lexmill.operators.sequences import places
 from lexmill.sources.store import stored
 
 
@@ -95,6 +96,17 @@ def table_to_tei(rows: DataFrame) -> DataFrame:
     return grouped_senses(rows).select("lemma", "pos", element("entry", F.concat(form, senses)).alias("tei"))
 
 
+def table_parts(rows: DataFrame, header: str = "<teiHeader/>") -> DataFrame:
+    """doc_id (0), place, tei: a tabular dictionary as one TEI document in rows that follow each other by place, entries by lemma and part of speech.
+
+    Entries are numbered by ranges, so no task holds them all; write_tei() writes them.
+    """
+    entries = places(table_to_tei(rows), ["lemma", "pos"]).select(F.col("place"), "tei")
+    spark = rows.sparkSession
+    frame = [(0, '<?xml version="1.0" encoding="UTF-8"?><TEI xmlns="http://www.tei-c.org/ns/1.0">' + header + "<text><body>"), (2**63 - 1, "</body></text></TEI>")]
+    return entries.unionByName(spark.createDataFrame(frame, "place long, tei string")).select(F.lit(0).cast("long").alias("doc_id"), "place", "tei")
+
+
 def batched(docs: DataFrame, key: Column, order: str, root: str) -> DataFrame:
     """doc_id, raw: rows (order, xml) put into documents by key."""
     each = docs.groupBy(key.alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "xml"))), lambda s: s["xml"]), "\n").alias("body"))

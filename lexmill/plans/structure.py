@@ -9,7 +9,7 @@ from lexmill.functions import text as T
 from lexmill.operators import assemble, mapping, models, moves, prune, sequences
 from lexmill.operators import select as S
 from lexmill.plans import dictionary, refresh, remap
-from lexmill.plans.queries import PARTS, _table, _tag, part_documents, part_nodes, query
+from lexmill.plans.queries import PARTS, _table, _tag, event_labels, part_documents, part_nodes, query
 from lexmill.sources.schema import compiled
 from lexmill.sources.split import read_nodes
 from lexmill.sources.store import shared_dir, stored
@@ -236,3 +236,27 @@ def refreshed_entries(spark, sf_dir):
     refresh.refresh(docs, sets.withColumn("spec", F.lit(spec("hw"))), path)
     rows = refresh.stored_entries(spark, path)
     return rows.groupBy(F.col("dsid").cast("long").alias("dsid")).agg(F.count("*").alias("entries"), F.count_if(F.col("entry_text").startswith("Entry ")).alias("numbered"))
+
+
+@query("""SELECT s_suppkey AS doc_id, '<e xmlns:a="urn:lexmill:legacy" xmlns:m="urn:lexmill:meta" a:n="' || s_nationkey || '" m:id="i" xml:lang="en" m:e="e">' || s_name || '</e>' AS raw FROM supplier""")
+def legacy_attributes(spark, sf_dir):
+    raw = F.concat(F.lit('<e n="'), F.col("s_nationkey").cast("string"), F.lit('" xml:id="i" xml:lang="en">'), F.col("s_name"), F.lit("</e>"))
+    parts = document_parts(mapping.legacy_attributes(supplier_nodes(spark, sf_dir, raw)))
+    return parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "tei"))), lambda s: s["tei"]), "").alias("raw"))
+
+
+@query("""WITH e AS (SELECT user_id AS seq, ts, event_id, event_type AS base, event_id % 3 = 0 AS s FROM events),
+c AS (SELECT *, CASE WHEN s OR lag(base) OVER w IS DISTINCT FROM base THEN 1 ELSE 0 END AS a, row_number() OVER w AS k FROM e WINDOW w AS (PARTITION BY seq ORDER BY ts, event_id))
+SELECT seq, k AS place, CASE WHEN a = 1 THEN '<container name="' || base || '">' ELSE '' END || '<TOKEN>' || event_id || '</TOKEN>' || CASE WHEN coalesce(lead(a) OVER (PARTITION BY seq ORDER BY k), 1) = 1 THEN '</container>' ELSE '' END AS tei FROM c""")
+def container_markup(spark, sf_dir):
+    labels = event_labels(spark, sf_dir)
+    tokens = sequences.with_levels(labels.select("seq", "ord", "event_id"), [labels.select("seq", "ord", "label")])
+    token = T.element("TOKEN", F.col("event_id").cast("string"))
+    return sequences.container_markup(tokens, 1, token).where("place > 0 and place < 9223372036854775807")
+
+
+@query("""SELECT row_number() OVER (ORDER BY p_brand, p_type) AS place, '<entry><form type="lemma"><orth>' || p_brand || '</orth></form><gramGrp><gram type="pos">' || p_type || '</gram></gramGrp>' || string_agg('<sense n="' || k || '"><def>' || p_name || '</def></sense>', '' ORDER BY k) || '</entry>' AS tei
+FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_name) AS k FROM part) GROUP BY p_brand, p_type""")
+def table_document(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("lemma"), F.col("p_type").alias("pos"), F.col("p_name").alias("definition"))
+    return dictionary.table_parts(rows).where("place > 0 and place < 9223372036854775807").select("place", "tei")

@@ -56,3 +56,15 @@ def write_log(rows: DataFrame, path: str) -> None:
 def write_dictionary(rows: DataFrame, path: str) -> None:
     """CSV that read_dictionary() reads back: quoted fields with doubled quotes."""
     rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=True, nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_levels(levels: dict[str, DataFrame], path: str) -> None:
+    """A tagger's sequences, a folder of JSON lines for each level (level_1, ..., unlabelled): one sequence a line, with features and perhaps labels."""
+    for name, rows in levels.items():
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def read_levels(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    """The levels that write_levels() or a tagger wrote: features (lists of lists of text) and labels, null where a level has none."""
+    schema = "features array<array<string>>, labels array<string>"
+    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name in names}

@@ -127,3 +127,28 @@ def test_one_lemma_with_two_entry_ids_is_an_error(spark):
 
     rows = spark.createDataFrame([("a", "NOUN", "x", "1"), ("a", "NOUN", "y", "2"), ("b", "NOUN", "z", "3")], "lemma string, pos string, definition string, entry_id string")
     assert [tuple(r) for r in dictionary_errors(rows).collect()] == [("lemma", "a", 2)]
+
+
+def test_containers_as_markup(spark):
+    rows = [(1, i, t, l1, b1, l2, b2) for i, (t, l1, b1, l2, b2) in enumerate([("a", 1, "entry", 1, "form"), ("b", 1, "entry", 2, "scrap"), ("c", 1, "entry", 3, "pos"), ("d", 2, "entry", 1, "pos"), ("e", 3, "noise", None, None), ("<f", None, None, 1, "pos")])]
+    frame = spark.createDataFrame(rows, "seq int, ord int, text string, level_1 long, base_1 string, level_2 long, base_2 string")
+    parts = sequences.container_markup(frame, 2, T.element("T", T.escaped(F.col("text")))).orderBy("place").collect()
+    box = lambda name, x: f'<container name="{name}">{x}</container>'
+    t = lambda x: f"<T>{x}</T>"
+    assert "".join(p["tei"] for p in parts) == "<body>" + box("entry", box("form", t("a")) + t("b") + box("pos", t("c"))) + box("entry", box("pos", t("d"))) + box("noise", t("e")) + t("&lt;f") + "</body>"
+
+
+def test_levels_are_written_and_read(spark, tmp_path):
+    from lexmill.plans.dictionary import table_parts, write_tei
+    from lexmill.sources.tables import read_levels, write_levels
+
+    rows = spark.createDataFrame([([["SIZE=1", "TOKEN=a"], ["TOKEN=é"]], ["x_start", "x_inside"])], "features array<array<string>>, labels array<string>")
+    write_levels({"level_1": rows, "unlabelled": rows.drop("labels")}, f"{tmp_path}/j")
+    back = read_levels(spark, f"{tmp_path}/j", ["level_1", "unlabelled"])
+    assert back["level_1"].collect() == rows.collect() and back["unlabelled"].collect()[0]["labels"] is None
+    table = spark.createDataFrame([("b", "NOUN", "x"), ("a", "VERB", "<y>"), ("a", "NOUN", "z")], "lemma string, pos string, definition string")
+    write_tei(table_parts(table), f"{tmp_path}/t")
+    from xml.etree import ElementTree
+
+    whole = ElementTree.fromstring("".join(p.read_text() for p in sorted((tmp_path / "t" / "doc_id=0").glob("*.txt"))).encode())
+    assert [x.text for x in whole.iter("{http://www.tei-c.org/ns/1.0}orth")] == ["a", "a", "b"] and [x.text for x in whole.iter("{http://www.tei-c.org/ns/1.0}def")] == ["z", "<y>", "x"]
