@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.sequences import places
+
 
 def datasets_with_mappings(datasets: DataFrame, mappings: DataFrame) -> DataFrame:
     """Every dataset with its mappings; display is dataset/mapping."""
@@ -17,11 +19,24 @@ def newest(rows: DataFrame, time: str, ascending: bool = False) -> DataFrame:
 
 
 def entry_page(entries: DataFrame, page: int, order: list[str], size: int = 100) -> DataFrame:
-    """A page of the entries in order, counted from 1; a page past the end is the last one, and so is one below 1."""
+    """A page of the entries in an order without ties, counted from 1; a page past the end is the last one, and so is one below 1.
+
+    Entries get their places by ranges, so no task reads all pages before.
+    """
     n = entries.count()
     last = max(1, -(-n // size))
     page = page if 1 <= page <= last else last
-    return entries.orderBy(*order).offset((page - 1) * size).limit(size)
+    return places(entries, order).where(F.col("place").between((page - 1) * size + 1, page * size)).orderBy("place").drop("place")
+
+
+def page_after(entries: DataFrame, order: list[str], last: list, size: int = 100) -> DataFrame:
+    """The entries that follow the one whose `order` columns have the values of `last`, at most `size`; an empty list begins at the first.
+
+    A reader who turns pages needs no places: each task keeps `size` rows.
+    """
+    if last:
+        entries = entries.where(F.struct(*order) > F.struct(*[F.lit(v).alias(c) for c, v in zip(order, last)]))
+    return entries.orderBy(*order).limit(size)
 
 
 def prefix_search(entries: DataFrame, column: str, prefix: str, order: list[str], top: int = 100) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import is_blank, seamed
 from lexmill.operators.assemble import allowed
 from lexmill.operators.pieces import inner_text, text_pieces
+from lexmill.operators.runs import in_runs
 from lexmill.sources.store import stored
 
 SCRAP = ["seg", "dictScrap"]
@@ -78,13 +79,12 @@ def unwrapped(nodes: DataFrame, removed: DataFrame, spaced: bool = True) -> Data
     """The node table without the removed elements (doc_id, pre): their children and text take their place, other rows keep pre and post.
 
     A document is a sequence of events (an element opens or ends), and text belongs to the last one before it of an element that
-    stays. Document elements stay. spaced: text that comes together is kept apart by a space.
+    stays; a document's events are dealt by ranges. Document elements stay. spaced: text that comes together is kept apart by a space.
     """
     gone = removed.select("doc_id", "pre").distinct().withColumn("gone", F.lit(True))
     marked = stored(nodes.join(gone, ["doc_id", "pre"], "left").withColumn("gone", F.col("gone").isNotNull() & F.col("parent").isNotNull()))
     event = lambda at, text: marked.select("doc_id", F.col(at).alias("at"), F.coalesce(text, F.lit("")).alias("piece"), F.when(~F.col("gone"), F.struct("pre", F.lit(text == "text").alias("inside"))).alias("slot"))
-    by = Window.partitionBy("doc_id").orderBy("at")
-    events = event("pre", "text").unionByName(event("post", "tail")).withColumn("slot", F.last("slot", ignorenulls=True).over(by))
+    events = in_runs(event("pre", "text").unionByName(event("post", "tail")).withColumnRenamed("slot", "own"), ["doc_id"], ["at"], last={"slot": F.col("own")})
     pieces = lambda inside: F.transform(F.array_sort(F.collect_list(F.when(F.col("slot.inside") == inside, F.struct("at", "piece")))), lambda s: s["piece"])
     join = seamed if spaced else (lambda x: F.array_join(x, ""))
     texts = events.groupBy("doc_id", F.col("slot.pre").alias("pre")).agg(join(pieces(True)).alias("text"), join(pieces(False)).alias("tail"))
@@ -94,5 +94,5 @@ def unwrapped(nodes: DataFrame, removed: DataFrame, spaced: bool = True) -> Data
     stays = lambda x, i: (i >= F.size("ancestors")) | ~F.array_contains("lost", F.get("ancestors", i))
     kept = kept.withColumn("path", F.filter("path", stays)).withColumn("ancestors", F.array_except("ancestors", "lost")).drop("lost")
     kept = kept.withColumn("parent", F.try_element_at("ancestors", F.lit(-1))).withColumn("depth", F.size("ancestors"))
-    sib = F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("pre")) - 1
-    return kept.withColumn("sib", sib).join(texts, ["doc_id", "pre"]).select(*nodes.columns)
+    kept = in_runs(kept.drop("sib"), ["doc_id", "parent"], ["pre"], count="sib").withColumn("sib", (F.col("sib") - 1).cast("int"))
+    return kept.join(texts, ["doc_id", "pre"]).select(*nodes.columns)

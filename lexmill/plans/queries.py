@@ -64,14 +64,19 @@ def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(shred(dictionary.batched(joined.select("o_orderkey", "o_custkey", xml.alias("xml")), F.col("o_custkey"), "o_orderkey", "dict")))
 
 
-def geography_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each region: region[@lang](nation(customer(name)))."""
+def geography_nodes(spark: SparkSession, sf_dir: str, batch: int = 1000) -> DataFrame:
+    """region[@lang](nation[@id](name, customer(name))): a document for each nation and batch of customers, so documents don't grow with the tables."""
     region, nation, customer = (_table(spark, sf_dir, n) for n in ("region", "nation", "customer"))
-    people = customer.select("c_nationkey", "c_custkey", T.element("customer", _tag("name", F.col("c_name")), id=F.col("c_custkey")).alias("xml")).groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "xml"))), lambda s: s["xml"]), "").alias("people"))
-    nations = nation.join(people, nation["n_nationkey"] == people["c_nationkey"], "left").select("n_regionkey", "n_nationkey", T.element("nation", F.concat(_tag("name", F.col("n_name")), F.coalesce("people", F.lit(""))), id=F.col("n_nationkey")).alias("xml"))
-    each = nations.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "xml"))), lambda s: s["xml"]), "").alias("nations"))
-    docs = region.join(each, region["r_regionkey"] == each["n_regionkey"], "left").select(F.col("r_regionkey").alias("doc_id"), T.element("region", F.coalesce("nations", F.lit("")), lang=F.col("r_name")).alias("raw"))
-    return stored(shred(docs))
+    people = customer.select("c_nationkey", F.floor(F.col("c_custkey") / batch).alias("b"), "c_custkey", T.element("customer", _tag("name", F.col("c_name")), id=F.col("c_custkey")).alias("xml"))
+    people = people.groupBy("c_nationkey", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "xml"))), lambda s: s["xml"]), "").alias("people"))
+    places = nation.join(people, nation["n_nationkey"] == people["c_nationkey"], "left").join(region, nation["n_regionkey"] == region["r_regionkey"])
+    inner = T.element("nation", F.concat(_tag("name", F.col("n_name")), F.coalesce("people", F.lit(""))), id=F.col("n_nationkey"))
+    doc_id = (F.col("n_nationkey").cast("long") * 1_000_000_000 + F.coalesce("b", F.lit(0))).alias("doc_id")
+    return stored(shred(places.select(doc_id, T.element("region", inner, lang=F.col("r_name")).alias("raw"))))
+
+
+#: The documents of geography_nodes() in SQL.
+_GEOGRAPHY = "WITH g AS (SELECT DISTINCT n_regionkey, n_nationkey, coalesce(c_custkey // 1000, 0) AS b FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey) "
 
 
 PARTS = {"entry": {"type": "xpath", "expr": ".//entry"}, "hw": {"type": "simple", "selector": {"type": "xpath", "expr": "hw"}, "attr": mapping.INNER_REC}, "pos": {"type": "simple", "selector": {"type": "xpath", "expr": "pos"}, "attr": mapping.INNER_REC}}
@@ -85,7 +90,7 @@ def pos_inventory(spark, sf_dir):
     return pos.select("doc_id", "ctx", F.col("final").alias("pos")).join(hw.select("doc_id", "ctx", "final"), ["doc_id", "ctx"]).groupBy("pos").agg(F.count("*").alias("n"), F.count_distinct("final").alias("heads"))
 
 
-@query("SELECT 'customer' AS tag, count(*) AS n FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'name', (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation)")
+@query(_GEOGRAPHY + "SELECT 'customer' AS tag, count(*) AS n FROM customer UNION ALL SELECT 'nation', count(*) FROM g UNION ALL SELECT 'region', count(*) FROM g UNION ALL SELECT 'name', (SELECT count(*) FROM customer) + (SELECT count(*) FROM g)")
 def tag_inventory(spark, sf_dir):
     return discover.tag_inventory(geography_nodes(spark, sf_dir))
 
@@ -96,7 +101,7 @@ def raw_tag_inventory(spark, sf_dir):
     return discover.tag_inventory(shred(pages))
 
 
-@query("SELECT 'region' AS parent_tag, 'nation' AS tag, count(*) AS n FROM nation UNION ALL SELECT 'nation', 'name', count(*) FROM nation UNION ALL SELECT 'nation', 'customer', count(*) FROM customer UNION ALL SELECT 'customer', 'name', count(*) FROM customer")
+@query(_GEOGRAPHY + "SELECT 'region' AS parent_tag, 'nation' AS tag, count(*) AS n FROM g UNION ALL SELECT 'nation', 'name', count(*) FROM g UNION ALL SELECT 'nation', 'customer', count(*) FROM customer UNION ALL SELECT 'customer', 'name', count(*) FROM customer")
 def tag_edges(spark, sf_dir):
     return discover.tag_edges(geography_nodes(spark, sf_dir))
 
@@ -386,7 +391,7 @@ def tei_header(spark, sf_dir):
     return assemble.header(rows)
 
 
-@query("SELECT 'customer' AS tag, 'nation' AS parent_tag, count(*) AS n FROM customer UNION ALL SELECT 'nation', 'region', count(*) FROM nation UNION ALL SELECT 'region', NULL, count(*) FROM region UNION ALL SELECT 'name', 'nation', count(*) FROM nation UNION ALL SELECT 'name', 'customer', count(*) FROM customer")
+@query(_GEOGRAPHY + "SELECT 'customer' AS tag, 'nation' AS parent_tag, count(*) AS n FROM customer UNION ALL SELECT 'nation', 'region', count(*) FROM g UNION ALL SELECT 'region', NULL, count(*) FROM g UNION ALL SELECT 'name', 'nation', count(*) FROM g UNION ALL SELECT 'name', 'customer', count(*) FROM customer")
 def content_model_errors(spark, sf_dir):
     return assemble.model_errors(geography_nodes(spark, sf_dir)).groupBy("tag", "parent_tag").agg(F.count("*").alias("n"))
 
@@ -511,8 +516,8 @@ def entries_of_file(spark, sf_dir):
     return catalog.entries_of_file(own, _table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "xfid", "c_custkey").select("o_orderkey", "c_name")
 
 
-@query("""SELECT n_regionkey AS doc_id, tag, id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, tag = 'nation', id) AS place FROM
-(SELECT n_regionkey, n_nationkey, 'nation' AS tag, n_nationkey AS id FROM nation UNION ALL SELECT n_regionkey, n_nationkey, 'customer', c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
+@query(_GEOGRAPHY + """SELECT n_nationkey::BIGINT * 1000000000 + b AS doc_id, tag, id, row_number() OVER (PARTITION BY n_nationkey, b ORDER BY tag = 'nation', id) AS place FROM
+(SELECT n_nationkey, b, 'nation' AS tag, n_nationkey AS id FROM g UNION ALL SELECT c_nationkey, c_custkey // 1000, 'customer', c_custkey FROM customer)""")
 def exit_order(spark, sf_dir):
     own = S.in_exit_order(S.select(geography_nodes(spark, sf_dir), ".//nation | .//customer"))
     return own.select("doc_id", "tag", F.col("attrs")["id"].cast("long").alias("id"), "place")

@@ -164,3 +164,15 @@ def test_limits_and_errors(spark):
     assert sorted(map(tuple, catalog.first_entries(rows, 2, ["pre"]).collect())) == [(1, 0), (1, 1), (2, 7)] and catalog.first_entries(rows, 0, ["pre"]).count() == 0
     errors = spark.createDataFrame([(1, "a"), (9, "b"), (None, "c")], "dsid long, message string")
     assert [r["message"] for r in catalog.errors_with_datasets(errors, spark.createDataFrame([(1, "d")], "dsid long, name string")).collect()] == ["a"]
+
+
+def test_pages(spark):
+    from lexmill.operators import catalog
+
+    rows = spark.createDataFrame([(f"n{i // 3}", i) for i in range(25)], "name string, id long").repartition(5)
+    got = lambda page: [r["id"] for r in catalog.entry_page(rows, page, ["name", "id"], 10).collect()]
+    want = [i for _, i in sorted((f"n{i // 3}", i) for i in range(25))]
+    assert got(1) == want[:10] and got(2) == want[10:20] and got(3) == got(9) == got(0) == want[20:]
+    first = catalog.page_after(rows, ["name", "id"], [], 10).collect()
+    assert [r["id"] for r in first] == want[:10] and [r["id"] for r in catalog.page_after(rows, ["name", "id"], [first[-1]["name"], first[-1]["id"]], 10).collect()] == want[10:20]
+    assert catalog.entry_page(rows.limit(0), 1, ["name", "id"]).count() == 0
