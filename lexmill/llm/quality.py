@@ -83,11 +83,12 @@ def totals(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray], n: int) -> n
     return out
 
 
-def fit(positive: np.ndarray, unlabelled: DataFrame, prior: float, rounds: int = 30, shrink: float = 1e-4) -> Scorer:
+def fit(positive: np.ndarray, unlabelled: DataFrame, prior: float | None, rounds: int = 30, shrink: float = 1e-4) -> Scorer:
     """Minimises prior * E+[l(+)] + max(0, Eu[l(-)] - prior * E+[l(-)]) with the logistic loss l, by Newton steps over all rows of `unlabelled`.
 
-    As l(+) - l(-) is linear, the sum is convex while its second part, the estimated risk on negatives, is above 0. A step that would
-    take that below 0 is shortened; where no step is left, the fit ends.
+    As l(+) - l(-) is linear, the sum is convex while its second part, the estimated risk on negatives, is above 0. The maximum with 0
+    is kept as a border: a step that would take that part below 0 is shortened, and where no step is left the fit ends. prior None:
+    minimises E+[l(+)] + Eu[l(-)], so unlabelled texts count as negatives.
     """
     moments = totals(unlabelled, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]), 2 * WIDTH + 1)
     n, k = moments[0], len(positive)
@@ -114,14 +115,19 @@ def fit(positive: np.ndarray, unlabelled: DataFrame, prior: float, rounds: int =
 
     def risks(w: np.ndarray, row: np.ndarray) -> tuple[float, float]:
         z = np.clip(p @ w, -30, 30)
-        negative = row[0] - prior * np.log1p(np.exp(z)).mean()
-        return negative, prior * np.log1p(np.exp(-z)).mean() + negative + (ridge * w * w).sum() / 2
+        negative = row[0] - (prior * np.log1p(np.exp(z)).mean() if prior is not None else 0)
+        return negative, (1 if prior is None else prior) * np.log1p(np.exp(-z)).mean() + negative + (ridge * w * w).sum() / 2
 
     w = np.zeros(WIDTH + 1)
     now = at([w])[0]
     for _ in range(rounds):
-        gradient = now[1 : WIDTH + 2] - prior * p.mean(axis=0) + ridge * w
-        step = np.linalg.solve(now[WIDTH + 2 :].reshape(WIDTH + 1, -1) + np.diag(ridge + 1e-9), gradient)
+        gradient, bend = now[1 : WIDTH + 2] + ridge * w, now[WIDTH + 2 :].reshape(WIDTH + 1, -1) + np.diag(ridge + 1e-9)
+        if prior is None:
+            s = 1 / (1 + np.exp(-np.clip(p @ w, -30, 30)))
+            gradient, bend = gradient - ((1 - s) @ p) / k, bend + (p * (s * (1 - s))[:, None]).T @ p / k
+        else:
+            gradient = gradient - prior * p.mean(axis=0)
+        step = np.linalg.solve(bend, gradient)
         tries = [w - share * step for share in (1.0, 0.5, 0.2, 0.04)]
         rows = at(tries)
         good = [(r, i) for i, (v, row) in enumerate(zip(tries, rows)) for negative, r in [risks(v, row)] if negative >= 0]
@@ -147,10 +153,16 @@ def scored(rows: DataFrame, model: Scorer) -> DataFrame:
     return rows.select("doc_id", "x").mapInArrow(score, "doc_id long, score double")
 
 
-def class_prior(labels: DataFrame, learns) -> float:
-    """The estimated share of positives in web text: that of the labelled rows that may be learned from, smoothed."""
-    row = labels.where(learns & F.col("quality").isin(0, 1)).agg(F.count("*").alias("n"), F.coalesce(F.sum("quality"), F.lit(0)).alias("k")).first()
-    return (row["k"] + 1) / (row["n"] + 2)
+def class_prior(positive: np.ndarray, unlabelled: DataFrame) -> float:
+    """The estimated share of positives in web text, from positives and unlabelled texts alone; 0.5 without either.
+
+    A classifier that tells positives from unlabelled texts, both sides weighing the same, gives the ratio r of their densities as its odds.
+    Where surely all texts are positive, r is one over the share, so r / (1 + r) is 1 / (1 + share); its mean over the positives is
+    that or less, so the estimate errs upwards if at all.
+    """
+    model = fit(positive, unlabelled, None)
+    mean = float(model.score(positive).mean()) if len(positive) else 0.5
+    return min(0.99, max(0.01, 1 / mean - 1)) if model.weights.any() else 0.5
 
 
 def quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
@@ -158,13 +170,14 @@ def quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame
 
     docs: doc_id, text; labels: doc_id, quality; other columns are ignored. Trusted positives are labelled rows with quality 1, about
     `bound` of them; the unlabelled set is all web text whatever its label; both come from rows whose crc32(doc_id) mod 4 isn't 2.
-    The positives are on the driver, the unlabelled rows' share of the risk is summed where their figures are stored. Labels 0 count
-    only in the class prior. Null and empty texts score as texts without words; without positives all scores are 0.5.
+    The positives are on the driver, the unlabelled rows' share of the risk is summed where their figures are stored. Labels 0 are
+    never looked at. Null and empty texts score as texts without words; without positives all scores are 0.5.
     """
     out = remainder(F.col("doc_id"), 4) == 2
     known = labelled_sample(docs, labels.where("quality = 1"), "quality", ~out, bound).select("text").toArrow()
     p = np.array([figures(x) for x in text_bytes(known.column("text").combine_chunks())]).reshape(-1, WIDTH)
     p = p[np.lexsort(p.T)]  # the same model however the rows arrive
     rows = stored(figured(docs))
-    model = fit(p, rows.where(~out), class_prior(labels, ~out))
+    web = rows.where(~out)
+    model = fit(p, web, class_prior(p, web))
     return scored(rows, model).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
