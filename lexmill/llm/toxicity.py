@@ -89,30 +89,49 @@ def figures(toxic: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(words: list[bytes]) -> set[tuple[int, int]]:
-    """Three least hashes of a document's word pairs; near copies share one or more."""
-    pairs = [a + b" " + b for a, b in zip(words, words[1:])] or [b" ".join(words)]
-    return {(seed, min(zlib.crc32(p, seed) for p in pairs)) for seed in (1, 2, 3)}
+def near_copies(docs: list[list[bytes]], seeds: int = 6) -> np.ndarray:
+    """The number of each document's group of near copies: those whose word pairs have a similarity of 0.75 or more with the group's first.
+
+    Documents that share a least hash of their word pairs are compared, each with the first of the groups that have it.
+    """
+    firsts: dict[tuple[int, int], list[int]] = {}
+    pairs: list[set] = []
+    of = np.arange(len(docs))
+    for i, words in enumerate(docs):
+        own = {a + b" " + b for a, b in zip(words, words[1:])} or {b" ".join(words)}
+        pairs.append(own)
+        marks = [(seed, min(zlib.crc32(p, seed) for p in own)) for seed in range(1, seeds + 1)]
+        for j in dict.fromkeys(j for m in marks for j in firsts.get(m, [])):
+            same = len(own & pairs[j])
+            if 100 * same >= 75 * (len(own) + len(pairs[j]) - same):
+                of[i] = j
+                break
+        else:
+            for m in marks:
+                firsts.setdefault(m, []).append(i)
+            continue
+        pairs[i] = set()  # only firsts are compared again
+    return of
 
 
 def token_labels(docs: list[list[bytes]], y: np.ndarray) -> list[np.ndarray]:
     """Labelled tokens from labelled documents: in toxic ones, those with a feature that surely belongs to toxic documents.
 
-    Near copies of a document count once, or all that copies have in common would seem to belong to their label.
+    A group of near copies weighs as much as one document, or all that copies have in common would seem to belong to their label.
     """
     seen: tuple[Counter, Counter] = Counter(), Counter()
     known: dict[bytes, list[int]] = {}
-    told: set[tuple[int, int]] = set()
+    of = near_copies(docs)
+    members = Counter(zip(of.tolist(), y.tolist()))  # copies with either label are a group for each
     n = np.ones(2)
-    for words, label in zip(docs, y.tolist()):
+    for words, label, group in zip(docs, y.tolist(), of.tolist()):
         for w in set(words):
             if w not in known:
                 known[w] = features(w)[:5]
-        own = sketch(words)
-        if told.isdisjoint(own):
-            seen[label].update({f for w in set(words) for f in known[w]})
-            n[label] += 1
-        told |= own
+        share = 1 / members[group, label]
+        for f in {f for w in set(words) for f in known[w]}:
+            seen[label][f] += share
+        n[label] += share
     sure = set()
     for f, k in seen[1].items():
         a, b = k / n[1], seen[0].get(f, 0) / n[0]
