@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import small, stored
+from lexmill.llm.common import stored
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]+)"
 BUCKET = 30 * 86_400
+#: Lists of up to so many bytes are sent to every executor.
+LIST_BYTES = 32_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -46,7 +48,7 @@ def temporal_list_join(captures: DataFrame, entries: DataFrame, bucket: int = BU
 
     Other columns are ignored. The as-of join is an equi-join on (pattern, time bucket), then begins <= fetched < ends: an interval lies in each bucket that it
     meets between the first and the last capture, so a pattern's history isn't paired with all its captures, and a hot
-    host is spread over the buckets. n_active: how many patterns of the URL are active; first_match: the least of them. A
+    host is spread over the buckets; past LIST_BYTES, what still meets in one bucket is left to the engine's splitting of skewed joins. n_active: how many patterns of the URL are active; first_match: the least of them. A
     capture whose url or time is null or has no host is not blocked. Rows that repeat a page_id, null too, are one capture: it
     counts what is active for any of them.
     """
@@ -57,7 +59,9 @@ def temporal_list_join(captures: DataFrame, entries: DataFrame, bucket: int = BU
     begins = F.greatest(F.floor(F.col("begins") / bucket), F.lit(a))
     ends = F.least(F.floor(F.coalesce(F.col("ends") - 1, F.lit((b + 1) * bucket)) / bucket), F.lit(b))
     spans = spans.withColumn("x", begins).withColumn("y", ends).where("x <= y").select("pattern", "begins", "ends", F.explode(F.sequence("x", "y")).alias("bucket"))
-    spans = small(stored(spans))  # so captures are shuffled only to lists too long to send
+    spans = stored(spans)
+    size = spans.agg(F.coalesce(F.sum(F.octet_length("pattern") + 40), F.lit(0))).first()[0]
+    spans = F.broadcast(spans) if size <= LIST_BYTES else spans  # so captures are shuffled only to lists too long to send
     keys = captures.select("page_id", "fetched", F.floor(F.col("fetched") / bucket).alias("bucket"), F.explode_outer(url_keys(F.col("url"))).alias("pattern"))
     active = (keys["pattern"] == spans["pattern"]) & (keys["bucket"] == spans["bucket"]) & (spans["begins"] <= keys["fetched"]) & (spans["ends"].isNull() | (keys["fetched"] < spans["ends"]))
     met = keys.join(spans, active, "left").select("page_id", spans["pattern"].alias("match")).distinct()
