@@ -26,6 +26,8 @@ STATES = 12
 ALPHA = 0.1
 END = b""
 BATCH_TOKENS = 500_000
+#: Tokens whose posteriors are worked out at a time.
+BLOCK = 1 << 14
 #: Tokens that one task of a round reads, where there are that many; each task sends its counts of all symbols.
 TASK_TOKENS = 1 << 25
 
@@ -216,15 +218,19 @@ def expected_counts(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes
     first = int(active[0]) if len(active) else 0
     ends = (np.cumsum(active) - active)[sizes[order] - 1] + np.arange(len(sizes))
     logs = np.log(scale, dtype=np.float64).sum() + np.log(alpha[ends].sum(axis=1), dtype=np.float64).sum() + largest[seen].sum()
-    before = np.arange(first, len(seen)) - np.repeat(active[:-1], active[1:])
-    beta *= alpha
-    share = 1 / (beta @ ones).astype(np.float64)
-    weight = (share / scale)[first:].astype(np.float32)
-    ahead = emit[first:]
-    ahead *= weight[:, None] @ ones[None]
-    moves = (alpha[before].T @ ahead).astype(np.float64) * model.move
-    out = np.stack([np.bincount(seen, weights=beta[:, s] * share, minlength=len(model.emit)) for s in range(len(model.start))], axis=1)
-    return share[:first] @ beta[:first].astype(np.float64), moves, out, float(logs)
+    before, moves = np.arange(first, len(seen)) - np.repeat(active[:-1], active[1:]), np.zeros((len(ones), len(ones)))
+    for i in range(0, len(seen), BLOCK):  # beta becomes the posteriors; blocks stay in a core's cache
+        own = beta[i : i + BLOCK]
+        own *= alpha[i : i + BLOCK]
+        share = 1 / (own @ ones)
+        own *= share[:, None]
+        j, k = max(i, first), i + len(own)
+        if j < k:
+            ahead = emit[j:k]
+            ahead *= (share[j - i :] / scale[j:k])[:, None]
+            moves += alpha.take(before[j - first : k - first], axis=0).T @ ahead
+    out = np.stack([np.bincount(seen, weights=beta[:, s], minlength=len(model.emit)) for s in range(len(ones))], axis=1)
+    return beta[:first].sum(axis=0, dtype=np.float64), moves * model.move, out, float(logs)
 
 
 def _batches(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
