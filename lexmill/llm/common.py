@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -149,6 +151,14 @@ class WordCodes(dict):
 CODES = WordCodes()
 
 
+def give_back() -> None:
+    """Hands memory that this worker no longer uses back to the system: a job's stages share their workers, and freed memory stays theirs."""
+    CODES.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only with glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def word_codes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(CODES.__getitem__, words), dtype=np.uint64, count=len(words))
 

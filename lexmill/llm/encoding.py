@@ -187,7 +187,7 @@ def slices(texts: list[str | None], chars: int = 1_000_000):
         yield start, len(texts)
 
 
-def text_slices(texts: pa.Array, size: int = 12_000_000) -> Iterator[tuple[int, int]]:
+def text_slices(texts: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Index ranges of about so many bytes, one text at least."""
     _, edges = flat(texts)
     a = 0

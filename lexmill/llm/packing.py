@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import record_batch, stored
+from lexmill.llm.common import give_back, record_batch, stored
 from lexmill.llm.encoding import encoder, text_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -80,6 +80,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
     """Each document's ids and end id, cut from the back into pieces of `capacity` where it is longer: the first may be shorter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         enc = encoder(tokenizer)
         for batch in batches:
             for a, b in text_slices(batch.column(1)):

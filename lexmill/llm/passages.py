@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WORD, join_ids, mixed, record_batch, stored, text_bytes, word_codes
+from lexmill.llm.common import WORD, give_back, join_ids, mixed, record_batch, small, stored, text_bytes, word_codes
 from lexmill.llm.encoding import slices
 
 WORDS = 50
@@ -68,6 +68,7 @@ def _keys(docs: DataFrame, words: int) -> DataFrame:
                 new = np.ones(len(of), dtype=bool)
                 new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
                 yield record_batch(KEY_SCHEMA, [keys[new].view(np.int64), ids[a:b][of[new]]])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(emit, "key long, doc_id long")
 
@@ -82,6 +83,7 @@ def _codes(docs: DataFrame, words: int) -> DataFrame:
                 _, _, codes, keys = windows([text], words)
                 own = np.unique(codes[np.isin(keys.view(np.int64), lists[i].values.to_numpy())])
                 yield record_batch(KEY_SCHEMA, [own.view(np.int64), np.full(len(own), ids[i])])
+        give_back()
 
     return docs.select("doc_id", "text", "keys").mapInArrow(emit, "key long, doc_id long")
 
@@ -111,6 +113,7 @@ def _rewritten(docs: DataFrame, words: int) -> DataFrame:
             ids, texts, lists, codes = batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2), batch.column(3).to_pylist()
             new = [without_runs(t, lists[i].values.to_numpy(), words).decode() for i, t in enumerate(texts)]
             yield record_batch(TEXT_SCHEMA, [ids, codes, new])
+        give_back()
 
     return docs.select("doc_id", "text", "keys", "text_code").mapInArrow(emit, "doc_id long, text_code long, text string")
 
@@ -121,24 +124,42 @@ def _shared(rows: DataFrame) -> DataFrame:
     return stored(ends.where("first_doc < last_doc").select("key", "first_doc"))
 
 
+def _cuts(docs: DataFrame, keys: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of documents that share a run, and for each doc_id that loses one the codes of what it loses."""
+    met = stored(keys.join(_shared(keys), "key").select("doc_id", "key").distinct())
+    some = stored(join_ids(docs, met.select("doc_id").distinct(), "left_semi").withColumn("text_code", F.xxhash64("text")))
+    codes = stored(_codes(some.join(met.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id"), words))
+    return some, stored(codes.join(_shared(codes), "key").where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
+
+
 def without_shared_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs with each run of `words` words or more that two documents share cut from all but the one with the least doc_id.
 
-    docs: doc_id (long), text and any other columns, which stay; n_chars, if there, is that of the new text. Documents of which no word
-    is left go. Words are compared in ASCII lower case; lines play no part. Rows
-    with a null doc_id or text stay as they are; rows that repeat a doc_id are one document. Any shared run has a
-    key that both documents have (the least code of a half as long run in each `words` words), so only runs with such a
-    key are compared in full. What is cut is in a document with a lesser doc_id: if it is cut there too, an even lesser one has it.
+    docs: doc_id (long), text and any other columns, whatever their names, which stay; n_chars, if there, is that of the new text. Documents of
+    which no word is left go. Words are compared in ASCII lower case; lines play no part. Rows with a null doc_id or text stay as they
+    are; rows that repeat a doc_id are one document. Any shared run has a key that both documents have (the least code of a half as long
+    run in each `words` words), so only runs with such a key are compared in full. What is cut is in a document with a lesser doc_id: if
+    it is cut there too, an even lesser one has it. A cut joins what stood around it, which may be a run that another document has too:
+    documents that were cut are compared again, among themselves and with all others, until nothing is cut.
     """
-    own = docs.where("doc_id is not null and text is not null")
-    keys = stored(_keys(own, words))
-    met = stored(keys.join(_shared(keys), "key").select("doc_id", "key").distinct())
-    some = stored(join_ids(own, met.select("doc_id").distinct(), "left_semi").withColumn("text_code", F.xxhash64("text")))
-    codes = stored(_codes(some.join(met.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id"), words))
-    cut = stored(codes.join(_shared(codes), "key").where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
-    texts = stored(_rewritten(some.join(cut, "doc_id"), words).dropDuplicates(["doc_id", "text_code"]))
-    changed = some.drop("text").join(texts, ["doc_id", "text_code"]).where(F.col("text").rlike(WORD))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast("long"))
-    rest = docs.where("text is null").unionByName(join_ids(docs.where("text is not null"), cut.select("doc_id"), "left_anti"))
-    return rest.unionByName(changed.select(docs.columns))
+    own = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    keys = fresh = stored(_keys(own, words))
+    edited, now = None, own
+    while True:
+        some, cut = _cuts(now, fresh, words)
+        ids = stored(cut.select("doc_id"))
+        if ids.isEmpty():
+            break
+        texts = stored(_rewritten(some.join(cut, "doc_id"), words).dropDuplicates(["doc_id", "text_code"]))
+        changed = stored(some.drop("text").join(texts, ["doc_id", "text_code"]).select("doc_id", "text", "row"))
+        edited = stored(changed if edited is None else join_ids(edited, ids, "left_anti").unionByName(changed))
+        now = join_ids(own, edited.select("doc_id").distinct(), "left_anti").unionByName(edited)
+        new = stored(_keys(changed, words))
+        keys = stored(join_ids(keys, ids, "left_anti").unionByName(new))
+        fresh = stored(keys.join(small(stored(new.select("key").distinct())), "key", "left_semi"))
+    if edited is None:
+        return docs
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    changed = edited.where(F.col("text").rlike(WORD)).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    rest = docs.where("text is null").unionByName(join_ids(docs.where("text is not null"), edited.select("doc_id").distinct(), "left_anti"))
+    return rest.unionByName(changed)
