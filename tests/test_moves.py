@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexmill.operators import assemble, mapping, moves, pieces, prune
 from lexmill.operators import select as S
 from lexmill.plans.dictionary import dictionary_to_tei, leftover
-from lexmill.sources.xml import parse, shred
+from lexmill.sources.xml import parse
 from tests.test_prune import markup, nodes_of
 
 ENTRY = {"type": "xpath", "expr": ".//entry"}

@@ -1,6 +1,6 @@
 import re
 
-from lexmill.operators import catalog, mapping, prune, sequences
+from lexmill.operators import catalog, prune, sequences
 from lexmill.operators import select as S
 from lexmill.sources.tables import read_dictionary, write_dictionary, write_log
 from lexmill.sources.xml import shred
