@@ -133,24 +133,27 @@ def tei_entries(matches: DataFrame, entry_nodes: DataFrame, senses: DataFrame, a
     no match took, which `keep_scrap` appends as dictScrap; blank pieces alone make none. datasets: doc_id, dsid, within which headwords are numbered.
     """
     own = matches.select("doc_id", "entry", "pre", "rank", "role", "final", "above", role_markup(F.col("role"), F.col("final"), F.col("matched"), F.col("lang")).alias("markup"))
-    in_sense = own.select("doc_id", "entry", "pre", F.explode(F.concat("above", F.array("pre"))).alias("sense")).join(senses.select("doc_id", "entry", F.col("pre").alias("sense")), ["doc_id", "entry", "sense"]).groupBy("doc_id", "entry", "pre").agg(F.max("sense").alias("sense"))
+    senses = stored(senses.select("doc_id", "entry", "pre"))
+    before = stored(senses.where("pre <= entry"))  # none, unless senses are selected out of their entry; then a join with them deals out no matches
+    chain = F.concat("above", F.array("pre"))
+    held = lambda up, of: own.select("doc_id", "entry", "pre", F.explode(up).alias("sense")).join(of.select("doc_id", "entry", F.col("pre").alias("sense")), ["doc_id", "entry", "sense"])
+    in_sense = held(F.filter(chain, lambda x: x > F.col("entry")), senses.where("pre > entry")).unionByName(held(F.filter(chain, lambda x: x <= F.col("entry")), before)).groupBy("doc_id", "entry", "pre").agg(F.max("sense").alias("sense"))
     own = own.drop("above").join(in_sense, ["doc_id", "entry", "pre"], "left")
     own = own.withColumn("sense", F.when((F.col("role") == "def") & F.col("sense").isNull(), F.col("pre")).otherwise(F.col("sense")))
     nothing = lambda *names: [F.lit(None).cast("int" if n == "rank" else "string").alias(n) for n in names]
     empty = senses.select("doc_id", "entry", F.col("pre").alias("sense"), "pre", *nothing("rank", "role", "final", "markup"))
-    bare = entry_nodes.select("doc_id", F.col("pre").alias("entry"), F.lit(None).cast("long").alias("sense"), "pre", *nothing("rank", "role", "final", "markup"))
-    rows = own.unionByName(empty).unionByName(bare)
+    bare = entry_nodes.select("doc_id", F.col("pre").alias("entry"), F.lit(None).cast("long").alias("sense"), "pre", *nothing("rank", "role", "final", "markup"), "lang", F.lit(True).alias("bare"))
+    rows = own.unionByName(empty).unionByName(bare, allowMissingColumns=True).repartition("doc_id", "entry")  # both groupings in one
     joined = lambda of, order: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(of).isNotNull(), F.struct(*order, of)))), lambda s: s[of]), "")
     first = lambda role: F.min(F.when(F.col("role") == role, F.struct("pre", "final"))).alias(role)
-    parts = rows.groupBy("doc_id", "entry", "sense").agg(joined("markup", ["pre", "rank"]).alias("inside"), first("hw"), first("pos"))
-    each = parts.groupBy("doc_id", "entry").agg(F.max(F.when(F.col("sense").isNull(), F.col("inside"))).alias("outside"), F.array_sort(F.collect_list(F.when(F.col("sense").isNotNull(), F.struct("sense", "inside")))).alias("senses"), F.min("hw")["final"].alias("headword"), F.min("pos")["final"].alias("pos"))
+    parts = rows.groupBy("doc_id", "entry", "sense").agg(joined("markup", ["pre", "rank"]).alias("inside"), first("hw"), first("pos"), F.max("lang").alias("lang"), F.max("bare").alias("bare"))
+    each = parts.groupBy("doc_id", "entry").agg(F.max(F.when(F.col("sense").isNull(), F.col("inside"))).alias("outside"), F.array_sort(F.collect_list(F.when(F.col("sense").isNotNull(), F.struct("sense", "inside")))).alias("senses"), F.min("hw")["final"].alias("headword"), F.min("pos")["final"].alias("pos"), F.max("lang").alias("lang"), F.max("bare").alias("bare")).where("bare").drop("bare")
     safe = F.when(is_blank(F.col("headword")), F.lit("headword")).otherwise(name_safe(F.col("headword")))
     each, by = each.withColumn("safe", safe), ["safe"]
     if datasets is not None:
         each, by = each.join(datasets.select("doc_id", F.col("dsid").alias("within")), "doc_id"), ["within", "safe"]
     each = in_runs(each, by, ["doc_id", "entry"], count="n").drop(*by)
     each = each.withColumn("xml_id", entry_identifier(acronym, F.col("headword"), F.col("n"), F.col("pos")))
-    each = each.join(entry_nodes.select("doc_id", F.col("pre").alias("entry"), "lang"), ["doc_id", "entry"])
     bodies = F.array_join(F.transform("senses", lambda s, i: element("sense", s["inside"], xml__id=sense_identifier(F.col("xml_id"), i + 1))), "")
     content = F.concat(F.coalesce("outside", F.lit("")), bodies)
     if keep_scrap and scrap is not None:

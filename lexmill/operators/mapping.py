@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import group_start, translated
 from lexmill.operators.pieces import inner_text
 from lexmill.operators.select import attribute, namespaces_of, parent_normalised, selected
+from lexmill.sources.store import stored
 
 INNER, INNER_REC, CONSTANT = "{meta}innerText", "{meta}innerTextRec", "{meta}constant"
 #: The roles, in the order in which they may consume an element.
@@ -78,27 +79,33 @@ def leaves(transformer: dict) -> list[dict]:
     return [transformer]
 
 
-def found_all(nodes: DataFrame, transformers: list[dict], context: DataFrame | None = None) -> DataFrame:
+def found_all(nodes: DataFrame, transformers: list[dict], context: DataFrame | None = None, chain: bool = False) -> DataFrame:
     """doc_id, ctx, pre, attr, value, matched, start, final and t (the transformer's place in the list) of what each finds from each context row.
 
     value: the text or attribute; nodes without the attribute, or whose value the pattern doesn't occur in, are left out. matched: the pattern's
     group (a group that doesn't exist: ''), start: how many characters of the value precede it. final: matched, translated by xlat where it has it. Of a union, the first transformer that
-    finds a node counts. Texts of all transformers come by one join.
+    finds a node counts. An element without children has its text itself; those of the others come by one join for all transformers, if there
+    are any, which is looked up in what was found. chain: above has the nodes' ancestors.
     """
+    kept = ["above"] if chain else []
     simple = [(t, leaf) for t, transformer in enumerate(transformers) for leaf in leaves(transformer)]
     out, texts = None, set()
     for i, (t, leaf) in enumerate(simple):
         attr = leaf.get("attr") or INNER_REC
         at = selected(nodes, leaf["selector"], context)
         value = F.lit(leaf.get("const", "")) if attr == CONSTANT else F.lit(None).cast("string") if attr in (INNER, INNER_REC) else attribute(attr, namespaces_of(leaf["selector"]))
-        one = at.select("doc_id", "ctx", "pre", F.lit(t).alias("t"), F.lit(i).alias("leaf"), F.lit(attr).alias("attr"), value.alias("value"))
+        if attr in (INNER, INNER_REC):
+            value = F.when(F.col("post") == F.col("pre") + 1, F.coalesce("text", F.lit("")))
+        one = at.withColumn("above", F.col("ancestors")).select("doc_id", "ctx", "pre", F.lit(t).alias("t"), F.lit(i).alias("leaf"), F.lit(attr).alias("attr"), value.alias("value"), *kept)
         if attr in (INNER, INNER_REC):
             texts.add(attr)
         else:
             one = one.where("value is not null")
         out = one if out is None else out.unionByName(one)
-    for attr in sorted(texts):
-        text = inner_text(nodes, out.where(F.col("attr") == attr), attr == INNER_REC).select("doc_id", "pre", F.lit(attr).alias("attr"), F.col("value").alias("inside"))
+    out = stored(out) if texts else out
+    without = {r["attr"] for r in out.where("value is null").select("attr").distinct().collect()} if texts else set()  # two at most
+    for attr in sorted(without):
+        text = inner_text(nodes, out.where((F.col("attr") == attr) & F.col("value").isNull()), attr == INNER_REC).select("doc_id", "pre", F.lit(attr).alias("attr"), F.col("value").alias("inside"))
         out = out.join(text, ["doc_id", "pre", "attr"], "left").withColumn("value", F.coalesce("value", "inside")).drop("inside")
     met, matched, start = F.lit(True), F.col("value"), F.lit(0)
     for i, (_, leaf) in enumerate(simple):
@@ -116,7 +123,7 @@ def found_all(nodes: DataFrame, transformers: list[dict], context: DataFrame | N
     for i, (_, leaf) in enumerate(simple):
         if leaf.get("xlat"):
             final = F.when(F.col("leaf") == i, translated(F.col("matched"), leaf["xlat"])).otherwise(final)
-    return out.select("doc_id", "ctx", "pre", "t", "attr", "value", "matched", "start", final.alias("final"))
+    return out.select("doc_id", "ctx", "pre", "t", "attr", "value", "matched", "start", final.alias("final"), *kept)
 
 
 def found(nodes: DataFrame, transformer: dict, context: DataFrame | None = None) -> DataFrame:
@@ -129,8 +136,8 @@ def strategy(attr: Column, value: Column, matched: Column) -> Column:
     return F.when(~attr.isin(INNER, INNER_REC), "sibling").when(value != matched, "part").otherwise("consume")
 
 
-def role_matches(nodes: DataFrame, mapping: Mapping, entry_nodes: DataFrame) -> DataFrame:
-    """doc_id, entry (pre), pre, role, rank, attr, value, matched, start, final, strategy of all roles.
+def role_matches(nodes: DataFrame, mapping: Mapping, entry_nodes: DataFrame, chain: bool = False) -> DataFrame:
+    """doc_id, entry (pre), pre, role, rank, attr, value, matched, start, final, strategy of all roles, and above (ancestors) if `chain`.
 
     Of the matches that would consume one element, the first role in ROLES does; the others become parts.
     """
@@ -138,7 +145,7 @@ def role_matches(nodes: DataFrame, mapping: Mapping, entry_nodes: DataFrame) ->
     if not own:
         raise ValueError("the mapping has no role")
     names = F.array(*[F.lit(r) for r in own])
-    out = found_all(nodes, [mapping.slots[r] for r in own], entry_nodes).withColumn("role", F.get(names, F.col("t")))
+    out = found_all(nodes, [mapping.slots[r] for r in own], entry_nodes, chain).withColumn("role", F.get(names, F.col("t")))
     out = out.withColumn("rank", F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role"))).drop("t")
     out = out.withColumnRenamed("ctx", "entry").withColumn("strategy", strategy(F.col("attr"), F.col("value"), F.col("matched")))
     order = Window.partitionBy("doc_id", "entry", "pre", "strategy").orderBy("rank")

@@ -23,17 +23,17 @@ def dictionary_to_tei(nodes: DataFrame, mapping: Mapping, title: str = "dict", k
     Selectors see the whole document, so paths that lead out of an entry are followed. What a mapping's adoptSelectors select moves with
     its matches under the adopter, so it comes after the adopter's match and in its sense. max_entries: of each document, only so many
     entries, the first ones; text of the others is nobody's. datasets: doc_id, dsid, if headwords are to be numbered in each dataset by itself.
+    nodes are read many times: give a stored() table.
     """
-    nodes = stored(nodes)
     own = entries(nodes, mapping.entry)
     own = own if max_entries is None else first_entries(own, max_entries, ["pre"])
     own = nearest(nodes, own, found(nodes, mapping.slots["entry_lang"]), "lang") if "entry_lang" in mapping.slots else own.withColumn("lang", F.lit(None).cast("string"))
     own = stored(own)
-    matches = with_languages(nodes, mapping, role_matches(nodes, mapping, own))
-    matches = stored(matches.join(nodes.select("doc_id", "pre", F.col("ancestors").alias("above")), ["doc_id", "pre"]))
+    matches = stored(with_languages(nodes, mapping, role_matches(nodes, mapping, own, chain=True)))
     deeper = own.select("doc_id", F.col("pre").alias("inner")).join(own.select("doc_id", F.col("pre").alias("inner"), F.explode("ancestors").alias("entry")), ["doc_id", "inner"])
-    inside = matches.select("doc_id", "entry", "pre", F.explode(F.concat("above", F.array("pre"))).alias("inner")).join(deeper, ["doc_id", "entry", "inner"]).select("doc_id", "entry", "pre").distinct()
-    matches = matches.join(inside, ["doc_id", "entry", "pre"], "left_anti")
+    deeper = stored(deeper)  # few as a rule, and then a join with them deals out no matches
+    inside = matches.join(deeper.select("doc_id", "entry").distinct(), ["doc_id", "entry"], "left_semi").select("doc_id", "entry", "pre", F.explode(F.concat("above", F.array("pre"))).alias("inner")).join(deeper, ["doc_id", "entry", "inner"]).select("doc_id", "entry", "pre").distinct()
+    matches = matches.join(stored(inside), ["doc_id", "entry", "pre"], "left_anti")
     senses = selected(nodes, mapping.sense, own).select("doc_id", F.col("ctx").alias("entry"), "pre", "ancestors") if mapping.sense else own.where("false").select("doc_id", F.col("pre").alias("entry"), "pre", "ancestors")
     scrap = leftover(nodes, matches, own) if keep_scrap else None
     moves = adoptions_of(nodes, mapping, own)

@@ -44,7 +44,7 @@ def refresh(docs: DataFrame, mappings: DataFrame, path: str, title: str = "dict"
     for r in changed.select("spec").distinct().collect():
         own = docs.join(changed.where(F.col("spec") == r["spec"]).select("dsid"), "dsid")
         of = own.select("doc_id", "dsid")
-        out = dictionary_to_tei(shred(own), Mapping.of(r["spec"]), title, datasets=of).join(of, "doc_id")
+        out = dictionary_to_tei(stored(shred(own)), Mapping.of(r["spec"]), title, datasets=of).join(of, "doc_id")
         rows = stored(headword_or_number(out, ["doc_id", "entry"], "dsid"))
         filled |= {x["dsid"] for x in rows.select("dsid").distinct().collect()}
         rows.repartition("dsid", F.pmod(F.xxhash64("doc_id", "entry"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dsid").parquet(f"{path}/{ENTRIES}")

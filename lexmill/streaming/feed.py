@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexmill.operators.mapping import Mapping
 from lexmill.plans.dictionary import dictionary_to_tei
+from lexmill.sources.store import stored
 from lexmill.sources.xml import shred
 
 
@@ -21,6 +22,6 @@ def entries_stream(spark: SparkSession, path: str, mapping: Mapping, out: str, c
     """Appends each batch's entries to a Parquet table, a folder for each batch: one that is run again replaces its own. Headwords are numbered within a batch."""
 
     def write(batch: DataFrame, number: int) -> None:
-        dictionary_to_tei(shred(batch), mapping, title).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        dictionary_to_tei(stored(shred(batch)), mapping, title).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return documents_stream(spark, path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
