@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.runs import in_runs
 from lexmill.operators.sequences import places
 
 
@@ -62,9 +63,9 @@ def refreshed_map(values: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def headword_or_number(entries: DataFrame, order: list[str], key: str) -> DataFrame:
-    """entries with entry_text: the headword, or 'Entry <n>', n the place among its key's entries from 0."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return entries.withColumn("entry_text", F.coalesce("headword", F.concat(F.lit("Entry "), n.cast("string"))))
+    """entries with entry_text: the headword, or 'Entry <n>', n the place among its key's entries from 0; a key's entries are numbered by many tasks."""
+    n = F.col("place__") - 1
+    return in_runs(entries, [key], order, count="place__").withColumn("entry_text", F.coalesce("headword", F.concat(F.lit("Entry "), n.cast("string")))).drop("place__")
 
 
 def first_entries(entries: DataFrame, n: int, order: list[str], key: str = "doc_id") -> DataFrame:
