@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexmill.sources.store import stored
+from lexmill.sources.xml import document_parts, shred
 
 
 def test_packed_keys_count_as_large_as_they_are_in_memory(spark):
@@ -16,3 +17,15 @@ def test_packed_keys_count_as_large_as_they_are_in_memory(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "BroadcastHashJoin" not in plan
+
+
+def test_documents_as_markup_send_no_scopes_to_the_driver(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("<d><e>x</e><e>x</e></d>").alias("raw"))
+    nodes = stored(shred(docs))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")  # 60,000 scopes are more
+    try:
+        plan = document_parts(nodes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" not in plan
