@@ -37,6 +37,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows become documents each: dealt by key, as a packed file of millions is read by one task, which would parse them all."""
+    return _table(spark, sf_dir, name).repartition(key)
+
+
 def _tag(tag: str, content: Column, **a: Column) -> Column:
     return T.element(tag, T.escaped(content.cast("string")), **a)
 
@@ -449,7 +454,7 @@ def tei_document(spark, sf_dir):
 
 @query("SELECT s_suppkey AS doc_id, '<seg>' || s_name || '!</seg>' AS tei FROM supplier")
 def no_entry_fallback(spark, sf_dir):
-    docs = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), T.element("d", F.concat(_tag("x", F.col("s_name")), F.lit("!"))).alias("raw"))
+    docs = _dealt(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("doc_id"), T.element("d", F.concat(_tag("x", F.col("s_name")), F.lit("!"))).alias("raw"))
     nodes = stored(shred(docs))
     none = spark.createDataFrame([], "doc_id long, entry long, tei string")
     return dictionary.tei_parts(nodes, none, spark.createDataFrame([], "id long, tei string")).where("place = 0").select("doc_id", "tei")
@@ -561,7 +566,7 @@ def stripped_scrap(spark, sf_dir):
     name, lit = F.col("s_name"), F.lit
     note = T.element("def", F.concat(lit("p"), scrap(name, scrap(lit(" ("))), T.element("gram", F.col("s_nationkey").cast("string")), scrap(lit(" q"))))
     raw = T.element("entry", F.concat(note, scrap(name), scrap(lit(" ")), T.element("dictScrap", T.element("usg", lit("u")))))
-    nodes = stored(shred(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), raw.alias("raw"))))
+    nodes = stored(shred(_dealt(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("doc_id"), raw.alias("raw"))))
     return prune.unwrapped(nodes, prune.strippable(nodes)).select("doc_id", "tag", F.array_join("path", "/").alias("path"), "text", "tail")
 
 

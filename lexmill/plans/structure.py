@@ -9,7 +9,7 @@ from lexmill.functions import text as T
 from lexmill.operators import assemble, mapping, models, moves, prune, sequences
 from lexmill.operators import select as S
 from lexmill.plans import dictionary, refresh, remap
-from lexmill.plans.queries import PARTS, _table, _tag, event_labels, part_documents, part_nodes, query
+from lexmill.plans.queries import PARTS, _dealt, _table, _tag, event_labels, part_documents, part_nodes, query
 from lexmill.sources.schema import compiled
 from lexmill.sources.split import read_nodes
 from lexmill.sources.store import shared_dir, stored
@@ -18,7 +18,7 @@ from lexmill.sources.xml import document_parts, shred
 
 def supplier_nodes(spark: SparkSession, sf_dir: str, raw: Column) -> DataFrame:
     """A document of each supplier."""
-    return stored(shred(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), raw.alias("raw"))))
+    return stored(shred(_dealt(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("doc_id"), raw.alias("raw"))))
 
 
 def _first_word(rest: str) -> str:
@@ -140,7 +140,7 @@ SCHEMA = """<grammar xmlns="http://relaxng.org/ns/structure/1.0"><start><ref nam
 @query("SELECT 'label' AS tag, 'text' AS kind, 0 AS place, '' AS name, p_partkey FROM part UNION ALL SELECT 'entry', 'child', 1, 'label', p_partkey FROM part WHERE p_size % 2 = 0 UNION ALL SELECT 'entry', 'end', 1, '', p_partkey FROM part WHERE p_size % 3 = 0 AND p_size % 2 = 1")
 def content_models(spark, sf_dir):
     """Entries in three shapes: label before hw, hw alone, and the right order; labels hold text that the schema denies them."""
-    parts = _table(spark, sf_dir, "part")
+    parts = _dealt(spark, sf_dir, "part", "p_partkey")
     hw, label, pos = _tag("hw", F.col("p_name")), _tag("label", F.col("p_brand")), _tag("pos", F.col("p_type"))
     shape = F.when(F.col("p_size") % 2 == 0, F.concat(label, hw, pos)).when(F.col("p_size") % 3 == 0, hw).otherwise(F.concat(hw, pos, label))
     raw = T.element("dict", F.concat(T.element("entry", shape, id=F.col("p_partkey")), F.when((F.col("p_size") % 3 == 0) & (F.col("p_size") % 2 == 1), T.element("entry", F.concat(hw, label), id=F.col("p_partkey"))).otherwise("")))

@@ -17,6 +17,8 @@ from lexmill.functions.text import escaped
 NODES = "doc_id long, pre long, post long, parent long, depth int, sib int, tag string, attrs map<string,string>, text string, tail string, path array<string>, ancestors array<long>, prefix string, ns string, scope map<string,string>"
 _MAP = pa.map_(pa.string(), pa.string())
 _ARROW = pa.schema([("doc_id", pa.int64()), ("pre", pa.int64()), ("post", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("sib", pa.int32()), ("tag", pa.string()), ("attrs", _MAP), ("text", pa.string()), ("tail", pa.string()), ("path", pa.list_(pa.string())), ("ancestors", pa.list_(pa.int64())), ("prefix", pa.string()), ("ns", pa.string()), ("scope", _MAP)])
+#: Nodes in a batch; a batch has a cost of its own, so documents of a few nodes share one.
+BATCH_NODES = 5000
 #: Fixed value: what the prefix xml stands for in every document.
 XML_NAMESPACE = "http://www.w3.org/XML/1998/namespace"
 
@@ -135,6 +137,23 @@ def parse(doc_id, raw: str | None, blank: bool = False) -> list[dict]:
         return loose.done()
 
 
+def node_batches(batches: Iterator[pa.RecordBatch], blank: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches of documents (doc_id, raw) as batches of a node table, in which small documents lie together."""
+    ready: list[dict] = []
+    for batch in batches:
+        for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ready += parse(doc_id, raw, blank)
+            while len(ready) >= BATCH_NODES:
+                yield _as_batch(ready[:BATCH_NODES])
+                ready = ready[BATCH_NODES:]
+    if ready:
+        yield _as_batch(ready)
+
+
+def _as_batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], type=f.type) for f in _ARROW], schema=_ARROW)
+
+
 def shred(docs: DataFrame, drop_blank_text: bool = False) -> DataFrame:
     """The node table of documents (doc_id, raw): one row for each element.
 
@@ -146,15 +165,7 @@ def shred(docs: DataFrame, drop_blank_text: bool = False) -> DataFrame:
     and blank documents have no nodes.
     """
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = parse(doc_id, raw, drop_blank_text)
-                for i in range(0, len(found), 5000):
-                    part = found[i : i + 5000]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in part], type=f.type) for f in _ARROW], schema=_ARROW)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("raw").cast("string")).mapInArrow(rows, NODES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("raw").cast("string")).mapInArrow(lambda batches: node_batches(batches, drop_blank_text), NODES)
 
 
 def document_parts(nodes: DataFrame) -> DataFrame:

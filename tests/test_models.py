@@ -110,3 +110,11 @@ def test_foreign_attributes_go(spark):
     attrs = models.without_foreign_attributes(nodes).collect()[0]["attrs"]
     assert attrs == {"xml:id": "i", "n": "1", "{http://www.tei-c.org/ns/1.0}q": "3"}
     assert parse(1, "<e a:b='1'/>")[0]["attrs"] == [("a:b", "1")]  # an undeclared prefix is part of the name
+
+
+def test_a_file_of_many_small_documents_is_parsed_by_many_tasks(spark, tmp_path):
+    from lexmill.plans.queries import _dealt
+
+    spark.range(400_000).selectExpr("id AS p_partkey", "repeat('x', 40) || id AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert spark.read.parquet(f"{tmp_path}/part.parquet").rdd.getNumPartitions() == 1
+    assert _dealt(spark, str(tmp_path), "part", "p_partkey").rdd.getNumPartitions() > 1

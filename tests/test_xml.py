@@ -1,5 +1,6 @@
 import zipfile
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import discover
 from lexmill.operators import select as S
-from lexmill.sources.xml import parse, read_documents, shred
+from lexmill.sources.xml import node_batches, parse, read_documents, shred
 
 DOC = '<d lang="x">a<e id="1">b<hw>c</hw>d<e id="2"><hw>i</hw></e>e</e>f<e id="3"><hw>k</hw></e></d>'
 
@@ -111,3 +112,11 @@ def test_files_globs_and_zips(spark, tmp_path):
     assert sorted(r["raw"] for r in docs.collect()) == ["<a/>", "<x/>", "<y><z/></y>"]
     assert sorted(r["tag"] for r in shred(docs).collect()) == ["a", "x", "y", "z"]
     assert sorted(r["text"] for r in nodes_of(spark, "<a> <b> x </b>\n</a>", drop_blank_text=True).collect()) == ["", " x "]
+
+
+def test_small_documents_share_a_batch_and_large_ones_are_cut():
+    raws = ["<d><e/></d>"] * 3000 + ["<d>" + "<e/>" * 7000 + "</d>", None, "<d/>"]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(raws))), pa.array(raws)], names=["doc_id", "raw"])
+    out = list(node_batches(iter([docs.slice(0, 2000), docs.slice(2000)])))
+    assert [b.num_rows for b in out] == [5000, 5000, 3002]
+    assert [(i, p) for b in out for i, p in zip(b.column("doc_id").to_pylist(), b.column("pre").to_pylist())] == [(i, r["pre"]) for i, raw in enumerate(raws) for r in parse(i, raw)]
