@@ -21,17 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark takes a file's bytes as its rows' bytes, though two columns of keys need a hundred times their share of the file in memory.
 UNPACKED, PLAIN = ("spark.sql.sources.fileCompressionFactor", "100.0"), "1.0"
+#: Up to so many bytes of shuffled rows Spark may send to the driver in a running query; a table of keys takes five times as many there, and a job has many joins.
+SENT = ("spark.sql.adaptive.autoBroadcastJoinThreshold", "1m")
 
 
 def stored(df: DataFrame) -> DataFrame:
     """A table written there and read back: computed once, and what follows survives lost executors.
 
-    From then on the session takes files as much larger in memory than on disk (unless it has a setting of its own), so that the driver
-    isn't sent a packed table of millions of rows as a small one.
+    From then on the session takes files as much larger in memory than on disk, and of what a query has shuffled only little for small (unless
+    it has settings of its own), so that the driver isn't sent tables of a million keys, one for each join.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     if spark.conf.get(UNPACKED[0], PLAIN) == PLAIN:
         spark.conf.set(*UNPACKED)
+    if spark.conf.get(SENT[0], None) is None:
+        spark.conf.set(*SENT)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

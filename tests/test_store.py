@@ -29,3 +29,13 @@ def test_documents_as_markup_send_no_scopes_to_the_driver(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "BroadcastHashJoin" not in plan
+
+
+def test_shuffled_keys_are_not_sent_to_the_driver_while_a_query_runs(spark):
+    nodes = stored(spark.range(300_000).select(F.expr("id div 11").alias("doc_id"), F.expr("id % 11").alias("pre")))
+    few = nodes.groupBy("doc_id", "pre").agg(F.count("*").alias("n"))
+    joined = nodes.join(few, ["doc_id", "pre"])  # the keys are 7 MB once they are shuffled
+    assert joined.count() == 300_000
+    counted = joined.groupBy().count()
+    counted.collect()
+    assert "BroadcastHashJoin" not in counted._jdf.queryExecution().executedPlan().toString()
