@@ -58,25 +58,40 @@ def sense_identifier(entry_id: Column, k: Column) -> Column:
     return F.concat_ws("_", entry_id, k.cast("string"))
 
 
+#: Elements of one entry and name that a task counts; they are added up by buckets of hashes, all of a larger bucket are dealt by ranges.
+LARGE, BUCKETS = 100_000, 1 << 20
+
+
 def other_identifiers(nodes: DataFrame, used: DataFrame) -> DataFrame:
     """nodes (entry_id, tag, doc_id, pre, own_id, ...) with xml_id: own_id where it is free, else entry_tag_k with the next free k.
 
     used: id, those of entries and senses. An own_id that several elements have is the first one's, in document order; a number is free if
     no id in `used` or kept here has it. Elements without an own_id (null) get a number too. Numbers are counted along each entry and
-    name; the k-th free one lies as many further on as used ones come before it.
+    name; the k-th free one lies as many further on as used ones come before it. nodes are read several times, and elements without an own_id
+    shuffled once: give a table that is cheap to read. Those of an entry and name are counted in one task up to LARGE, larger groups by ranges.
     """
     taken = used.select(F.col("id").alias("own_id")).where("own_id is not null").distinct()
-    rows = stored(nodes)
-    firsts = rows.where("own_id is not null").groupBy("own_id").agg(F.min(F.struct("doc_id", "pre")).alias("first")).join(taken, "own_id", "left_anti")
+    owned = stored(nodes.where("own_id is not null"))
+    firsts = owned.groupBy("own_id").agg(F.min(F.struct("doc_id", "pre")).alias("first")).join(taken, "own_id", "left_anti")
     keeps = stored(firsts.select("own_id", "first.doc_id", "first.pre").withColumn("keeps", F.lit(True)))
-    marked = rows.join(keeps, ["own_id", "doc_id", "pre"], "left")
+    marked = owned.join(keeps, ["own_id", "doc_id", "pre"], "left").select(*nodes.columns, "keeps")
     number = r"^(.*)_([1-9][0-9]{0,17})$"
     ids = taken.unionByName(keeps.select("own_id"))
     gaps = ids.where(F.col("own_id").rlike(number)).select(F.regexp_extract("own_id", number, 1).alias("stem"), F.regexp_extract("own_id", number, 2).cast("long").alias("u"))
     gaps = in_runs(gaps, ["stem"], ["u"], count="j").groupBy("stem").agg(F.array_sort(F.collect_list(F.col("u") - F.col("j"))).alias("gaps"))  # as many as an entry has of a name
-    rest = in_runs(marked.where("keeps is null").withColumn("stem", F.concat_ws("_", "entry_id", "tag")), ["stem"], ["doc_id", "pre"], count="k").join(gaps, "stem", "left")
+    rest = nodes.where("own_id is null").unionByName(marked.where("keeps is null").drop("keeps")).withColumn("stem", F.concat_ws("_", "entry_id", "tag"))
+    bucket = F.pmod(F.xxhash64("stem"), F.lit(BUCKETS))
+    large = stored(rest.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("bucket"))  # a row for LARGE elements at most
+    few = rest
+    if not large.isEmpty():
+        dealt = lambda how: rest.withColumn("bucket", bucket).join(F.broadcast(large), "bucket", how).drop("bucket")
+        few, many = dealt("left_anti"), in_runs(dealt("left_semi"), ["stem"], ["doc_id", "pre"], count="k")
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("stem").orderBy("doc_id", "pre")).cast("long"))
+    counted = few.join(gaps, "stem", "left")  # dealt as for the window
+    if not large.isEmpty():
+        counted = counted.unionByName(many.join(gaps, "stem", "left"))
     k = F.col("k") + F.coalesce(F.size(F.filter("gaps", lambda g: g < F.col("k"))), F.lit(0))
-    made = rest.select(*nodes.columns, F.concat_ws("_", "stem", k.cast("string")).alias("xml_id"))
+    made = counted.select(*nodes.columns, F.concat_ws("_", "stem", k.cast("string")).alias("xml_id"))
     return marked.where("keeps").select(*nodes.columns, F.col("own_id").alias("xml_id")).unionByName(made)
 
 

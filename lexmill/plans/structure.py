@@ -152,12 +152,12 @@ def content_models(spark, sf_dir):
 SELECT l_orderkey, k, 'e' || l_orderkey || '_line_' || CASE WHEN l_orderkey % 2 = 0 THEN k + CASE WHEN k >= 2 THEN 1 ELSE 0 END ELSE k END AS xml_id FROM e""")
 def other_ids(spark, sf_dir):
     """Numbers of an order's lines; every second order already uses the id with number 2."""
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("pre"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", place.cast("long").alias("pre"))
     orders = _table(spark, sf_dir, "orders").select("o_orderkey")
     used = orders.where("o_orderkey % 2 = 0").select(F.concat(F.lit("e"), F.col("o_orderkey").cast("string"), F.lit("_line_2")).alias("id"))
     nodes = lines.select(F.concat(F.lit("e"), F.col("l_orderkey").cast("string")).alias("entry_id"), F.lit("line").alias("tag"), F.col("l_orderkey").alias("doc_id"), "pre", F.lit(None).cast("string").alias("own_id"))
-    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))
-    return assemble.other_identifiers(nodes, used).select(F.col("doc_id").alias("l_orderkey"), k.cast("long").alias("k"), "xml_id")
+    return assemble.other_identifiers(nodes, used).select(F.col("doc_id").alias("l_orderkey"), F.col("pre").alias("k"), "xml_id")
 
 
 @query("""WITH c AS (SELECT DISTINCT unnest(string_split(p_brand, '')) AS c FROM part WHERE p_size < 10), v AS (SELECT c, row_number() OVER (ORDER BY c) AS id FROM c),

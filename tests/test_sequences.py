@@ -152,3 +152,19 @@ def test_levels_are_written_and_read(spark, tmp_path):
 
     whole = ElementTree.fromstring("".join(p.read_text() for p in sorted((tmp_path / "t" / "doc_id=0").glob("*.txt"))).encode())
     assert [x.text for x in whole.iter("{http://www.tei-c.org/ns/1.0}orth")] == ["a", "a", "b"] and [x.text for x in whole.iter("{http://www.tei-c.org/ns/1.0}def")] == ["z", "<y>", "x"]
+
+
+def test_elements_without_ids_are_not_stored_and_large_groups_are_numbered_alike(spark, tmp_path, monkeypatch):
+    import uuid
+
+    from lexmill.operators import assemble
+
+    nodes = spark.range(3000).selectExpr("concat('e', id % 3 * id % 7) AS entry_id", "'s' AS tag", "id % 5 AS doc_id", "id AS pre", "CASE WHEN id % 100 = 0 THEN concat('e0_s_', id) END AS own_id")
+    used = spark.createDataFrame([("e0_s_2",), ("e0_s_3",), ("e3_s_1",)], "id string")
+    monkeypatch.setattr("lexmill.sources.store.shared_dir", lambda _: f"file://{tmp_path}/{uuid.uuid4().hex}")
+    plain = {tuple(r) for r in assemble.other_identifiers(nodes, used).collect()}
+    written = sum(spark.read.parquet(f"file://{p}").count() for p in tmp_path.iterdir())
+    assert len(plain) == 3000 == len({r[5] for r in plain}) and not {r[5] for r in plain} & {"e0_s_2", "e0_s_3", "e3_s_1"}
+    assert written < 300  # ids that are there or in use
+    monkeypatch.setattr(assemble, "LARGE", 300)
+    assert {tuple(r) for r in assemble.other_identifiers(nodes, used).collect()} == plain
