@@ -44,19 +44,22 @@ class _Builder:
 
     def start(self, tag: str, attrs) -> None:
         up = self.open[-1] if self.open else None
-        scope, attrs = up["names"] if up else {}, dict(attrs)
-        declared = {name[6:]: uri for name, uri in attrs.items() if name == "xmlns" or name.startswith("xmlns:")}
+        scope, pairs, own, attrs = up["names"] if up else {}, up["scope"] if up else [], {}, dict(attrs)
+        declared = {name[6:]: uri for name, uri in attrs.items() if name == "xmlns" or name.startswith("xmlns:")} if attrs else None
         if declared:
             scope = {**scope, **declared}
+            pairs = list(scope.items())
         prefix, local, uri = named(tag, scope)
-        own = {}
         for name, value in attrs.items():
             if name != "xmlns" and not name.startswith("xmlns:"):
                 p, n, u = named(name, scope, True)
                 own[name if p in ("", "xml") else f"{{{u}}}{n}"] = value
-        node = {"doc_id": self.doc_id, "pre": self.clock, "parent": up and up["pre"], "depth": len(self.open), "sib": up["n"] if up else 0, "tag": local, "attrs": list(own.items()), "text": "", "tail": "", "n": 0, "prefix": prefix, "ns": uri, "names": scope, "scope": list(scope.items()), "raw": tag}
-        node["path"] = [*(up["path"] if up else ()), node["tag"]]
-        node["ancestors"] = [*(up["ancestors"] if up else ()), *([up["pre"]] if up else ())]
+        if up and "below" not in up:  # siblings share their lists
+            up["below"], up["paths"] = [*up["ancestors"], up["pre"]], {}
+        path = up["paths"].get(local) if up else [local]
+        if path is None:
+            path = up["paths"][local] = [*up["path"], local]
+        node = {"doc_id": self.doc_id, "pre": self.clock, "parent": up and up["pre"], "depth": len(self.open), "sib": up["n"] if up else 0, "tag": local, "attrs": list(own.items()), "text": "", "tail": "", "n": 0, "prefix": prefix, "ns": uri, "names": scope, "scope": pairs, "raw": tag, "path": path, "ancestors": up["below"] if up else []}
         if up:
             up["n"] += 1
         self.clock += 1
@@ -72,7 +75,8 @@ class _Builder:
 
     def end(self, tag: str) -> None:
         """Closes the innermost open element of that name, and what it still holds open; a stray end tag is ignored."""
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i]["raw"] == tag), None)
+        top = len(self.open) - 1
+        at = top if top >= 0 and self.open[top]["raw"] == tag else next((i for i in range(top, -1, -1) if self.open[i]["raw"] == tag), None)
         if at is None:
             at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i]["raw"].lower() == tag.lower()), None)
         while at is not None and len(self.open) > at:
