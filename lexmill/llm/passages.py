@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WORD, give_back, join_ids, mixed, record_batch, small, stored, text_bytes, word_codes
+from lexmill.llm.common import WORD, dropped, give_back, join_ids, mixed, record_batch, small, stored, text_bytes, word_codes
 from lexmill.llm.encoding import slices
 
 WORDS = 50
@@ -129,7 +129,10 @@ def _cuts(docs: DataFrame, keys: DataFrame, words: int) -> tuple[DataFrame, Data
     met = stored(keys.join(_shared(keys), "key").select("doc_id", "key").distinct())
     some = stored(join_ids(docs, met.select("doc_id").distinct(), "left_semi").withColumn("text_code", F.xxhash64("text")))
     codes = stored(_codes(some.join(met.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id"), words))
-    return some, stored(codes.join(_shared(codes), "key").where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
+    cut = stored(codes.join(_shared(codes), "key").where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
+    for done in (met, codes):
+        dropped(done)
+    return some, cut
 
 
 def without_shared_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -142,7 +145,7 @@ def without_shared_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     it is cut there too, an even lesser one has it. A cut joins what stood around it, which may be a run that another document has too:
     documents that were cut are compared again, among themselves and with all others, until nothing is cut.
     """
-    own = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    own = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")]).alias("row"))
     keys = fresh = stored(_keys(own, words))
     edited, now = None, own
     while True:
@@ -152,10 +155,16 @@ def without_shared_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
             break
         texts = stored(_rewritten(some.join(cut, "doc_id"), words).dropDuplicates(["doc_id", "text_code"]))
         changed = stored(some.drop("text").join(texts, ["doc_id", "text_code"]).select("doc_id", "text", "row"))
-        edited = stored(changed if edited is None else join_ids(edited, ids, "left_anti").unionByName(changed))
+        for done in (some, cut, texts):
+            dropped(done)
+        before, edited = edited, changed if edited is None else stored(join_ids(edited, ids, "left_anti").unionByName(changed))
+        if before is not None:
+            dropped(before)
         now = join_ids(own, edited.select("doc_id").distinct(), "left_anti").unionByName(edited)
         new = stored(_keys(changed, words))
-        keys = stored(join_ids(keys, ids, "left_anti").unionByName(new))
+        old, keys = keys, stored(join_ids(keys, ids, "left_anti").unionByName(new))
+        for done in (old,) if fresh is old else (old, fresh):
+            dropped(done)
         fresh = stored(keys.join(small(stored(new.select("key").distinct())), "key", "left_semi"))
     if edited is None:
         return docs

@@ -624,3 +624,19 @@ def test_long_line_in_two_documents_is_packed_once(spark, tmp_path):
     sizes = {r["doc_id"]: r["n"] for r in corpus_pipeline.packing(spark, frame, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     alone = {r["doc_id"]: r["n"] for r in corpus_pipeline.packing(spark, frame.withColumn("text", F.split("text", "\n")[1]), str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert sizes[1] > alone[1] and sizes[2] == alone[2]
+
+
+def test_shared_passages_leave_one_copy_of_the_changed_texts(spark, tmp_path, monkeypatch):
+    import uuid
+
+    from lexmill.llm.passages import without_shared_passages
+
+    run = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(i, f"{run(i)} {run(100 + i % 3)} {run(200 + i)}", "en", 5) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    monkeypatch.setattr("lexmill.llm.common.shared_dir", lambda _: f"file://{tmp_path}/{uuid.uuid4().hex}")
+    got = {r["doc_id"]: r for r in without_shared_passages(docs).collect()}
+    kept = [t for t in (spark.read.parquet(f"file://{p}") for p in tmp_path.iterdir() if any(p.glob("*.parquet"))) if "text" in t.columns and t.count()]
+    assert all(len(got[i]["text"].split()) == (180 if i < 3 else 120) and got[i]["lang"] == "en" for i in range(9))
+    assert all(got[i]["n_chars"] == len(got[i]["text"]) for i in range(3, 9))
+    assert len(kept) == 1 and "text" not in kept[0].schema["row"].dataType.names
