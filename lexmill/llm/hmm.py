@@ -28,6 +28,8 @@ END = b""
 BATCH_TOKENS = 500_000
 #: Tokens whose posteriors are worked out at a time.
 BLOCK = 1 << 14
+#: Tokens whose posteriors are summed by symbol at a time, a multiple of BLOCK.
+SUMMED = 8 * BLOCK
 #: Tokens that one task of a round reads, where there are that many; each task sends its counts of all symbols.
 TASK_TOKENS = 1 << 25
 
@@ -192,18 +194,32 @@ def relative_emissions(model: Model) -> tuple[np.ndarray, np.ndarray]:
     return (model.emit / largest[:, None]).astype(np.float32), np.log(largest)
 
 
-def expected_counts(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, relative: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+class Room:
+    """Arrays that a task uses again for each batch: memory that is new costs more time than what is done in it."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def array(self, name: str, rows: int, columns: int, dtype: type) -> np.ndarray:
+        if name not in self.held or len(self.held[name]) < rows:
+            self.held[name] = np.empty((rows, columns), dtype=dtype)
+        return self.held[name][:rows]
+
+
+def expected_counts(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, relative: tuple[np.ndarray, np.ndarray] | None = None, room: Room | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions (symbol x state) by scaled forward-backward over whole sequences, and their log likelihood.
 
     Emissions are relative to their largest state's, so scaling at every second step keeps single precision in range.
     """
     order, active, seen = by_time(symbols, starts, sizes)
     table, largest = relative or relative_emissions(model)
-    emit = table.take(seen, axis=0)
-    alpha = emit.copy()
+    room, states, seen = room or Room(), len(model.start), seen.astype(np.intp)
+    emit, alpha, beta = (room.array(name, len(seen), states, np.float32) for name in ("emit", "alpha", "beta"))
+    table.take(seen, axis=0, out=emit, mode="clip")
+    alpha[:] = emit
     scale = forward(model, alpha, active, 2)
     back, ones = np.ascontiguousarray(model.move.T.astype(np.float32)), np.ones(len(model.start), dtype=np.float32)
-    beta, a, ahead = np.empty_like(emit), len(seen), emit[:0]
+    a, ahead = len(seen), emit[:0]
     for t in range(len(active) - 1, -1, -1):
         m, k = int(active[t]), len(ahead)
         a -= m
@@ -218,7 +234,8 @@ def expected_counts(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes
     first = int(active[0]) if len(active) else 0
     ends = (np.cumsum(active) - active)[sizes[order] - 1] + np.arange(len(sizes))
     logs = np.log(scale, dtype=np.float64).sum() + np.log(alpha[ends].sum(axis=1), dtype=np.float64).sum() + largest[seen].sum()
-    before, moves = np.arange(first, len(seen)) - np.repeat(active[:-1], active[1:]), np.zeros((len(ones), len(ones)))
+    before, moves = np.arange(first, len(seen)) - np.repeat(active[:-1], active[1:]), np.zeros((states, states))
+    by_state, out = room.array("by_state", states, SUMMED, np.float64), np.zeros((states, len(model.emit)))
     for i in range(0, len(seen), BLOCK):  # beta becomes the posteriors; blocks stay in a core's cache
         own = beta[i : i + BLOCK]
         own *= alpha[i : i + BLOCK]
@@ -229,8 +246,12 @@ def expected_counts(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes
             ahead = emit[j:k]
             ahead *= (share[j - i :] / scale[j:k])[:, None]
             moves += alpha.take(before[j - first : k - first], axis=0).T @ ahead
-    out = np.stack([np.bincount(seen, weights=beta[:, s], minlength=len(model.emit)) for s in range(len(ones))], axis=1)
-    return beta[:first].sum(axis=0, dtype=np.float64), moves * model.move, out, float(logs)
+        begun = i // SUMMED * SUMMED
+        by_state[:, i - begun : k - begun] = own.T
+        if k == begun + SUMMED or k == len(seen):
+            for s in range(states):
+                out[s] += np.bincount(seen[begun:k], weights=by_state[s, : k - begun], minlength=len(model.emit))
+    return beta[:first].sum(axis=0, dtype=np.float64), moves * model.move, out.T, float(logs)
 
 
 def _batches(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -259,10 +280,10 @@ def baum_welch(train: DataFrame, known: Vocabulary, model: Model) -> tuple[Model
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = shared.value
         relative = relative_emissions(now)
-        begun, moves, emitted, logs = np.zeros(states), np.zeros((states, states)), np.zeros(now.emit.shape), 0.0
+        begun, moves, emitted, logs, room = np.zeros(states), np.zeros((states, states)), np.zeros(now.emit.shape), 0.0, Room()
         for batch in batches:
             for own in _batches(batch.column(0)):
-                x, y, z, log = expected_counts(now, *own, relative)
+                x, y, z, log = expected_counts(now, *own, relative, room)
                 begun, moves, logs = begun + x, moves + y, logs + log
                 emitted += z
         at = np.flatnonzero(emitted.any(axis=1))
@@ -340,7 +361,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = 12, gai
             yield record_batch(SCORED_SCHEMA, [*(batch.column(i) for i in (0, 1, 2, 3, 5, 6)), scores])
 
     fixed = rows.drop("rare").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(others.withColumnRenamed("n", "c"), "word", "left")
+    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(others.withColumnRenamed("n", "c").hint("shuffle_hash"), "word", "left")
     log = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ALPHA))
     sums = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"), F.sum(log).alias("rare_log"))
     out = fixed.join(sums, "row", "left")

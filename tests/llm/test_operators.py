@@ -279,6 +279,38 @@ def test_hmm_scores(spark, docs, corpus, none, odd, monkeypatch):
     assert hmm.score_documents(odd, states=2, rounds=2).count() == 6
 
 
+def test_hmm_batches_share_their_memory():
+    """Counts of batches that lie in the memory of others before them, over several sums by symbol, are the counts of each text alone."""
+    from lexmill.llm import hmm
+
+    r = np.random.default_rng(4)
+    emit = r.gamma(2.0, 0.5, (50, 3))
+    model, room, held = hmm.Model(np.full(3, 1 / 3), np.array([[0.6, 0.3, 0.1], [0.2, 0.5, 0.3], [0.3, 0.3, 0.4]]), emit / emit.sum(axis=0)), hmm.Room(), None
+    for total in (300, hmm.SUMMED + hmm.BLOCK + 7, 1, hmm.SUMMED):
+        sizes = np.minimum(np.full(-(-total // 900), 900), total - 900 * np.arange(-(-total // 900)))
+        starts, symbols = np.cumsum(sizes) - sizes, r.integers(0, 50, total).astype("<i4")
+        begun, moves, emitted, log = hmm.expected_counts(model, symbols, starts, sizes, None, room)
+        alone = [hmm.expected_counts(model, symbols[a : a + n], np.array([0]), np.array([n])) for a, n in zip(starts, sizes)]
+        for got, parts in ((begun, [x[0] for x in alone]), (moves, [x[1] for x in alone]), (emitted, [x[2] for x in alone]), (log, [x[3] for x in alone])):
+            assert np.allclose(got, sum(parts), rtol=1e-4, atol=1e-3)
+        assert np.allclose(emitted.sum(axis=1), np.bincount(symbols, minlength=50), rtol=1e-5)
+        assert held is None or total > len(held) or room.held["beta"] is held
+        held = room.held["beta"]
+
+
+def test_hmm_rare_words_are_joined_without_a_sort(spark, docs, monkeypatch):
+    from lexmill.llm import hmm
+
+    monkeypatch.setattr(hmm, "HOT", 3000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = hmm.score_documents(docs, states=2, rounds=1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin [word" in plan
+
+
 def test_hmm_rounds_see_all_rows(spark, monkeypatch):
     from lexmill.llm import hmm
 
