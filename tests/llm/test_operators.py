@@ -298,6 +298,15 @@ def test_hmm_batches_share_their_memory():
         held = room.held["beta"]
 
 
+def test_hmm_classes_of_many_words_are_those_of_each():
+    from lexmill.llm import hmm
+
+    words = [b"", b"a", b"ab", b"abc", b"xabc", "日本".encode(), b"\xff\xfe\x00", *(bytes([b, 255 - b]) for b in range(256))]
+    assert hmm.word_classes(pa.array(words, pa.binary()).slice(2)).tolist() == [hmm.word_class(w) for w in words[2:]]
+    assert hmm.word_classes(pa.array(words, pa.binary())).tolist() == [hmm.word_class(w) for w in words]
+    assert len(hmm.word_classes(pa.array([], pa.binary()))) == 0
+
+
 def test_hmm_rare_words_are_joined_without_a_sort(spark, docs, monkeypatch):
     from lexmill.llm import hmm
 
