@@ -151,6 +151,17 @@ class WordCodes(dict):
 CODES = WordCodes()
 
 
+#: Text goes to Python about so many bytes at a time: a task has a batch several times over, in the JVM's own memory, on the way, and in the worker.
+SENT = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def in_small_batches(rows: DataFrame) -> DataFrame:
+    """The rows; from then on the session sends Python batches of SENT bytes, unless it has a limit of its own."""
+    if rows.sparkSession.conf.get(SENT[0], None) is None:
+        rows.sparkSession.conf.set(*SENT)
+    return rows
+
+
 def give_back() -> None:
     """Hands memory that this worker no longer uses back to the system: a job's stages share their workers, and freed memory stays theirs."""
     CODES.clear()

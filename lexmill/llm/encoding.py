@@ -163,8 +163,8 @@ class Encoder(ChunkedEncoder):
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(name: str) -> Encoder:
-    """This worker's encoder for a file of the public tokenizers, or for a path."""
+def encoder(name: str, limit: int = ChunkedEncoder.LIMIT) -> Encoder:
+    """This worker's encoder for a file of the public tokenizers, or for a path; it remembers about `limit` chunks."""
     if name not in _ENCODERS:
         path = name
         if not os.path.isabs(name):
@@ -172,6 +172,7 @@ def encoder(name: str) -> Encoder:
 
             path = public_tokenizers.path(name)
         _ENCODERS[name] = Encoder(path)
+    _ENCODERS[name].LIMIT = limit
     return _ENCODERS[name]
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import join_ids, record_batch, stored, text_bytes
+from lexmill.llm.common import give_back, in_small_batches, join_ids, record_batch, stored, text_bytes
 from lexmill.llm.components import components
 from lexmill.llm.encoding import slices
 from lexmill.llm.shingles import shingle_sets
@@ -40,8 +40,9 @@ def shingle_frequencies(docs: DataFrame) -> np.ndarray:
         for i in range(0, len(at), 1 << 15):
             part = at[i : i + (1 << 15)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
+        give_back()
 
-    found = docs.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = in_small_batches(docs).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
     out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -78,8 +79,9 @@ def signed_sets(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
                     rows.append((n, f1, f2, prefix, int(first + np.maximum(0, w - mean).sum())))
                 n, f1, f2, prefix, scan = zip(*rows)
                 yield record_batch(SIGNED_SCHEMA, [doc_ids, n, f1, f2, prefix, scan])
+        give_back()
 
-    return docs.mapInArrow(sign, SIGNED)
+    return in_small_batches(docs).mapInArrow(sign, SIGNED)
 
 
 def boundary(reps: DataFrame) -> int:
@@ -129,9 +131,10 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_ids, found in _sets(batch):
                 yield record_batch(SET_SCHEMA, [doc_ids, [s.view(np.int64) for s in found]])
+        give_back()
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = stored(join_ids(docs, ids, "left_semi").mapInArrow(sets, "id long, codes array<long>"))
+    own = stored(in_small_batches(join_ids(docs, ids, "left_semi")).mapInArrow(sets, "id long, codes array<long>"))
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("codes").alias("ca")), "a").join(own.select(F.col("id").alias("b"), F.col("codes").alias("cb")), "b")
     same = F.size(F.array_intersect("ca", "cb")).cast("long")
     return both.where(100 * same >= 75 * (F.size("ca") + F.size("cb") - same)).select("a", "b").distinct()

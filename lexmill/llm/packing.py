@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import give_back, record_batch, stored
+from lexmill.llm.common import give_back, in_small_batches, record_batch, stored
 from lexmill.llm.encoding import encoder, text_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -19,6 +19,8 @@ PLACED = "item long, length long, part long, bin long, offset long, gap long"
 PLACED_SCHEMA = pa.schema([("item", pa.int64()), ("length", pa.int64()), ("part", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("gap", pa.int64())])
 #: Rounds without a gain after which the exchange ends: by size of gap and by chance in turn.
 FRUITLESS = 3
+#: Chunks that a worker's encoder remembers, and bytes of text that it encodes at a time: an executor's workers share what its heap leaves.
+CHUNKS, SLICE = 600_000, 2_000_000
 
 
 def lower_bound(histogram: np.ndarray, capacity: int) -> int:
@@ -81,9 +83,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, CHUNKS)
         for batch in batches:
-            for a, b in text_slices(batch.column(1)):
+            for a, b in text_slices(batch.column(1), SLICE):
                 ids, n = enc.batch(batch.column(1).slice(a, b - a))
                 ids, n = np.insert(ids, np.cumsum(n), end_id).astype("<u4"), n + 1
                 pieces = -(-n // capacity)
@@ -95,7 +97,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
                 crcs = [zlib.crc32(held[x:y]) for x, y in zip((4 * (first + starts)).tolist(), (4 * (first + ends)).tolist())]
                 yield record_batch(PIECE_SCHEMA, [batch.column(0).slice(a, b - a).take(pa.array(of)), nth.astype(np.int32), starts, ends - starts, crcs])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+        give_back()
+
+    return in_small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(cut, PIECES)
 
 
 def closer(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, n: int, bound: int, capacity: int, tries: int = 12) -> tuple[np.ndarray, np.ndarray, int]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WORD, dropped, give_back, join_ids, mixed, record_batch, small, stored, text_bytes, word_codes
+from lexmill.llm.common import WORD, dropped, give_back, in_small_batches, join_ids, mixed, record_batch, small, stored, text_bytes, word_codes
 from lexmill.llm.encoding import slices
 
 WORDS = 50
@@ -70,7 +70,7 @@ def _keys(docs: DataFrame, words: int) -> DataFrame:
                 yield record_batch(KEY_SCHEMA, [keys[new].view(np.int64), ids[a:b][of[new]]])
         give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(emit, "key long, doc_id long")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(emit, "key long, doc_id long")
 
 
 def _codes(docs: DataFrame, words: int) -> DataFrame:
@@ -85,7 +85,7 @@ def _codes(docs: DataFrame, words: int) -> DataFrame:
                 yield record_batch(KEY_SCHEMA, [own.view(np.int64), np.full(len(own), ids[i])])
         give_back()
 
-    return docs.select("doc_id", "text", "keys").mapInArrow(emit, "key long, doc_id long")
+    return in_small_batches(docs.select("doc_id", "text", "keys")).mapInArrow(emit, "key long, doc_id long")
 
 
 def without_runs(text: bytes, codes: np.ndarray, words: int = WORDS) -> bytes:
@@ -115,7 +115,7 @@ def _rewritten(docs: DataFrame, words: int) -> DataFrame:
             yield record_batch(TEXT_SCHEMA, [ids, codes, new])
         give_back()
 
-    return docs.select("doc_id", "text", "keys", "text_code").mapInArrow(emit, "doc_id long, text_code long, text string")
+    return in_small_batches(docs.select("doc_id", "text", "keys", "text_code")).mapInArrow(emit, "doc_id long, text_code long, text string")
 
 
 def _shared(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import record_batch, text_bytes, word_codes
+from lexmill.llm.common import give_back, in_small_batches, record_batch, text_bytes, word_codes
 from lexmill.llm.encoding import slices
 
 SYMBOLS = "#*$%&|<>"
@@ -156,5 +156,6 @@ def without_repetitive(docs: DataFrame, min_repeat: int = 8, max_covered: float
                 _, n, _, _, _, repeat, inside, longest, _ = _scored([None] * (b - a), texts[a:b], min_repeat)
                 _, kept = _passes(n, repeat, inside, longest, max_covered, max_repeat, min_words)
                 yield batch.slice(a, b - a).filter(pa.array(kept))
+        give_back()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_small_batches(docs).mapInArrow(keep, docs.schema)

@@ -681,3 +681,25 @@ def test_shared_passages_leave_one_copy_of_the_changed_texts(spark, tmp_path, mo
     assert all(len(got[i]["text"].split()) == (180 if i < 3 else 120) and got[i]["lang"] == "en" for i in range(9))
     assert all(got[i]["n_chars"] == len(got[i]["text"]) for i in range(3, 9))
     assert len(kept) == 1 and "text" not in kept[0].schema["row"].dataType.names
+
+
+def test_text_goes_to_python_in_small_batches(spark):
+    """A task's whole text was one batch before, tens of MB that the executor's JVM, the way and the worker held at once."""
+    from lexmill.llm.common import SENT, in_small_batches
+    from lexmill.llm.packing import pieces_of
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    docs = spark.range(0, 9000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 300).alias("text"))
+    before = spark.conf.get(SENT[0], None)
+    try:
+        spark.conf.unset(SENT[0])
+        pieces_of(docs, "byte_bpe_50k.json", 2, 1024)
+        sizes = [r["n"] for r in docs.mapInArrow(size, "n long").collect()]
+        assert len(sizes) > 2 and max(sizes) < 5_000_000
+        spark.conf.set(SENT[0], "8m")  # a limit of the session's own stays
+        assert in_small_batches(docs) is docs and spark.conf.get(SENT[0]) == "8m"
+    finally:
+        spark.conf.unset(SENT[0]) if before is None else spark.conf.set(SENT[0], before)
