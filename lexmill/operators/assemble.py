@@ -140,42 +140,57 @@ def role_markup(role: Column, final: Column, matched: Column, lang: Column) -> C
     return out.when(role == "def", simple("def")).when(role == "note", simple("note")).otherwise(simple("gloss"))
 
 
+def senses_around(senses: DataFrame) -> DataFrame:
+    """senses (doc_id, entry, pre, post, ancestors) with around: pre and post of the entry's other senses that one lies in, null if none. ancestors
+    need hold only those elements that may be senses; where there is none, which one job looks up, nothing is joined."""
+    key = ["doc_id", "entry"]
+    inner = senses.select(*key, "pre", F.explode("ancestors").alias("up"))
+    if inner.isEmpty():
+        return senses.withColumn("around", F.lit(None).cast("array<struct<pre:bigint,post:bigint>>"))
+    holders = senses.select(*key, F.col("pre").alias("up"), F.col("post").alias("end"))
+    met = inner.join(holders, [*key, "up"]).groupBy(*key, "pre").agg(F.collect_list(F.struct(F.col("up").alias("pre"), F.col("end").alias("post"))).alias("around"))
+    return senses.join(met, [*key, "pre"], "left")
+
+
 def tei_entries(matches: DataFrame, entry_nodes: DataFrame, senses: DataFrame, acronym: Column, keep_scrap: bool = False, scrap: DataFrame | None = None, datasets: DataFrame | None = None) -> DataFrame:
     """doc_id, entry, xml_id, headword, pos, n_senses, tei: one row for each entry, nested ones too, each by itself.
 
-    matches: rows of role_matches with lang; senses: doc_id, entry, pre, ancestors. A match belongs to its nearest sense in the entry, if
-    any; definitions outside get a sense of their own. Order is document order throughout. scrap: doc_id, entry, at, off, piece of text that
-    no match took, which `keep_scrap` appends as dictScrap; blank pieces alone make none. datasets: doc_id, dsid, within which headwords are numbered.
+    matches: rows of role_matches with lang; senses: doc_id, entry, pre, post, ancestors (those that may be senses). A match belongs to its nearest
+    sense in the entry, if any; definitions outside get a sense of their own. Order is document order throughout. scrap: doc_id, entry, at, off,
+    piece of text that no match took, which `keep_scrap` appends as dictScrap; blank pieces alone make none. datasets: doc_id, dsid, within which
+    headwords are numbered. An entry's rows are dealt out once, and numbers come from entries and headwords alone.
     """
-    own = matches.select("doc_id", "entry", "pre", "rank", "role", "final", "above", role_markup(F.col("role"), F.col("final"), F.col("matched"), F.col("lang")).alias("markup"))
-    senses = stored(senses.select("doc_id", "entry", "pre"))
-    before = stored(senses.where("pre <= entry"))  # none, unless senses are selected out of their entry; then a join with them deals out no matches
-    chain = F.concat("above", F.array("pre"))
-    held = lambda up, of: own.select("doc_id", "entry", "pre", F.explode(up).alias("sense")).join(of.select("doc_id", "entry", F.col("pre").alias("sense")), ["doc_id", "entry", "sense"])
-    in_sense = held(F.filter(chain, lambda x: x > F.col("entry")), senses.where("pre > entry")).unionByName(held(F.filter(chain, lambda x: x <= F.col("entry")), before)).groupBy("doc_id", "entry", "pre").agg(F.max("sense").alias("sense"))
-    own = own.drop("above").join(in_sense, ["doc_id", "entry", "pre"], "left")
-    own = own.withColumn("sense", F.when((F.col("role") == "def") & F.col("sense").isNull(), F.col("pre")).otherwise(F.col("sense")))
-    nothing = lambda *names: [F.lit(None).cast("int" if n == "rank" else "string").alias(n) for n in names]
-    empty = senses.select("doc_id", "entry", F.col("pre").alias("sense"), "pre", *nothing("rank", "role", "final", "markup"))
-    bare = entry_nodes.select("doc_id", F.col("pre").alias("entry"), F.lit(None).cast("long").alias("sense"), "pre", *nothing("rank", "role", "final", "markup"), "lang", F.lit(True).alias("bare"))
-    rows = own.unionByName(empty).unionByName(bare, allowMissingColumns=True).repartition("doc_id", "entry")  # both groupings in one
-    joined = lambda of, order: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(of).isNotNull(), F.struct(*order, of)))), lambda s: s[of]), "")
-    first = lambda role: F.min(F.when(F.col("role") == role, F.struct("pre", "final"))).alias(role)
-    parts = rows.groupBy("doc_id", "entry", "sense").agg(joined("markup", ["pre", "rank"]).alias("inside"), first("hw"), first("pos"), F.max("lang").alias("lang"), F.max("bare").alias("bare"))
-    each = parts.groupBy("doc_id", "entry").agg(F.max(F.when(F.col("sense").isNull(), F.col("inside"))).alias("outside"), F.array_sort(F.collect_list(F.when(F.col("sense").isNotNull(), F.struct("sense", "inside")))).alias("senses"), F.min("hw")["final"].alias("headword"), F.min("pos")["final"].alias("pos"), F.max("lang").alias("lang"), F.max("bare").alias("bare")).where("bare").drop("bare")
+    key, role = ["doc_id", "entry"], F.col("role")
+    final = F.struct("pre", "final")
+    own = matches.select(*key, "pre", "rank", (role == "def").alias("loose"), F.when(role == "pos", final).alias("pos"), role_markup(role, F.col("final"), F.col("matched"), F.col("lang")).alias("markup"))
+    marks = senses_around(stored(senses.select(*key, "pre", "post", "ancestors"))).select(*key, "pre", "post", "around")
+    bare = entry_nodes.select("doc_id", F.col("pre").alias("entry"), "pre", "lang", F.lit(True).alias("bare"))
+    rows = own.unionByName(marks, allowMissingColumns=True).unionByName(bare, allowMissingColumns=True).repartition(*key)  # for all that follows
+    up_to = Window.partitionBy(*key).orderBy("pre", "rank").rowsBetween(Window.unboundedPreceding, 0)  # a sense comes before its element's matches
+    sense = F.col("post").isNotNull()
+    rows = rows.withColumn("last", F.last(F.when(sense, F.struct("pre", "post", "around")), ignorenulls=True).over(up_to))
+    begun = F.concat(F.array(F.struct("last.pre", "last.post")), F.coalesce("last.around", F.array()))  # a sense that is open lies around the one that began last, or is it
+    nearest = F.array_max(F.transform(F.filter(begun, lambda s: s["post"] > F.col("pre")), lambda s: s["pre"]))
+    itself = sense | (F.col("loose") & nearest.isNull())
+    rows = rows.withColumn("sense", F.when(F.col("bare"), F.lit(None)).when(itself, F.col("pre")).otherwise(nearest))
+    inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("markup").isNotNull(), F.struct("pre", "rank", "markup")))), lambda s: s["markup"]), "")
+    parts = rows.groupBy(*key, "sense").agg(inside.alias("inside"), F.min("pos").alias("pos"), F.max("lang").alias("lang"), F.max("bare").alias("bare"))
+    each = parts.groupBy(*key).agg(F.max(F.when(F.col("sense").isNull(), F.col("inside"))).alias("outside"), F.array_sort(F.collect_list(F.when(F.col("sense").isNotNull(), F.struct("sense", "inside")))).alias("senses"), F.count("sense").alias("n_senses"), F.min("pos")["final"].alias("pos"), F.max("lang").alias("lang"), F.max("bare").alias("bare")).where("bare").drop("bare")
+    heads = matches.where(role == "hw").groupBy(*key).agg(F.min(final)["final"].alias("headword"))
+    named = entry_nodes.select("doc_id", F.col("pre").alias("entry")).join(heads, key, "left")
     safe = F.when(is_blank(F.col("headword")), F.lit("headword")).otherwise(name_safe(F.col("headword")))
-    each, by = each.withColumn("safe", safe), ["safe"]
+    named, by = named.withColumn("safe", safe), ["safe"]
     if datasets is not None:
-        each, by = each.join(datasets.select("doc_id", F.col("dsid").alias("within")), "doc_id"), ["within", "safe"]
-    each = in_runs(each, by, ["doc_id", "entry"], count="n").drop(*by)
+        named, by = named.join(datasets.select("doc_id", F.col("dsid").alias("within")), "doc_id"), ["within", "safe"]
+    each = each.join(in_runs(named, by, key, count="n").drop(*by), key)
     each = each.withColumn("xml_id", entry_identifier(acronym, F.col("headword"), F.col("n"), F.col("pos")))
     bodies = F.array_join(F.transform("senses", lambda s, i: element("sense", s["inside"], xml__id=sense_identifier(F.col("xml_id"), i + 1))), "")
     content = F.concat(F.coalesce("outside", F.lit("")), bodies)
     if keep_scrap and scrap is not None:
-        rest = scrap.groupBy("doc_id", "entry").agg(strip(seamed(F.transform(F.array_sort(F.collect_list(F.struct("at", "off", "piece"))), lambda s: s["piece"]))).alias("rest")).where("rest <> ''")
-        each = each.join(rest, ["doc_id", "entry"], "left")
+        rest = scrap.groupBy(*key).agg(strip(seamed(F.transform(F.array_sort(F.collect_list(F.struct("at", "off", "piece"))), lambda s: s["piece"]))).alias("rest")).where("rest <> ''")
+        each = each.join(rest, key, "left")
         content = F.concat(content, F.when(F.col("rest").isNotNull(), element("dictScrap", escaped(F.col("rest")))).otherwise(""))
-    return each.select("doc_id", "entry", "xml_id", "headword", "pos", F.size("senses").cast("long").alias("n_senses"), element("entry", content, xml__id=F.col("xml_id"), xml__lang=F.col("lang")).alias("tei"))
+    return each.select(*key, "xml_id", "headword", "pos", "n_senses", element("entry", content, xml__id=F.col("xml_id"), xml__lang=F.col("lang")).alias("tei"))
 
 
 def stripped_attributes(nodes: DataFrame, kept: list[str]) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import group_start, translated
 from lexmill.operators.pieces import inner_text
-from lexmill.operators.select import attribute, namespaces_of, parent_normalised, selected
-from lexmill.sources.store import stored
+from lexmill.operators.select import attribute, names_of, namespaces_of, parent_normalised, selected
+from lexmill.sources.store import dropped, stored
 
 INNER, INNER_REC, CONSTANT = "{meta}innerText", "{meta}innerTextRec", "{meta}constant"
 #: The roles, in the order in which they may consume an element.
@@ -79,20 +79,21 @@ def leaves(transformer: dict) -> list[dict]:
     return [transformer]
 
 
-def found_all(nodes: DataFrame, transformers: list[dict], context: DataFrame | None = None, chain: bool = False) -> DataFrame:
+def found_all(nodes: DataFrame, transformers: list[dict], context: DataFrame | None = None, chain: bool = False, tags: set[str] | None = None, keep: bool = False) -> DataFrame:
     """doc_id, ctx, pre, attr, value, matched, start, final and t (the transformer's place in the list) of what each finds from each context row.
 
     value: the text or attribute; nodes without the attribute, or whose value the pattern doesn't occur in, are left out. matched: the pattern's
     group (a group that doesn't exist: ''), start: how many characters of the value precede it. final: matched, translated by xlat where it has it. Of a union, the first transformer that
     finds a node counts. An element without children has its text itself; those of the others come by one join for all transformers, if there
-    are any, which is looked up in what was found. chain: above has the nodes' ancestors.
+    are any, which is looked up in what was found. chain: above has the nodes' ancestors. tags: the local names of the context's rows, if known. keep:
+    what was joined is stored, so that the result is cheap to read again.
     """
     kept = ["above"] if chain else []
     simple = [(t, leaf) for t, transformer in enumerate(transformers) for leaf in leaves(transformer)]
     out, texts = None, set()
     for i, (t, leaf) in enumerate(simple):
         attr = leaf.get("attr") or INNER_REC
-        at = selected(nodes, leaf["selector"], context)
+        at = selected(nodes, leaf["selector"], context, tags)
         value = F.lit(leaf.get("const", "")) if attr == CONSTANT else F.lit(None).cast("string") if attr in (INNER, INNER_REC) else attribute(attr, namespaces_of(leaf["selector"]))
         if attr in (INNER, INNER_REC):
             value = F.when(F.col("post") == F.col("pre") + 1, F.coalesce("text", F.lit("")))
@@ -102,11 +103,14 @@ def found_all(nodes: DataFrame, transformers: list[dict], context: DataFrame | N
         else:
             one = one.where("value is not null")
         out = one if out is None else out.unionByName(one)
-    out = stored(out) if texts else out
+    out = first = stored(out) if texts or keep else out
     without = {r["attr"] for r in out.where("value is null").select("attr").distinct().collect()} if texts else set()  # two at most
     for attr in sorted(without):
         text = inner_text(nodes, out.where((F.col("attr") == attr) & F.col("value").isNull()), attr == INNER_REC).select("doc_id", "pre", F.lit(attr).alias("attr"), F.col("value").alias("inside"))
         out = out.join(text, ["doc_id", "pre", "attr"], "left").withColumn("value", F.coalesce("value", "inside")).drop("inside")
+    if without and keep:
+        out = stored(out)
+        dropped(nodes.sparkSession, [first])
     met, matched, start = F.lit(True), F.col("value"), F.lit(0)
     for i, (_, leaf) in enumerate(simple):
         if leaf.get("rex"):
@@ -136,20 +140,32 @@ def strategy(attr: Column, value: Column, matched: Column) -> Column:
     return F.when(~attr.isin(INNER, INNER_REC), "sibling").when(value != matched, "part").otherwise("consume")
 
 
+def may_meet(transformers: list[dict]) -> bool:
+    """Whether two transformers may find the same element; those of elements with different names can't."""
+    names = [[names_of(leaf["selector"]) for leaf in leaves(t)] for t in transformers]
+    if any(n is None for own in names for n in own):
+        return len(transformers) > 1
+    found_ = [set().union(*own) for own in names]
+    return sum(map(len, found_)) > len(set().union(*found_))
+
+
 def role_matches(nodes: DataFrame, mapping: Mapping, entry_nodes: DataFrame, chain: bool = False) -> DataFrame:
     """doc_id, entry (pre), pre, role, rank, attr, value, matched, start, final, strategy of all roles, and above (ancestors) if `chain`.
 
-    Of the matches that would consume one element, the first role in ROLES does; the others become parts.
+    Of the matches that would consume one element, the first role in ROLES does; the others become parts. Where roles that may find the same
+    element don't occur, nothing is dealt out for that. The result is cheap to read again.
     """
     own = [r for r in ROLES if r in mapping.slots]
     if not own:
         raise ValueError("the mapping has no role")
     names = F.array(*[F.lit(r) for r in own])
-    out = found_all(nodes, [mapping.slots[r] for r in own], entry_nodes, chain).withColumn("role", F.get(names, F.col("t")))
+    out = found_all(nodes, [mapping.slots[r] for r in own], entry_nodes, chain, names_of(mapping.entry), keep=True).withColumn("role", F.get(names, F.col("t")))
     out = out.withColumn("rank", F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role"))).drop("t")
     out = out.withColumnRenamed("ctx", "entry").withColumn("strategy", strategy(F.col("attr"), F.col("value"), F.col("matched")))
+    if not may_meet([mapping.slots[r] for r in own]):
+        return out
     order = Window.partitionBy("doc_id", "entry", "pre", "strategy").orderBy("rank")
-    return out.withColumn("k", F.row_number().over(order)).withColumn("strategy", F.when((F.col("strategy") == "consume") & (F.col("k") > 1), "part").otherwise(F.col("strategy"))).drop("k")
+    return stored(out.withColumn("k", F.row_number().over(order)).withColumn("strategy", F.when((F.col("strategy") == "consume") & (F.col("k") > 1), "part").otherwise(F.col("strategy"))).drop("k"))
 
 
 def nearest(nodes: DataFrame, at: DataFrame, values: DataFrame, name: str) -> DataFrame:
@@ -162,14 +178,14 @@ def nearest(nodes: DataFrame, at: DataFrame, values: DataFrame, name: str) -> Da
 
 
 def with_languages(nodes: DataFrame, mapping: Mapping, matches: DataFrame) -> DataFrame:
-    """matches with lang: for roles with a language slot, that of the nearest element around."""
-    out = matches.withColumn("lang", F.lit(None).cast("string"))
+    """matches with lang: for roles with a language slot, that of the nearest element around. Stored if there is such a role."""
+    out, given = matches.withColumn("lang", F.lit(None).cast("string")), False
     for role, slot in LANGUAGES.items():
         if role in mapping.slots and slot in mapping.slots:
             of = F.col("role") == role
             with_ = nearest(nodes, out.where(of).drop("lang"), found(nodes, mapping.slots[slot]), "lang")
-            out = out.where(~of).unionByName(with_)
-    return out
+            out, given = out.where(~of).unionByName(with_), True
+    return stored(out) if given else out
 
 
 def taken_spans(matches: DataFrame) -> DataFrame:

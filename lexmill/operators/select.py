@@ -16,7 +16,7 @@ STEP = re.compile(rf"(?:({'|'.join(AXES)})::|(@))?(text\(\)|{NAME}|\.\.|\.)(\[.*
 QUOTED = r"""(?:'([^']*)'|"([^"]*)")"""
 #: What compares an operand (an attribute, text(), . or a path below the element) with a quoted text.
 COMPARISONS = [("contains", rf"contains\(\s*(.+?)\s*,\s*{QUOTED}\s*\)"), ("starts", rf"starts-with\(\s*(.+?)\s*,\s*{QUOTED}\s*\)"), ("unequal", rf"(.+?)\s*!=\s*{QUOTED}"), ("equal", rf"(.+?)\s*=\s*{QUOTED}")]
-NODE = ["doc_id", "pre", "post", "parent", "depth", "sib", "tag", "attrs", "text", "tail", "ancestors", "prefix", "ns", "scope"]
+NODE = ["doc_id", "pre", "post", "parent", "depth", "sib", "tag", "attrs", "text", "tail", "path", "ancestors", "prefix", "ns", "scope"]
 SIBLINGS = ("following-sibling", "preceding-sibling")
 
 
@@ -171,6 +171,31 @@ def name_test(name: str, namespaces: dict[str, str] | None) -> Column:
     return F.coalesce(same & (F.col("ns") == uri), F.lit(False)) | (F.col("tag") == name)
 
 
+def tags_of(name: str) -> set[str] | None:
+    """The local names of elements that have a step's name; None: any."""
+    local = name.rpartition(":")[2]
+    return None if local == "*" else {local, name}
+
+
+def names_of(selector: dict | None) -> set[str] | None:
+    """The local names of what a selector selects; None: any, or they aren't known."""
+    if not selector:
+        return set()
+    kind = selector.get("type")
+    if kind == "xpath":
+        ends = [steps_of(p)[-1:] for p in parted(selector["expr"], "|")]
+        each = [tags_of(end[0][1]) if end and end[0][0] not in ("attribute", "text") else None for end in ends]
+    else:
+        each = [names_of(s) for s in (selector["selectors"] if kind == "union" else [selector["left"]])]
+    return None if None in each else set().union(*each)
+
+
+def around(tags: set[str] | None, itself: bool = False) -> Column:
+    """The elements around a row's, outermost first, that have one of the names."""
+    chain = F.concat("ancestors", F.array("pre")) if itself else F.col("ancestors")
+    return chain if tags is None else F.filter(chain, lambda x, i: F.get("path", i).isin(*sorted(tags)))
+
+
 def attribute(name: str, namespaces: dict[str, str] | None = None) -> Column:
     """An element's attribute; null if it has none. Prefixes are looked up as in name_test(); xml: is one of every document."""
     prefix, colon, local = name.rpartition(":")
@@ -242,13 +267,14 @@ def _first_or_last(rows: DataFrame, by: list[str], order: str, place: int, backw
     return rows.withColumn("place__", F.row_number().over(Window.partitionBy(*by).orderBy(key))).where(F.col("place__") == place).drop("place__")
 
 
-def _walked(nodes: DataFrame, expression: str, steps: list, context: DataFrame | None, namespaces: dict[str, str] | None) -> DataFrame:
+def _walked(nodes: DataFrame, expression: str, steps: list, context: DataFrame | None, namespaces: dict[str, str] | None, tags: set[str] | None = None) -> DataFrame:
     single = True  # at most one row for each ctx, so a step repeats nothing
     if context is None:
         now, top = None, True
     else:
         now, top = context.select(*NODE).withColumn("ctx", F.col("pre")), False
     for axis, name, tests in steps:
+        held, tags = tags, tags if axis == "self" and name == "*" else tags_of(name)  # the local names before the step and after it
         if top:
             if axis == "self":
                 continue
@@ -270,8 +296,7 @@ def _walked(nodes: DataFrame, expression: str, steps: list, context: DataFrame |
         elif axis == "parent":
             now = to.withColumn("up", F.col("pre")).join(at.drop("from", "above", "beside"), ["doc_id", "up"])
         elif axis in ("descendant", "descendant-or-self"):
-            around = F.col("ancestors") if axis == "descendant" else F.concat("ancestors", F.array("pre"))
-            now = to.withColumn("from", F.explode(around)).join(at.drop("up", "above", "beside"), ["doc_id", "from"])
+            now = to.withColumn("from", F.explode(around(held, axis != "descendant"))).join(at.drop("up", "above", "beside"), ["doc_id", "from"])
         elif axis in SIBLINGS:
             after = axis == "following-sibling"
             now = to.withColumn("up", F.col("parent")).join(at.drop("above"), ["doc_id", "up"]).where(F.col("sib") > F.col("beside") if after else F.col("sib") < F.col("beside"))
@@ -288,21 +313,22 @@ def _walked(nodes: DataFrame, expression: str, steps: list, context: DataFrame |
     return now
 
 
-def select(nodes: DataFrame, expression: str, context: DataFrame | None = None, namespaces: dict[str, str] | None = None) -> DataFrame:
+def select(nodes: DataFrame, expression: str, context: DataFrame | None = None, namespaces: dict[str, str] | None = None, tags: set[str] | None = None) -> DataFrame:
     """doc_id, ctx and the columns of NODE of the elements that a path selects, distinct.
 
     context: rows of the node table that the path starts from (ctx is their pre); without it, a root above each document, so ./x and .//x can
     select the document element too (ctx is then -1). A path outside a context row is followed: nodes are never detached. Paths
     joined by | select what any of them does. namespaces: what the path's prefixes stand for; others are read in each element's
-    scope. Paths that end in text() or an attribute select no elements: values() has them.
+    scope. Paths that end in text() or an attribute select no elements: values() has them. tags: the local names that the context's rows have, if
+    known (None: any), so that of all elements around another only such are looked up.
     """
     paths = parted(expression, "|")
     if len(paths) > 1:
-        return reduce(DataFrame.unionByName, [select(nodes, p, context, namespaces) for p in paths]).dropDuplicates(["doc_id", "ctx", "pre"])
+        return reduce(DataFrame.unionByName, [select(nodes, p, context, namespaces, tags) for p in paths]).dropDuplicates(["doc_id", "ctx", "pre"])
     steps = steps_of(expression)
     if steps and steps[-1][0] in ("attribute", "text"):
         raise ValueError(f"not a path of elements: {expression!r}")
-    return _walked(nodes, expression, steps, context, namespaces)
+    return _walked(nodes, expression, steps, context, namespaces, tags)
 
 
 def values(nodes: DataFrame, expression: str, context: DataFrame | None = None, namespaces: dict[str, str] | None = None) -> DataFrame:
@@ -326,21 +352,21 @@ def values(nodes: DataFrame, expression: str, context: DataFrame | None = None,
     return at.select("doc_id", "ctx", "pre", F.col("pre").alias("at"), F.lit("attribute").alias("kind"), F.lit(name).alias("name"), attribute(name, namespaces).alias("value")).where("value is not null")
 
 
-def selected(nodes: DataFrame, selector: dict | None, context: DataFrame | None = None) -> DataFrame:
-    """What a selector of a mapping selects: {type: xpath, expr, namespaces?}, {type: union, selectors} or {type: exclude, left, right}."""
+def selected(nodes: DataFrame, selector: dict | None, context: DataFrame | None = None, tags: set[str] | None = None) -> DataFrame:
+    """What a selector of a mapping selects: {type: xpath, expr, namespaces?}, {type: union, selectors} or {type: exclude, left, right}. tags: as in select()."""
     if not selector:
         return select(nodes, ".", context).where("false")
     kind = selector.get("type")
     if kind == "xpath":
-        return select(nodes, selector["expr"], context, selector.get("namespaces"))
+        return select(nodes, selector["expr"], context, selector.get("namespaces"), tags)
     if kind == "union":
         out = None
         for part in selector["selectors"]:
-            one = selected(nodes, part, context)
+            one = selected(nodes, part, context, tags)
             out = one if out is None else out.unionByName(one)
         return out.dropDuplicates(["doc_id", "ctx", "pre"])
     if kind == "exclude":
-        return selected(nodes, selector["left"], context).join(selected(nodes, selector["right"], context).select("doc_id", "ctx", "pre"), ["doc_id", "ctx", "pre"], "left_anti")
+        return selected(nodes, selector["left"], context, tags).join(selected(nodes, selector["right"], context, tags).select("doc_id", "ctx", "pre"), ["doc_id", "ctx", "pre"], "left_anti")
     raise ValueError(f"selector type {kind!r}")
 
 
@@ -371,11 +397,17 @@ def preview_entries(nodes: DataFrame, path: str, limit: int | None = None) -> Da
 
 
 def entries(nodes: DataFrame, selector: dict) -> DataFrame:
-    """The nodes that are entries, with outermost (pre of the topmost entry around, or of itself) and is_top."""
+    """The nodes that are entries, with outermost (pre of the topmost entry around, or of itself) and is_top.
+
+    Where none has an element of an entry's name around it, which one job looks up, nothing is joined.
+    """
     own = selected(nodes, selector).drop("ctx")
+    above = own.select("doc_id", "pre", F.explode(around(names_of(selector))).alias("up"))
+    if above.isEmpty():
+        return own.withColumn("outermost", F.col("pre")).withColumn("is_top", F.lit(True))
     keys = own.select("doc_id", F.col("pre").alias("up"))
-    around = own.select("doc_id", "pre", F.explode("ancestors").alias("up")).join(keys, ["doc_id", "up"]).groupBy("doc_id", "pre").agg(F.min("up").alias("top"))
-    return own.join(around, ["doc_id", "pre"], "left").withColumn("outermost", F.coalesce("top", "pre")).withColumn("is_top", F.col("top").isNull()).drop("top")
+    tops = above.join(keys, ["doc_id", "up"]).groupBy("doc_id", "pre").agg(F.min("up").alias("top"))
+    return own.join(tops, ["doc_id", "pre"], "left").withColumn("outermost", F.coalesce("top", "pre")).withColumn("is_top", F.col("top").isNull()).drop("top")
 
 
 def in_exit_order(own: DataFrame) -> DataFrame:

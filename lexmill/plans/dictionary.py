@@ -11,7 +11,7 @@ from lexmill.operators.catalog import first_entries
 from lexmill.operators.mapping import Mapping, found, nearest, role_matches, taken_spans, with_languages
 from lexmill.operators.moves import adoptions_of, moved
 from lexmill.operators.pieces import inner_text, segments, spans_in_pieces
-from lexmill.operators.select import entries, selected
+from lexmill.operators.select import around, entries, names_of, selected
 from lexmill.operators.sequences import places
 from lexmill.sources.store import stored
 
@@ -29,21 +29,24 @@ def dictionary_to_tei(nodes: DataFrame, mapping: Mapping, title: str = "dict", k
     own = own if max_entries is None else first_entries(own, max_entries, ["pre"])
     own = nearest(nodes, own, found(nodes, mapping.slots["entry_lang"]), "lang") if "entry_lang" in mapping.slots else own.withColumn("lang", F.lit(None).cast("string"))
     own = stored(own)
-    matches = stored(with_languages(nodes, mapping, role_matches(nodes, mapping, own, chain=True)))
-    deeper = own.select("doc_id", F.col("pre").alias("inner")).join(own.select("doc_id", F.col("pre").alias("inner"), F.explode("ancestors").alias("entry")), ["doc_id", "inner"])
-    deeper = stored(deeper)  # few as a rule, and then a join with them deals out no matches
-    inside = matches.join(deeper.select("doc_id", "entry").distinct(), ["doc_id", "entry"], "left_semi").select("doc_id", "entry", "pre", F.explode(F.concat("above", F.array("pre"))).alias("inner")).join(deeper, ["doc_id", "entry", "inner"]).select("doc_id", "entry", "pre").distinct()
-    matches = matches.join(stored(inside), ["doc_id", "entry", "pre"], "left_anti")
-    senses = selected(nodes, mapping.sense, own).select("doc_id", F.col("ctx").alias("entry"), "pre", "ancestors") if mapping.sense else own.where("false").select("doc_id", F.col("pre").alias("entry"), "pre", "ancestors")
+    nested = own.where("not is_top")
+    some = not nested.isEmpty()
+    matches = with_languages(nodes, mapping, role_matches(nodes, mapping, own, chain=some))
+    if some:
+        deeper = stored(nested.select("doc_id", F.col("pre").alias("inner"), F.explode("ancestors").alias("entry")))  # few as a rule, and then a join with them deals out no matches
+        inside = matches.join(deeper.select("doc_id", "entry").distinct(), ["doc_id", "entry"], "left_semi").select("doc_id", "entry", "pre", F.explode(F.concat("above", F.array("pre"))).alias("inner")).join(deeper, ["doc_id", "entry", "inner"]).select("doc_id", "entry", "pre").distinct()
+        matches = matches.join(stored(inside), ["doc_id", "entry", "pre"], "left_anti")
+    senses = selected(nodes, mapping.sense, own, names_of(mapping.entry)) if mapping.sense else own.where("false").withColumn("ctx", F.col("pre"))
+    senses = senses.select("doc_id", F.col("ctx").alias("entry"), "pre", "post", around(names_of(mapping.sense)).alias("ancestors"))
     scrap = leftover(nodes, matches, own) if keep_scrap else None
     moves = adoptions_of(nodes, mapping, own)
     if moves is not None:
         now = moved(nodes, moves)
-        at = stored(now.select("doc_id", F.col("was").alias("pre"), F.col("pre").alias("now"), F.col("ancestors").alias("around")))
+        at = stored(now.select("doc_id", F.col("was").alias("pre"), F.col("pre").alias("now"), F.col("post").alias("now_post"), F.col("ancestors").alias("now_above")))
         holder = at.select("doc_id", F.col("pre").alias("entry"), F.col("now").alias("now_entry"))
-        there = lambda rows, chain: rows.drop(chain).join(at, ["doc_id", "pre"]).drop("pre").withColumnsRenamed({"now": "pre", "around": chain})
+        there = lambda rows, *more: rows.drop("post", "ancestors").join(at.select("doc_id", "pre", "now", *more), ["doc_id", "pre"]).drop("pre").withColumnsRenamed({"now": "pre", "now_post": "post", "now_above": "ancestors"})
         within = lambda rows: rows.join(holder, ["doc_id", "entry"]).drop("entry").withColumnRenamed("now_entry", "entry")
-        matches, senses, own = stored(within(there(matches, "above"))), within(there(senses, "ancestors")), there(own, "ancestors")
+        matches, senses, own = stored(within(there(matches.drop("above")))), within(there(senses, "now_post", "now_above")), there(own)
         scrap = None if scrap is None else within(scrap)
     return tei_entries(matches, own, senses, acronym(F.lit(title)), keep_scrap, scrap, datasets)
 

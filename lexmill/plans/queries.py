@@ -14,7 +14,7 @@ from lexmill.functions import text as T
 from lexmill.operators import assemble, catalog, discover, mapping, prune, sequences
 from lexmill.operators import select as S
 from lexmill.plans import dictionary
-from lexmill.sources.store import stored
+from lexmill.sources.store import dropped, stored
 from lexmill.sources.xml import shred
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,11 +62,14 @@ def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each customer: order[@id](status, line[@n](def)) with the lines in the six-column order that is unique."""
     lines, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
     key = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
-    line = T.element("line", _tag("def", F.concat_ws(" ", "l_returnflag", "l_partkey")), n=F.col("l_linenumber"))
-    each = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, line.alias("xml")))), lambda s: s["xml"]), "").alias("lines"))
+    line = lambda s: T.element("line", _tag("def", F.concat_ws(" ", s["l_returnflag"], s["l_partkey"])), n=s["l_linenumber"])
+    each = lines.repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, "l_returnflag"))), line), "").alias("lines"))
     joined = orders.join(each, orders["o_orderkey"] == each["l_orderkey"], "left")
     xml = T.element("order", F.concat(_tag("hw", F.col("o_orderpriority")), _tag("pos", F.col("o_orderstatus")), F.coalesce("lines", F.lit(""))), id=F.col("o_orderkey"))
-    return stored(shred(dictionary.batched(joined.select("o_orderkey", "o_custkey", xml.alias("xml")), F.col("o_custkey"), "o_orderkey", "dict")))
+    rows = stored(joined.select("o_orderkey", "o_custkey", xml.alias("xml")))  # so lines and documents aren't on disk at the same time
+    nodes = stored(shred(dictionary.batched(rows, F.col("o_custkey"), "o_orderkey", "dict")))
+    dropped(spark, [rows])
+    return nodes
 
 
 def geography_nodes(spark: SparkSession, sf_dir: str, batch: int = 1000) -> DataFrame:
@@ -379,7 +382,10 @@ SELECT e.xml_id, headword, count(l_orderkey) AS n_senses FROM e LEFT JOIN lineit
 def tei_senses(spark, sf_dir):
     x = lambda e: {"type": "simple", "selector": {"type": "xpath", "expr": e}, "attr": mapping.INNER_REC}
     spec = {"entry": {"type": "xpath", "expr": ".//order"}, "sense": {"type": "xpath", "expr": "line"}, "hw": x("hw"), "pos": x("pos"), "def": x(".//def")}
-    return dictionary.dictionary_to_tei(order_nodes(spark, sf_dir), mapping.Mapping.of(spec), "dictionary").select("xml_id", "headword", "n_senses")
+    nodes = order_nodes(spark, sf_dir)
+    out = dictionary.dictionary_to_tei(nodes, mapping.Mapping.of(spec), "dictionary").select("xml_id", "headword", "n_senses")
+    dropped(spark, [nodes], out)  # all that is needed of them is stored again
+    return out
 
 
 @query("""SELECT p_brand AS lemma, p_type AS pos, '<entry><form type="lemma"><orth>' || p_brand || '</orth></form><gramGrp><gram type="pos">' || p_type || '</gram></gramGrp>' || string_agg('<sense n="' || k || '"><def>' || p_name || '</def></sense>', '' ORDER BY k) || '</entry>' AS tei

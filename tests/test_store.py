@@ -1,7 +1,10 @@
 """What Spark takes a stored table's size for."""
 
+import time
+
 from pyspark.sql import functions as F
 
+from lexmill.sources import store
 from lexmill.sources.store import stored
 from lexmill.sources.xml import document_parts, shred
 
@@ -39,3 +42,24 @@ def test_shuffled_keys_are_not_sent_to_the_driver_while_a_query_runs(spark):
     counted = joined.groupBy().count()
     counted.collect()
     assert "BroadcastHashJoin" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nothing_that_was_shuffled_for_a_table_stays_on_disk(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "shuffle_" in f}
+    before = shuffled()
+    few = stored(spark.range(100_000).groupBy(F.expr("id % 1000").alias("k")).agg(F.count("*").alias("n")))
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and few.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"  # the caller's own queries keep theirs
+
+
+def test_tables_that_are_still_read_are_not_dropped(spark):
+    one, two = stored(spark.range(3)), stored(spark.range(5))
+    folders = [df.inputFiles()[0].rpartition("/")[0] for df in (one, two)]
+    kept = one.where("id > 0")
+    store.dropped(spark, [one, two], kept)
+    assert kept.count() == 2
+    assert [store.exists(spark, f) for f in folders] == [True, False]
